@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, grammar, media
+from . import bpe, grammar, media, simhash
 from .common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_media_columns(spark, sf_dir):
     return media.media_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_token_shards(spark, sf_dir):
     manifest = grammar.write_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return grammar.read_shards(manifest)
@@ -21,5 +25,5 @@ def op8_byte_bpe(spark, sf_dir):
     return bpe.token_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op7_token_shards, op8_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_simhash, op7_token_shards, op8_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
