@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, grammar, media, simhash
+from . import bpe, grammar, language, media, simhash, toxicity
 from .common import read_table
 
 
@@ -16,6 +16,11 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op7_token_shards(spark, sf_dir):
     manifest = grammar.write_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return grammar.read_shards(manifest)
@@ -25,5 +30,9 @@ def op8_byte_bpe(spark, sf_dir):
     return bpe.token_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_simhash, op7_token_shards, op8_byte_bpe)}
+def op10_language_id(spark, sf_dir):
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_simhash, op3_toxicity, op7_token_shards, op8_byte_bpe, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
