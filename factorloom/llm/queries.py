@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, grammar, language, media, simhash, toxicity
+from . import bpe, decontaminate, grammar, language, media, simhash, toxicity
 from .common import read_table
 
 
@@ -21,6 +21,11 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op5_decontamination(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark")).drop("text", "spans")
+
+
 def op7_token_shards(spark, sf_dir):
     manifest = grammar.write_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return grammar.read_shards(manifest)
@@ -34,5 +39,5 @@ def op10_language_id(spark, sf_dir):
     return language.identify(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_simhash, op3_toxicity, op7_token_shards, op8_byte_bpe, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_simhash, op3_toxicity, op5_decontamination, op7_token_shards, op8_byte_bpe, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
