@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, grammar, language, media, simhash, toxicity
+from . import bpe, decontaminate, grammar, language, media, quality, simhash, toxicity
 from .common import read_table
 
 
@@ -26,6 +26,11 @@ def op5_decontamination(spark, sf_dir):
     return decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark")).drop("text", "spans")
 
 
+def op6_quality(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.train(docs)).drop("text")
+
+
 def op7_token_shards(spark, sf_dir):
     manifest = grammar.write_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return grammar.read_shards(manifest)
@@ -39,5 +44,5 @@ def op10_language_id(spark, sf_dir):
     return language.identify(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_simhash, op3_toxicity, op5_decontamination, op7_token_shards, op8_byte_bpe, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_simhash, op3_toxicity, op5_decontamination, op6_quality, op7_token_shards, op8_byte_bpe, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
