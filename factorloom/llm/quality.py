@@ -2,7 +2,8 @@
 
 Each labeller looks at one statistic of a text and votes low (-1), high (1) or not at all (0).
 Expectation-maximisation over the corpus's vote patterns (all rows, as counts of the few distinct
-patterns) estimates how often each labeller votes how in either class.  The posteriors then label
+patterns) estimates how often each labeller votes how in either class; an abstention is no evidence.  The
+posteriors then label
 a bounded sample of texts, on which a linear scorer over hashed features is fitted; it scores every
 text, and those below one half are rejected.  No given labels are used.
 """
@@ -178,7 +179,7 @@ def fit_labellers(codes: np.ndarray, counts: np.ndarray):
 def posterior(v: np.ndarray, prior: float, shares: np.ndarray) -> np.ndarray:
     log = np.log(shares)
     at = np.arange(v.shape[1])
-    x = np.log(prior / (1 - prior)) + (log[1, at, v] - log[0, at, v]).sum(axis=1)
+    x = np.log(prior / (1 - prior)) + ((log[1, at, v] - log[0, at, v]) * (v != 1)).sum(axis=1)
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
