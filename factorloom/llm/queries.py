@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, grammar, language, media, quality, simhash, toxicity
+from . import bpe, decontaminate, grammar, language, media, quality, simhash, substring, suffixes, toxicity
 from .common import read_table
 
 
@@ -21,6 +21,10 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op4_repeated_passages(spark, sf_dir):
+    return suffixes.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark")).drop("text", "spans")
@@ -40,9 +44,13 @@ def op8_byte_bpe(spark, sf_dir):
     return bpe.token_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return substring.substring_dedup(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_language_id(spark, sf_dir):
     return language.identify(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_simhash, op3_toxicity, op5_decontamination, op6_quality, op7_token_shards, op8_byte_bpe, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_simhash, op3_toxicity, op4_repeated_passages, op5_decontamination, op6_quality, op7_token_shards, op8_byte_bpe, op9_substring_dedup, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
