@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import div, scrub
 from .evaluation import YEAR, summarize
 
-IN_TIME = Window.partitionBy("instrument").orderBy("datetime")
+def _in_time():
+    return Window.partitionBy("instrument").orderBy("datetime")
+
 
 
 def densify(panel: DataFrame) -> DataFrame:
@@ -19,15 +21,15 @@ def densify(panel: DataFrame) -> DataFrame:
 
 def returns(grid: DataFrame) -> DataFrame:
     """The dense grid with ``ret``: close over the last known close, minus one."""
-    known = F.last("close", ignorenulls=True).over(IN_TIME.rowsBetween(Window.unboundedPreceding, 0))
+    known = F.last("close", ignorenulls=True).over(_in_time().rowsBetween(Window.unboundedPreceding, 0))
     filled = grid.withColumn("_c", known)
-    return filled.withColumn("ret", scrub(div(F.col("_c"), F.lag("_c").over(IN_TIME)) - 1)).drop("_c")
+    return filled.withColumn("ret", scrub(div(F.col("_c"), F.lag("_c").over(_in_time())) - 1)).drop("_c")
 
 
 def _rolling(window: int, min_obs: int):
     if min_obs > window:
         raise ValueError("min_obs must not exceed the window")
-    return IN_TIME.rowsBetween(-(window - 1), 0)
+    return _in_time().rowsBetween(-(window - 1), 0)
 
 
 def exposures(panel: DataFrame, window: int = 20, min_obs: int = 10) -> DataFrame:
@@ -42,7 +44,7 @@ def exposures(panel: DataFrame, window: int = 20, min_obs: int = 10) -> DataFram
     mean = lambda c: F.avg(c).over(frame)
     beta = div(mean(x * m) - mean(x) * mean(m), mean(m * m) - mean(m) * mean(m))
     now = r.withColumns({"_v": F.when(enough(x), F.stddev_samp(x).over(frame)), "_a": F.when(enough(money), mean(money)), "_b": F.when(enough(x), beta)})
-    lag = lambda c: F.lag(c).over(IN_TIME)
+    lag = lambda c: F.lag(c).over(_in_time())
     return now.select("datetime", "instrument", "ret", lag("_v").alias("volatility"), F.log1p(lag("_a")).alias("log_adv"), lag("_a").alias("adv"), lag("_b").alias("beta"))
 
 

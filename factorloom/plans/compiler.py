@@ -19,8 +19,12 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .. import functions as fn
 from .language import FUNCTIONS, FactorError, parse
 
-IN_TIME = Window.partitionBy("instrument").orderBy("datetime")
-ON_DATE = Window.partitionBy("datetime")
+def _rows_in_time():
+    return Window.partitionBy("instrument").orderBy("datetime")
+
+def _on_date():
+    return Window.partitionBy("datetime")
+
 EPS = 1e-12
 #: Share of missing values above which a factor is refused.
 MAX_MISSING = 0.95
@@ -99,22 +103,22 @@ class _Plan:
             return _in_time(name, x, self.number(args[1]) if name == "ts_corr" else None, int(args[-1][1]))
         if name == "cs_rank":
             same = Window.partitionBy("datetime", x)
-            place = F.rank().over(ON_DATE.orderBy(x.asc_nulls_last())) + (F.count(x).over(same) - 1) / 2
-            return F.when(x.isNotNull(), place / F.count(x).over(ON_DATE))
+            place = F.rank().over(_on_date().orderBy(x.asc_nulls_last())) + (F.count(x).over(same) - 1) / 2
+            return F.when(x.isNotNull(), place / F.count(x).over(_on_date()))
         if name == "cs_demean":
-            return x - F.avg(x).over(ON_DATE)
+            return x - F.avg(x).over(_on_date())
         if name == "cs_demean_group":
             return x - F.avg(x).over(_group(self.column(args[1])))
         if name == "zscore":
-            return fn.div(x - F.avg(x).over(ON_DATE), F.stddev_pop(x).over(ON_DATE))
+            return fn.div(x - F.avg(x).over(_on_date()), F.stddev_pop(x).over(_on_date()))
         if name == "winsorize":
             limit = float(args[1][1])
-            low, high = (F.percentile(x, F.lit(q)).over(ON_DATE) for q in (limit, 1 - limit))
+            low, high = (F.percentile(x, F.lit(q)).over(_on_date()) for q in (limit, 1 - limit))
             return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))
         if name == "scale":
-            return fn.div(x, F.sum(F.abs(x)).over(ON_DATE))
+            return fn.div(x, F.sum(F.abs(x)).over(_on_date()))
         controls = args[2:] if name == "cs_neutralize_group" else args[1:]
-        by = _group(self.column(args[1])) if name == "cs_neutralize_group" else ON_DATE
+        by = _group(self.column(args[1])) if name == "cs_neutralize_group" else _on_date()
         if not controls:
             return x - F.avg(x).over(by)
         z = self.number(controls[0])
@@ -136,9 +140,9 @@ def _in_time(name: str, x: Column, y: Column | None, k: int) -> Column:
     if name in ("delay", "returns", "ts_delta"):
         if k == 0:
             return x if name == "delay" else x * 0.0
-        before = F.lag(x, k).over(IN_TIME)
+        before = F.lag(x, k).over(_rows_in_time())
         return {"delay": lambda: before, "returns": lambda: fn.div(x, before) - 1, "ts_delta": lambda: x - before}[name]()
-    frame = IN_TIME.rowsBetween(-(k - 1), 0)
+    frame = _rows_in_time().rowsBetween(-(k - 1), 0)
     full = F.count(x).over(frame) == k
     if name == "ts_corr":
         both = x.isNotNull() & y.isNotNull()

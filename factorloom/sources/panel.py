@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scrub
 
 FIELDS = ("open", "high", "low", "close", "volume")
-BY_INSTRUMENT = Window.partitionBy("instrument").orderBy("datetime")
+def _by_instrument():
+    return Window.partitionBy("instrument").orderBy("datetime")
+
 
 
 def read_panel(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
@@ -58,7 +60,7 @@ def validate_panel(df: DataFrame, order: str | None = None, require_rows: bool =
     clean = df.withColumns({"datetime": at.cast("timestamp"), "instrument": F.col("instrument").cast("string"), **number})
     clean = clean.where("datetime is not null and instrument is not null")
     clean = clean.withColumn("_n", F.row_number().over(key)).where("_n = 1 and close is not null")
-    clean = clean.withColumn("open", F.coalesce("open", F.lag("close").over(BY_INSTRUMENT), "close"))
+    clean = clean.withColumn("open", F.coalesce("open", F.lag("close").over(_by_instrument()), "close"))
     high, low = F.greatest("high", "open", "close"), F.least("low", "open", "close")
     return clean.select("datetime", "instrument", "open", high.alias("high"), low.alias("low"), "close", F.abs(F.coalesce("volume", F.lit(0.0))).alias("volume"))
 
@@ -77,8 +79,8 @@ def synthetic_panel(spark: SparkSession, n_days: int = 252, n_instruments: int =
         return F.sqrt(-2 * F.ln(uniform(salt))) * F.cos(2 * 3.141592653589793 * uniform(salt + 1))
 
     panel = days.crossJoin(F.broadcast(names))
-    panel = panel.withColumn("close", F.lit(100.0) * F.exp(F.sum(0.0003 + 0.02 * normal(0)).over(BY_INSTRUMENT)))
-    panel = panel.withColumn("open", F.coalesce(F.lag("close").over(BY_INSTRUMENT), "close"))
+    panel = panel.withColumn("close", F.lit(100.0) * F.exp(F.sum(0.0003 + 0.02 * normal(0)).over(_by_instrument())))
+    panel = panel.withColumn("open", F.coalesce(F.lag("close").over(_by_instrument()), "close"))
     spread = [F.abs(0.01 * normal(s)) for s in (2, 4)]
     high = F.greatest("open", "close") * (1 + spread[0])
     low = F.least("open", "close") * (1 - F.least(spread[1], F.lit(0.5)))
