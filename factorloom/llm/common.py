@@ -58,6 +58,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_anew(df: DataFrame, *columns: str) -> DataFrame:
+    """``df``, an aggregate, without its partitioning: a join deals it again, and so can split the other side's hot keys."""
+    return df.withColumns({c: F.col(c).bitwiseXOR(F.lit(0).cast("long")) for c in columns})
+
+
 def text_of(text_col: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -135,7 +140,7 @@ class Words:
         np.logical_not(outside[data], out=inside[1:-1])
         edge = inside[1:] != inside[:-1]
         cuts = offsets[1:-1]
-        cuts = cuts[(cuts > 0) & (cuts < n)]
+        cuts = np.unique(cuts[(cuts > 0) & (cuts < n)])  # rows without text share their place
         # a row's end splits a word that touches the next row's first word
         joined = cuts[inside[cuts] & inside[cuts + 1]]
         where = np.flatnonzero(edge)
