@@ -151,8 +151,9 @@ FACTOR_SQL = panel_sql() + ", " + _V + ", factors AS (" + " UNION ALL ".join(f"S
 
 
 def factors(spark: SparkSession, sf_dir: str):
-    panel = sources.supplier_panel(spark, sf_dir)
-    return panel, plans.run_factors(panel, [{"alpha_id": a, "dsl": t} for a, t in ALPHAS.items()], max_missing=1.0).values
+    """The weekly panel and its sample factors, both kept: the evaluation queries read them several times."""
+    panel = sources.supplier_panel(spark, sf_dir).persist()
+    return panel, plans.run_factors(panel, [{"alpha_id": a, "dsl": t} for a, t in ALPHAS.items()], max_missing=1.0).values.persist()
 
 
 @query("factor_batch", f"WITH {FACTOR_SQL} SELECT alpha_id, datetime, instrument, {r('value')} AS value FROM factors")

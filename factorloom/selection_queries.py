@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .evaluation_queries import CFG, MIN_OBS, PATH, _daily, _features, _labels, mild, tidy
 from .functions import rounded
 from .operators import portfolio as pf
+from .operators import presets, reporting
 from .operators import risk
 from .operators import selection as sel
 from .queries import FACTOR_SQL, factors, hard_to_borrow, query, r
@@ -163,4 +164,29 @@ def factor_risk_model(spark, sf_dir):
     return tidy(spark.createDataFrame(rows, "instrument string, variance double, specific double"))
 
 
+@query("oos_attribution")
+def oos_attribution(spark, sf_dir):
+    return tidy(reporting.attribution(_walk(spark, sf_dir)))
+
+
+@query("holdings_against_average")
+def holdings_against_average(spark, sf_dir):
+    """The holdings ensemble, priced again, against the average of the alphas."""
+    panel, held = _held(spark, sf_dir)
+    path = pf.daily_path(sel.holdings_ensemble(held).withColumn("alpha_id", F.lit("ensemble")), panel, FAST)
+    return tidy(reporting.holdings_against_average(path, _daily(spark, sf_dir, FAST)))
+
+
+@query("constraint_slack", f"WITH {_CONFIGS} SELECT config_id, 'max_cost' AS \"constraint\", cost AS actual, 40.0::DOUBLE AS bound, 40 - cost AS slack FROM cf")
+def constraint_slack(spark, sf_dir):
+    return reporting.slack(_configs(spark, sf_dir), {"max_cost": 40.0})
+
+
+@query("utility_presets", "SELECT 'alpha_weight_turnover_mean' AS metric, 0.5::DOUBLE AS weight UNION ALL SELECT 'regime_switch_rate_mean', 0.3::DOUBLE UNION ALL SELECT 'fallback_frac_mean', 0.15::DOUBLE")
+def utility_presets(spark, sf_dir):
+    p = presets.REGIME_TUNING["low_turnover"]
+    w = presets.utility_weights(p["turnover_cost_bps"], p["constraints"])
+    return spark.createDataFrame([(m, w[m]) for m in ("alpha_weight_turnover_mean", "regime_switch_rate_mean", "fallback_frac_mean")], "metric string, weight double")
+
+
 __all__ = ["MIN_OBS"]
