@@ -30,14 +30,15 @@ class FTRL:
     def bias(self) -> float:
         return -self.bias_z / ((self.beta + self.bias_n**0.5) / self.alpha)
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 3) -> "FTRL":
-        """``rows``: the distinct feature numbers of each example; ``labels`` in 0..1."""
+    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 3, positive_weight: float = 1.0) -> "FTRL":
+        """``rows``: the distinct feature numbers of each example; ``labels`` in 0..1, those above one half weighted."""
         order = np.random.default_rng(7)
         for _ in range(epochs):
             for i in order.permutation(len(rows)):
                 at = rows[i]
                 w, bias = self._weights(at), self.bias
                 g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - labels[i]
+                g *= positive_weight if labels[i] > 0.5 else 1.0
                 root = np.sqrt(self.n[at])
                 self.z[at] += g - (np.sqrt(self.n[at] + g * g) - root) / self.alpha * w
                 self.n[at] += g * g

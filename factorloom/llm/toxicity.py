@@ -18,6 +18,8 @@ from .linear import FTRL, SPACE_BITS, Scorer, sampled
 
 #: Bytes outside words: ASCII but letters and digits.
 OUTSIDE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: Toxic examples weigh as much together as the others, but each no more than this.
+MOST_WEIGHT = 3.0
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +56,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
     y = rows["label"].to_numpy().astype(float)
     if not len(y):
         return np.zeros(0, np.int32), np.zeros(0, np.float32), -1.0
-    return FTRL().fit(rows_of_features(rows["text"].combine_chunks()), y).compact()
+    balance = min(max((y < 0.5).sum() / max((y > 0.5).sum(), 1), 1.0), MOST_WEIGHT)
+    return FTRL(l1=16.0).fit(rows_of_features(rows["text"].combine_chunks()), y, positive_weight=balance).compact()
 
 
 def score(docs: DataFrame, model) -> DataFrame:
