@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of each of the two generations of a worker's memo of words.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 #: White space as the pattern's \s has it (Unicode White_Space).
 WHITE = "\t-\r \x85\xa0  -     　"
 
 
+#: Pairs of tokens that are memoised.
+MOST_PAIRS = 1_000_000
 #: Above every rank.
 NONE = 1 << 60
 
@@ -47,11 +49,11 @@ class Memo:
         if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
         young, old, out = self.young, self.old, []
-        for k in dict.fromkeys(k for k in keys if k not in young) if len(keys) > 3 else keys:
+        for k in set(keys).difference(young):
             v = old.get(k)
             if v is not None:
                 young[k] = v
-            elif k not in young:
+            else:
                 out.append(k)
         return out
 
@@ -96,7 +98,6 @@ class RankBPE:
         self.compatible: dict[int, bool] = {}
         self.shorter_of: dict[int, int] = {}
         self.memo = Memo()
-        self.piece_memo: dict[str, bytes] = {}
 
     def merges(self, piece: bytes) -> list[int]:
         """The merges themselves: join the adjacent pair of lowest rank, the leftmost of equals, until none is left."""
@@ -116,7 +117,7 @@ class RankBPE:
     def fits(self, left: int, right: int) -> bool:
         """Whether the merges of the joint bytes give these two tokens (left -1: of the right token's bytes, it alone)."""
         joint = (self.bytes[left] if left >= 0 else b"") + self.bytes[right]
-        if len(self.compatible) > 4 * MEMO_WORDS:
+        if len(self.compatible) > MOST_PAIRS:
             self.compatible.clear()
         known = self.compatible[left << 32 | right] = self.merges(joint) == ([left, right] if left >= 0 else [right])
         return known
@@ -163,22 +164,21 @@ class RankBPE:
                 left, token = out[-1] if out else -1, self.shorter(last)
 
     def learn(self, words: list[str]) -> None:
-        """Encode the words that the memo does not have."""
+        """Encode the words that the memo does not have; a word's pieces are looked up and kept in the same memo."""
         memo, pieces_of, ranks = self.memo, self.split, self.ranks
-        for w in memo.missing(words):
+        missing = memo.missing(words)
+        young, old = memo.young, memo.old
+        for w in missing:
             pieces = pieces_of(w)
             out = []
             for p in pieces:
-                known = self.piece_memo.get(p)
+                known = young.get(p) or old.get(p)
                 if known is None:
                     b = p.encode()
                     whole = ranks.get(b)
-                    known = array("i", (whole,) if whole is not None else self.encode_piece(b)).tobytes()
-                    if len(self.piece_memo) >= MEMO_WORDS:
-                        self.piece_memo.clear()
-                    self.piece_memo[p] = known
+                    known = young[p] = array("i", (whole,) if whole is not None else self.encode_piece(b)).tobytes()
                 out.append(known)
-            memo.young[w] = out[0] if len(out) == 1 else b"".join(out)
+            young[w] = out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, as 32-bit integers."""

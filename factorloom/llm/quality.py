@@ -41,6 +41,8 @@ WORDS = NAMES.index("words")
 SHARES = [j for j in range(len(NAMES)) if j != WORDS]
 #: Texts of fewer words have no shares to speak of.
 FEW_WORDS = 8
+#: Rows that the scorer is fitted on at most, but for chance.
+SAMPLE_ROWS = 8000
 EM_ROUNDS = 100
 #: A labeller is taken to vote low on at most this share of high-quality texts.
 MOST_FALSE_LOW = 0.005
@@ -190,7 +192,7 @@ def train(docs: DataFrame):
         return (np.zeros(0, np.int32), np.zeros(0, np.float32), 1.0), None
     prior, shares = fit_labellers(table["code"].to_numpy(), table["n"].to_numpy())
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    some = sampled(text, F.col("text")).toArrow()["text"].combine_chunks()
+    some = sampled(text, F.col("text"), SAMPLE_ROWS).toArrow()["text"].combine_chunks()
     data, offsets = text_bytes(some)
     rows, labels = [], []
     for lo, hi in chunks(offsets):
