@@ -33,9 +33,29 @@ from .common import materialise, scratch
 SHARD_TOKENS = 2_000_000
 #: Nonterminals that one round may add, the least count of their pairs, rounds, and the gain below which they end.
 ROUND_RULES, LEAST_COUNT, ROUNDS, LEAST_GAIN = 4096, 16, 6, 0.02
+#: Words in each generation of a worker's memo.
+MEMO_WORDS = 500_000
+#: Bits of the hash table in which a round finds its pairs.
+TABLE_BITS = 18
 MAGIC = b"RPG1"
 
 
+def find(chosen: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each key a place in ``chosen`` where it must be if it is there: a hash table, and search for what collides in it."""
+    slot = lambda x: ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
+    table, own = np.zeros(1 << TABLE_BITS, np.int32), slot(chosen)
+    table[own] = np.arange(len(chosen))
+    shared = table[own] != np.arange(len(chosen))
+    where = slot(keys)
+    at = table[where]
+    if shared.any():
+        doubtful = np.zeros(1 << TABLE_BITS, bool)
+        doubtful[own[shared]] = True
+        some = np.flatnonzero(doubtful[where])
+        at[some] = np.minimum(np.searchsorted(chosen, keys[some]), len(chosen) - 1)
+    return at
+
+
 def repair(tokens: np.ndarray, doc_ends: np.ndarray, base: int):
     """Grammar of a shard: rules (left, right), the sequence, and each document's end in it.
 
@@ -60,7 +80,7 @@ def repair(tokens: np.ndarray, doc_ends: np.ndarray, base: int):
         if not len(often):
             break
         chosen = pairs[often]
-        at = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
+        at = find(chosen, keys)
         hit = chosen[at] == keys
         place = np.flatnonzero(hit)
         run_start = np.concatenate([[True], place[1:] != place[:-1] + 1])
@@ -176,26 +196,23 @@ class LibraryBPE:
         self.size = np.zeros(self.base, np.int64)
         for t, i in vocab.items():
             self.size[i] = len(t)
-        self.cut, self.memo = Splitter(), Memo()
+        self.cut, self.memo = Splitter(), Memo(MEMO_WORDS)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        joint, alone, young = [], [], self.memo.young
         missing = self.memo.missing(words)
         young = self.memo.young
-        for w in missing:
-            (joint if len(w) > 1 and w[0] == " " and not w[1].isspace() and not w[-1].isspace() else alone).append(w)
-        for w, ids in zip(alone, self._ids(alone)):
-            young[w] = array("i", ids).tobytes()
+        joint = [w for w in missing if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
+        if len(joint) < len(missing):
+            alone = list(set(missing).difference(joint))
+            young.update((w, array("i", ids).tobytes()) for w, ids in zip(alone, self._ids(alone)))
         if joint:
             ids = np.array(self._ids(["".join(joint)])[0], np.int32)
             ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w.encode()) for w in joint])) + 1
-            raw, lo = ids.tobytes(), 0
-            for w, hi in zip(joint, (ends * 4).tolist()):
-                young[w] = raw[lo:hi]
-                lo = hi
+            raw, ends = ids.tobytes(), (ends * 4).tolist()
+            young.update(zip(joint, [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [not any(s in t for s in self.special) for t in texts]
