@@ -276,7 +276,7 @@ def held_weights(spark, sf_dir):
 
 def _daily(spark, sf_dir, cfg=CFG):
     panel, values = factors(spark, sf_dir)
-    return pf.backtest(values, panel, cfg, hard_to_borrow=hard_to_borrow(spark, sf_dir))
+    return pf.backtest(values, panel, cfg, hard_to_borrow=hard_to_borrow(spark, sf_dir)).persist()
 
 
 @query("backtest_daily", f"WITH {FACTOR_SQL}, {PATH} SELECT alpha_id, datetime, " + ", ".join(f"{r(c)} AS {c}" for c in _PCOLS) + " FROM day")
