@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from factorloom.llm import bpe, decontaminate, grammar, language, media, quality, repeats, simhash, substring, suffixes, toxicity
+from factorloom.llm import bpe, decontaminate, grammar, language, media, quality, repeats, simhash, similar, substring, suffixes, toxicity
 from factorloom.llm.fmindex import FMIndex, suffix_array
 
 SPACES = rb"[^\x20\x09-\x0D]+"
@@ -134,6 +134,45 @@ def test_simhash(docs, rows, empty):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == set(least.values())
 
 
+@pytest.mark.parametrize("bucket", [2, 32])
+def test_near_duplicates_stage(spark, monkeypatch, bucket):
+    """The pipeline's stage keeps one of each group of 5-word similarity 0.8, however many bits the fingerprints differ in."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(similar, "BUCKET", bucket)
+    monkeypatch.setattr(similar, "PIVOTS", 1)
+    rng = random.Random(bucket)
+    texts = []
+    for _ in range(12):
+        w = [f"w{rng.randrange(5000)}" for _ in range(80)]
+        for _ in range(6):
+            texts.append(" ".join(w))
+            w = list(w)
+            for _ in range(rng.randint(1, 2)):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(5000)}"
+    line = " ".join(f"c{i}" for i in range(60))
+    texts += [line + " " + " ".join(f"t{i}x{j}" for j in range(n)) for i in range(12) for n in (6, 9)] + ["", None, "one", "One"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    far = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] == sets[b] or 5 * both >= 4 * len(sets[a] | sets[b]):
+            far += (brute_fingerprint(texts[a]) ^ brute_fingerprint(texts[b])).bit_count() > 2
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    assert far > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == {root(x) for x in range(len(texts))}
+
+
 @pytest.mark.parametrize("bucket", [1, 32])
 def test_simhash_links(spark, monkeypatch, bucket):
     """Chains, stars and crowded keys: the components are those of all pairs."""
