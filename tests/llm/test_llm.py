@@ -383,6 +383,27 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_keeps_all_grams(spark, monkeypatch):
+    """A language of very many n-grams that occur once is in the model; stored tables score as those in memory do."""
+    monkeypatch.setattr(language, "BLOCK_GRAMS", 60_000, raising=False)
+    monkeypatch.setattr(language, "HELD_BYTES", 1 << 20, raising=False)
+    rng = np.random.default_rng(3)
+    say = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x4E00 + 1500, n)))
+    texts = [(i, say(30_000), "many") for i in range(30)] + [(100 + i, "the cat sat on a mat " * 20 + "abc"[i % 3], "few") for i in range(10)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(4)
+    out = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
+    assert out == {i: lang for i, _, lang in texts}
+    counts = language.count_grams(docs)
+    models = language.stored(counts)
+    rows = counts.toPandas()
+    assert (rows.lang == "many").sum() > 400_000
+    for lang, own in rows.groupby("lang"):
+        g = np.unique(np.concatenate([own.gram.to_numpy()[:2000], rows.gram.to_numpy()[-3000:], rng.integers(0, 1 << 60, 500)]))
+        suffixes = [np.unique(g & ((1 << language.CODE_BITS * k) - 1), return_inverse=True) for k in range(1, language.ORDER + 1)]
+        want = language.KneserNey(own.gram.to_numpy(), own.n.to_numpy()).log_probability(g)
+        assert np.allclose(models[lang].log_probability(suffixes), want, rtol=0, atol=1e-9)
+
+
 def test_kneser_ney_sums_to_one():
     data = np.frombuffer(b"abcabdabcabcabd", np.uint8)
     g, _, _ = language.grams(data, np.array([0, len(data)]))
