@@ -10,6 +10,8 @@ import itertools
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,10 +179,46 @@ def constrain(rows: DataFrame, most: dict[str, float] | None = None, least: dict
     return rows.withColumn("violation", sum(terms, F.lit(0.0))).withColumn("feasible", F.col("violation") <= 0)
 
 
+def _staircase(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of points, those with a larger y than all of a larger x, by descending x (of equal x the largest y)."""
+    order = np.lexsort((-y, -x))
+    x, y = x[order], y[order]
+    best = np.maximum.accumulate(y)
+    first = np.concatenate([[True], y[1:] > best[:-1]]) if len(y) else np.zeros(0, bool)
+    return x[first], y[first]
+
+
+def _on_front(scored: DataFrame, eps: float) -> Column:
+    """Whether no row dominates on ``_o0`` and ``_o1``: tasks' staircases are merged, each row is searched in the whole one."""
+
+    def run(batches):
+        x = y = np.zeros(0)
+        for batch in batches:
+            x, y = _staircase(np.concatenate([x, batch["_o0"].to_numpy()]), np.concatenate([y, batch["_o1"].to_numpy()]))
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["_o0", "_o1"])
+
+    rows = scored.select(F.col("_o0").cast("double"), F.col("_o1").cast("double")).mapInArrow(run, "_o0 double, _o1 double").toArrow()
+    x, y = _staircase(rows["_o0"].to_numpy(), rows["_o1"].to_numpy())
+    sent = scored.sparkSession.sparkContext.broadcast((-x, np.concatenate([[-np.inf], y])))
+
+    @F.pandas_udf("boolean")
+    def front(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, most = sent.value  # -x ascends; most[i]: the largest second objective among the i largest first ones
+        a, b = a.to_numpy(float), b.to_numpy(float)
+        above = most[np.searchsorted(x, -(a + eps), "left")]
+        level = most[np.searchsorted(x, -(a - eps), "right")]
+        return pd.Series(~((above >= b - eps) | (level > b + eps)))
+
+    return front(F.col("_o0").cast("double"), F.col("_o1").cast("double"))
+
+
 def pareto(rows: DataFrame, maximize: list[str], minimize: list[str], key: str = "config_id", eps: float = 1e-12) -> DataFrame:
-    """``is_pareto``: no other row is as good on all objectives and better on one.  For grids of configurations."""
+    """``is_pareto``: no other row is as good on all objectives and better on one.  Two objectives take a sort; more, pairs of
+    rows (for grids of configurations)."""
     objectives = [*[F.col(c) for c in maximize], *[-F.col(c) for c in minimize]]
     scored = rows.withColumns({f"_o{i}": o for i, o in enumerate(objectives)}).dropna(subset=[f"_o{i}" for i in range(len(objectives))])
+    if len(objectives) == 2:
+        return scored.withColumn("is_pareto", _on_front(scored, eps)).drop("_o0", "_o1").withColumn("pareto_rank", F.when(F.col("is_pareto"), 1).otherwise(2))
     a, b = scored.alias("a"), scored.alias("b")
     no_worse, better = F.lit(True), F.lit(False)
     for i in range(len(objectives)):

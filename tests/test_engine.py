@@ -242,3 +242,17 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_pareto_of_a_whole_table(spark):
+    """The two-objective front is that of brute force, without pairing all rows."""
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 60, 1500).astype(float), rng.integers(0, 60, 1500).astype(float)
+    x[:700] = np.minimum(x[:700], 59 - y[:700])
+    keep = x + rng.permutation(60)[y.astype(int)] < 70
+    x, y = x[keep], y[keep]
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "config_id long, gain double, cost double").repartition(5)
+    out = sel.pareto(df, ["gain"], ["cost"])
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
+    want = {i: not (((x >= x[i]) & (y <= y[i]) & ((x > x[i]) | (y < y[i]))).any()) for i in range(len(x))}
+    assert {r.config_id: r.is_pareto for r in out.collect()} == want and sum(want.values()) > 1
