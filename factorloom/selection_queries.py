@@ -90,7 +90,7 @@ def utility(spark, sf_dir):
 
 def _walk(spark, sf_dir):
     panel, values = factors(spark, sf_dir)
-    return sel.walk_forward(values.where("alpha_id = 'momentum'"), panel, FAST, WF)
+    return sel.walk_forward(values, panel, FAST, WF)
 
 
 @query("walk_forward_oos")
@@ -106,7 +106,7 @@ def walk_forward_stability(spark, sf_dir):
 @query("schedule_sweep")
 def schedule_sweep(spark, sf_dir):
     panel, values = factors(spark, sf_dir)
-    return sel.schedule_sweep(values.where("alpha_id = 'momentum'"), panel, FAST, (4, 8), (8,)).select("config_id", "config", "alpha_id", rounded(F.col("turnover_mean")).alias("turnover_mean"))
+    return sel.schedule_sweep(values, panel, FAST, (4, 8), (8,)).select("config_id", "config", "alpha_id", rounded(F.col("turnover_mean")).alias("turnover_mean"))
 
 
 @query("allocation")

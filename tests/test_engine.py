@@ -256,3 +256,17 @@ def test_pareto_of_a_whole_table(spark):
     assert "NestedLoop" not in out._jdf.queryExecution().toString()
     want = {i: not (((x >= x[i]) & (y <= y[i]) & ((x > x[i]) | (y < y[i]))).any()) for i in range(len(x))}
     assert {r.config_id: r.is_pareto for r in out.collect()} == want and sum(want.values()) > 1
+
+
+def test_walk_forward_and_sweep_take_all_factors(monkeypatch):
+    """The walk-forward queries and the schedule sweep pass on every row of the factors."""
+    from factorloom import selection_queries as sq
+
+    seen = []
+    monkeypatch.setattr(sq, "factors", lambda spark, sf_dir: ("panel", "values"))
+    monkeypatch.setattr(sq.sel, "walk_forward", lambda values, *a: seen.append(values))
+    monkeypatch.setattr(sq.sel, "schedule_sweep", lambda values, *a: seen.append(values) or (_ for _ in ()).throw(StopIteration))
+    sq._walk(None, "")
+    with pytest.raises(StopIteration):
+        sq.schedule_sweep(None, "")
+    assert seen == ["values", "values"]
