@@ -104,12 +104,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of an Arrow string column, end to end, and the n + 1 offsets (nulls: empty)."""
+    """The UTF-8 bytes of an Arrow string or binary column, end to end, and the n + 1 offsets (nulls: empty)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    wide = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
+    column = column.cast(wide) if column.type != wide else column
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null("" if wide == pa.large_string() else b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

@@ -2,9 +2,12 @@
 
 Per shard, rounds replace frequent adjacent id pairs by new nonterminals: a round counts all
 pairs, takes those that recur most, and replaces their occurrences from left to right without
-overlap; rounds go on while they pay.  Pairs never cross the end of a document.  A file holds the
-document index, the rules, the length of each rule's expansion and the remaining sequence; so any
-document, or any part of one, is decoded without its neighbours.
+overlap; rounds go on until no pair recurs often enough to pay for its rule.  Pairs never cross the
+end of a document.  A file holds the document index, the rules, the length of each rule's expansion
+and the remaining sequence; so any document, or any part of one, is decoded without its neighbours.
+
+Texts are cut, a chunk of them at once, where the vocabulary's pattern always ends a match; each
+distinct piece of a chunk is looked up once, and the library encodes those that are new.
 
 Shards are cut at ``SHARD_TOKENS`` ids, so a task's memory does not depend on its partition; one
 longer document is a shard of its own.
@@ -17,24 +20,26 @@ import os
 import struct
 import uuid
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memo, Splitter
-from .common import materialise, scratch
+from .bpe import Splitter
+from .common import chunks, materialise, scratch, text_bytes
 
 SHARD_TOKENS = 2_000_000
-#: Nonterminals that one round may add, the least count of their pairs, rounds, and the gain below which they end.
-ROUND_RULES, LEAST_COUNT, ROUNDS, LEAST_GAIN = 4096, 16, 6, 0.02
-#: Words in each generation of a worker's memo.
-MEMO_WORDS = 500_000
+#: Nonterminals that one round may add (the most frequent pairs first; the others wait for the next round).
+ROUND_RULES = 16384
+#: A rule takes three numbers in the file and each occurrence saves one, so a pair pays from the fourth on.
+LEAST_COUNT = 4
+#: Pieces in a worker's memo, pieces that the library gets as one text, bytes of texts cut at once.
+MEMO_WORDS, JOINT, CUT_BYTES = 1_000_000, 500, 8 << 20
 #: Bits of the hash table in which a round finds its pairs.
 TABLE_BITS = 18
 MAGIC = b"RPG1"
@@ -65,9 +70,7 @@ def repair(tokens: np.ndarray, doc_ends: np.ndarray, base: int):
     ends = doc_ends.astype(np.int64)
     left, right = [], []
     n_rules = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         keys = seq[:-1] << 32 | seq[1:]
         keys[ends[:-1] - 1] = -1
         ordered = np.sort(keys)
@@ -89,14 +92,11 @@ def repair(tokens: np.ndarray, doc_ends: np.ndarray, base: int):
         seq[place] = base + n_rules + at[place]
         keep = np.ones(len(seq), bool)
         keep[place + 1] = False
-        before = len(seq)
         ends = np.concatenate([[0], np.cumsum(keep)])[ends]
         seq = seq[keep]
         left.append(chosen >> 32)
         right.append(chosen & 0xFFFFFFFF)
         n_rules += len(chosen)
-        if before - len(seq) < LEAST_GAIN * before:
-            break
     none = [np.zeros(0, np.int64)]
     return np.concatenate(left + none).astype(np.int32), np.concatenate(right + none).astype(np.int32), seq.astype(np.int32), ends
 
@@ -178,11 +178,47 @@ class Shard:
         return self.expand(seq[a:b])[skip : skip + hi - lo]
 
 
+#: Kinds of bytes: 1 ASCII white space, 2 ASCII letters and digits, 3 marks that never go on a match of those.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 1
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 2
+_KIND[[ord(c) for c in ".,!?;:"]] = 3
+
+
+def wide_white(data: np.ndarray) -> np.ndarray:
+    """Places where white space beyond ASCII begins (U+0085, A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000)."""
+    at = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))
+    b = np.concatenate([data, np.zeros(2, np.uint8)])
+    x, y, z = b[at], b[at + 1], b[at + 2]
+    general = (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF)) | (y == 0x81) & (z == 0x9F)
+    return at[(x == 0xC2) & ((y == 0x85) | (y == 0xA0)) | (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE2) & general | (x == 0xE3) & (y == 0x80) & (z == 0x80)]
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin in texts that lie end to end, and the end; only ends of matches of the pattern are cut.
+
+    The pattern gives a run of white space but for its last character to itself, that last one to
+    the word after it if it is a space, and a run at the end of a text to itself; letters and
+    digits end before a mark.
+    """
+    n = len(data)
+    kind = _KIND[data]
+    white, cut = kind == 1, np.zeros(n + 1, bool)
+    if n > 1:
+        first = np.zeros(n + 1, bool)
+        first[offsets] = True
+        cut[1:n] = white[1:] & ~white[:-1] | (kind[1:] == 3) & (kind[:-1] == 2) | ~white[1:] & white[:-1] & (data[:-1] != 0x20)
+        # the last of a run that a word of the same text follows
+        cut[: n - 1] |= white[:-1] & ~white[1:] & ~first[1:n]
+    cut[offsets] = True
+    return np.flatnonzero(cut)
+
+
 class LibraryBPE:
-    """Ids of whole texts by the tokenizers library, with a bounded memo of words.
+    """Ids of whole texts by the tokenizers library, with a bounded memo of pieces.
 
-    Words that the memo lacks are encoded together in one call; the byte lengths of the tokens
-    tell where each word ends.  A text with a special token's string is encoded as it stands.
+    Pieces that the memo lacks are encoded many in one text; the byte lengths of the tokens tell
+    where each piece ends.  A text with a special token's string is encoded as it stands.
     """
 
     def __init__(self, path: str):
@@ -196,30 +232,118 @@ class LibraryBPE:
         self.size = np.zeros(self.base, np.int64)
         for t, i in vocab.items():
             self.size[i] = len(t)
-        self.cut, self.memo = Splitter(), Memo(MEMO_WORDS)
+        self.cut = Splitter()
+        # the memo: pieces, and where the ids of each begin and end in one array
+        self.keys, self.flat, self.begin, self.end = pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        missing = self.memo.missing(words)
-        young = self.memo.young
-        joint = [w for w in missing if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
-        if len(joint) < len(missing):
-            alone = list(set(missing).difference(joint))
-            young.update((w, array("i", ids).tobytes()) for w, ids in zip(alone, self._ids(alone)))
-        if joint:
-            ids = np.array(self._ids(["".join(joint)])[0], np.int32)
-            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w.encode()) for w in joint])) + 1
-            raw, ends = ids.tobytes(), (ends * 4).tolist()
-            young.update(zip(joint, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+    def _alone(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of pieces encoded one by one, and where each one's begin and end."""
+        ids = self._ids([p.decode("utf-8", "replace") for p in pieces.to_pylist()])
+        end = np.cumsum([len(x) for x in ids], dtype=np.int64)
+        return np.array([i for x in ids for i in x], np.int32), np.concatenate([[0], end])[:-1], end
+
+    def _joint(self, pieces: pa.Array, bare: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_alone``, of pieces that begin with a space, or (``bare``) get a line end before them, which is a match and a token of its own."""
+        if bare:
+            pieces = pc.binary_join_element_wise(pa.scalar(b"\n", pa.binary()), pieces, pa.scalar(b"", pa.binary()))
+        data, offsets = text_bytes(pieces)
+        cuts = [*range(0, len(pieces), JOINT), len(pieces)]
+        texts = [data[offsets[a] : offsets[b]].tobytes().decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+        ids = np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in self._ids(texts))])
+        bytes_ = np.concatenate([[0], np.cumsum(self.size[ids])])
+        at = np.searchsorted(bytes_, offsets)
+        begin, end = at[:-1] + bare, at[1:]
+        whole = bytes_[np.minimum(at, len(ids))] == offsets
+        good = whole[:-1] & whole[1:] & (bytes_[np.minimum(begin, len(ids))] == offsets[:-1] + bare)
+        if not good.all():  # no token may reach over a piece's edge; encode what did by itself
+            more, b, e = self._alone(pc.binary_slice(pieces, int(bare)).filter(pa.array(~good)))
+            begin[~good], end[~good] = b + len(ids), e + len(ids)
+            ids = np.concatenate([ids, more])
+        return ids, begin, end
+
+    def lookup(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct pieces begin and end in ``flat``; those that the memo lacks are encoded."""
+        at = pc.index_in(pieces, value_set=self.keys)
+        lacking = np.asarray(at.is_null())
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        if not lacking.any():
+            return self.begin[at], self.end[at]
+        new = pieces.filter(pa.array(lacking))
+        if len(self.keys) + len(new) > MEMO_WORDS:  # what is not used now is forgotten
+            used = at[~lacking]
+            size = self.end[used] - self.begin[used]
+            begin = np.cumsum(size) - size
+            self.flat = self.flat[np.repeat(self.begin[used] - begin, size) + np.arange(size.sum())]
+            self.keys, self.begin, self.end = self.keys.take(pa.array(used)), begin, begin + size
+            at[~lacking] = np.arange(len(used))
+        data, offsets = text_bytes(new)
+        size = np.diff(offsets)
+        space = _KIND[data] == 1
+        edge = space[offsets[:-1] + (size > 1)] | space[offsets[1:] - 1]  # white at the second place (the first of one byte) or the last
+        wide = np.zeros(len(new), bool)
+        wide[np.searchsorted(offsets, wide_white(data), "right") - 1] = True
+        spaced = data[offsets[:-1]] == 0x20
+        flat, begin, end = [self.flat], np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        for which, encode in ((edge | wide, self._alone), (~edge & ~wide & spaced, lambda x: self._joint(x, False)), (~edge & ~wide & ~spaced, lambda x: self._joint(x, True))):
+            if which.any():
+                ids, b, e = encode(new.filter(pa.array(which)))
+                shift = sum(map(len, flat))
+                begin[which], end[which] = b + shift, e + shift
+                flat.append(ids)
+        at[lacking] = len(self.keys) + np.arange(len(new))
+        self.flat, self.keys = np.concatenate(flat), pa.concat_arrays([self.keys, new])
+        self.begin, self.end = np.concatenate([self.begin, begin]), np.concatenate([self.end, end])
+        return self.begin[at], self.end[at]
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a string column end to end, and the n + 1 offsets (null: no ids)."""
+        data, offsets = text_bytes(column)
+        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for lo, hi in chunks(offsets, CUT_BYTES):
+            ids, size = self._encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            parts.append(ids)
+            sizes.append(size)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that lie end to end, and the number of each text's."""
+        starts = piece_starts(data, offsets)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        begin, end = self.lookup(pieces.dictionary)
+        which = pieces.indices.to_numpy()
+        size = (end - begin)[which]
+        last = np.cumsum(size)
+        at = np.repeat(begin[which] - (last - size), size)
+        at += np.arange(len(at))
+        ids = self.flat[at]
+        ends = np.concatenate([[0], last])[np.searchsorted(starts, offsets)]
+        raw = data.tobytes()
+        odd = set((np.searchsorted(offsets, wide_white(data), "right") - 1).tolist())
+        for s in self.special:
+            s, found = s.encode(), -1
+            while (found := raw.find(s, found + 1)) >= 0:
+                odd.add(int(np.searchsorted(offsets, found, "right")) - 1)
+        if not odd:
+            return ids, np.diff(ends)
+        out = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        for r in odd:
+            out[r] = self._odd(raw[offsets[r] : offsets[r + 1]].decode("utf-8", "replace"))
+        return np.concatenate(out), np.array(list(map(len, out)), np.int64)
+
+    def _odd(self, text: str) -> np.ndarray:
+        """The ids of a text with a special token's string or with white space beyond ASCII."""
+        if any(s in text for s in self.special):
+            return np.array(self._ids([text])[0], np.int32)
+        words = pa.array([w.encode() for w in self.cut(text)], pa.binary()).dictionary_encode()
+        begin, end = self.lookup(words.dictionary)
+        return np.concatenate([np.zeros(0, np.int32), *(self.flat[begin[i] : end[i]] for i in words.indices.to_pylist())])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not any(s in t for s in self.special) for t in texts]
-        words = [self.cut(t) if p else [] for t, p in zip(texts, plain)]
-        self.learn([w for ws in words for w in ws])
-        get = self.memo.young.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), np.int32) if p else np.array(self._ids([t])[0], np.int32) for t, ws, p in zip(texts, words, plain)]
+        ids, ends = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 @lru_cache(maxsize=1)
@@ -245,7 +369,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str | None = None, en
         fs.create_dir(root, recursive=True)
 
         def flush():
-            ends = np.cumsum([len(x) for x in tokens])
+            ends = np.cumsum([len(x) for x in tokens])[1::2]
             data = pack(pa.concat_arrays(ids), np.concatenate(tokens), ends, bpe.base)
             name = f"{root}/part-{part:06d}-{state['seq']:05d}-{uuid.uuid4().hex}.rpg"
             with fs.open_output_stream(name) as f:
@@ -258,14 +382,15 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str | None = None, en
 
         end = np.array([end_id], np.int32)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
-                for i, x in enumerate(bpe.encode([t or "" for t in piece["text"].to_pylist()])):
-                    if state["n"] and state["n"] + len(x) + 1 > SHARD_TOKENS:
+            for lo in range(0, batch.num_rows, 4096):
+                piece = batch.slice(lo, 4096)
+                flat, ends = bpe.encode_column(piece["text"])
+                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                    if state["n"] and state["n"] + b - a + 1 > SHARD_TOKENS:
                         yield flush()
                     ids.append(piece["id"].slice(i, 1))
-                    tokens.append(np.concatenate([x, end]))
-                    state["n"] += len(x) + 1
+                    tokens += [flat[a:b], end]
+                    state["n"] += b - a + 1
         if tokens:
             yield flush()
 
@@ -274,7 +399,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str | None = None, en
 
 
 def read_shards(manifest: DataFrame, id_type: str = "long") -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the shard files."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the shard files; ``id_type``: that of the ids."""
     spark = manifest.sparkSession
     parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("all"))
     before = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
