@@ -1,12 +1,13 @@
 """Shared parts of the text operators: the shared folder, digests, vectorised word hashing.
 
 Everything that must be seen by more than one process is written below the folder that the
-session names in ``spark.checkpoint.dir``.  Only where that setting is missing (tests on one
-machine) a fresh folder is made.
+session names in ``spark.checkpoint.dir``.  Only where that setting is missing and all runs in one
+process (tests) a fresh folder is made.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,7 +24,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER_BYTES = LOWER.tobytes()
 #: Text bytes handled at once by the vectorised code (one longer text is handled alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -31,19 +32,30 @@ _INVERSE = pow(_MULT, -1, 1 << 64)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """URI of the folder that the driver and all executors share."""
+    """URI of the folder that the driver and all executors share; a path without a scheme is one of the default file system."""
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="factorloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root if "://" in root else "file://" + root if root.startswith("/") else root
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
+    if "://" not in root:
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        root = re.sub(r"^file:/+", "file:///", root)
+    return root.rstrip("/")
+
+
+_made: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder URI below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +63,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables of which nothing will be read again."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch_folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _made.remove(folder)
+
+
+def scratch_mark() -> int:
+    """How many folders have been made; see ``discard_since``."""
+    return len(_made)
+
+
+def discard_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Delete all folders made since ``mark`` but that of ``keep``, which no longer needs them."""
+    for folder in _made[mark:]:
+        if folder != keep.scratch_folder:
+            _delete(spark, folder)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -181,6 +219,17 @@ def span_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def dense_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts numbered from 1 by their bytes, and the n + 1 places of the texts' first words."""
+    w = Words(data, offsets, hashes=False)
+    size = w.end - w.start
+    ends = np.cumsum(size)
+    at = np.repeat(w.start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    bounds = np.concatenate([[0], ends]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), w.n, [None, pa.py_buffer(bounds), pa.py_buffer(data[at])])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1, w.first
+
+
 def window_min(values: np.ndarray, w: int) -> np.ndarray:
     """Position of the leftmost minimum of values[i : i + w], for each i (by doubling)."""
     n = len(values)

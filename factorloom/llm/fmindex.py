@@ -92,7 +92,7 @@ class FMIndex:
         text = np.concatenate([text, [0]]).astype(np.int64)
         # the last separator is made the least suffix, so that the steps back form one cycle
         self.n = len(text)
-        sa = suffix_array(np.concatenate([text[:-1] + 1, [0]]))
+        self.order = sa = suffix_array(np.concatenate([text[:-1] + 1, [0]]))
         bwt = np.where(sa > 0, text[sa - 1] + 1, 0)
         self.wavelet = WaveletMatrix(bwt, sigma + 1)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=sigma + 1))])
@@ -121,6 +121,66 @@ class FMIndex:
         hi[short] = lo[short]
         return lo, hi
 
+    def _common(self, text: np.ndarray, most: int) -> np.ndarray:
+        """Symbols (none 0, at most ``most``) that each row's suffix shares with the row before; n + 1 entries, the outer ones 0."""
+        text = np.concatenate([text, np.zeros(most + 1, np.int64)])
+        out, live = np.zeros(self.n + 1, np.int64), np.arange(1, self.n)
+        for k in range(most):
+            a = text[self.order[live - 1] + k]
+            live = live[(a > 0) & (a == text[self.order[live] + k])]
+            if not len(live):
+                break
+            out[live] += 1
+        return out
+
+    def matching_statistics(self, text: np.ndarray, first: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of the indexed text: the length of the longest run of symbols from there, ``most`` at most, that two
+        rows or more begin with, and the first of these rows.
+
+        The streams ``first`` .. ``first + size`` are read from their ends.  Where a match can't be
+        extended, it gives way to the longest shorter one with more rows: the run of rows around it
+        that have the larger of its two outer common prefixes in common.
+        """
+        common = self._common(text, most)
+        # of each length, the runs of two rows and more that share it: length and first row in one number, and ends
+        starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(1, most):
+            inside = np.concatenate([[False], common[1:] >= k, [False]])
+            edge = np.flatnonzero(inside[1:] != inside[:-1])
+            starts.append(k * (self.n + 1) + edge[0::2])
+            ends.append(edge[1::2] + 1)
+        starts, ends = np.concatenate(starts), np.concatenate(ends)
+
+        def around(row, k):
+            at = np.searchsorted(starts, k * (self.n + 1) + row, "right") - 1
+            at = np.maximum(at, 0)
+            lo = np.where(k > 0, starts[at] - k * (self.n + 1), 0) if len(starts) else np.zeros(len(row), np.int64)
+            return lo, np.where(k > 0, ends[at], self.n) if len(starts) else np.full(len(row), self.n)
+
+        length, rows = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+        pos, lo, hi, matched = first + size, np.zeros(len(first), np.int64), np.full(len(first), self.n), np.zeros(len(first), np.int64)
+        live = np.flatnonzero(size > 0)
+        while len(live):
+            full = live[matched[live] == most]
+            if len(full):
+                matched[full] = most - 1
+                lo[full], hi[full] = around(lo[full], matched[full])
+            a, b = self.step(text[pos[live] - 1], lo[live], hi[live])
+            on = b - a > 1
+            good, bad = live[on], live[~on]
+            lo[good], hi[good] = a[on], b[on]
+            matched[good] += 1
+            pos[good] -= 1
+            length[pos[good]], rows[pos[good]] = matched[good], lo[good]
+            none = matched[bad] == 0
+            pos[bad[none]] -= 1
+            some = bad[~none]
+            if len(some):
+                matched[some] = np.maximum(common[lo[some]], common[hi[some]])
+                lo[some], hi[some] = around(lo[some], matched[some])
+            live = live[pos[live] > first[live]]
+        return length, rows
+
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of rows: walk back to a sampled row, counting steps."""
         out, at, steps = np.zeros(len(rows), np.int64), rows.copy(), 0

@@ -2,8 +2,9 @@
 
 Each round hooks the larger neighbours of every node to the smallest node of its neighbourhood
 (large star), then the smaller ones (small star), until nothing changes.  Smallest neighbours come
-from partial aggregates and joins, so a node with very many edges is never in one task.  Rounds
-are written to the shared folder; nothing is collected but two numbers per round.
+from partial aggregates; these are dealt anew for the joins, which so can split the edges of a node
+with very many of them.  Rounds are written to the shared folder, the one before is deleted;
+nothing is collected but two numbers per round.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import dealt_anew, discard, materialise
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -40,13 +41,13 @@ def _forest(edges: DataFrame) -> DataFrame:
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.where("b > a").join(dealt_anew(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.where("a > b")
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    hooked = down.join(least, "a")
+    hooked = down.join(dealt_anew(least, "a"), "a")
     moved = hooked.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -63,6 +64,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        e = materialise(_small_star(_large_star(e)), "edges")
+        old, e = e, materialise(_small_star(_large_star(e)), "edges")
+        discard(old)
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,9 +1,11 @@
 """Substring dedup by compressed FM-indexes: windows of words that occur more than once are removed.
 
-Shards are routed by content (see ``repeats``).  A shard's index is a wavelet-tree BWT of its
-distinct segments; the segments are streamed through it by backward search, all windows at once.
-A window's search stops where only its own occurrence is left (its matching statistic is below the
-threshold); one that reaches the whole window with two rows or more is repeated.
+Shards are routed by content (see ``repeats``): an index of each input shard would have to be
+searched with every document of the corpus.  A shard's index is a wavelet-tree BWT of its segments'
+contents; the contents are streamed through it from their ends by backward search, all at once, and
+where less than two rows are left the match is shortened from the right until it can go on.  So
+each place gets its matching statistic: the longest run of words from there that is in the index
+twice.  Windows that it covers are repeated, and so are those of contents with several occurrences.
 """
 
 from __future__ import annotations
@@ -15,24 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import dealt_anew
 from .fmindex import FMIndex
 from .repeats import Contents, keyed, merged, repeated
 
 WINDOW = 35
-#: Windows searched at once.
-BLOCK = 20_000
 
 
 def fm_groups(c: Contents) -> np.ndarray:
     """For each window its first row in the index, or -1 where fewer than two rows match all of it."""
-    index = FMIndex(c.text, len(c.kinds) + 1)
-    out = np.full(len(c.at), -1, np.int64)
-    for lo in range(0, len(c.at), BLOCK):
-        at = c.at[lo : lo + BLOCK]
-        patterns = c.text[at[:, None] + np.arange(c.window)]
-        a, b = index.search(patterns, np.full(len(at), c.window), least=2)
-        out[lo : lo + BLOCK] = np.where(b - a > 1, a, -1)
-    return out
+    length, row = FMIndex(c.text, c.sigma).matching_statistics(c.text, c.first, c.size, c.window)
+    return np.where(length[c.at] >= c.window, row[c.at], -1)
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -42,7 +37,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def digest(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans) of each keyed text, by the merged spans to remove."""
-    joined = docs.join(spans, ["rid", "rkey"], "left").select("rid", "text", "spans")
+    joined = docs.join(dealt_anew(spans, "rid", "rkey"), ["rid", "rkey"], "left").select("rid", "text", "spans")
 
     def run(batches):
         for batch in batches:
@@ -65,6 +60,9 @@ def digest(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, spans) of each row; null and short texts lose nothing."""
+    """(doc_id, n_words, n_removed, kept_sha256, spans) of each row; null and short texts lose nothing.
+
+    Repeated rows are occurrences of each other: both lose the windows that they share.
+    """
     texts = keyed(docs)
     return digest(texts, removed_spans(texts, window))

@@ -1,10 +1,11 @@
 """Suffix-array dedup: repeated passages of ``WINDOW`` words or more, all but their first occurrence removed.
 
 Suffixes are retained at minimiser positions only (see ``repeats``; the minimisers select them by
-content).  In a shard the retained suffixes are sorted by the words to their right and, within a
-minimiser, by those to their left; comparing neighbours bounds how far any other occurrence goes on
-either side.  Where both sides together reach a window's length, the match is extended left and
-right word by word, so that passages are found whole and exactly.
+content).  In a shard the retained suffixes are sorted by their words, and neighbours are compared:
+the suffixes that share k words with each other are a run of the order without a smaller common
+prefix.  A match is extended to the left in the same way, over the words before the minimiser, read
+backwards.  A window with b words left of its minimiser occurs wherever b words agree to the left
+and the others to the right; all comparisons are of whole words.
 """
 
 from __future__ import annotations
@@ -15,52 +16,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import SPACE, span_hashes
-from .repeats import NO_ID, Contents, keyed, merged, repeated
+from .common import SPACE, dealt_anew
+from .repeats import GRAM, NO_ID, Contents, keyed, merged, repeated
 from .substring import digest
 
 WINDOW = 50
 
 
-def _longest_common(matrix: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For each row the longest prefix (nonzero) that it shares with another row of its group: sort, compare neighbours."""
-    n, width = matrix.shape
-    out = np.zeros(n, np.int64)
-    if n < 2:
+class Sorted:
+    """Sequences of word numbers (zeros after the end) in order within their groups, with what neighbours have in common."""
+
+    def __init__(self, matrix: np.ndarray, group: np.ndarray):
+        n, width = matrix.shape
+        rows = np.concatenate([group.astype(">u4")[:, None], matrix.astype(">u4")], axis=1)
+        self.order = np.argsort(np.ascontiguousarray(rows).view(f"S{4 * (width + 1)}").reshape(-1), kind="stable")
+        a, b = matrix[self.order[:-1]], matrix[self.order[1:]]
+        same = (a == b) & (a > 0)
+        common = np.where(same.all(axis=1), width, same.argmin(axis=1)) if width else np.zeros(max(n - 1, 0), np.int64)
+        common[group[self.order[:-1]] != group[self.order[1:]]] = -1
+        self.common = np.concatenate([np.full(min(n, 1), -1), common])
+
+    def runs(self, k: int) -> np.ndarray:
+        """For each sequence the number of its run: those of its group that share its first k words."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.cumsum(self.common < k)
         return out
-    rows = np.concatenate([group.astype(">u4")[:, None], matrix.astype(">u4")], axis=1)
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{4 * (width + 1)}").reshape(-1), kind="stable")
-    a, b = matrix[order[:-1]], matrix[order[1:]]
-    same = (a == b) & (a > 0) & (group[order[:-1]] == group[order[1:]])[:, None]
-    common = np.where(same.all(axis=1), width, same.argmin(axis=1))
-    np.maximum.at(out, order[:-1], common)
-    np.maximum.at(out, order[1:], common)
-    return out
 
 
 def suffix_groups(c: Contents) -> np.ndarray:
-    """For each window a group of equal windows, or -1 where the neighbours rule out another occurrence."""
-    h, group = np.unique(c.rows["h"], return_inverse=True)
-    group, m = group + 1, c.rows["m"].astype(np.int64)
+    """For each window a group of equal windows."""
+    group = np.unique(c.rows["h"], return_inverse=True)[1]
+    m, n = c.rows["m"].astype(np.int64), c.rows["n"].astype(np.int64)
     at, end = c.first + m, c.first + c.size
     step = np.arange(c.window)
-    text = np.concatenate([c.text, np.zeros(c.window, np.int64)])
-    right = np.where(step < (end - at)[:, None], text[np.minimum(at[:, None] + step, len(text) - 1)], 0)
-    left = np.where(step < m[:, None], text[np.maximum(at[:, None] - 1 - step, 0)], 0)
-    reach_right, reach_left = _longest_common(right, group), _longest_common(left, group)
-    before = m[c.segment] - c.off  # words of the window that lie left of the minimiser
-    out = np.full(len(c.at), -1, np.int64)
-    open_ = np.flatnonzero((before <= reach_left[c.segment]) & (c.window - before <= reach_right[c.segment]))
-    if not len(open_):
-        return out
-    place = c.at[open_]
-    keys = span_hashes(c.kinds[np.maximum(c.text - 1, 0)], place, place + c.window)
-    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
-    # word by word: a group's windows equal its first one
-    equal = np.ones(len(open_), bool)
-    for k in range(c.window):
-        equal &= c.text[place + k] == c.text[place[first][number] + k]
-    out[open_] = np.where(equal, number, len(first) + np.arange(len(open_)))
+    right = np.where(step < (end - at)[:, None], c.text[np.minimum(at[:, None] + step, len(c.text) - 1)], 0)
+    step = step[: c.window - GRAM]
+    left = np.where(step < m[:, None], c.text[np.maximum(at[:, None] - 1 - step, 0)], 0)
+    suffixes, before = Sorted(right, group), Sorted(left, group)
+    out, number = np.empty(len(c.at), np.int64), 0
+    for b in range(c.window - GRAM + 1):  # windows with b words left of the minimiser
+        some = np.flatnonzero((m >= b) & (m - b < n))
+        if len(some):
+            kinds, which = np.unique(suffixes.runs(c.window - b)[some] * (len(m) + 1) + before.runs(b)[some], return_inverse=True)
+            out[c.window_of[some] + m[some] - b] = number + which
+            number += len(kinds)
     return out
 
 
@@ -68,8 +67,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans) of each row.
 
     ``spans`` are [first word, end word] of what is removed: words of windows whose sequence occurs
-    earlier (by doc_id, then place; null ids first).  Rows with equal id and text are one text.
-    Null, empty and short texts lose nothing.
+    earlier (by doc_id, null ids first, then text, then place).  Rows with equal id and text are one
+    text: all keep its first occurrences.  Null, empty and short texts lose nothing.
     """
     texts = keyed(docs)
     return digest(texts, repeated(texts, window, suffix_groups, keep_first=True))
@@ -96,7 +95,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     names, own = docs.columns, "_spans"
     while own in names:
         own += "_"
-    joined = docs.join(spans.select("rid", "rkey", F.col("spans").alias(own)), (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == spans["rid"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == spans["rkey"]), "left").select(*[docs[f"`{c}`"] for c in names], own)
+    spans = dealt_anew(spans, "rid", "rkey")
+    joined = docs.join(spans.select("rid", "rkey", F.col("spans").alias(own)), (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == spans["rid"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == spans["rkey"]), "left").select(*[docs[f"`{c}`"] for c in names], own)
 
     def run(batches):
         for batch in batches:
