@@ -6,10 +6,11 @@ length (0, 1, 1, 2 differences for 1 to 4 segments).  So the chain's first segme
 the next two at least one is: these two equal segments are the index's keys.  Fingerprints that
 share a key are compared by the chain's budgets, then by the full distance.
 
-Fingerprints are made distinct first.  A key with more than ``BUCKET`` fingerprints is not paired:
-there, each fingerprint is listed under itself and under the 32 values that flip one bit outside
-the key; two fingerprints are within two bits just if they are listed under a common value, and a
-value lists at most 33 of them.  So the work is linear in a group's size and no link is lost.
+Fingerprints are made distinct first.  A key with more than ``BUCKET`` of them is not paired but
+refined: two fingerprints under it differ only in the 32 bits outside the key, and these are again a
+ring of four segments, of 8 bits, to which the same argument gives two equal ones.  So it goes on
+with segments of 4 and of 2 bits; then a key leaves four bits free, so no more than 16 fingerprints
+can share it.  No link is lost, and each fingerprint has a bounded number of keys.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, materialise
+from .common import LOWER_BYTES, dealt_anew, discard, materialise
 from .graph import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
@@ -73,8 +74,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _segment(fp, i: int):
-    return F.shiftrightunsigned(fp, BITS * (i % SEGMENTS)).bitwiseAND((1 << BITS) - 1)
+def _segment(x, i: int, bits: int = BITS):
+    return F.shiftrightunsigned(x, bits * (i % SEGMENTS)).bitwiseAND((1 << bits) - 1)
 
 
 #: The pairs of segments of which a chain within its budgets has one equal.
@@ -95,22 +96,33 @@ def _within_budgets(x):
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b) edges between the distinct fingerprints ``fp`` of ``fps``, enough that their components are those of all pairs within the distance."""
-    fp = F.col("fp")
-    keys = [(_segment(fp, i) * (1 << BITS) + _segment(fp, j)).bitwiseOR(F.lit(t << 32)) for t, (i, j) in enumerate(KEYS)]
-    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(keyed.join(sizes, "key"), "buckets")
-    few = shared.where(F.col("n") <= BUCKET)
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").where(_within_budgets(x)).where(F.bit_count(x) <= DISTANCE).select("a", "b")
-    # bits outside the key: those of the two segments that it does not hold
-    outside = F.element_at(F.array(*[F.array(*[F.lit(b) for s in range(SEGMENTS) if s not in k for b in range(BITS * s, BITS * s + BITS)]) for k in KEYS]), (F.shiftright("key", 32) + 1).cast("int"))
-    values = F.concat(F.array(fp), F.transform(outside, lambda b: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
-    listed = shared.where(F.col("n") > BUCKET).select("fp", F.shiftright("key", 32).alias("t"), F.explode(values).alias("v"))
-    under = listed.groupBy("t", "v").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = under.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
-    return pairs.unionAll(stars)
+    """(a, b) edges between the distinct fingerprints ``fp`` of ``fps``: all pairs within the distance."""
+    x, out, folders = F.col("a").bitwiseXOR(F.col("b")), None, []
+    # free: the bits outside the key; fixed: those of the key; path: which segments the key took
+    level = fps.select("fp", F.col("fp").alias("free"), F.lit(0).cast("long").alias("fixed"), F.lit(0).alias("path"))
+    bits = BITS
+    while bits:
+        keys = []
+        for t, (i, j) in enumerate(KEYS):
+            k, m = [s for s in range(SEGMENTS) if s not in (i, j)]
+            own = F.shiftleft(F.col("fixed"), 2 * bits).bitwiseOR(F.shiftleft(_segment(F.col("free"), i, bits), bits)).bitwiseOR(_segment(F.col("free"), j, bits))
+            left = F.shiftleft(_segment(F.col("free"), k, bits), bits).bitwiseOR(_segment(F.col("free"), m, bits))
+            keys.append(F.struct(left.alias("free"), own.alias("fixed"), (F.col("path") * len(KEYS) + t).alias("path")))
+        keyed = level.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.*")
+        sizes = keyed.groupBy("fixed", "path").agg(F.count("*").alias("n")).where("n > 1")
+        shared = materialise(keyed.join(dealt_anew(sizes, "fixed"), ["fixed", "path"]), "buckets")
+        folders.append(shared)
+        few = shared.where(F.col("n") <= BUCKET) if bits > 2 else shared
+        pairs = few.select("fixed", "path", F.col("fp").alias("a")).join(few.select("fixed", "path", F.col("fp").alias("b")), ["fixed", "path"])
+        pairs = pairs.where("a < b").where(_within_budgets(x)).where(F.bit_count(x) <= DISTANCE).select("a", "b")
+        out = pairs if out is None else out.unionAll(pairs)
+        level = shared.where(F.col("n") > BUCKET).select("fp", "free", "fixed", "path")
+        bits //= 2
+        if bits < 2 or level.isEmpty():
+            break
+    found = materialise(out.distinct(), "links")
+    discard(*folders)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,14 +133,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     fps = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    labels = materialise(components(links(fps)), "labels").join(fps, F.col("node") == F.col("fp")).select("node", "root", "least")
+    labels = components(links(fps)).withColumnRenamed("node", "fp").join(fps, "fp")
     joint = labels.groupBy("root").agg(F.min("least").alias("component"))
-    linked = labels.join(joint, "root").select(F.col("node").alias("fp"), "component")
-    known = own.join(fps, "fp").join(linked, "fp", "left")
-    return known.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component", "least").alias("component_id"))
+    linked = labels.join(dealt_anew(joint, "root"), "root").select("fp", "component")
+    # one row for each fingerprint, dealt anew: the rows of a fingerprint that very many texts have can be split
+    classes = materialise(fps.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "classes")
+    known = own.join(classes, "fp")
+    return known.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def identity(id_col: str = "doc_id", text_col: str = "text"):
+    """A row's place in the order of documents: rows with an id first, by id, then by the text's hash."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tkey"))
+
+
+def rows_of(docs: DataFrame, stays: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose identity is in ``stays`` (column ``k``), one of each; with the columns of ``docs``."""
+    names, key = docs.columns, "_identity"
+    while key in names:
+        key += "_"
+    once = docs.withColumn(key, identity()).dropDuplicates([key])
+    return once.join(stays.select(F.col("k").alias("_stays")), F.col(key) == F.col("_stays"), "left_semi").select(names)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's; rows without an id stay."""
-    lost = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    """The first row, by ``identity``, of each component; of rows that are equal in id and text, one."""
+    found = near_duplicates(docs.select(identity().alias("doc_id"), "text"))
+    return rows_of(docs, materialise(found.where("doc_id = component_id").select(F.col("doc_id").alias("k")).distinct(), "representatives"))
