@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hash space of the features; weights are sparse in it.
 SPACE_BITS = 22
-#: Rows that a classifier is fitted on at most, but for chance (the bound of the sample).
-TRAIN_ROWS = 20_000
+#: Rows that a classifier is fitted on at most, and bytes of their texts (the bounds of the sample).
+TRAIN_ROWS, SAMPLE_BYTES = 20_000, 96 << 20
 
 
 class FTRL:
@@ -69,9 +70,23 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
-def sampled(df: DataFrame, key: Column, limit: int = TRAIN_ROWS) -> DataFrame:
-    """About ``limit`` of the rows, chosen by their key's hash; all where there are no more."""
-    n = df.count()
-    if n <= limit:
-        return df
-    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int((1 << 20) * limit / n))
+def sampled(df: DataFrame, limit: int = TRAIN_ROWS, most_bytes: int = SAMPLE_BYTES) -> pa.Table:
+    """The distinct rows of ``df`` (column ``text`` and others) of the least hashes, at most ``limit`` of them and at most
+    ``most_bytes`` of text, ordered by hash; all rows, where there are no more.
+
+    Texts of over a sixteenth of these bytes are not taken.  So the sample does not depend on the
+    order of rows, nor on how often a row is repeated, and its size on neither.
+    """
+    names = df.columns
+    keyed = df.where(F.col("text").isNotNull()).withColumns({"_k": F.xxhash64(*names), "_b": F.octet_length("text")}).where(F.col("_b") <= most_bytes // 16)
+    n = keyed.agg(F.approx_count_distinct("_k", 0.02)).first()[0]
+    # hashes are spread evenly, so about one and a half times the limit lie below this one
+    top = (1 << 63) - 1 if n <= limit else int(1.5 * limit / n * (1 << 64)) - (1 << 63)
+    sizes = keyed.where(F.col("_k") <= min(top, (1 << 63) - 1)).groupBy("_k").agg(F.max("_b").alias("b")).toArrow()
+    k, b = sizes["_k"].to_numpy(), sizes["b"].to_numpy()
+    order = np.argsort(k)
+    take = min(limit, int(np.searchsorted(np.cumsum(b[order], dtype=np.int64), most_bytes, "right")))
+    if not take:
+        return keyed.limit(0).select(names).toArrow()
+    rows = keyed.where(F.col("_k") <= int(k[order][take - 1])).groupBy("_k").agg(*[F.first(c).alias(c) for c in names]).toArrow()
+    return rows.sort_by("_k").select(names)

@@ -2,10 +2,11 @@
 
 Each labeller looks at one statistic of a text and votes low (-1), high (1) or not at all (0).
 Expectation-maximisation over the corpus's vote patterns (all rows, as counts of the few distinct
-patterns) estimates how often each labeller votes how in either class; an abstention is no evidence.  The
-posteriors then label
-a bounded sample of texts, on which a linear scorer over hashed features is fitted; it scores every
-text, and those below one half are rejected.  No given labels are used.
+patterns) estimates how often each labeller votes how in either class; an abstention is no evidence.
+That labellers hardly ever vote low on a good text is known beforehand (``MOST_FALSE_LOW``), and a
+constraint of the estimate.  The posteriors then label a bounded sample of distinct texts, on which
+a linear scorer over hashed features is fitted; it scores every text, and those below one half are
+rejected.  No given labels are used.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ WORDS = NAMES.index("words")
 SHARES = [j for j in range(len(NAMES)) if j != WORDS]
 #: Texts of fewer words have no shares to speak of.
 FEW_WORDS = 8
-#: Rows that the scorer is fitted on at most, but for chance.
-SAMPLE_ROWS = 8000
+#: Texts that the scorer is fitted on at most, and their bytes.
+SAMPLE_ROWS, SAMPLE_BYTES = 8000, 48 << 20
 EM_ROUNDS = 100
 #: A labeller is taken to vote low on at most this share of high-quality texts.
 MOST_FALSE_LOW = 0.005
@@ -62,7 +63,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(offsets) - 1
     w = Words(data, offsets)
     kind = _CLASS[data]
-    sums = {k: np.concatenate([[0], np.cumsum(kind == k)]) for k in range(1, 7)}
+    sums = {k: np.concatenate([np.zeros(1, np.int32), np.cumsum(kind == k, dtype=np.int32)]) for k in range(1, 7)}
     per_row = {k: np.diff(s[offsets]) for k, s in sums.items()}
     size, n_words, row = np.diff(offsets), np.diff(w.first), w.rows()
     letters = per_row[1] + per_row[2]
@@ -77,8 +78,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     grams_row = row[: len(g)]
     inside = grams_row == row[4:] if len(g) else np.zeros(0, bool)
     again = np.zeros(w.n + 1, np.int64)
-    if len(g):
-        place = np.flatnonzero(inside)
+    place = np.flatnonzero(inside)
+    if len(place):
         own = mix(g[place] + grams_row[place].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         order = np.argsort(own, kind="stable")
         same = np.concatenate([[False], own[order][1:] == own[order][:-1]])
@@ -186,15 +187,19 @@ def posterior(v: np.ndarray, prior: float, shares: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame):
-    """(compact weights, labellers' model).  An empty table gives a model that keeps everything."""
+    """(compact weights, labellers' model).  An empty table gives a model that keeps everything.
+
+    Null texts count as empty; repeated rows count in the estimate of the labellers, but a text is
+    in the scorer's sample once.  The sample is that of the least text hashes, so neither the order
+    of rows nor ties matter.
+    """
     table = vote_codes(docs).groupBy("code").agg(F.count("*").alias("n")).toArrow()
     if not table.num_rows:
         return (np.zeros(0, np.int32), np.zeros(0, np.float32), 1.0), None
     prior, shares = fit_labellers(table["code"].to_numpy(), table["n"].to_numpy())
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    some = sampled(text, F.col("text"), SAMPLE_ROWS).toArrow()["text"].combine_chunks()
-    data, offsets = text_bytes(some)
-    rows, labels = [], []
+    data, offsets = text_bytes(sampled(text, SAMPLE_ROWS, SAMPLE_BYTES)["text"])
+    rows, labels = [], [np.zeros(0)]
     for lo, hi in chunks(offsets):
         f, r, v = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         key = np.unique(r.astype(np.int64) << SPACE_BITS | f)
@@ -207,7 +212,10 @@ def train(docs: DataFrame):
 
 
 def score(docs: DataFrame, model, prefix: str = "") -> DataFrame:
-    """All columns of ``docs`` and, under ``prefix``: score (0 to 1, of high quality) and kept (score >= 0.5)."""
+    """All columns of ``docs`` and, under ``prefix``: score (0 to 1, of high quality) and kept (score >= 0.5).
+
+    One row per input row; equal texts have equal scores, null ones that of the empty text.
+    """
     (at, weights, bias), _ = model
 
     def run(batches):

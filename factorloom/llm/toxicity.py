@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, held_out, mix, text_bytes
-from .linear import FTRL, SPACE_BITS, Scorer, sampled
+from .common import Words, chunks, held_out, mix, text_bytes, text_of
+from .linear import FTRL, SPACE_BITS, TRAIN_ROWS, Scorer, sampled
 
 #: Bytes outside words: ASCII but letters and digits.
 OUTSIDE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -48,20 +48,26 @@ def rows_of_features(texts: pa.Array) -> list[np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
-    """Compact weights, from labelled rows that are not held out.  No such rows: zero weights, all below one half."""
+    """Compact weights, from labelled rows that are not held out.  No such rows: zero weights, all below one half.
+
+    An id with several labels has the largest; an id with several texts gives each of them.  Equal
+    texts of equal label are one example, in the order of their hashes, so neither the order of rows
+    nor repeats matter.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    some = sampled(known, F.col("doc_id"))
-    # at most about TRAIN_ROWS ids and labels: a bounded broadcast
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("text", "label").toArrow()
+    n = known.count()
+    if n > TRAIN_ROWS:  # about a tenth more ids than rows are wanted: a bounded broadcast
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * 1.1 * TRAIN_ROWS / n))
+    rows = sampled(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id").select("text", "label"))
     y = rows["label"].to_numpy().astype(float)
     if not len(y):
         return np.zeros(0, np.int32), np.zeros(0, np.float32), -1.0
     balance = min(max((y < 0.5).sum() / max((y > 0.5).sum(), 1), 1.0), MOST_WEIGHT)
-    return FTRL(l1=16.0).fit(rows_of_features(rows["text"].combine_chunks()), y, positive_weight=balance).compact()
+    return FTRL(l1=16.0).fit(rows_of_features(rows["text"]), y, positive_weight=balance).compact()
 
 
 def score(docs: DataFrame, model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each whole text."""
+    """(doc_id, held_out, score, predicted) of each whole text; equal texts have equal scores, a score of one half is predicted 1."""
     at, weights, bias = model
     source = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
 
