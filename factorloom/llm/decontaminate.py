@@ -5,13 +5,16 @@ so a shard's index holds only its runs of vocabulary words that are as long as t
 Windows are searched backwards, all at once; rows are located by sampled suffix positions; the
 occurrences of a document are merged into its spans.
 
-The items are written to the shared folder in blocks of about ``BLOCK_BYTES``; a worker reads one
-block after the other, so the benchmark's size bounds neither the driver's nor a worker's memory.
+The items are written to the shared folder in blocks of about ``BLOCK_BYTES``; a worker takes one
+block after the other, of which it keeps two, so the benchmark's size bounds neither the driver's
+nor a worker's memory.  Words are known by 64-bit hashes; a window's occurrence is one of its whole
+sequence of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +31,8 @@ from .toxicity import OUTSIDE
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
+#: Bytes of texts whose words are taken at once.
+CHUNK = 1 << 20
 
 
 class Block:
@@ -55,7 +60,7 @@ class Block:
         self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _block(path: str) -> Block:
     fs, name = pyarrow.fs.FileSystem.from_uri(path)
     with fs.open_input_file(name) as f:
@@ -70,32 +75,34 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Occurrences:
     """Of a shard: words of each text, [row, first word, end word] spans, and (row, item id) pairs."""
 
-    def __init__(self, texts: pa.Array, blocks: list[Block]):
+    def __init__(self, texts: pa.Array, blocks: Iterable[Block]):
         data, offsets = text_bytes(texts)
-        n = len(offsets) - 1
-        self.n_words = np.zeros(n, np.int64)
-        runs: list[list] = [[] for _ in blocks]
-        for lo, hi in chunks(offsets):
+        self.n_words = np.zeros(len(offsets) - 1, np.int64)
+        parts = []  # of each chunk of texts: word hashes, row of each word, place of each word in its text
+        for lo, hi in chunks(offsets, CHUNK):
             w = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], OUTSIDE, lower=True)
             self.n_words[lo:hi] = np.diff(w.first)
             row = w.rows()
-            for block, kept in zip(blocks, runs):
-                if not block.shortest or not w.n:
-                    continue
-                at = np.minimum(np.searchsorted(block.vocabulary, w.hash), len(block.vocabulary) - 1)
-                known = block.vocabulary[at] == w.hash
-                edge = np.flatnonzero(np.concatenate([[True], (known[1:] != known[:-1]) | (row[1:] != row[:-1])]))
-                size = np.diff(edge, append=w.n)
-                good = known[edge] & (size >= block.shortest)
-                edge, size = edge[good], size[good]
-                word = _ranges(edge, size)
-                kept.append((at[word] + 1, lo + row[word], word - w.first[row[word]], np.cumsum(size)))
+            parts.append((w.hash, (lo + row).astype(np.int32), (np.arange(w.n) - w.first[row]).astype(np.int32)))
         spans, pairs = [np.zeros((0, 3), np.int64)], set()
-        for block, kept in zip(blocks, runs):
-            self._search(block, kept, spans, pairs)
+        for block in blocks:
+            if block.shortest:
+                self._search(block, [self._runs(block, *p) for p in parts if len(p[0])], spans, pairs)
         self.spans = np.concatenate(spans)
         self.pairs = sorted(pairs)
 
+    @staticmethod
+    def _runs(block: Block, hashes: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple:
+        """The runs of the block's vocabulary, as long as its shortest window: symbols, rows, places, and the runs' ends."""
+        at = np.minimum(np.searchsorted(block.vocabulary, hashes), len(block.vocabulary) - 1)
+        known = block.vocabulary[at] == hashes
+        edge = np.flatnonzero(np.concatenate([[True], (known[1:] != known[:-1]) | (row[1:] != row[:-1])]))
+        size = np.diff(edge, append=len(hashes))
+        good = known[edge] & (size >= block.shortest)
+        edge, size = edge[good], size[good]
+        word = _ranges(edge, size)
+        return at[word] + 1, row[word].astype(np.int64), place[word].astype(np.int64), np.cumsum(size)
+
     @staticmethod
     def _search(block: Block, kept: list, spans: list, pairs: set) -> None:
         symbols, rows, words = [], [], []
@@ -155,14 +162,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, prefix: str = "") -> Da
     (n_hit > 0 and 20 * n_hit >= n_words) and spans ([first word, end word] to remove, merged).
 
     Null texts have no words; items with null or empty texts have no windows; a null item id counts
-    as an empty one, items of one id count once.
+    as an empty one, items of one id count once.  Equal texts have equal values.
     """
     paths = write_blocks(benchmark)
 
     def run(batches):
-        blocks = [_block(p) for p in paths] if len(paths) <= 4 else None
         for batch in batches:
-            found = Occurrences(batch["text"].cast(pa.string()), blocks or [_block(p) for p in paths])
+            found = Occurrences(batch["text"].cast(pa.string()), map(_block, paths))
             n = batch.num_rows
             spans = found.merged()
             hit = np.bincount(spans[:, 0], spans[:, 2] - spans[:, 1], n).astype(np.int64)

@@ -2,9 +2,10 @@
 
 Writing: each payload, padded with zero bytes to a positive multiple of 64, becomes an 8-bit
 greyscale PNG of 64 columns (lossless); each task puts its images into archives (ZIP, members
-stored as they are).  Reading: the data source ``media_archive`` lists archives, cuts each into
-byte ranges without looking inside, and a range's reader takes the members that begin in it: it
-reads them in runs, streams them in Arrow batches, and reads a member that failed again by its own
+stored as they are).  Reading: the data source ``media_archive`` plans byte ranges of archives
+without looking inside them, either of all archives below given folders or of those that a manifest
+names with their sizes.  A range's reader takes the members that begin in it: it reads them in runs,
+streams them in Arrow batches, and reads a member that failed (or whose run did) again by its own
 offset.  So a lost executor costs the byte ranges it was at, and a bad read costs one member.
 """
 
@@ -19,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,6 +32,8 @@ from .common import materialise, scratch
 COLUMNS = 64
 #: Bytes of an archive, of a byte range of it, of one run of reads, and attempts for a member.
 ARCHIVE_BYTES, RANGE_BYTES, RUN_BYTES, ATTEMPTS = 64 << 20, 8 << 20, 1 << 20, 3
+#: Partitions at most: beyond, each has several ranges.
+MOST_PARTITIONS = 50_000
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -123,9 +127,11 @@ def write_archives(docs: DataFrame, folder: str | None = None, id_col: str = "do
     return materialise(source.mapInArrow(run, "path string, n_members long, n_bytes long"), "media-manifest")
 
 
-class ByteRange(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+class ByteRanges(InputPartition):
+    """(path, start, end) of each range."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class _Window(io.RawIOBase):
@@ -154,35 +160,50 @@ class _Window(io.RawIOBase):
         return data
 
 
+def _below(path: str) -> list[tuple[str, int]]:
+    """Paths and sizes of the archives at or below a path."""
+    fs, name = pyarrow.fs.FileSystem.from_uri(path)
+    info = fs.get_file_info(name)
+    found = [info] if info.type == pyarrow.fs.FileType.File else fs.get_file_info(pyarrow.fs.FileSelector(name, recursive=True))
+    prefix = path[: len(path) - len(name)]
+    return [(prefix + f.path, f.size) for f in found if f.type == pyarrow.fs.FileType.File and f.path.endswith(".zip")]
+
+
+def _listed(manifest: str) -> list[tuple[str, int]]:
+    """Paths and sizes of the archives in a manifest (a folder of Parquet files), without a look at the archives."""
+    fs, name = pyarrow.fs.FileSystem.from_uri(manifest)
+    table = pyarrow.dataset.dataset(name, filesystem=fs, format="parquet").to_table(["path", "n_bytes"])
+    return sorted(zip(table["path"].to_pylist(), table["n_bytes"].to_pylist()))
+
+
 class ArchiveReader(DataSourceReader):
-    def __init__(self, paths: list[str], range_bytes: int):
-        self.paths, self.range_bytes = paths, range_bytes
+    def __init__(self, paths: list[str], manifest: str | None, range_bytes: int):
+        self.paths, self.manifest, self.range_bytes = paths, manifest, range_bytes
 
     def partitions(self):
-        out = []
-        for path in self.paths:
-            fs, name = pyarrow.fs.FileSystem.from_uri(path)
-            info = fs.get_file_info(name)
-            found = [info] if info.type == pyarrow.fs.FileType.File else fs.get_file_info(pyarrow.fs.FileSelector(name, recursive=True))
-            prefix = path[: len(path) - len(name)]
-            for f in found:
-                if f.type == pyarrow.fs.FileType.File and f.path.endswith(".zip"):
-                    out += [ByteRange(prefix + f.path, lo, min(f.size, lo + self.range_bytes)) for lo in range(0, f.size, self.range_bytes)]
-        return out or [ByteRange("", 0, 0)]
+        archives = _listed(self.manifest) if self.manifest else [a for p in self.paths for a in _below(p)]
+        ranges = [(path, lo, min(size, lo + self.range_bytes)) for path, size in archives for lo in range(0, size, self.range_bytes)]
+        each = max(1, -(-len(ranges) // MOST_PARTITIONS))
+        return [ByteRanges(ranges[i : i + each]) for i in range(0, len(ranges), each)] or [ByteRanges([])]
 
     def read(self, partition):
-        if not partition.path:
-            return
-        fs, name = pyarrow.fs.FileSystem.from_uri(partition.path)
+        for path, start, end in partition.ranges:
+            yield from self.read_range(path, start, end)
+
+    def read_range(self, path: str, start: int, end: int):
+        fs, name = pyarrow.fs.FileSystem.from_uri(path)
         with fs.open_input_file(name) as f:
-            members = sorted(((m.header_offset, m.file_size, m.CRC, m.filename) for m in zipfile.ZipFile(_Window(f, f.size())).infolist() if partition.start <= m.header_offset < partition.end))
+            members = sorted(((m.header_offset, m.file_size, m.CRC, m.filename) for m in zipfile.ZipFile(_Window(f, f.size())).infolist() if start <= m.header_offset < end))
             lo = 0
             while lo < len(members):
                 hi, begin = lo + 1, members[lo][0]
                 while hi < len(members) and members[hi][0] + members[hi][1] - begin <= RUN_BYTES:
                     hi += 1
                 last = members[hi - 1]
-                run = f.read_at(last[0] + 30 + len(last[3].encode()) + last[1] + 64 - begin, begin)
+                try:
+                    run = f.read_at(last[0] + 30 + len(last[3].encode()) + last[1] + 64 - begin, begin)
+                except OSError:
+                    run = b""
                 rows = [(n, self.member(f, run, begin, at, size, crc)) for at, size, crc, n in members[lo:hi]]
                 names, media = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array([n.split("_", 1)[1][:-4] or None for n in names], pa.string()), pa.array(names, pa.string()), pa.array(media, pa.binary())], ["id", "member", "media"])
@@ -191,18 +212,21 @@ class ArchiveReader(DataSourceReader):
     @staticmethod
     def member(f, run: bytes, begin: int, at: int, size: int, crc: int) -> bytes:
         """A member's bytes from the run of bytes, or, if they are damaged, read again by the member's own offset."""
-        for attempt in range(ATTEMPTS):
-            head = run[at - begin : at - begin + 30] if not attempt else f.read_at(30, at)
-            if len(head) == 30 and head[:4] == b"PK\x03\x04":
-                skip = 30 + sum(struct.unpack_from("<HH", head, 26))
-                data = run[at - begin + skip : at - begin + skip + size] if not attempt else f.read_at(size, at + skip)
-                if len(data) == size and zlib.crc32(data) == crc:
-                    return data
+        for attempt in range(ATTEMPTS + 1):
+            try:
+                head = f.read_at(30, at) if attempt else run[at - begin : at - begin + 30]
+                if len(head) == 30 and head[:4] == b"PK\x03\x04":
+                    skip = 30 + sum(struct.unpack_from("<HH", head, 26))
+                    data = f.read_at(size, at + skip) if attempt else run[at - begin + skip : at - begin + skip + size]
+                    if len(data) == size and zlib.crc32(data) == crc:
+                        return data
+            except OSError:
+                pass
         raise OSError(f"member at {at} can't be read")
 
 
 class MediaArchive(DataSource):
-    """``spark.read.format("media_archive").option("paths", "uri\\nuri").load()``: id, member, media."""
+    """``spark.read.format("media_archive").option("paths", "uri\\nuri").load()``, or with ``manifest``: id, member, media."""
 
     @classmethod
     def name(cls):
@@ -213,12 +237,14 @@ class MediaArchive(DataSource):
 
     def reader(self, schema):
         paths = [p for p in (self.options.get("paths") or self.options.get("path") or "").split("\n") if p]
-        return ArchiveReader(paths, int(self.options.get("range_bytes", RANGE_BYTES)))
+        return ArchiveReader(paths, self.options.get("manifest"), int(self.options.get("range_bytes", RANGE_BYTES)))
 
 
-def read_archives(spark, folder: str) -> DataFrame:
+def read_archives(spark, folder: str | None = None, manifest: DataFrame | None = None) -> DataFrame:
+    """All members of the archives below a folder, or of those in a manifest of ``write_archives``."""
     spark.dataSource.register(MediaArchive)
-    return spark.read.format("media_archive").option("paths", folder).load()
+    reader = spark.read.format("media_archive")
+    return (reader.option("manifest", manifest.scratch_folder) if manifest is not None else reader.option("paths", folder)).load()
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
@@ -227,14 +253,7 @@ def media_digest(docs: DataFrame) -> DataFrame:
     Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
     feature.  Equal texts have equal values; empty and null texts are 64 zero bytes.
     """
-    spark = docs.sparkSession
-    folder = scratch(spark, "media")
-    manifest = write_archives(docs, folder)
-    # One path for each archive that a task finished; there are as many as 64 MB pieces of media.
-    paths = [r.path for r in manifest.select("path").toLocalIterator()]
-    if not paths:
-        return spark.createDataFrame([], "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    media = read_archives(spark, "\n".join(paths))
+    media = read_archives(docs.sparkSession, manifest=write_archives(docs))
 
     def run(batches):
         for batch in batches:
