@@ -30,16 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Splitter
-from .common import chunks, materialise, scratch, text_bytes
+from .bpe import ASCII_WHITE, CUT_BYTES, PieceCoder, wide_white
+from .common import arrow_map, gathered, materialise, scratch, text_bytes
 
 SHARD_TOKENS = 2_000_000
 #: Nonterminals that one round may add (the most frequent pairs first; the others wait for the next round).
 ROUND_RULES = 16384
 #: A rule takes three numbers in the file and each occurrence saves one, so a pair pays from the fourth on.
 LEAST_COUNT = 4
-#: Pieces in a worker's memo, pieces that the library gets as one text, bytes of texts cut at once.
-MEMO_WORDS, JOINT, CUT_BYTES = 1_000_000, 500, 8 << 20
+#: Pieces that the library gets as one text.
+JOINT = 500
 #: Bits of the hash table in which a round finds its pairs.
 TABLE_BITS = 18
 MAGIC = b"RPG1"
@@ -178,67 +178,32 @@ class Shard:
         return self.expand(seq[a:b])[skip : skip + hi - lo]
 
 
-#: Kinds of bytes: 1 ASCII white space, 2 ASCII letters and digits, 3 marks that never go on a match of those.
-_KIND = np.zeros(256, np.uint8)
-_KIND[[0x20, *range(0x09, 0x0E)]] = 1
-_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 2
-_KIND[[ord(c) for c in ".,!?;:"]] = 3
+class LibraryBPE(PieceCoder):
+    """Ids of whole texts by the tokenizers library.
 
-
-def wide_white(data: np.ndarray) -> np.ndarray:
-    """Places where white space beyond ASCII begins (U+0085, A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000)."""
-    at = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))
-    b = np.concatenate([data, np.zeros(2, np.uint8)])
-    x, y, z = b[at], b[at + 1], b[at + 2]
-    general = (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF)) | (y == 0x81) & (z == 0x9F)
-    return at[(x == 0xC2) & ((y == 0x85) | (y == 0xA0)) | (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE2) & general | (x == 0xE3) & (y == 0x80) & (z == 0x80)]
-
-
-def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces begin in texts that lie end to end, and the end; only ends of matches of the pattern are cut.
-
-    The pattern gives a run of white space but for its last character to itself, that last one to
-    the word after it if it is a space, and a run at the end of a text to itself; letters and
-    digits end before a mark.
-    """
-    n = len(data)
-    kind = _KIND[data]
-    white, cut = kind == 1, np.zeros(n + 1, bool)
-    if n > 1:
-        first = np.zeros(n + 1, bool)
-        first[offsets] = True
-        cut[1:n] = white[1:] & ~white[:-1] | (kind[1:] == 3) & (kind[:-1] == 2) | ~white[1:] & white[:-1] & (data[:-1] != 0x20)
-        # the last of a run that a word of the same text follows
-        cut[: n - 1] |= white[:-1] & ~white[1:] & ~first[1:n]
-    cut[offsets] = True
-    return np.flatnonzero(cut)
-
-
-class LibraryBPE:
-    """Ids of whole texts by the tokenizers library, with a bounded memo of pieces.
-
-    Pieces that the memo lacks are encoded many in one text; the byte lengths of the tokens tell
-    where each piece ends.  A text with a special token's string is encoded as it stands.
+    New pieces are encoded many in one text; the byte lengths of the tokens tell where each piece
+    ends.  A text with a special token's string is encoded as it stands.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd_strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.base = max(vocab.values()) + 1
         self.size = np.zeros(self.base, np.int64)
         for t, i in vocab.items():
             self.size[i] = len(t)
-        self.cut = Splitter()
-        # the memo: pieces, and where the ids of each begin and end in one array
-        self.keys, self.flat, self.begin, self.end = pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_odd(self, text: str) -> np.ndarray:
+        return np.array(self._ids([text])[0], np.int32)
+
     def _alone(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of pieces encoded one by one, and where each one's begin and end."""
         ids = self._ids([p.decode("utf-8", "replace") for p in pieces.to_pylist()])
@@ -264,82 +229,22 @@ class LibraryBPE:
             ids = np.concatenate([ids, more])
         return ids, begin, end
 
-    def lookup(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of distinct pieces begin and end in ``flat``; those that the memo lacks are encoded."""
-        at = pc.index_in(pieces, value_set=self.keys)
-        lacking = np.asarray(at.is_null())
-        at = at.fill_null(0).to_numpy().astype(np.int64)
-        if not lacking.any():
-            return self.begin[at], self.end[at]
-        new = pieces.filter(pa.array(lacking))
-        if len(self.keys) + len(new) > MEMO_WORDS:  # what is not used now is forgotten
-            used = at[~lacking]
-            size = self.end[used] - self.begin[used]
-            begin = np.cumsum(size) - size
-            self.flat = self.flat[np.repeat(self.begin[used] - begin, size) + np.arange(size.sum())]
-            self.keys, self.begin, self.end = self.keys.take(pa.array(used)), begin, begin + size
-            at[~lacking] = np.arange(len(used))
-        data, offsets = text_bytes(new)
+    def encode_new(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, offsets = text_bytes(pieces)
         size = np.diff(offsets)
-        space = _KIND[data] == 1
+        space = ASCII_WHITE[data]
         edge = space[offsets[:-1] + (size > 1)] | space[offsets[1:] - 1]  # white at the second place (the first of one byte) or the last
-        wide = np.zeros(len(new), bool)
+        wide = np.zeros(len(pieces), bool)
         wide[np.searchsorted(offsets, wide_white(data), "right") - 1] = True
         spaced = data[offsets[:-1]] == 0x20
-        flat, begin, end = [self.flat], np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        flat, begin, end, n = [], np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), 0
         for which, encode in ((edge | wide, self._alone), (~edge & ~wide & spaced, lambda x: self._joint(x, False)), (~edge & ~wide & ~spaced, lambda x: self._joint(x, True))):
             if which.any():
-                ids, b, e = encode(new.filter(pa.array(which)))
-                shift = sum(map(len, flat))
-                begin[which], end[which] = b + shift, e + shift
+                ids, b, e = encode(pieces.filter(pa.array(which)))
+                begin[which], end[which] = b + n, e + n
                 flat.append(ids)
-        at[lacking] = len(self.keys) + np.arange(len(new))
-        self.flat, self.keys = np.concatenate(flat), pa.concat_arrays([self.keys, new])
-        self.begin, self.end = np.concatenate([self.begin, begin]), np.concatenate([self.end, end])
-        return self.begin[at], self.end[at]
-
-    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts of a string column end to end, and the n + 1 offsets (null: no ids)."""
-        data, offsets = text_bytes(column)
-        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for lo, hi in chunks(offsets, CUT_BYTES):
-            ids, size = self._encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            parts.append(ids)
-            sizes.append(size)
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-
-    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts that lie end to end, and the number of each text's."""
-        starts = piece_starts(data, offsets)
-        pieces = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        begin, end = self.lookup(pieces.dictionary)
-        which = pieces.indices.to_numpy()
-        size = (end - begin)[which]
-        last = np.cumsum(size)
-        at = np.repeat(begin[which] - (last - size), size)
-        at += np.arange(len(at))
-        ids = self.flat[at]
-        ends = np.concatenate([[0], last])[np.searchsorted(starts, offsets)]
-        raw = data.tobytes()
-        odd = set((np.searchsorted(offsets, wide_white(data), "right") - 1).tolist())
-        for s in self.special:
-            s, found = s.encode(), -1
-            while (found := raw.find(s, found + 1)) >= 0:
-                odd.add(int(np.searchsorted(offsets, found, "right")) - 1)
-        if not odd:
-            return ids, np.diff(ends)
-        out = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        for r in odd:
-            out[r] = self._odd(raw[offsets[r] : offsets[r + 1]].decode("utf-8", "replace"))
-        return np.concatenate(out), np.array(list(map(len, out)), np.int64)
-
-    def _odd(self, text: str) -> np.ndarray:
-        """The ids of a text with a special token's string or with white space beyond ASCII."""
-        if any(s in text for s in self.special):
-            return np.array(self._ids([text])[0], np.int32)
-        words = pa.array([w.encode() for w in self.cut(text)], pa.binary()).dictionary_encode()
-        begin, end = self.lookup(words.dictionary)
-        return np.concatenate([np.zeros(0, np.int32), *(self.flat[begin[i] : end[i]] for i in words.indices.to_pylist())])
+                n += len(ids)
+        return np.concatenate(flat), begin, end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         ids, ends = self.encode_column(pa.array(texts, pa.string()))
@@ -381,21 +286,19 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str | None = None, en
             return row
 
         end = np.array([end_id], np.int32)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                piece = batch.slice(lo, 4096)
-                flat, ends = bpe.encode_column(piece["text"])
-                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-                    if state["n"] and state["n"] + b - a + 1 > SHARD_TOKENS:
-                        yield flush()
-                    ids.append(piece["id"].slice(i, 1))
-                    tokens += [flat[a:b], end]
-                    state["n"] += b - a + 1
+        for batch in gathered(batches, "text", CUT_BYTES):
+            flat, ends = bpe.encode_column(batch["text"])
+            for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                if state["n"] and state["n"] + b - a + 1 > SHARD_TOKENS:
+                    yield flush()
+                ids.append(batch["id"].slice(i, 1))
+                tokens += [flat[a:b], end]
+                state["n"] += b - a + 1
         if tokens:
             yield flush()
 
     ranged = source.repartitionByRange(F.col("id"), F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
-    return materialise(ranged.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long, n_bytes long"), "manifest")
+    return materialise(arrow_map(ranged, run, "part int, seq int, path string, n_docs long, n_tokens long, n_bytes long"), "manifest")
 
 
 def read_shards(manifest: DataFrame, id_type: str = "long") -> DataFrame:
@@ -420,4 +323,4 @@ def read_shards(manifest: DataFrame, id_type: str = "long") -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([shard.index["id"].combine_chunks(), pa.array(starts + start, pa.int64()), pa.array(shard.n_tokens, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(placed, run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
