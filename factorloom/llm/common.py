@@ -25,6 +25,8 @@ LOWER[65:91] += 32
 LOWER_BYTES = LOWER.tobytes()
 #: Text bytes handled at once by the vectorised code (one longer text is handled alone).
 CHUNK_BYTES = 1 << 18
+#: Rows of an Arrow batch.
+BATCH_ROWS, _BATCH = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -96,6 +98,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow``, in batches of ``BATCH_ROWS`` rows where the session has not chosen a size: ten thousand whole texts are too much for a worker."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
+def gathered(batches, column: str, most: int):
+    """Consecutive batches joined, up to about ``most`` bytes of a column each."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch[column].nbytes > most:
+            yield _joined(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch[column].nbytes
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if sum(b.num_rows for b in batches) else batches[0]
+
+
 def dealt_anew(df: DataFrame, *columns: str) -> DataFrame:
     """``df``, an aggregate, without its partitioning: a join deals it again, and so can split the other side's hot keys."""
     return df.withColumns({c: F.col(c).bitwiseXOR(F.lit(0).cast("long")) for c in columns})

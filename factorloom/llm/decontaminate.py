@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index per training shard, searched for all windows of the test items.
 
-A shard is the texts of one Arrow batch.  Words outside the items' vocabulary can't be in a window,
+A shard is a run of about ``SHARD_BYTES`` of texts.  Words outside the items' vocabulary can't be in a window,
 so a shard's index holds only its runs of vocabulary words that are as long as the shortest window.
 Windows are searched backwards, all at once; rows are located by sampled suffix positions; the
 occurrences of a document are merged into its spans.
@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Words, chunks, scratch, text_bytes
+from .common import Words, arrow_map, chunks, gathered, scratch, text_bytes
 from .fmindex import FMIndex
 from .toxicity import OUTSIDE
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
-#: Bytes of texts whose words are taken at once.
-CHUNK = 1 << 20
+#: Bytes of the texts of a shard, and of those whose words are taken at once.
+SHARD_BYTES, CHUNK = 16 << 20, 1 << 20
 
 
 class Block:
@@ -167,7 +167,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, prefix: str = "") -> Da
     paths = write_blocks(benchmark)
 
     def run(batches):
-        for batch in batches:
+        for batch in gathered(batches, "text", SHARD_BYTES):
             found = Occurrences(batch["text"].cast(pa.string()), map(_block, paths))
             n = batch.num_rows
             spans = found.merged()
@@ -184,7 +184,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, prefix: str = "") -> Da
 
     kinds = dict(zip(COLUMNS, ("long", "long", "long", "string", "boolean", "array<array<long>>")))
     added = StructType.fromDDL(", ".join(f"{prefix}{c} {kind}" for c, kind in kinds.items()))
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
+    return arrow_map(docs, run, StructType([*docs.schema.fields, *added.fields]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

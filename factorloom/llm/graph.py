@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, discard, materialise
+from .common import arrow_map, dealt_anew, discard, materialise
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def _forest(edges: DataFrame) -> DataFrame:
             pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
             yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return edges.mapInArrow(run, "a long, b long")
+    return arrow_map(edges, run, "a long, b long")
 
 
 def _large_star(e: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import materialise, scratch
+from .common import arrow_map, materialise, scratch
 
 COLUMNS = 64
 #: Bytes of an archive, of a byte range of it, of one run of reads, and attempts for a member.
@@ -124,7 +124,7 @@ def write_archives(docs: DataFrame, folder: str | None = None, id_col: str = "do
         if archive is not None:
             yield close()
 
-    return materialise(source.mapInArrow(run, "path string, n_members long, n_bytes long"), "media-manifest")
+    return materialise(arrow_map(source, run, "path string, n_members long, n_bytes long"), "media-manifest")
 
 
 class ByteRanges(InputPartition):
@@ -265,5 +265,5 @@ def media_digest(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array(c, k) for c, k in zip(cols, kinds))], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    digests = media.mapInArrow(run, "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    digests = arrow_map(media, run, "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return digests.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), *digests.columns[1:])

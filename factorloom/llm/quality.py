@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Words, chunks, gram_hashes, mix, text_bytes
+from .common import Words, arrow_map, chunks, gram_hashes, mix, text_bytes
 from .linear import FTRL, SPACE_BITS, Scorer, sampled
 
 #: For each statistic: (below: votes low, from: votes high, to: votes high, above: votes low).
@@ -158,7 +158,7 @@ def vote_codes(docs: DataFrame) -> DataFrame:
                 stats, _, _ = statistics(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 yield pa.RecordBatch.from_arrays([pa.array(_codes(votes(stats)))], ["code"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "code long")
+    return arrow_map(docs.select(F.col("text").cast("string").alias("text")), run, "code long")
 
 
 def fit_labellers(codes: np.ndarray, counts: np.ndarray):
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model, prefix: str = "") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(p >= 0.5)], [*batch.schema.names, prefix + "score", prefix + "kept"])
 
     added = StructType.fromDDL(f"{prefix}score double, {prefix}kept boolean")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
+    return arrow_map(docs, run, StructType([*docs.schema.fields, *added.fields]))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

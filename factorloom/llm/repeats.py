@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, dealt_anew, dense_words, discard, gram_hashes, materialise, mix, run_groups, span_hashes, text_bytes, window_min
+from .common import Words, arrow_map, chunks, dealt_anew, dense_words, discard, gram_hashes, materialise, mix, run_groups, span_hashes, text_bytes, window_min
 
 GRAM = 8
 #: Distinct contents under one minimiser up to which a shard's task resolves them.
@@ -74,7 +74,7 @@ def emit(docs: DataFrame, window: int) -> DataFrame:
                 cols = [h.view(np.int64), s.view(np.int64), rid[lo:hi][row], rkey[lo:hi][row], (a - w.first[row]).astype(np.int32), n.astype(np.int16), (m - a).astype(np.int16)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "s", "rid", "rkey", "a", "n", "m"])
 
-    return docs.mapInArrow(run, "h long, s long, rid long, rkey long, a int, n smallint, m smallint")
+    return arrow_map(docs, run, "h long, s long, rid long, rkey long, a int, n smallint, m smallint")
 
 
 _SEGMENT = {"h": pa.int64(), "s": pa.int64(), "c": pa.int64(), "a": pa.int32(), "n": pa.int16(), "m": pa.int16(), "hot": pa.bool_()}
@@ -122,7 +122,7 @@ def _contents(texts: DataFrame, window: int) -> DataFrame:
             for lo, hi in chunks(offsets):
                 yield from part(batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
-    return texts.mapInArrow(run, _CONTENT)
+    return arrow_map(texts, run, _CONTENT)
 
 
 class Contents:
@@ -206,7 +206,7 @@ def _resolve(contents: DataFrame, window: int, resolver: Resolver) -> DataFrame:
             yield from flush(pa.Table.from_batches(held))
 
     rows = contents.where("not hot").select("h", "s", "c", "rid", "rkey", "a", "n", "m", "content")
-    return rows.repartition("h").sortWithinPartitions("h", "s").mapInArrow(run, _FOUND)
+    return arrow_map(rows.repartition("h").sortWithinPartitions("h", "s"), run, _FOUND)
 
 
 def repeated(docs: DataFrame, window: int, resolver: Resolver, keep_first: bool) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, dealt_anew, discard, materialise
+from .common import LOWER_BYTES, arrow_map, dealt_anew, discard, materialise
 from .graph import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fp = fingerprints_of([shingle_hashes(t) for t in part["text"].to_pylist()])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
+    return arrow_map(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _segment(x, i: int, bits: int = BITS):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew
+from .common import arrow_map, dealt_anew
 from .fmindex import FMIndex
 from .repeats import Contents, keyed, merged, repeated
 
@@ -55,7 +55,7 @@ def digest(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(kept + words[at:])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch["rid"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(lists, pa.list_(pa.list_(pa.int64())))], ["rid", "n_words", "n_removed", "kept_sha256", "spans"])
 
-    out = joined.mapInArrow(run, "rid long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>")
+    out = arrow_map(joined, run, "rid long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>")
     return out.select(F.expr("nullif(rid, -9223372036854775807L - 1)").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "spans")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import SPACE, dealt_anew
+from .common import SPACE, arrow_map, dealt_anew
 from .repeats import GRAM, NO_ID, Contents, keyed, merged, repeated
 from .substring import digest
 
@@ -109,4 +109,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 columns["n_chars"] = pa.array(chars, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    return joined.mapInArrow(run, StructType(docs.schema.fields))
+    return arrow_map(joined, run, StructType(docs.schema.fields))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, held_out, mix, text_bytes, text_of
+from .common import Words, arrow_map, chunks, held_out, mix, text_bytes, text_of
 from .linear import FTRL, SPACE_BITS, TRAIN_ROWS, Scorer, sampled
 
 #: Bytes outside words: ASCII but letters and digits.
@@ -82,4 +82,4 @@ def score(docs: DataFrame, model) -> DataFrame:
             p = np.concatenate(p)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return arrow_map(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
