@@ -15,25 +15,34 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, dealt_anew, discard, materialise
 
+#: Nodes of which a task keeps the components at once.
+FOREST_NODES = 300_000
+
 
 def _forest(edges: DataFrame) -> DataFrame:
-    """Within each task: the edges' components as stars, a batch of edges at a time."""
+    """Within each task: the edges' components as stars, up to ``FOREST_NODES`` nodes at a time."""
 
     def run(batches):
-        for batch in batches:
-            parent: dict[int, int] = {}
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[p]
+            return x
 
-            def root(x):
-                while (p := parent.setdefault(x, x)) != x:
-                    parent[x] = x = parent[p]
-                return x
+        def stars():
+            pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+            parent.clear()
+            return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
+        for batch in batches:
             for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-            pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+            if len(parent) > FOREST_NODES:
+                yield stars()
+        yield stars()
 
     return arrow_map(edges, run, "a long, b long")
 

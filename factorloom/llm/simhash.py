@@ -160,4 +160,4 @@ def rows_of(docs: DataFrame, stays: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The first row, by ``identity``, of each component; of rows that are equal in id and text, one."""
     found = near_duplicates(docs.select(identity().alias("doc_id"), "text"))
-    return rows_of(docs, materialise(found.where("doc_id = component_id").select(F.col("doc_id").alias("k")).distinct(), "representatives"))
+    return rows_of(docs, found.where("doc_id = component_id").select(F.col("doc_id").alias("k")).distinct())
