@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame
 
 
@@ -17,6 +19,7 @@ def stable_json(value) -> str:
 def run_id(config: dict, thread: str = "main", now: datetime | None = None) -> str:
     """UTC time, thread and the start of the configuration's hash."""
     now = now or datetime.now(timezone.utc)
+    thread = re.sub(r"[^A-Za-z0-9._-]+", "-", thread).strip("-.")[:40] or "main"
     return f"{now:%Y%m%dT%H%M%SZ}_{thread}_{hashlib.sha256(stable_json(config).encode()).hexdigest()[:10]}"
 
 
@@ -25,11 +28,13 @@ def _write(path: str, text: str) -> None:
         f.write(text)
 
 
-def save_run(root: str, config: dict, tables: dict[str, DataFrame], result: dict | None = None, daily: DataFrame | None = None, factors: dict[str, str] | None = None, thread: str = "main") -> str:
+def save_run(root: str, config: dict, tables: dict[str, DataFrame], result: dict | None = None, daily: DataFrame | None = None, factors: dict[str, str] | None = None, thread: str = "main", selected: list[dict] | None = None, reports: dict[str, dict] | None = None) -> str:
     """Writes a run's folder and appends it to the index; returns the folder.
 
     Small tables become CSV files by way of the driver, so they must be summaries (metrics, sweeps,
     correlations, curves); the daily paths are written by Spark, a folder for each alpha.
+    ``selected``: the chosen alphas; ``reports``: of each name a report, whose rows (``results``)
+    become a CSV file of their own, with the Pareto rows once more beside it.
     """
     name = run_id(config, thread)
     folder = os.path.join(root, name)
@@ -41,6 +46,16 @@ def save_run(root: str, config: dict, tables: dict[str, DataFrame], result: dict
         frame = df.toPandas()
         frame.to_csv(f"{folder}/{key}.csv", index=False)
         parts += [f"## {key}", "", f"{len(frame)} rows", "", "```", frame.head(10).to_string(index=False), "```", ""]
+    if selected is not None:
+        _write(f"{folder}/sota_alphas.json", json.dumps(selected, indent=1, default=str))
+    for key, report in (reports or {}).items():
+        _write(f"{folder}/{key}.json", json.dumps(report, indent=1, default=str))
+        rows = [r for r in report.get("results", []) if isinstance(r, dict)]
+        for name_, some in ((key, rows), (f"{key}_pareto", [r for r in rows if r.get("is_pareto")])):
+            if some:
+                pd.DataFrame(some).to_csv(f"{folder}/{name_}.csv", index=False)
+        if any("is_pareto" in r for r in rows):
+            _plot(f"{folder}/{key}_pareto.png", rows)
     if daily is not None:
         daily.write.mode("overwrite").partitionBy("alpha_id").csv(f"{folder}/daily", header=True)
     _write(f"{folder}/SUMMARY.md", "\n".join(parts))
@@ -53,6 +68,36 @@ def save_run(root: str, config: dict, tables: dict[str, DataFrame], result: dict
     return folder
 
 
+def _plot(path: str, rows: list[dict], x: str = "alpha_weight_turnover_mean", y: str = "objective") -> bool:
+    """The rows with the front marked, as a picture, where a plotting library is installed."""
+    try:
+        from matplotlib.figure import Figure
+    except ImportError:
+        return False
+    axes = (figure := Figure()).add_subplot()
+    for front in (False, True):
+        some = [r for r in rows if bool(r.get("is_pareto")) == front and x in r and y in r]
+        axes.scatter([r[x] for r in some], [r[y] for r in some], label="front" if front else "others")
+    axes.set(xlabel=x, ylabel=y)
+    axes.legend()
+    figure.savefig(path)
+    return True
+
+
+def metrics_table(summary: DataFrame, evaluation: DataFrame | None = None, stability: DataFrame | None = None, gates: DataFrame | None = None) -> DataFrame:
+    """One row for each alpha: its summary, means of its evaluation, walk-forward stability and quality gates; best information ratio first."""
+    from pyspark.sql import functions as F
+
+    out = summary
+    if evaluation is not None:
+        out = out.join(evaluation.groupBy("alpha_id").agg(*[F.avg(c).alias(f"{c}_mean") for c in ("ic", "rank_ic", "spread", "coverage") if c in evaluation.columns]), "alpha_id", "left")
+    if stability is not None:
+        out = out.join(stability.select("alpha_id", *[F.col(c).alias(f"wf_{c}") for c in stability.columns if c != "alpha_id"]), "alpha_id", "left")
+    if gates is not None:
+        out = out.join(gates.select("alpha_id", F.col("passed").alias("quality_gate_passed"), F.concat_ws(",", "reasons").alias("quality_gate_reasons")), "alpha_id", "left")
+    return out.orderBy(F.col("information_ratio").desc_nulls_last(), "alpha_id")
+
+
 def read_lines(path: str) -> list[dict]:
     """JSON lines; lines that don't parse are left out."""
     out = []
@@ -79,3 +124,17 @@ def compare_runs(root: str, a: str, b: str) -> dict:
     """Settings in which two runs differ: name to (value in a, value in b)."""
     x, y = load_config(root, a), load_config(root, b)
     return {k: (x.get(k), y.get(k)) for k in sorted(x.keys() | y.keys()) if x.get(k) != y.get(k)}
+
+
+def compare_metrics(root: str, a: str, b: str, columns: tuple[str, ...] = ("information_ratio", "annualized_return", "max_drawdown", "turnover_mean")) -> pd.DataFrame:
+    """Of each alpha of either run the metrics in a and b and their difference."""
+    tables = []
+    for name in (a, b):
+        path = os.path.join(root, name, "alpha_metrics.csv")
+        table = pd.read_csv(path) if os.path.exists(path) else pd.DataFrame({"alpha_id": []})
+        tables.append(table[[c for c in ("alpha_id", *columns) if c in table]])
+    both = tables[0].merge(tables[1], on="alpha_id", how="outer", suffixes=("_a", "_b"))
+    for c in columns:
+        if f"{c}_a" in both and f"{c}_b" in both:
+            both[f"{c}_delta"] = both[f"{c}_b"] - both[f"{c}_a"]
+    return both.sort_values("alpha_id").reset_index(drop=True)

@@ -9,7 +9,7 @@ from .functions import rounded
 from .operators import evaluation as ev
 from .operators import portfolio as pf
 from .operators import risk
-from .queries import FACTOR_SQL, SECTOR_SQL, factors, hard_to_borrow, panel_sql, query, r, sectors
+from .queries import _RATES_SQL, FACTOR_SQL, SECTOR_SQL, _rates, factors, hard_to_borrow, panel_sql, query, r, sectors
 
 Q, MIN_OBS = 5, 5
 _T = "PARTITION BY instrument ORDER BY datetime"
@@ -247,7 +247,7 @@ def sector_dummies(spark, sf_dir):
 
 # -- portfolios ---------------------------------------------------------------------------------
 
-CFG = pf.Backtest(min_obs=MIN_OBS, rebalance_days=4, holding_days=8, half_spread_bps=1.0, impact_bps=10.0, window=W, min_window_obs=M)
+CFG = pf.Backtest(min_obs=MIN_OBS, rebalance_days=4, holding_days=8, half_spread_bps=1.0, impact_bps=10.0, window=W, min_window_obs=M, every_date=False)
 CAL = "cal AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS i, lead(datetime) OVER (ORDER BY datetime) AS next FROM (SELECT DISTINCT datetime FROM panel))"
 TARGETS = f"""{CAL}, htb AS (SELECT s_suppkey::VARCHAR AS instrument FROM supplier WHERE s_acctbal < 0), rb AS (SELECT f.*, i FROM factors f JOIN cal USING (datetime) WHERE next IS NOT NULL AND i % 4 = 0 AND value IS NOT NULL),
  rn AS (SELECT *, row_number() OVER ({_G} ORDER BY value, instrument) AS rn, count(*) OVER ({_G}) AS n FROM rb), bb AS (SELECT *, {bucket_sql()} AS bucket FROM rn WHERE n >= {MIN_OBS}),
@@ -328,10 +328,85 @@ def reprice(spark, sf_dir):
     return tidy(pf.reprice(dated, panel, CFG).select("alpha_id", "datetime", "gross_return", "turnover"))
 
 
-@query("backtest_sequential")
+def _every(columns, source="day") -> str:
+    """All dates of the calendar for each factor, those without a row as zeros."""
+    return "ev AS (SELECT a.alpha_id, c.next AS datetime, " + ", ".join(f"coalesce(d.{c}, 0) AS {c}" for c in columns) + f" FROM (SELECT DISTINCT alpha_id FROM factors) a CROSS JOIN (SELECT next FROM cal WHERE next IS NOT NULL) c LEFT JOIN {source} d ON d.alpha_id = a.alpha_id AND d.datetime = c.next)"
+
+
+_SHORT = PATH.replace("i % 4 = 0", "i % 10 = 0").replace("t.weight / 2", "t.weight").replace("t.i + 8", "t.i + 3")
+
+
+@query("backtest_short_hold", f"WITH {FACTOR_SQL}, {_SHORT}, {_every(_PCOLS)} SELECT alpha_id, datetime, " + ", ".join(f"{r(c)} AS {c}" for c in _PCOLS) + " FROM ev")
+def backtest_short_hold(spark, sf_dir):
+    """A holding period that ends before the next rebalance: the book is flat in between; every date has a row."""
+    return tidy(_daily(spark, sf_dir, pf.with_config(CFG, rebalance_days=10, holding_days=3, every_date=True)).select("alpha_id", "datetime", *_PCOLS))
+
+
+_PARTS = ("gross_return", "turnover", "traded", "impact_unit", "gross_short", "gross_long", "borrow_unit", "scale", "net_return")
+
+
+def capped_sql(impact: float, target_vol: float, cap: float) -> str:
+    """The state machine as a recursion over the calendar, with the book as a list over the instruments in order."""
+    on = lambda x, d: f"LEFT JOIN ex {x} ON {x}.datetime = c.{d} AND {x}.instrument = n.instrument"
+    unit = "list_sum(list_transform(list_zip(delta, adv), lambda z: abs(z[1]) * pow(least(abs(z[1]) * 1e6 / nullif(z[2], 0), 0.2), 0.5)))" if impact else "0.0::DOUBLE"
+    return f"""WITH RECURSIVE {FACTOR_SQL}, {PATH}, nm AS (SELECT DISTINCT instrument FROM panel),
+ gl AS (SELECT a.alpha_id, c.i, c.next, list(coalesce(h.w, 0)::DOUBLE ORDER BY n.instrument) AS goal, list(coalesce(x.ret, 0)::DOUBLE ORDER BY n.instrument) AS ret, list(coalesce(e.adv, us.mid, 1)::DOUBLE ORDER BY n.instrument) AS adv
+ FROM (SELECT DISTINCT alpha_id FROM factors) a CROSS JOIN cal c CROSS JOIN nm n LEFT JOIN hw h ON h.alpha_id = a.alpha_id AND h.i = c.i AND h.instrument = n.instrument {on('x', 'next')} {on('e', 'datetime')} LEFT JOIN us ON us.datetime = c.datetime WHERE c.next IS NOT NULL GROUP BY 1, 2, 3),
+ st AS (SELECT DISTINCT alpha_id, -1::BIGINT AS i, NULL::TIMESTAMP AS datetime, list_transform(goal, lambda v: 0.0::DOUBLE) AS held, []::DOUBLE[] AS nets, 0.0::DOUBLE AS gross_return, 0.0::DOUBLE AS turnover, 0.0::DOUBLE AS traded, 0.0::DOUBLE AS impact_unit, 0.0::DOUBLE AS gross_short, 0.0::DOUBLE AS gross_long, 0.0::DOUBLE AS borrow_unit, 1.0::DOUBLE AS scale, 0.0::DOUBLE AS net_return FROM gl WHERE i = 0
+ UNION ALL SELECT alpha_id, i, next, held, list_append(nets, net), gross, turnover, traded, unit, short, long, borrow, scale, net FROM (
+ SELECT *, gross - turnover * 3 / 1e4 - traded / 1e4 - unit * {impact} / 1e4 - borrow AS net FROM (
+ SELECT alpha_id, i, next, held, nets, scale, turnover, list_sum(list_transform(delta, lambda v: abs(v))) AS traded, list_sum(list_transform(list_zip(held, ret), lambda z: z[1] * z[2])) AS gross, {unit} AS unit,
+ list_sum(list_transform(held, lambda v: greatest(-v, 0))) AS short, list_sum(list_transform(held, lambda v: greatest(v, 0))) AS long, list_sum(list_transform(held, lambda v: greatest(-v, 0))) * 50 / 1e4 / 252 AS borrow FROM (
+ SELECT alpha_id, i, next, nets, ret, adv, scale, least(raw, {cap}) AS turnover, list_transform(move, lambda v: v * k) AS delta, list_transform(list_zip(before, move), lambda z: z[1] + z[2] * k) AS held FROM (
+ SELECT *, CASE WHEN raw > {cap} THEN {cap} / raw ELSE 1.0 END AS k FROM (
+ SELECT *, list_sum(list_transform(move, lambda v: abs(v))) / 2 AS raw FROM (
+ SELECT *, list_transform(list_zip(goal, before), lambda z: z[1] * scale - z[2]) AS move FROM (
+ SELECT g.alpha_id, g.i, g.next, g.goal, g.ret, g.adv, s.nets, s.held AS before,
+ CASE WHEN len(s.nets) < 20 THEN 1.0 ELSE coalesce(least(greatest({target_vol} / sqrt(252) / nullif(list_aggregate(s.nets[-20:], 'stddev_samp'), 0), 0), 3.0), 1.0) END AS scale
+ FROM st s JOIN gl g ON g.alpha_id = s.alpha_id AND g.i = s.i + 1)))))))
+ ) SELECT alpha_id, datetime, {", ".join(f"{r(c)} AS {c}" for c in _PARTS)} FROM st WHERE i >= 0"""
+
+
+@query("backtest_sequential", capped_sql(0.0, 0.1, 0.2) + " AND (turnover > 0 OR gross_short > 0 OR gross_long > 0)")
 def backtest_sequential(spark, sf_dir):
     """Volatility target and turnover cap."""
-    return tidy(_daily(spark, sf_dir, pf.with_config(CFG, impact_bps=0.0, target_vol=0.1, turnover_cap=0.2)))
+    return tidy(_daily(spark, sf_dir, pf.with_config(CFG, impact_bps=0.0, target_vol=0.1, turnover_cap=0.2)).select("alpha_id", "datetime", *_PARTS))
+
+
+@query("backtest_capped", capped_sql(10.0, 0.1, 0.1))
+def backtest_capped(spark, sf_dir):
+    """The same with impact costs and a row for every date."""
+    return tidy(_daily(spark, sf_dir, pf.with_config(CFG, target_vol=0.1, turnover_cap=0.1, every_date=True)).select("alpha_id", "datetime", *_PARTS))
+
+
+@query("backtest_optimized")
+def backtest_optimized(spark, sf_dir):
+    """The ridge optimizer with beta control, a pull to the held book and a variance penalty, date by date."""
+    opt = pf.Optimizer(backend="ridge", turnover=0.5, exposure=1.0, risk=0.1)
+    return tidy(_daily(spark, sf_dir, pf.with_config(CFG, optimizer=opt, neutralize=("beta",), max_weight=0.2, every_date=True)).select("alpha_id", "datetime", *_PARTS))
+
+
+_FILTERED = TARGETS.replace("rb AS (SELECT f.*, i FROM factors f JOIN cal USING (datetime)", "rb AS (SELECT f.*, i FROM factors f JOIN cal USING (datetime) JOIN ex USING (datetime, instrument)").replace("AND value IS NOT NULL)", "AND value IS NOT NULL AND adv >= 30000)").replace("instrument NOT IN (SELECT instrument FROM htb)", "coalesce((SELECT any_value(borrow_bps) FROM rates q WHERE q.datetime = bb.datetime AND q.instrument = bb.instrument), 50) <= 150")
+
+
+@query("target_weights_filtered", f"WITH {FACTOR_SQL}, {_RATES_SQL}, {EXPO}, {_FILTERED} SELECT alpha_id, datetime, instrument, {r('weight')} AS weight FROM tg")
+def target_weights_filtered(spark, sf_dir):
+    """Names of enough traded value; shorts only where borrowing is cheap."""
+    panel, values = factors(spark, sf_dir)
+    rates = sources.borrow_rates(_rates(spark, sf_dir, panel))
+    return tidy(pf.target_weights(values, panel, pf.with_config(CFG, min_adv=30000.0, max_borrow_bps=150.0), rates=rates))
+
+
+_NAMES = f"""{CAL}, htb AS (SELECT s_suppkey::VARCHAR AS instrument FROM supplier WHERE s_acctbal < 0), rb AS (SELECT f.*, instrument NOT IN (SELECT instrument FROM htb) AS can FROM factors f JOIN cal USING (datetime) WHERE next IS NOT NULL AND i % 4 = 0 AND value IS NOT NULL),
+ rn AS (SELECT *, row_number() OVER ({_G} ORDER BY value, instrument) AS rn, row_number() OVER ({_G}, can ORDER BY value, instrument) AS rc, count(*) OVER ({_G}) AS n, count(*) FILTER (can) OVER ({_G}) AS nc FROM rb),
+ sd AS (SELECT *, CASE WHEN rn > n - 5 THEN 1 WHEN can AND rc <= 5 THEN -1 ELSE 0 END AS side FROM rn WHERE n >= 10 AND nc >= 5), cn AS (SELECT *, count(*) FILTER (side = 1) OVER ({_G}) AS nl, count(*) FILTER (side = -1) OVER ({_G}) AS ns FROM sd)"""
+
+
+@query("target_weights_names", f"WITH {FACTOR_SQL}, {_NAMES} SELECT alpha_id, datetime, instrument, {r('CASE WHEN side = 1 THEN 0.5 / nl ELSE -0.5 / ns END')} AS weight FROM cn WHERE side <> 0 AND nl > 0 AND ns > 0")
+def target_weights_names(spark, sf_dir):
+    """Five names on each side, the short ones among those that can be borrowed."""
+    panel, values = factors(spark, sf_dir)
+    return tidy(pf.target_weights(values, panel, pf.with_config(CFG, names_per_side=5), hard_to_borrow=hard_to_borrow(spark, sf_dir)))
 
 
 @query("backtest_neutralized")

@@ -1,8 +1,10 @@
 """Long/short portfolios: weights, schedules, costs, daily paths, re-pricing.
 
 Two engines share one contract.  The relational one (``backtest``) is windows and joins and serves
-every configuration without path dependence; ``sequential`` runs one path per key in a grouped map
-where volatility targeting or a turnover cap makes a day depend on the days before it.
+every configuration without path dependence; ``sequential`` streams the dates of each key through a
+state machine where volatility targeting, a turnover cap or the optimizer makes a day depend on the
+days before it.  A panel may hold several parts (see ``risk.keys_of``), so all segments of a
+walk-forward are one plan.
 """
 
 from __future__ import annotations
@@ -10,13 +12,14 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import div
 from .evaluation import YEAR, bucket
-from .risk import clip_weights, densify, exposures, neutralize, rescale_legs, returns
+from .optimizer import Optimizer, optimize
+from .risk import clip_weights, densify, exposures, keys_of, known_returns, neutralize, rescale_legs, residual_weights, sector_dummies
 
 
 @dataclass(frozen=True)
@@ -47,6 +50,10 @@ class Backtest:
     vol_window: int = 20
     max_leverage: float = 3.0
     turnover_cap: float = 0.0
+    #: How sides become weights: None for equal weights, else the optimizer's settings.
+    optimizer: Optimizer | None = None
+    #: Whether dates on which nothing is held or traded have a row (of zeros) in a daily path.
+    every_date: bool = True
 
     @property
     def sleeves(self) -> int:
@@ -58,23 +65,25 @@ KEYS = ["alpha_id"]
 
 
 def calendar(panel: DataFrame) -> DataFrame:
-    """(datetime, i, next, prev): the dates in order.  One row per date."""
-    w = Window.orderBy("datetime")
-    return panel.select("datetime").distinct().select("datetime", (F.row_number().over(w) - 1).alias("i"), F.lead("datetime").over(w).alias("next"), F.lag("datetime").over(w).alias("prev"))
+    """(datetime, i, next, prev): the dates in order, of each part of the panel.  One row per date."""
+    by = keys_of(panel)
+    w = Window.partitionBy(*by).orderBy("datetime")
+    return panel.select(*by, "datetime").distinct().select(*by, "datetime", (F.row_number().over(w) - 1).alias("i"), F.lead("datetime").over(w).alias("next"), F.lag("datetime").over(w).alias("prev"))
 
 
 def side_weights(rows: DataFrame, cfg: Backtest, keys: list[str]) -> DataFrame:
     """Half the capital on each side, equally over its names, of each date's values; both sides or none.
 
     ``rows`` has (value, shortable).  By quantiles the shortable names of the bottom bucket are sold;
-    by number of names the candidates are the shortable names.
+    by number of names the candidates are the shortable names, of which there must be enough.
     """
     by = Window.partitionBy(*keys, "datetime")
     if cfg.names_per_side:
         n = F.count("value").over(by)
         up = F.row_number().over(by.orderBy(F.col("value").asc_nulls_last(), "instrument"))
         short_rank = F.row_number().over(by.orderBy(F.when(F.col("shortable"), 0).otherwise(1), F.col("value").asc_nulls_last(), "instrument"))
-        placed = rows.where("value is not null").withColumns({"n": n, "_u": up, "_s": short_rank}).where(F.col("n") >= 2 * cfg.names_per_side)
+        can = F.count(F.when(F.col("shortable") & F.col("value").isNotNull(), 1)).over(by)
+        placed = rows.where("value is not null").withColumns({"n": n, "_u": up, "_s": short_rank, "_c": can}).where(F.col("n") >= max(2 * cfg.names_per_side, cfg.min_obs)).where(F.col("_c") >= cfg.names_per_side)
         long, short = F.col("_u") > F.col("n") - cfg.names_per_side, F.col("shortable") & (F.col("_s") <= cfg.names_per_side)
     else:
         b, n = bucket([*keys, "datetime"], "value", cfg.n_quantiles)
@@ -86,50 +95,66 @@ def side_weights(rows: DataFrame, cfg: Backtest, keys: list[str]) -> DataFrame:
     return placed.select(*keys, "datetime", "instrument", F.when(F.col("side") == 1, 0.5 / F.col("_l")).otherwise(-0.5 / F.col("_n")).alias("weight"))
 
 
-def target_weights(factors: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, hard_to_borrow: DataFrame | None = None, rates: DataFrame | None = None, exposure: DataFrame | None = None) -> DataFrame:
-    """Weights decided on each rebalance date, after filters, neutralization, scaling and the weight cap."""
+def target_weights(factors: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, hard_to_borrow: DataFrame | None = None, rates: DataFrame | None = None, exposure: DataFrame | None = None, sectors: DataFrame | None = None) -> DataFrame:
+    """Weights decided on each rebalance date, after filters, neutralization (on sectors, too, if given), scaling and the weight cap."""
+    by = keys_of(panel)
     days = calendar(panel)
-    rows = factors.join(days.where(F.col("next").isNotNull() & (F.col("i") % cfg.rebalance_days == 0)).select("datetime"), "datetime").withColumn("shortable", F.lit(True))
+    rows = factors.join(days.where(F.col("next").isNotNull() & (F.col("i") % cfg.rebalance_days == 0)).select(*by, "datetime"), [*by, "datetime"]).withColumn("shortable", F.lit(True))
     exposure = exposure if exposure is not None or not (cfg.min_adv or cfg.neutralize) else exposures(panel, cfg.window, cfg.min_window_obs)
     if cfg.min_adv:
-        rows = rows.join(exposure.where(F.col("adv") >= cfg.min_adv).select("datetime", "instrument"), ["datetime", "instrument"], "left_semi")
+        rows = rows.join(exposure.where(F.col("adv") >= cfg.min_adv).select(*by, "datetime", "instrument"), [*by, "datetime", "instrument"], "left_semi")
     if hard_to_borrow is not None:
         rows = rows.join(hard_to_borrow.withColumn("_h", F.lit(True)), "instrument", "left").withColumn("shortable", F.col("_h").isNull()).drop("_h")
-    if rates is not None and cfg.max_borrow_bps:
-        rows = rows.join(rates, ["datetime", "instrument"], "left").withColumn("shortable", F.col("shortable") & (F.coalesce("borrow_bps", F.lit(cfg.borrow_bps)) <= cfg.max_borrow_bps)).drop("borrow_bps")
+    if cfg.max_borrow_bps:
+        if rates is not None:
+            rows = rows.join(rates, ["datetime", "instrument"], "left")
+        bps = F.coalesce("borrow_bps", F.lit(cfg.borrow_bps)) if rates is not None else F.lit(cfg.borrow_bps)
+        rows = rows.withColumn("shortable", F.col("shortable") & (bps <= cfg.max_borrow_bps)).drop("borrow_bps")
     w = side_weights(rows, cfg, keys)
-    if cfg.neutralize:
-        w = rescale_legs(neutralize(w, exposure, list(cfg.neutralize), keys), keys)
+    if cfg.optimizer is not None:
+        return w.join(factors.select(*keys, "datetime", "instrument", "value"), [*keys, "datetime", "instrument"])
+    columns = list(cfg.neutralize)
+    if sectors is not None:
+        dummies, names = sector_dummies(panel.select("instrument").distinct(), sectors)
+        exposure = dummies if exposure is None or not columns else exposure.join(dummies, "instrument", "left")
+        columns += names
+    if columns:
+        w = rescale_legs(neutralize(w, exposure, columns, keys), keys)
     return clip_weights(w, cfg.max_weight) if cfg.max_weight else w
 
 
 def held_weights(targets: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS) -> DataFrame:
-    """Weights at each close: the sleeves that are alive, each with its share of the capital."""
+    """Weights at each close: the sleeves that are alive, each with its share of the capital.
+
+    A sleeve lives for the holding period, also where that ends before the next rebalance.
+    """
+    by = keys_of(panel)
     days = calendar(panel)
-    last = F.broadcast(days.agg(F.max("i").alias("last")))
-    life = cfg.holding_days if cfg.sleeves > 1 else cfg.rebalance_days
-    span = targets.join(days.select("datetime", "i"), "datetime").crossJoin(last)
-    steps = span.withColumn("i", F.explode(F.sequence("i", F.least(F.col("i") + life, F.col("last")) - 1)))
+    last = days.groupBy(*by).agg(F.max("i").alias("last"))
+    span = targets.join(days.select(*by, "datetime", "i"), [*by, "datetime"])
+    span = span.join(F.broadcast(last), by) if by else span.crossJoin(F.broadcast(last))
+    steps = span.withColumn("i", F.explode(F.sequence("i", F.least(F.col("i") + cfg.holding_days, F.col("last")) - 1)))
     out = steps.groupBy(*keys, "i", "instrument").agg(F.sum(F.col("weight") / cfg.sleeves).alias("weight"))
-    return out.join(days.select("datetime", "i"), "i").select(*keys, "datetime", "instrument", "weight").where(F.abs("weight") > 1e-12)
+    return out.join(days.select(*by, "datetime", "i"), [*by, "i"]).select(*keys, "datetime", "instrument", "weight").where(F.abs("weight") > 1e-12)
 
 
-def daily_path(weights: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, rates: DataFrame | None = None, exposure: DataFrame | None = None) -> DataFrame:
+def daily_path(weights: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, rates: DataFrame | None = None, exposure: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
     """Per date of the return: gross and net return, turnover, and each cost.
 
     Weights of a close earn the return to the next date; trades are the change since the close before.
+    ``of``: the keys that have a path with ``every_date`` (else those of the weights).
     """
+    by = keys_of(panel)
     days = calendar(panel)
-    moves = weights.join(days, "datetime").select(*keys, "i", "instrument", F.col("weight").alias("w"), F.lit(0.0).alias("b"))
+    moves = weights.join(days, [*by, "datetime"]).select(*keys, "i", "instrument", F.col("weight").alias("w"), F.lit(0.0).alias("b"))
     leave = moves.select(*keys, (F.col("i") + 1).alias("i"), "instrument", F.lit(0.0).alias("w"), F.col("w").alias("b"))
     trades = moves.unionByName(leave).groupBy(*keys, "i", "instrument").agg(F.sum("w").alias("w"), F.sum("b").alias("b")).withColumn("d", F.abs(F.col("w") - F.col("b")))
-    trades = trades.join(days.where("next is not null"), "i")
-    r = returns(densify(panel)).select(F.col("datetime").alias("next"), "instrument", F.coalesce("ret", F.lit(0.0)).alias("ret"))
-    t = trades.join(r, ["next", "instrument"], "left")
+    trades = trades.join(days.where("next is not null"), [*by, "i"])
+    r = known_returns(panel).withColumnRenamed("datetime", "next")
+    t = trades.join(r, [*by, "next", "instrument"], "left")
     if cfg.impact_bps:
         exposure = exposure if exposure is not None else exposures(panel, cfg.window, cfg.min_window_obs)
-        usual = exposure.groupBy("datetime").agg(F.percentile("adv", F.lit(0.5)).alias("mid"))
-        t = t.join(exposure.select("datetime", "instrument", "adv"), ["datetime", "instrument"], "left").join(usual, "datetime", "left")
+        t = t.join(exposure.select(*by, "datetime", "instrument", "adv"), [*by, "datetime", "instrument"], "left").join(usual_volume(exposure), [*by, "datetime"], "left")
         part = F.least(div(F.col("d") * cfg.notional, F.coalesce("adv", "mid", F.lit(1.0))), F.lit(cfg.max_participation))
         t = t.withColumn("unit", F.col("d") * F.pow(F.coalesce(part, F.lit(cfg.max_participation)), cfg.impact_exponent))
     else:
@@ -139,9 +164,20 @@ def daily_path(weights: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[s
     bps = F.coalesce("borrow_bps", F.lit(cfg.borrow_bps)) if rates is not None else F.lit(cfg.borrow_bps)
     short = F.when(F.col("w") < 0, -F.col("w")).otherwise(0.0)
     day = t.groupBy(*keys, "next").agg(F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("gross_return"), (F.sum("d") / 2).alias("turnover"), F.sum("d").alias("traded"), F.sum("unit").alias("impact_unit"), F.sum(short).alias("gross_short"), F.sum(F.greatest("w", F.lit(0.0))).alias("gross_long"), (F.sum(short * bps) / 1e4 / YEAR).alias("borrow_unit"))
+    if cfg.every_date:
+        some = (of if of is not None else weights).select(*keys).distinct()
+        dates = days.where("next is not null").select(*by, "next")
+        full = some.join(dates, by) if by else some.crossJoin(dates)
+        units = [c for c in day.columns if c not in (*keys, "next")]
+        day = full.join(day, [*keys, "next"], "left").select(*keys, "next", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in units])
     return costed(day.withColumnRenamed("next", "datetime"), cfg)
 
 
+def usual_volume(exposure: DataFrame) -> DataFrame:
+    """(datetime, mid): the median traded value of each date, which stands in for a missing one."""
+    return exposure.groupBy(*keys_of(exposure), "datetime").agg(F.percentile("adv", F.lit(0.5)).alias("mid"))
+
+
 def costed(day: DataFrame, cfg: Backtest) -> DataFrame:
     """Costs and net return of a daily path from its units."""
     linear = F.col("turnover") * (cfg.commission_bps + cfg.slippage_bps) / 1e4
@@ -150,64 +186,204 @@ def costed(day: DataFrame, cfg: Backtest) -> DataFrame:
     return out.withColumn("net_return", F.col("gross_return") - F.col("total_cost"))
 
 
-def backtest(factors: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, hard_to_borrow: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
-    """The daily path of each key's factor."""
-    if panel.select("datetime").distinct().limit(3).count() < 3:
+def backtest(factors: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, hard_to_borrow: DataFrame | None = None, rates: DataFrame | None = None, sectors: DataFrame | None = None, check: bool = True) -> DataFrame:
+    """The daily path of each key's factor.  ``check``: refuse panels of less than three dates (a job of its own)."""
+    if check and panel.select("datetime").distinct().limit(3).count() < 3:
         raise ValueError("a backtest needs three dates")
-    needs = cfg.min_adv or cfg.neutralize or cfg.impact_bps
+    needs = cfg.min_adv or cfg.neutralize or cfg.impact_bps or cfg.optimizer is not None
     exposure = exposures(panel, cfg.window, cfg.min_window_obs) if needs else None
-    targets = target_weights(factors, panel, cfg, keys, hard_to_borrow, rates, exposure)
-    held = held_weights(targets, panel, cfg, keys)
-    if cfg.target_vol or cfg.turnover_cap:
-        return sequential(held, panel, cfg, keys)
-    return daily_path(held, panel, cfg, keys, rates, exposure)
-
-
-def sequential(held: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS) -> DataFrame:
-    """Daily paths with volatility targeting and a turnover cap: one state machine per key."""
-    r = returns(densify(panel)).select("datetime", "instrument", F.coalesce("ret", F.lit(0.0)).alias("ret"))
-    days = calendar(panel).where("next is not null")
-    rows = held.join(days.select("datetime", "i", "next"), "datetime").join(r.withColumnRenamed("datetime", "next"), ["next", "instrument"], "left")
-    names = panel.select("instrument").distinct()
-    # a capped book may hold on to names without a target: their returns are needed too
-    grid = held.select(*keys).distinct().crossJoin(names).crossJoin(days.select("i", "next")).join(r.withColumnRenamed("datetime", "next"), ["next", "instrument"]).join(rows.select(*keys, "i", "instrument", "weight"), [*keys, "i", "instrument"], "left")
+    targets = target_weights(factors, panel, cfg, keys, hard_to_borrow, rates, exposure, sectors)
+    if cfg.target_vol or cfg.turnover_cap or cfg.optimizer is not None:
+        return sequential(targets, panel, cfg, keys, rates, exposure)
+    return daily_path(held_weights(targets, panel, cfg, keys), panel, cfg, keys, rates, exposure, factors)
+
+
+def _groups(batches, names: list[str]):
+    """Consecutive rows that are equal in ``names``, one table each; the rows come sorted by them."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        new = np.zeros(table.num_rows, bool)
+        for c in names:
+            x = table[c].to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), table.num_rows]
+        for a, b in zip(cuts[:-2], cuts[1:-1]):
+            yield table.slice(a, b - a)
+        rest = table.slice(cuts[-2])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+class _Book:
+    """The state of one path: names, sleeves with their ends, weights of the last close and net returns."""
+
+    def __init__(self, cfg: Backtest):
+        self.cfg, self.names = cfg, {}
+        self.sleeves: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.held, self.net = np.zeros(0), []
+
+    def places(self, names) -> np.ndarray:
+        at = np.array([self.names.setdefault(n, len(self.names)) for n in names], np.int64)
+        if len(self.names) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros(len(self.names) - len(self.held))])
+        return at
+
+    def scale(self) -> float:
+        cfg = self.cfg
+        if not cfg.target_vol or len(self.net) < cfg.vol_window:
+            return 1.0
+        sd = float(np.std(self.net[-cfg.vol_window :], ddof=1)) if cfg.vol_window > 1 else 0.0
+        return min(max(cfg.target_vol / YEAR**0.5 / sd, 0.0), cfg.max_leverage) if sd > 0 else 1.0
+
+    def goal(self) -> np.ndarray:
+        out = np.zeros(len(self.held))
+        for _, at, w in self.sleeves:
+            out[at] += w / self.cfg.sleeves
+        return out
+
+    def optimized(self, at: np.ndarray, rows, scale: float) -> np.ndarray:
+        """Weights of a new sleeve by the optimizer, then (unless its solver has kept to them) neutral and capped ones."""
+        cfg = self.cfg
+        wanted = ((self.held / scale if scale > 0 else 0.0) - self.goal())[at] * cfg.sleeves
+        x = np.column_stack([np.zeros((len(at), 0)), *(rows[c].to_numpy(float) for c in cfg.neutralize)])
+        w, meta = optimize(rows["value"].to_numpy(float), np.sign(rows["weight"].to_numpy(float)), wanted, x, cfg.optimizer, cfg.max_weight, costs_of(rows, cfg))
+        if w is None:
+            return np.zeros(len(at))
+        if meta["backend_used"] != "qp":
+            some = w != 0
+            if x.shape[1] and some.any():
+                w[some] = residual_weights(w[some], x[some])
+                w = legs(w, 0.5, 0.5, True)
+            if cfg.max_weight:
+                w = legs(np.clip(w, -cfg.max_weight, cfg.max_weight), 0.5, 0.5, False)
+        return w
+
+    def day(self, i: int, rows) -> tuple:
+        """One date: expiry, new sleeve, leverage, turnover cap, costs; the row of the daily path."""
+        cfg = self.cfg
+        self.sleeves = [s for s in self.sleeves if s[0] > i]
+        scale, at = self.scale(), self.places(rows["instrument"])
+        new = rows["weight"].notna().to_numpy()
+        if new.any():
+            some = rows[new]
+            w = some["weight"].to_numpy(float) if cfg.optimizer is None else self.optimized(at[new], some, scale)
+            if np.any(w):
+                self.sleeves.append((i + cfg.holding_days, at[new], w))
+        delta = self.goal() * scale - self.held
+        turnover = np.abs(delta).sum() / 2
+        if cfg.turnover_cap and turnover > cfg.turnover_cap:
+            delta *= cfg.turnover_cap / turnover
+            turnover = cfg.turnover_cap
+        self.held = self.held + delta
+        ret, adv, bps = np.zeros(len(self.held)), np.full(len(self.held), np.nan), np.full(len(self.held), cfg.borrow_bps)
+        ret[at] = rows["ret"].fillna(0.0)
+        bps[at] = rows["bps"]
+        unit = 0.0
+        if cfg.impact_bps:
+            adv[at] = rows["adv"]
+            mid = rows["mid"].iloc[0]
+            adv = np.where(np.isnan(adv), 1.0 if np.isnan(mid) else mid, adv)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                part = np.abs(delta) * cfg.notional / adv
+            part = np.where(np.isnan(part), cfg.max_participation, np.minimum(part, cfg.max_participation))
+            unit = float((np.abs(delta) * part**cfg.impact_exponent).sum())
+        short, traded = np.maximum(-self.held, 0.0), float(np.abs(delta).sum())
+        gross, borrow = float(self.held @ ret), float(short @ bps) / 1e4 / YEAR
+        self.net.append(gross - turnover * (cfg.commission_bps + cfg.slippage_bps) / 1e4 - traded * cfg.half_spread_bps / 1e4 - unit * cfg.impact_bps / 1e4 - borrow * cfg.borrow_multiplier)
+        return gross, float(turnover), traded, unit, float(short.sum()), float(np.maximum(self.held, 0.0).sum()), borrow, scale
+
+
+def legs(w: np.ndarray, long: float, short: float, scale_up: bool) -> np.ndarray:
+    """``risk.rescale_legs`` of one cross-section."""
+    out = np.zeros(len(w))
+    for sign, size in ((1, long), (-1, short)):
+        side = sign * w > 0
+        total = np.abs(w[side]).sum()
+        if total > 0:
+            out[side] = w[side] * (size / total if scale_up or total > size else 1.0)
+    return out
+
+
+def costs_of(rows, cfg: Backtest) -> dict[str, np.ndarray]:
+    """What the optimizer knows of each name's costs: of a unit of trade, of a unit of short over the holding period, the most it may trade, variance."""
+    adv = rows["adv"].where(rows["adv"] > 0).to_numpy(float)
+    adv = np.where(np.isnan(adv), np.nanmedian(adv) if np.isfinite(adv).any() else 1.0, adv)
+    n = len(rows)
+    return {"trade": np.full(n, (cfg.commission_bps + cfg.slippage_bps) / 2e4 + cfg.half_spread_bps / 1e4), "borrow": rows["bps"].to_numpy(float) / 1e4 / YEAR * cfg.borrow_multiplier * cfg.holding_days,
+            "most_trade": np.clip(cfg.max_participation * adv / cfg.notional, 0.0, 1.0), "variance": rows["volatility"].to_numpy(float) ** 2 * YEAR}
+
+
+def sequential(targets: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, rates: DataFrame | None = None, exposure: DataFrame | None = None) -> DataFrame:
+    """Daily paths with volatility targeting, a turnover cap or the optimizer: one state machine per key.
+
+    The dates of a key come in order, a batch at a time; what a task holds is one date's rows, the
+    live sleeves and the net returns, for the names that the key has ever targeted.
+    """
+    by = keys_of(panel)
+    if exposure is None and (cfg.impact_bps or cfg.optimizer is not None):
+        exposure = exposures(panel, cfg.window, cfg.min_window_obs)
+    some = targets.select(*keys, "instrument").distinct()
+    days = calendar(panel).where("next is not null").select(*by, "datetime", "i", "next")
+    grid = densify(panel.join(targets.select("instrument").distinct(), "instrument", "left_semi")).select(*by, "datetime", "instrument")
+    rows = grid.join(days, [*by, "datetime"]).join(known_returns(panel).withColumnRenamed("datetime", "next"), [*by, "next", "instrument"], "left")
+    if exposure is not None:
+        rows = rows.join(exposure.select(*by, "datetime", "instrument", "adv", "volatility", *cfg.neutralize), [*by, "datetime", "instrument"], "left") if "volatility" not in cfg.neutralize else rows.join(exposure.select(*by, "datetime", "instrument", "adv", *cfg.neutralize), [*by, "datetime", "instrument"], "left")
+        rows = rows.join(usual_volume(exposure), [*by, "datetime"], "left")
+    if rates is not None:
+        rows = rows.join(rates, ["datetime", "instrument"], "left").withColumn("bps", F.coalesce("borrow_bps", F.lit(cfg.borrow_bps))).drop("borrow_bps")
+    else:
+        rows = rows.withColumn("bps", F.lit(float(cfg.borrow_bps)))
+    rows = rows.join(some, [*by, "instrument"]).join(targets, [*keys, "datetime", "instrument"], "left").drop("datetime")
     fields = ["gross_return", "turnover", "traded", "impact_unit", "gross_short", "gross_long", "borrow_unit", "scale"]
-    key_fields = held.select(*keys).schema
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields.fields), "datetime timestamp", *(f"{c} double" for c in fields)])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ret = group.pivot(index="i", columns="instrument", values="ret").sort_index().fillna(0.0)
-        target = group.pivot(index="i", columns="instrument", values="weight").reindex_like(ret).fillna(0.0).to_numpy()
-        when = group.drop_duplicates("i").set_index("i")["next"].sort_index()
-        out, held_now, net = [], np.zeros(target.shape[1]), []
-        for goal, move in zip(target, ret.to_numpy()):
-            scale = 1.0
-            if cfg.target_vol and len(net) >= cfg.vol_window:
-                sd = float(np.std(net[-cfg.vol_window :], ddof=1))
-                scale = min(max(cfg.target_vol / YEAR**0.5 / sd, 0.0), cfg.max_leverage) if sd > 0 else 1.0
-            delta = goal * scale - held_now
-            turnover = np.abs(delta).sum() / 2
-            if cfg.turnover_cap and turnover > cfg.turnover_cap:
-                delta *= cfg.turnover_cap / turnover
-                turnover = cfg.turnover_cap
-            held_now = held_now + delta
-            short, traded = -held_now[held_now < 0].sum(), np.abs(delta).sum()
-            gross, borrow = float(held_now @ move), short * cfg.borrow_bps / 1e4 / YEAR
-            net.append(gross - turnover * (cfg.commission_bps + cfg.slippage_bps) / 1e4 - traded * cfg.half_spread_bps / 1e4 - borrow * cfg.borrow_multiplier)
-            out.append((gross, turnover, traded, 0.0, short, held_now[held_now > 0].sum(), borrow, scale))
-        table = pd.DataFrame(out, columns=fields)
-        table.insert(0, "datetime", when.to_numpy())
-        for k in reversed(keys):
-            table.insert(0, k, group[k].iloc[0])
-        return table
-
-    return costed(grid.groupBy(*keys).applyInPandas(run, ddl), cfg)
-
-
-def reprice(weights: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, rates: DataFrame | None = None) -> DataFrame:
-    """The path of given weights that are dated by the return they earn (the position of the date before)."""
-    back = calendar(panel).where("prev is not null").select("datetime", "prev")
-    shifted = weights.join(back, "datetime").select(*keys, F.col("prev").alias("datetime"), "instrument", "weight")
+    schema = targets.select(*keys).schema.add("datetime", "timestamp")
+    for c in fields:
+        schema = schema.add(c, "double")
+
+    def run(batches):
+        before, book, out = None, None, []
+        for table in _groups(batches, [*keys, "i"]):
+            day = table.to_pandas()
+            key = tuple(table[k][0].as_py() for k in keys)
+            if key != before:
+                before, book = key, _Book(cfg)
+            got = book.day(int(day["i"].iloc[0]), day)
+            if cfg.every_date or got[1] or got[4] or got[5]:
+                out.append((*key, table["next"][0].as_py(), *got))
+            if len(out) >= 4096:
+                yield _rows(out, schema)
+                out = []
+        if out:
+            yield _rows(out, schema)
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "i", "instrument")
+    return costed(dealt.mapInArrow(run, schema), cfg)
+
+
+def _rows(rows: list[tuple], schema) -> pa.RecordBatch:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), target)], schema=target)
+
+
+def reprice(weights: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, rates: DataFrame | None = None, hard_to_borrow: DataFrame | None = None) -> DataFrame:
+    """The path of given weights that are dated by the return they earn (the position of the date before).
+
+    Shorts of names that can't be borrowed are left out; with a turnover cap the book moves towards
+    the weights, no faster than the cap.
+    """
+    by = keys_of(panel)
+    if hard_to_borrow is not None:
+        weights = weights.join(hard_to_borrow.withColumn("_h", F.lit(True)), "instrument", "left").where("_h is null or weight >= 0").drop("_h")
+    back = calendar(panel).where("prev is not null").select(*by, "datetime", "prev")
+    shifted = weights.join(back, [*by, "datetime"]).select(*keys, F.col("prev").alias("datetime"), "instrument", "weight")
+    if cfg.turnover_cap:
+        # each date's weights are a sleeve for that date
+        return sequential(shifted, panel, replace(cfg, rebalance_days=1, holding_days=1, target_vol=0.0, optimizer=None), keys, rates)
     return daily_path(shifted, panel, cfg, keys, rates)
 
 
@@ -260,4 +436,4 @@ def with_config(cfg: Backtest, **changes) -> Backtest:
     return replace(cfg, **changes)
 
 
-__all__ = ["Backtest", "Column", "SCENARIOS", "SENSITIVITY", "ablation", "backtest", "break_even", "calendar", "cost_sensitivity", "costed", "daily_path", "held_weights", "portfolio_summary", "reprice", "sequential", "side_weights", "target_weights", "with_config"]
+__all__ = ["Backtest", "Column", "Optimizer", "SCENARIOS", "SENSITIVITY", "ablation", "backtest", "break_even", "calendar", "cost_sensitivity", "costed", "daily_path", "held_weights", "portfolio_summary", "reprice", "sequential", "side_weights", "target_weights", "usual_volume", "with_config"]

@@ -23,10 +23,21 @@ UTILITY = {
     "regime_switch_rate_mean": (0.15, False, 0.15), "fallback_frac_mean": (0.15, False, 0.15),
     "ensemble_turnover_mean": (0.20, True, 0.0), "ensemble_cost_mean": (0.20, True, 0.0), "ensemble_borrow_mean": (0.10, True, 0.0),
 }
+#: Other names of the regime tuning presets.
+ALIASES = {"fast": "aggressive", "low-turnover": "low_turnover", "stable": "low_turnover", "execution": "execution_realistic", "realistic": "execution_realistic"}
+#: Metrics that a preset's Pareto front looks at besides the objective.
+PARETO_METRICS = {"aggressive": [], "low_turnover": ["turnover_cost_drag_bps_mean", "regime_switch_rate_mean"], "execution_realistic": ["turnover_cost_drag_bps_mean", "regime_switch_rate_mean", "fallback_frac_mean", "ensemble_cost_mean", "ensemble_borrow_mean"]}
 STABILITY = ("objective_split_std", "objective_split_min", "holdings_objective_split_std", "holdings_objective_split_min")
 USUAL_COST_BPS, COST_SCALE = 0.2, (0.5, 2.5)
 
 
+def regime_preset(name: str | None) -> dict | None:
+    """The regime tuning preset of a name or an alias, in any case; None for unknown names."""
+    key = (name or "").strip().lower()
+    key = ALIASES.get(key, key)
+    return REGIME_TUNING[key] | {"name": key, "pareto_metrics": PARETO_METRICS[key]} if key in REGIME_TUNING else None
+
+
 def merge(*parts: dict | None) -> dict:
     """Constraints in one; later ones win, missing values don't count."""
     return {k: v for p in parts for k, v in (p or {}).items() if v is not None}

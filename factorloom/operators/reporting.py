@@ -29,6 +29,48 @@ def slack(rows: DataFrame, constraints: dict[str, float], key: str = "config_id"
     return rows.select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.*")
 
 
+def selection_report(metrics: DataFrame, pairs: DataFrame, selected: list[str], score: str = "information_ratio", penalty: float = 0.0, top: int = 15) -> DataFrame:
+    """Why alphas were chosen: (alpha_id, score, passed, reasons, selected, avg_abs_corr, max_abs_corr, adjusted), best first.
+
+    ``metrics`` has the score and the quality gates' outcome; ``pairs`` the correlations (a, b, corr).
+    The correlations are those with the selected alphas, an alpha itself left out; ``adjusted`` is the
+    score less ``penalty`` times the average.
+    """
+    to = pairs.where(F.col("b").isin(selected) & (F.col("a") != F.col("b"))).groupBy(F.col("a").alias("alpha_id")).agg(F.avg(F.abs("corr")).alias("avg_abs_corr"), F.max(F.abs("corr")).alias("max_abs_corr"))
+    gates = [c for c in ("passed", "reasons") if c in metrics.columns]
+    rows = metrics.select("alpha_id", F.col(score).alias("score"), *gates).join(to, "alpha_id", "left").withColumns({"selected": F.col("alpha_id").isin(selected), "adjusted": F.col("score") - penalty * F.coalesce("avg_abs_corr", F.lit(0.0))})
+    return rows.orderBy(F.col("selected").desc(), F.col("score").desc_nulls_last(), "alpha_id").limit(max(top, len(selected)))
+
+
+def stage_report(stage: str, rows: list[dict], chosen: dict | None, how: dict, objective: str, constraints: dict | None = None, top: int = 10) -> dict:
+    """A tuning stage in short: counts, the chosen row with its room under each limit, and the first rows of the objective."""
+    limits = {k: float(v) for k, v in (constraints or {}).items() if v is not None}
+
+    def room(row: dict) -> dict:
+        out = {}
+        for k, bound in limits.items():
+            value = row.get(k[4:])
+            if isinstance(value, (int, float)):
+                out[k] = bound - value if k.startswith("max_") else value - bound
+        return out
+
+    best = sorted(rows, key=lambda r: r.get(objective, float("-inf")), reverse=True)[:top]
+    return {"stage": stage, "objective": objective, "n_rows": len(rows), "n_feasible": sum(bool(r.get("is_feasible", True)) for r in rows), "n_pareto": sum(bool(r.get("is_pareto")) for r in rows), "selected_by": how.get("selected_by", ""), "method": how.get("method", ""),
+            "chosen": (chosen or {}) | {"slack": room(chosen)} if chosen else {}, "top": [r | {"slack": room(r)} for r in best]}
+
+
+def stage_markdown(reports: list[dict]) -> str:
+    """Stage reports as one Markdown text."""
+    out = ["# Selection of regime settings", ""]
+    for r in reports:
+        out += [f"## {r['stage']}", "", f"{r['n_rows']} rows, {r['n_feasible']} feasible, {r['n_pareto']} on the Pareto front; chosen by {r['selected_by'] or 'nothing'}.", ""]
+        if r["chosen"]:
+            out += ["| metric | chosen | room |", "|-|-|-|"]
+            slack = r["chosen"]["slack"]
+            out += [f"| {k} | {v:.6g} | {slack.get('max_' + k, slack.get('min_' + k, '')):.6g} |" if f"max_{k}" in slack or f"min_{k}" in slack else f"| {k} | {v if not isinstance(v, float) else format(v, '.6g')} | |" for k, v in r["chosen"].items() if k != "slack"] + [""]
+    return "\n".join(out)
+
+
 def markdown(title: str, tables: dict[str, DataFrame], rows: int = 20) -> str:
     """A report of the first rows of small tables."""
     out = [f"# {title}", ""]

@@ -8,35 +8,59 @@ from pyspark.sql import functions as F
 from ..functions import div, scrub
 from .evaluation import YEAR, summarize
 
-def _in_time():
-    return Window.partitionBy("instrument").orderBy("datetime")
+def _in_time(by=()):
+    return Window.partitionBy(*by, "instrument").orderBy("datetime")
 
 
+def keys_of(panel: DataFrame) -> list[str]:
+    """The columns of a panel that tell its parts (segments of a walk-forward) apart: each part is a panel of its own."""
+    return [c for c in ("split_id", "segment") if c in panel.columns]
+
 
 def densify(panel: DataFrame) -> DataFrame:
-    """All dates by all instruments of the panel, missing rows as NULLs: row steps become calendar steps."""
-    days, names = panel.select("datetime").distinct(), panel.select("instrument").distinct()
-    return days.crossJoin(names).join(panel, ["datetime", "instrument"], "left")
+    """All dates by all instruments of the panel, missing rows as NULLs: row steps become calendar steps.
+
+    Each row is repeated up to the instrument's next one (the first also back to the first date), so
+    there is no join of dates and instruments; the list of dates is one short row for each part.
+    """
+    by = keys_of(panel)
+    days = panel.select(*by, "datetime").distinct()
+    place = days.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("datetime")))
+    whole = days.groupBy(*by).agg(F.sort_array(F.collect_list("datetime")).alias("_days"))
+    w = Window.partitionBy(*by, "instrument").orderBy("_i")
+    rows = panel.join(place, [*by, "datetime"]).withColumns({"_from": F.when(F.lag("_i").over(w).isNull(), 1).otherwise(F.col("_i")), "_to": F.lead("_i").over(w) - 1})
+    rows = rows.join(F.broadcast(whole), by) if by else rows.crossJoin(F.broadcast(whole))
+    grid = rows.withColumn("_j", F.explode(F.sequence("_from", F.coalesce("_to", F.size("_days")))))
+    own = F.col("_j") == F.col("_i")
+    return grid.select(*by, F.element_at("_days", F.col("_j")).alias("datetime"), "instrument", *[F.when(own, F.col(c)).alias(c) for c in panel.columns if c not in (*by, "datetime", "instrument")])
 
 
 def returns(grid: DataFrame) -> DataFrame:
     """The dense grid with ``ret``: close over the last known close, minus one."""
-    known = F.last("close", ignorenulls=True).over(_in_time().rowsBetween(Window.unboundedPreceding, 0))
+    by = keys_of(grid)
+    known = F.last("close", ignorenulls=True).over(_in_time(by).rowsBetween(Window.unboundedPreceding, 0))
     filled = grid.withColumn("_c", known)
-    return filled.withColumn("ret", scrub(div(F.col("_c"), F.lag("_c").over(_in_time())) - 1)).drop("_c")
+    return filled.withColumn("ret", scrub(div(F.col("_c"), F.lag("_c").over(_in_time(by))) - 1)).drop("_c")
 
 
-def _rolling(window: int, min_obs: int):
+def known_returns(panel: DataFrame) -> DataFrame:
+    """(datetime, instrument, ret) of the rows with a close, over the instrument's last one: on all other dates the return is zero."""
+    by = keys_of(panel)
+    return panel.where("close is not null").select(*by, "datetime", "instrument", scrub(div(F.col("close"), F.lag("close").over(_in_time(by))) - 1).alias("ret"))
+
+
+def _rolling(window: int, min_obs: int, by=()):
     if min_obs > window:
         raise ValueError("min_obs must not exceed the window")
-    return _in_time().rowsBetween(-(window - 1), 0)
+    return _in_time(by).rowsBetween(-(window - 1), 0)
 
 
 def exposures(panel: DataFrame, window: int = 20, min_obs: int = 10) -> DataFrame:
     """(datetime, instrument, ret, volatility, log_adv, adv, beta), each known at the close of the date before."""
-    frame = _rolling(window, min_obs)
+    by = keys_of(panel)
+    frame = _rolling(window, min_obs, by)
     r = returns(densify(panel))
-    r = r.withColumn("mkt", F.coalesce(F.avg("ret").over(Window.partitionBy("datetime")), F.lit(0.0)))
+    r = r.withColumn("mkt", F.coalesce(F.avg("ret").over(Window.partitionBy(*by, "datetime")), F.lit(0.0)))
     money = F.col("close") * F.col("volume")
     enough = lambda c: F.count(c).over(frame) >= min_obs
     pair = F.col("ret").isNotNull()
@@ -44,8 +68,8 @@ def exposures(panel: DataFrame, window: int = 20, min_obs: int = 10) -> DataFram
     mean = lambda c: F.avg(c).over(frame)
     beta = div(mean(x * m) - mean(x) * mean(m), mean(m * m) - mean(m) * mean(m))
     now = r.withColumns({"_v": F.when(enough(x), F.stddev_samp(x).over(frame)), "_a": F.when(enough(money), mean(money)), "_b": F.when(enough(x), beta)})
-    lag = lambda c: F.lag(c).over(_in_time())
-    return now.select("datetime", "instrument", "ret", lag("_v").alias("volatility"), F.log1p(lag("_a")).alias("log_adv"), lag("_a").alias("adv"), lag("_b").alias("beta"))
+    lag = lambda c: F.lag(c).over(_in_time(by))
+    return now.select(*by, "datetime", "instrument", "ret", lag("_v").alias("volatility"), F.log1p(lag("_a")).alias("log_adv"), lag("_a").alias("adv"), lag("_b").alias("beta"))
 
 
 def market_features(panel: DataFrame, window: int = 20) -> DataFrame:
@@ -105,23 +129,33 @@ def regime_performance(daily: DataFrame, labels: DataFrame, keys: list[str], x:
     return summarize(daily.join(labels.where("label is not null"), "datetime"), [*keys, "label"], x)
 
 
+def residual_weights(w, x, ridge: float = 1e-8):
+    """Weights of one cross-section less their regression on exposures ``x`` (a missing one is the median) and a constant; too few names: unchanged."""
+    import numpy as np
+
+    x = np.where(np.isfinite(x), x, np.nan)
+    known = np.isfinite(x).any(axis=0) if len(x) else np.zeros(x.shape[1], bool)
+    mid = np.zeros(x.shape[1])
+    mid[known] = np.nanmedian(x[:, known], axis=0)
+    x = np.where(np.isnan(x), mid, x)
+    if len(w) < 3 or len(w) <= x.shape[1] + 1:
+        return w
+    a = np.column_stack([np.ones(len(w)), x])
+    return w - a @ np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ w)
+
+
 def neutralize(weights: DataFrame, exposure: DataFrame, columns: list[str], keys: list[str], ridge: float = 1e-8) -> DataFrame:
     """Residuals of each date's weights on the exposures and a constant; too few names: unchanged.
 
     A missing exposure is the date's median.  One date's names are one group.
     """
-    import numpy as np
-
-    joined = weights.join(exposure.select("datetime", "instrument", *columns), ["datetime", "instrument"], "left")
+    by = [k for k in keys if k in exposure.columns]
+    on = [*by, *(["datetime"] if "datetime" in exposure.columns else []), "instrument"]
+    joined = weights.join(exposure.select(*on, *columns), on, "left")
     schema = weights.select(*keys, "datetime", "instrument", "weight").schema
 
     def run(rows):
-        w, x = rows["weight"].to_numpy(float), rows[columns].astype(float)
-        x = x.fillna(x.median()).fillna(0.0).to_numpy()
-        if len(w) >= 3 and len(w) > x.shape[1] + 1:
-            a = np.column_stack([np.ones(len(w)), x])
-            w = w - a @ np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ w)
-        rows["weight"] = w
+        rows["weight"] = residual_weights(rows["weight"].to_numpy(float), rows[columns].to_numpy(float), ridge)
         return rows[[f.name for f in schema.fields]]
 
     return joined.groupBy(*keys, "datetime").applyInPandas(run, schema)
@@ -129,7 +163,7 @@ def neutralize(weights: DataFrame, exposure: DataFrame, columns: list[str], keys
 
 def sector_dummies(instruments: DataFrame, sectors: DataFrame) -> tuple[DataFrame, list[str]]:
     """0/1 columns for each sector but the first in order; a missing sector is UNKNOWN."""
-    known = instruments.join(F.broadcast(sectors), "instrument", "left").withColumn("sector", F.coalesce("sector", F.lit("UNKNOWN")))
+    known = instruments.join(sectors, "instrument", "left").withColumn("sector", F.coalesce("sector", F.lit("UNKNOWN")))
     names = sorted(r.sector for r in known.select("sector").distinct().collect())[1:]
     return known.select("instrument", *[(F.col("sector") == s).cast("double").alias(f"sector_{s}") for s in names]), [f"sector_{s}" for s in names]
 
@@ -150,4 +184,4 @@ def clip_weights(weights: DataFrame, most: float, drop_below: float = 1e-12) ->
     return weights.withColumn("weight", w).where(F.abs("weight") > drop_below)
 
 
-__all__ = ["YEAR", "clip_weights", "densify", "edges", "exposures", "market_features", "neutralize", "place", "regime_buckets", "regime_labels", "regime_performance", "regime_stats", "rescale_legs", "returns", "sector_dummies"]
+__all__ = ["YEAR", "clip_weights", "densify", "edges", "exposures", "keys_of", "known_returns", "market_features", "neutralize", "place", "regime_buckets", "regime_labels", "regime_performance", "regime_stats", "rescale_legs", "residual_weights", "returns", "sector_dummies"]

@@ -6,6 +6,7 @@ of configurations, the calendar) is worked on in the driver.
 
 from __future__ import annotations
 
+import dataclasses
 import itertools
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import correlation, div
 from . import portfolio as pf
 from .evaluation import YEAR, summarize
+from .optimizer import Optimizer, factor_risk_model, feasible, optimize, ridge_weights
 
 # -- walk-forward ---------------------------------------------------------------------------------
 
@@ -49,41 +51,43 @@ def splits(dates: list, cfg: WalkForward) -> list[dict]:
     return out
 
 
-def walk_forward(factors: DataFrame, panel: DataFrame, cfg: pf.Backtest, wf: WalkForward) -> DataFrame:
+def segments(panel: DataFrame, wf: WalkForward) -> DataFrame:
+    """(split_id, segment, start, end): a few rows for each split; the calendar comes to the driver for it."""
+    spark = panel.sparkSession
+    dates = [r.datetime for r in panel.select("datetime").distinct().orderBy("datetime").collect()]
+    return spark.createDataFrame([tuple(x.values()) for x in splits(dates, wf)], "split_id int, segment string, start timestamp, end timestamp")
+
+
+def in_segments(df: DataFrame, table: DataFrame, *names: str) -> DataFrame:
+    """The rows of dated ``df`` once for each segment that holds them: a range join with a short table."""
+    some = table.where(F.col("segment").isin(*names)) if names else table
+    return df.join(F.broadcast(some), df["datetime"].between(some["start"], some["end"])).drop("start", "end")
+
+
+WF_KEYS = ["alpha_id", "split_id", "segment", "sign"]
+
+
+def chosen_signs(paths: DataFrame) -> DataFrame:
+    """(alpha_id, split_id, sign): of both signs' training paths that of the larger information ratio (ties: the factor as it is)."""
+    ir = paths.where("segment = 'train'").groupBy("alpha_id", "split_id", "sign").agg(F.coalesce(div(F.avg("net_return"), F.stddev_samp("net_return")), F.lit(0.0)).alias("ir"))
+    return ir.groupBy("alpha_id", "split_id").agg(F.max_by("sign", F.struct("ir", "sign")).alias("sign"))
+
+
+def walk_forward(factors: DataFrame, panel: DataFrame, cfg: pf.Backtest, wf: WalkForward, **market) -> DataFrame:
     """Daily paths of all splits: (alpha_id, split_id, segment, sign, ...).
 
     Every segment starts anew (its exposures know nothing before it).  Both signs are traded on the
-    training segment; the one of the larger information ratio (ties: the factor as it is) goes on to
-    validation and test.  The splits are a short broadcast table of date ranges.
+    training segment; the better one goes on to validation and test.  Segments are keys of the panel
+    and of the paths: all training segments are one plan, all others a second one.  ``market``:
+    sectors, rates and names that can't be borrowed, as for a backtest.
     """
-    spark = panel.sparkSession
-    dates = [r.datetime for r in panel.select("datetime").distinct().orderBy("datetime").collect()]
-    table = splits(dates, wf)
-    keys = ["alpha_id", "split_id", "sign"]
+    table = segments(panel, wf)
     signed = factors.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("value", F.col("value") * F.col("sign"))
-
-    def segment(name: str, source: DataFrame) -> DataFrame | None:
-        parts = []
-        for row in (x for x in table if x["segment"] == name):
-            inside = F.col("datetime").between(F.lit(row["start"]), F.lit(row["end"]))
-            part = source.where(inside).withColumn("split_id", F.lit(row["split_id"]))
-            if "chosen" in source.columns:
-                part = part.where(F.col("chosen") == F.col("split_id")).drop("chosen")
-            parts.append(pf.backtest(part, panel.where(inside), cfg, keys).withColumn("segment", F.lit(name)))
-        out = None
-        for p in parts:
-            out = p if out is None else out.unionByName(p)
-        return out
-
-    train = segment("train", signed)
-    ir = train.groupBy(*keys).agg(F.coalesce(div(F.avg("net_return"), F.stddev_samp("net_return")), F.lit(0.0)).alias("ir"))
-    best = ir.groupBy("alpha_id", "split_id").agg(F.max_by("sign", F.struct("ir", "sign")).alias("sign"))
-    chosen = signed.join(F.broadcast(best.withColumnRenamed("split_id", "chosen")), ["alpha_id", "sign"])
-    rest = [x for x in (segment("valid", chosen), segment("test", chosen)) if x is not None]
-    out = train.join(best, keys, "left_semi")
-    for x in rest:
-        out = out.unionByName(x)
-    return out
+    train = pf.backtest(in_segments(signed, table, "train"), in_segments(panel, table, "train"), cfg, WF_KEYS, check=False, **market)
+    best = chosen_signs(train)
+    later = in_segments(signed, table, "valid", "test").join(best, ["alpha_id", "split_id", "sign"], "left_semi")
+    rest = pf.backtest(later, in_segments(panel, table, "valid", "test"), cfg, WF_KEYS, check=False, **market)
+    return train.join(best, ["alpha_id", "split_id", "sign"], "left_semi").unionByName(rest)
 
 
 def out_of_sample(paths: DataFrame) -> DataFrame:
@@ -159,15 +163,46 @@ def select_diverse(daily: DataFrame, k: int = 2, penalty: float = 0.5, x: str =
     return greedy_diverse(s, pairs, k, penalty)
 
 
-def tune_selection(train: DataFrame, valid: DataFrame, ks=(1, 2, 3), penalties=(0.0, 0.5, 1.0), most: int = 24, x: str = "net_return") -> dict:
-    """The (k, penalty) whose choice on ``train`` has the best equally weighted ensemble on ``valid``."""
-    best = None
-    for k, penalty in thin(list(itertools.product(ks, penalties)), most):
-        names = select_diverse(train, k, penalty, x)
-        row = summarize(equal_weight_ensemble(valid.where(F.col("alpha_id").isin(names)), x), [], x).first()
-        found = {"k": k, "penalty": penalty, "alphas": names, "valid_ir": row.information_ratio}
-        best = found if best is None or found["valid_ir"] > best["valid_ir"] else best
-    return best
+def selectable(metrics: DataFrame, max_total_cost_bps: float | None = None, min_positive_frac: float | None = None) -> DataFrame:
+    """The rows whose known mean cost and known share of positive test splits keep the limits; unknown ones stay."""
+    out = metrics
+    if max_total_cost_bps is not None:
+        out = out.where(F.coalesce(F.col("total_cost_mean") * 1e4 <= max_total_cost_bps, F.lit(True)))
+    if min_positive_frac is not None:
+        out = out.where(F.coalesce(F.col("positive_frac") >= min_positive_frac, F.lit(True)))
+    return out
+
+
+def valid_candidates(valid: DataFrame, min_valid_ir: float | None = None, min_valid_coverage: float | None = None, x: str = "net_return") -> DataFrame:
+    """(alpha_id, valid_ir, valid_coverage) of the alphas that keep both limits; coverage is the share of all validation dates with a return."""
+    n = valid.agg(F.countDistinct("datetime").alias("dates"))
+    rows = summarize(valid, ["alpha_id"], x).crossJoin(F.broadcast(n)).select("alpha_id", F.col("information_ratio").alias("valid_ir"), (F.col("n_obs") / F.col("dates")).alias("valid_coverage"))
+    if min_valid_ir is not None:
+        rows = rows.where(F.col("valid_ir") >= min_valid_ir)
+    return rows.where(F.col("valid_coverage") >= min_valid_coverage) if min_valid_coverage is not None else rows
+
+
+def tune_selection(valid: DataFrame, pools=(10, 20), penalties=(0.0, 0.2, 0.5, 0.8), ks=(3,), most: int = 24, x: str = "net_return", min_valid_ir: float | None = None, min_valid_coverage: float | None = None, max_pairwise_corr: float | None = None, min_periods: int = 20) -> dict:
+    """The (pool, penalty, k) whose greedy choice has the best equally weighted ensemble on the validation returns.
+
+    Scores and correlations come from Spark, as many as there are candidates (and pairs of them);
+    the returns of the candidates on the validation dates are a small matrix in the driver.
+    """
+    rows = valid_candidates(valid, min_valid_ir, min_valid_coverage, x).orderBy(F.col("valid_ir").desc(), "alpha_id").collect()
+    scores = {r.alpha_id: r.valid_ir for r in rows}
+    if len(scores) < 2:
+        return {"enabled": False, "error": "too few candidates", "results": []}
+    some = valid.where(F.col("alpha_id").isin(*scores))
+    pairs = {(r.a, r.b): r["corr"] for r in return_correlations(some, x, min_periods).collect()}
+    wide = some.select("datetime", "alpha_id", F.col(x).alias("x")).toPandas().pivot(index="datetime", columns="alpha_id", values="x")
+    results = []
+    for pool, penalty, k in thin(list(itertools.product(pools, penalties, ks)), most):
+        names = greedy_diverse(dict(list(scores.items())[:pool]), pairs, k, penalty, max_pairwise_corr)
+        stream = wide[names].mean(axis=1).dropna()
+        sd = stream.std(ddof=1) if len(stream) > 1 else 0.0
+        results.append({"pool": pool, "penalty": penalty, "k": k, "alphas": names, "valid_ir": float(stream.mean() / sd * YEAR**0.5) if sd > 0 else 0.0})
+    best = max(results, key=lambda r: r["valid_ir"])
+    return {"enabled": True, "best": best, "alphas": best["alphas"], "results": sorted(results, key=lambda r: -r["valid_ir"])}
 
 
 # -- constraints and Pareto fronts ---------------------------------------------------------------------
@@ -229,24 +264,33 @@ def pareto(rows: DataFrame, maximize: list[str], minimize: list[str], key: str =
     return scored.drop(*hidden).join(front.withColumn("is_pareto", F.lit(True)), key, "left").withColumn("is_pareto", F.coalesce("is_pareto", F.lit(False))).withColumn("pareto_rank", F.when(F.col("is_pareto"), 1).otherwise(2))
 
 
-def goodness(c: str, larger: bool = True) -> Column:
-    """A column scaled to 0..1 over all rows of a grid, 1 best; a constant column is 1."""
-    w = Window.partitionBy()
-    span = F.max(c).over(w) - F.min(c).over(w)
-    up = div(F.col(c) - F.min(c).over(w), span)
-    return F.coalesce(up if larger else 1 - up, F.lit(1.0))
+def goodness(rows: DataFrame, metrics: dict[str, str], larger: dict[str, bool] | None = None) -> DataFrame:
+    """``rows`` with each metric scaled to 0..1 over all of them, 1 best; a constant metric is 1.  ``metrics``: column to new column.
+
+    Least and largest values are one aggregated row, joined back.
+    """
+    ends = rows.agg(*[f(c).alias(f"_{n}_{c}") for c in metrics for n, f in (("lo", F.min), ("hi", F.max))])
+    out = {}
+    for c, name in metrics.items():
+        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+        up = div(F.col(c) - lo, hi - lo) if (larger or {}).get(c, True) else 1 - div(F.col(c) - lo, hi - lo)
+        out[name] = F.coalesce(up, F.lit(1.0))
+    return rows.crossJoin(F.broadcast(ends)).withColumns(out).drop(*ends.columns)
 
 
 def knee(rows: DataFrame, maximize: list[str], minimize: list[str], key: str = "config_id") -> DataFrame:
     """The row nearest to the ideal point of the scaled objectives; ties go to the first key."""
-    parts = [goodness(c) for c in maximize] + [goodness(c, False) for c in minimize]
-    return rows.withColumn("distance", F.sqrt(sum(((1 - p) ** 2 for p in parts), F.lit(0.0)))).orderBy("distance", key).limit(1)
+    names = {c: f"_g{i}" for i, c in enumerate([*maximize, *minimize])}
+    scaled = goodness(rows, names, {c: c in maximize for c in names})
+    return scaled.withColumn("distance", F.sqrt(sum(((1 - F.col(g)) ** 2 for g in names.values()), F.lit(0.0)))).drop(*names.values()).orderBy("distance", key).limit(1)
 
 
 def utility(rows: DataFrame, weights: dict[str, float], key: str = "config_id") -> DataFrame:
     """Rows by the weighted sum of scaled metrics (a negative weight: smaller is better), best first."""
-    total = sum((abs(w) * goodness(c, w >= 0) for c, w in weights.items()), F.lit(0.0))
-    return rows.withColumn("utility", total).orderBy(F.col("utility").desc(), key)
+    names = {c: f"_g{i}" for i, c in enumerate(weights)}
+    scaled = goodness(rows, names, {c: w >= 0 for c, w in weights.items()})
+    total = sum((abs(w) * F.col(names[c]) for c, w in weights.items()), F.lit(0.0))
+    return scaled.withColumn("utility", total).drop(*names.values()).orderBy(F.col("utility").desc(), key)
 
 
 # -- sweeps ----------------------------------------------------------------------------------------------
@@ -255,9 +299,13 @@ def utility(rows: DataFrame, weights: dict[str, float], key: str = "config_id")
 def sweep(factors: DataFrame, panel: DataFrame, base: pf.Backtest, grid: dict[str, list], most: int = 24) -> DataFrame:
     """The summary of each configuration of a grid, the base first; at most ``most`` of them."""
     points = [{}] + [dict(zip(grid, p)) for p in itertools.product(*grid.values())]
+    return _configurations(factors, panel, base, [points[0], *thin(points[1:], most - 1)])
+
+
+def _configurations(factors: DataFrame, panel: DataFrame, base: pf.Backtest, points: list[dict]) -> DataFrame:
     out = None
-    for i, change in enumerate([points[0], *thin(points[1:], most - 1)]):
-        daily = pf.backtest(factors, panel, pf.with_config(base, **change))
+    for i, change in enumerate(points):
+        daily = pf.backtest(factors, panel, pf.with_config(base, **change), check=not i)
         row = pf.portfolio_summary(daily).withColumns({"config_id": F.lit(i), "config": F.lit(", ".join(f"{k}={v}" for k, v in change.items()))})
         out = row if out is None else out.unionByName(row)
     return out
@@ -267,6 +315,44 @@ def schedule_sweep(factors: DataFrame, panel: DataFrame, base: pf.Backtest, reba
     return sweep(factors, panel, base, {"rebalance_days": list(rebalance), "holding_days": list(holding)}, most)
 
 
+def schedule_pairs(rebalance, holding, base: pf.Backtest, most: int = 25) -> list[dict]:
+    """The (rebalance, holding) pairs of a sweep in order, the base's among them (first, where there are more than ``most``)."""
+    own = (base.rebalance_days, base.holding_days)
+    pairs = sorted({(r, h) for r in rebalance for h in holding if r > 0 and h > 0})
+    pairs = pairs if own in pairs else [own, *pairs]
+    if len(pairs) > most:
+        pairs = [own, *[p for p in pairs if p != own][: most - 1]]
+    return [{"rebalance_days": r, "holding_days": h} for r, h in pairs]
+
+
+def best_schedule(factors: DataFrame, panel: DataFrame, base: pf.Backtest, rebalance=(1, 5, 10), holding=(5, 10), most: int = 25) -> DataFrame:
+    """(alpha_id, config, information_ratio) of each alpha's best pair of a schedule sweep; ties go to the first."""
+    rows = _configurations(factors, panel, base, schedule_pairs(rebalance, holding, base, most))
+    return rows.groupBy("alpha_id").agg(F.max_by(F.struct("config", "information_ratio"), F.struct("information_ratio", -F.col("config_id"))).alias("b")).select("alpha_id", "b.config", "b.information_ratio")
+
+
+#: The scenarios of an end-to-end ablation and the settings that each changes.
+END_TO_END = {
+    "no_costs": {"commission_bps": 0.0, "slippage_bps": 0.0, "half_spread_bps": 0.0, "impact_bps": 0.0, "borrow_multiplier": 0.0},
+    "linear_only": {"half_spread_bps": 0.0, "impact_bps": 0.0, "borrow_multiplier": 0.0},
+    "linear_spread": {"impact_bps": 0.0, "borrow_multiplier": 0.0},
+    "linear_spread_impact": {"borrow_multiplier": 0.0},
+    "full": {},
+}
+
+
+def end_to_end_ablation(factors: DataFrame, panel: DataFrame, cfg: pf.Backtest, wf: WalkForward, **market) -> DataFrame:
+    """The out-of-sample summary under each cost scenario, with the whole walk-forward (signs, too) done again under it."""
+    out = None
+    for name, change in END_TO_END.items():
+        own = dict(change)
+        if cfg.optimizer is not None and name == "no_costs":
+            own["optimizer"] = dataclasses.replace(cfg.optimizer, cost=0.0)
+        row = pf.portfolio_summary(out_of_sample(walk_forward(factors, panel, pf.with_config(cfg, **own), wf, **market))).withColumn("scenario", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # -- allocation --------------------------------------------------------------------------------------------
 
 
@@ -282,25 +368,42 @@ def project_simplex(v: np.ndarray, cap: float = 1.0) -> np.ndarray:
     return w / w.sum()
 
 
-def fit_allocation(scores: np.ndarray, cov: np.ndarray, risk: float = 1.0, l2: float = 0.0, turnover: float = 0.0, before: np.ndarray | None = None, cap: float = 1.0, steps: int = 200, rate: float = 0.1) -> np.ndarray:
-    """Projected gradient ascent on s.w - risk w'Cw - l2 |w|^2 - turnover |w - before|^2 over the capped simplex."""
-    s = np.maximum(scores, 0.0)
-    s = s / s.max() if s.max() > 0 else np.ones_like(s)
-    scale = max(np.abs(cov).max(), 1e-12)
-    w = np.full(len(s), 1.0 / len(s))
-    start = w if before is None else before
+def fit_allocation(returns: np.ndarray, penalty: float = 0.5, l2: float = 1e-6, turnover: float = 0.0, before: np.ndarray | None = None, cap: float = 1.0, metric: str = "information_ratio", steps: int = 200, rate: float = 0.1) -> np.ndarray:
+    """Weights of the alphas from their returns (dates x alphas): projected gradient ascent over the capped simplex on
+
+    s.w - penalty w'|C|w - l2 |w|^2 - turnover |w - before|^2, where s are the scores, none negative
+    (all ones, if none is positive), and C is the correlation of the returns.
+    """
+    r = np.nan_to_num(returns)
+    n = r.shape[1]
+    mean, sd = r.mean(axis=0), r.std(axis=0, ddof=1) if len(r) > 1 else np.zeros(n)
+    ir = np.where(sd > 0, mean / np.where(sd > 0, sd, 1.0), 0.0) * YEAR**0.5
+    s = np.maximum(ir if metric == "information_ratio" else (1 + mean) ** YEAR - 1, 0.0)
+    s = s if s.sum() > 0 else np.ones(n)
+    z = np.where(sd > 0, (r - mean) / np.where(sd > 0, sd, 1.0), 0.0)
+    c = np.abs(z.T @ z / max(len(r) - 1, 1))
+    np.fill_diagonal(c, 1.0)
+    values, vectors = np.linalg.eigh(c)
+    c = (vectors * np.maximum(values, 1e-8)) @ vectors.T
+    cap = cap if 0 < cap < 1 else 1.0
+    if before is not None and np.maximum(np.nan_to_num(before), 0).sum() > 0:
+        before = np.maximum(np.nan_to_num(before), 0)
+        before = project_simplex(before / before.sum(), cap)
+    else:
+        before = None
+    w = np.full(n, 1.0 / n) if before is None else before
     for _ in range(steps):
-        w = project_simplex(w + rate * (s - 2 * risk * (cov / scale) @ w - 2 * l2 * w - 2 * turnover * (w - start)), cap)
+        anchor = w if before is None else before
+        new = project_simplex(w + rate * (s - 2 * penalty * c @ w - 2 * l2 * w - 2 * turnover * (w - anchor)), cap)
+        done, w = np.linalg.norm(new - w) <= 1e-8, new
+        if done:
+            break
     return w
 
 
 def _fit(rows, names: list[str], cfg: dict) -> dict[str, float]:
     wide = rows.pivot(index="datetime", columns="alpha_id", values="x").reindex(columns=names).fillna(0.0)
-    m = wide.to_numpy()
-    sd = m.std(axis=0, ddof=1) if len(m) > 1 else np.ones(m.shape[1])
-    scores = np.where(sd > 0, m.mean(axis=0) / np.where(sd > 0, sd, 1), 0.0)
-    cov = np.cov(m, rowvar=False).reshape(len(names), -1) if len(m) > 1 else np.eye(len(names))
-    return dict(zip(names, fit_allocation(scores, cov, **cfg)))
+    return dict(zip(names, fit_allocation(wide.to_numpy(), **cfg)))
 
 
 def allocate(daily: DataFrame, labels: DataFrame | None = None, x: str = "net_return", min_days: int = 20, **cfg) -> DataFrame:
@@ -321,23 +424,36 @@ def allocate(daily: DataFrame, labels: DataFrame | None = None, x: str = "net_re
     return rows.groupBy("label").applyInPandas(run, "label string, alpha_id string, weight double")
 
 
-def daily_allocation(allocation: DataFrame, labels: DataFrame, smoothing: float = 0.0) -> DataFrame:
-    """(datetime, alpha_id, weight): each date's regime allocation (global, where it has none), optionally smoothed in time."""
-    days = labels.select("datetime", F.coalesce("label", F.lit("none")).alias("label"))
-    known = allocation.select("label").distinct().withColumn("_k", F.lit(True))
-    use = days.join(F.broadcast(known), "label", "left").select("datetime", F.when(F.col("_k"), F.col("label")).otherwise("global").alias("label"))
-    out = use.join(allocation, "label").select("datetime", "alpha_id", "weight")
-    if not smoothing:
-        return out
-    schema = out.schema
+def daily_weights(labels: list, by_label: dict[str, np.ndarray], fallback: np.ndarray, smoothing: float = 0.0, cap: float = 1.0) -> tuple[np.ndarray, float]:
+    """The weights of each date (in order) by its label, smoothed in time and kept under the cap, and the share of dates that fell back."""
+    cap = cap if 0 < cap < 1 else 1.0
+    fallback = np.maximum(np.nan_to_num(fallback), 0.0)
+    fallback = fallback / fallback.sum() if fallback.sum() > 0 else np.full(len(fallback), 1 / len(fallback))
+    before, out, used = project_simplex(fallback, cap), [], 0
+    for label in labels:
+        target = by_label.get(label) if isinstance(label, str) else None
+        used += target is None
+        target = fallback if target is None else target
+        before = project_simplex((1 - smoothing) * target + smoothing * before if smoothing else target, cap)
+        out.append(before)
+    return np.array(out).reshape(-1, len(fallback)), used / max(len(labels), 1)
+
+
+def daily_allocation(allocation: DataFrame, labels: DataFrame, smoothing: float = 0.0, cap: float = 1.0) -> DataFrame:
+    """(datetime, alpha_id, weight): each date's regime allocation (global, where it has none), smoothed in time and under the cap.
+
+    One group: as many rows as there are dates; the allocation is as large as labels and alphas are.
+    """
+    table = allocation.toPandas().pivot(index="label", columns="alpha_id", values="weight").fillna(0.0)
+    names, known = list(table.columns), {k: table.loc[k].to_numpy() for k in table.index}
+    out = labels.select("datetime").schema.add("alpha_id", "string").add("weight", "double")
 
     def run(rows):
         rows = rows.sort_values("datetime")
-        rows["weight"] = rows["weight"].ewm(alpha=1 - smoothing, adjust=False).mean()
-        return rows[[f.name for f in schema.fields]]
+        w, _ = daily_weights(list(rows["label"]), {k: v for k, v in known.items() if k != "global"}, known["global"], smoothing, cap)
+        return pd.DataFrame({"datetime": np.repeat(rows["datetime"].to_numpy(), len(names)), "alpha_id": names * len(rows), "weight": w.reshape(-1)})
 
-    smooth = out.groupBy("alpha_id").applyInPandas(run, schema)
-    return smooth.withColumn("weight", div(F.col("weight"), F.sum("weight").over(Window.partitionBy("datetime"))))
+    return labels.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, out)
 
 
 def allocated_returns(daily: DataFrame, weights: DataFrame, x: str = "net_return", turnover_bps: float = 0.0) -> DataFrame:
@@ -347,21 +463,6 @@ def allocated_returns(daily: DataFrame, weights: DataFrame, x: str = "net_return
     return daily.join(moved, ["datetime", "alpha_id"]).groupBy("datetime").agg(F.sum(F.col("weight") * F.col(x)).alias("gross"), (F.sum("_d") / 2).alias("alpha_turnover")).withColumn(x, F.col("gross") - F.col("alpha_turnover") * turnover_bps / 1e4)
 
 
-def tune_regimes(daily: DataFrame, features: DataFrame, train_end, grid: dict[str, list], turnover_bps: float = 0.0) -> DataFrame:
-    """One row for each (mode, buckets, smoothing): fitted up to ``train_end``, judged after it."""
-    from .risk import regime_labels, regime_stats
-
-    out = None
-    for i, (mode, buckets, smoothing) in enumerate(itertools.product(grid["mode"], grid["n_buckets"], grid["smoothing"])):
-        labels = regime_labels(features, features.where(F.col("datetime") <= train_end), mode, buckets)
-        train = daily.where(F.col("datetime") <= train_end)
-        path = allocated_returns(daily.where(F.col("datetime") > train_end), daily_allocation(allocate(train, labels), labels, smoothing), turnover_bps=turnover_bps)
-        row = summarize(path, [], "net_return").crossJoin(path.agg(F.avg("alpha_turnover").alias("alpha_turnover_mean"))).crossJoin(regime_stats(labels).select("switch_rate"))
-        row = row.withColumns({"config_id": F.lit(i), "mode": F.lit(mode), "n_buckets": F.lit(buckets), "smoothing": F.lit(float(smoothing))})
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def holdings_ensemble(held: DataFrame, alpha_weights: DataFrame | None = None) -> DataFrame:
     """Blended holdings (datetime, instrument, weight): equally over the alphas, or by given (static or daily) alpha weights."""
     if alpha_weights is None:
@@ -371,80 +472,29 @@ def holdings_ensemble(held: DataFrame, alpha_weights: DataFrame | None = None) -
     return held.join(alpha_weights.withColumnRenamed("weight", "_a"), on).groupBy("datetime", "instrument").agg(F.sum(F.col("weight") * F.col("_a")).alias("weight"))
 
 
-# -- optimizer and risk model --------------------------------------------------------------------------------
+# -- optimizer ------------------------------------------------------------------------------------------------
 
 
-def ridge_weights(scores: np.ndarray, exposures: np.ndarray, variances: np.ndarray, side: np.ndarray, ridge: float = 1e-3, risk: float = 1.0, exposure_penalty: float = 1.0, most: float = 1.0) -> np.ndarray:
-    """(D + A A') w = b, D the names' risk, A the scaled exposures; then signs, caps and legs of one half.
+def optimized_targets(targets: DataFrame, factors: DataFrame, exposure: DataFrame, columns: list[str], keys: list[str], opt: Optimizer | None = None, most: float = 0.0) -> DataFrame:
+    """Weights of each date's target sides by the optimizer, each date by itself: one group of candidates per key and date.
 
-    Solved by the Woodbury identity in as many unknowns as there are exposures.
+    Scores are standardized; without weights, the date keeps the targets' own.
     """
-    x = np.where(np.isfinite(exposures), exposures, np.nan)
-    x = np.where(np.isnan(x), np.nanmedian(x, axis=0), x) if x.size else x
-    sd = x.std(axis=0, ddof=1) if len(x) > 1 and x.size else np.ones(x.shape[1])
-    a = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1.0) * exposure_penalty**0.5 if x.size else x
-    d = ridge + risk * variances
-    b = scores - scores.mean()
-    w = b / d
-    if a.size:
-        inner = np.eye(a.shape[1]) + a.T @ (a / d[:, None])
-        w = w - (a / d[:, None]) @ np.linalg.solve(inner, a.T @ (b / d))
-    w = np.where(side > 0, np.maximum(w, 0), np.minimum(w, 0))
-    for s in (1, -1):
-        leg = side == s
-        if leg.any():
-            part = np.abs(w[leg])
-            part = part if part.sum() > 0 else np.ones(leg.sum())
-            w[leg] = s * 0.5 * project_simplex(part / part.sum(), most / 0.5)
-    return w
-
-
-def optimized_targets(targets: DataFrame, factors: DataFrame, exposure: DataFrame, columns: list[str], keys: list[str], **cfg) -> DataFrame:
-    """Ridge weights for the names of each date's target sides: one group of candidates per key and date."""
+    opt = opt or Optimizer(backend="ridge", l2=1e-3, exposure=1.0, risk=1.0)
     rows = targets.join(factors.select(*keys, "datetime", "instrument", "value"), [*keys, "datetime", "instrument"]).join(exposure.select("datetime", "instrument", *columns, F.pow("volatility", 2).alias("_var")), ["datetime", "instrument"], "left")
     schema = targets.schema
 
     def run(g):
-        var = g["_var"].fillna(g["_var"].median()).fillna(1.0).to_numpy(float)
-        score = g["value"].to_numpy(float)
+        score, var = g["value"].to_numpy(float), g["_var"].to_numpy(float)
         sd = score.std()
-        g["weight"] = ridge_weights((score - score.mean()) / sd if sd > 0 else score * 0, g[columns].to_numpy(float), var / max(var.mean(), 1e-12), np.sign(g["weight"].to_numpy(float)), **cfg)
+        score = (score - score.mean()) / sd if sd > 0 else score * 0
+        known = var[np.isfinite(var)]
+        w, _ = optimize(score, np.sign(g["weight"].to_numpy(float)), np.zeros(len(g)), g[columns].to_numpy(float), opt, most, {"variance": var / max(known.mean(), 1e-12) if len(known) else None})
+        if w is not None:
+            g["weight"] = w
         return g[[f.name for f in schema.fields]]
 
     return rows.groupBy(*keys, "datetime").applyInPandas(run, schema)
 
 
-def feasible(n_long: int, n_short: int, most: float, min_names: int = 1) -> dict:
-    """Whether two legs of one half fit under the cap, and the least cap that would do."""
-    need = max(0.5 / max(n_long, 1), 0.5 / max(n_short, 1))
-    ok = most >= need and n_long >= min_names and n_short >= min_names
-    return {"feasible": ok, "suggested_max_weight": need}
-
-
-def factor_risk_model(returns_: np.ndarray, loadings: np.ndarray, shrink: float | None = None, halflife: float | None = None, limit: float = 0.01) -> dict:
-    """B F B' + D from a window of returns (dates x names) and loadings (names x factors).
-
-    Loadings are standardised and clipped to quantiles; factor returns are cross-sectional least
-    squares; their covariance is weighted in time, shrunk to a scaled identity (by the OAS rule, or by
-    ``shrink``) and made positive semi-definite.
-    """
-    b = np.clip(loadings, np.nanquantile(loadings, limit, axis=0), np.nanquantile(loadings, 1 - limit, axis=0))
-    b = np.nan_to_num((b - np.nanmean(b, axis=0)) / np.where(np.nanstd(b, axis=0) > 0, np.nanstd(b, axis=0), 1.0))
-    r = np.nan_to_num(returns_)
-    f = r @ np.linalg.pinv(b).T
-    rest = r - f @ b.T
-    t = len(f)
-    weight = 0.5 ** (np.arange(t)[::-1] / halflife) if halflife else np.ones(t)
-    weight = weight / weight.sum()
-    centred = f - weight @ f
-    cov = (centred * weight[:, None]).T @ centred
-    p, trace = cov.shape[0], np.trace(cov)
-    if shrink is None:
-        square = (cov * cov).sum()
-        bottom = (t + 1 - 2 / p) * (square - trace * trace / p)
-        shrink = 1.0 if bottom <= 0 else min(1.0, ((1 - 2 / p) * square + trace * trace) / bottom)
-    cov = (1 - shrink) * cov + shrink * np.eye(p) * trace / p
-    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
-    cov = vectors @ np.diag(np.maximum(values, 0)) @ vectors.T
-    d = np.maximum(rest.var(axis=0), 1e-12)
-    return {"loadings": b, "factor_cov": cov, "specific": d, "covariance": b @ cov @ b.T + np.diag(d), "shrinkage": shrink}
+__all__ = ["END_TO_END", "Optimizer", "WalkForward", "allocate", "allocated_returns", "best_schedule", "chosen_signs", "constrain", "correlation_summary", "daily_allocation", "daily_weights", "end_to_end_ablation", "equal_weight_ensemble", "factor_risk_model", "feasible", "fit_allocation", "goodness", "greedy_diverse", "holdings_ensemble", "in_segments", "knee", "optimized_targets", "out_of_sample", "pareto", "project_simplex", "quality_gates", "return_correlations", "ridge_weights", "schedule_pairs", "schedule_sweep", "segments", "select_diverse", "selectable", "splits", "stability", "summarize", "sweep", "thin", "top_k", "tune_selection", "utility", "valid_candidates", "walk_forward"]

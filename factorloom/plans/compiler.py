@@ -275,6 +275,8 @@ def run_factors(panel: DataFrame, alphas: list[dict], extras: tuple[str, ...] =
     if not factors:
         return FactorRun(None, errors)
     wide = compile_factors(panel, factors, extras)
+    if max_missing >= 1:  # nothing can be refused, so there is nothing to look at
+        return FactorRun(long_form(wide, list(factors)), errors)
     share = wide.agg(*[F.avg(F.col(f"`{n}`").isNull().cast("double")).alias(n) for n in factors]).first()
     for n in list(factors):
         if share[n] is None or share[n] > max_missing:

@@ -147,22 +147,29 @@ def parse(text: str, extras: tuple[str, ...] = ()) -> tuple:
     return node
 
 
-_RAW_VOLUME = re.compile(r"ts_mean\(\s*volume\s*,\s*(\d+)\s*\)")
+_RAW_VOLUME = re.compile(r"ts_mean\s*\(\s*volume\s*,\s*(\d+)\s*\)")
+
+
+#: Forms of volume that have no scale of their own.
+_SCALED = re.compile(r"ts_rank\(volume|rel_volume\(volume|ts_zscore\(|log1p\(volume")
 
 
 def critique(text: str) -> list[str]:
-    """Warnings on scale: raw volume averages next to returns, and factors without cross-sectional scaling."""
-    out = []
-    if _RAW_VOLUME.search(text) and "returns(" in text:
-        out.append("raw volume average multiplied with returns: use a z-score or a ratio of volume")
+    """Warnings on scale: raw volume multiplied with returns, the logarithm of a volume that may be zero, and factors without cross-sectional scaling."""
+    out, e = [], text.replace(" ", "")
+    if "returns(" in e and re.search(r"ts_mean\(volume|\*volume|volume\*", e) and not _SCALED.search(e):
+        out.append("raw volume multiplied with returns: use a rank, a ratio or a z-score of volume")
+    if "log(volume" in e and "log1p(volume" not in e:
+        out.append("the logarithm of a volume of zero is missing: use log1p")
     if not re.search(r"\b(zscore|cs_rank|rank|scale|cs_demean|winsorize|cs_neutralize)\w*\(", text):
         out.append("no cross-sectional scaling: wrap the factor in zscore or rank")
     return out
 
 
 def autofix(text: str) -> tuple[str, list[str]]:
-    """Rewrites raw volume averages that meet returns to z-scores of log volume; the text and what was done."""
-    if "returns(" not in text or "*" not in text or not _RAW_VOLUME.search(text):
+    """Rewrites raw volume averages that meet returns to z-scores of log volume, unless volume is scaled already; the text and what was done."""
+    e = text.replace(" ", "")
+    if "returns(" not in e or "*" not in e or re.search(r"ts_zscore|ts_rank\(volume|rel_volume\(volume", e) or not _RAW_VOLUME.search(text):
         return text, []
     fixed = _RAW_VOLUME.sub(r"ts_zscore(log1p(volume), \1)", text)
     return fixed, ["ts_mean(volume, w) -> ts_zscore(log1p(volume), w)"]

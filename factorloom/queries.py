@@ -129,10 +129,17 @@ for _name, (_text, _sql) in FACTORS.items():
     query(f"dsl_{_name}", f"WITH {'RECURSIVE ' if _name.startswith('ewm') else ''}{_with} SELECT datetime, instrument, {r('(' + _sql + ')::DOUBLE')} AS value FROM {_from}")(_factor(_text))
 
 
-@query("dsl_cs_neutralize_multi")
+_M2 = "(PARTITION BY datetime)"
+_RESIDUAL = "CASE WHEN n > 3 THEN y - CASE WHEN det > 1e-9 * aa * bb AND aa > 0 AND bb > 0 THEN (ay * bb - yb * ab) / det * a + (yb * aa - ay * ab) / det * b WHEN aa > 0 AND bb = 0 THEN ay / aa * a WHEN bb > 0 AND aa = 0 THEN yb / bb * b ELSE 0 END END"
+
+
+@query("dsl_cs_neutralize_multi", f"""WITH {panel_sql()}, d AS (SELECT *, high - low AS spread FROM panel), s AS (SELECT *, count(*) OVER {_M2} AS n, close - avg(close) OVER {_M2} AS y, volume - avg(volume) OVER {_M2} AS a, spread - avg(spread) OVER {_M2} AS b,
+ var_pop(volume) OVER {_M2} AS aa, var_pop(spread) OVER {_M2} AS bb, covar_pop(volume, spread) OVER {_M2} AS ab, covar_pop(volume, close) OVER {_M2} AS ay, covar_pop(spread, close) OVER {_M2} AS yb FROM d),
+ k AS (SELECT *, aa * bb - ab * ab AS det FROM s) SELECT datetime, instrument, {r(_RESIDUAL, 4)} AS value FROM k""")
 def dsl_cs_neutralize_multi(spark, sf_dir):
     """Two controls: least squares in a grouped map."""
-    return _factor("cs_neutralize(close, volume, high - low)")(spark, sf_dir)
+    out = plans.eval_factor(sources.supplier_panel(spark, sf_dir), "cs_neutralize(close, volume, high - low)")
+    return out.select("datetime", "instrument", rounded(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query("dsl_nested", f"""WITH {panel_sql()}, a AS (SELECT *, {_RET} AS x FROM panel),

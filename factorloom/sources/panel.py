@@ -16,17 +16,18 @@ def _by_instrument():
 def read_panel(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
     """A panel file or folder: CSV with a header, Parquet, or (where pandas can read it) HDF5."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind not in ("csv", "parquet", "h5", "hdf"):
+        raise ValueError(f"unsupported panel format: {path}")
     if kind == "csv":
         df = spark.read.csv(path, header=True)
     elif kind == "parquet":
         df = spark.read.parquet(path)
-    elif kind in ("h5", "hdf"):
+    else:
         import pandas as pd
 
         df = spark.createDataFrame(pd.read_hdf(path).reset_index())
-    else:
-        raise ValueError(f"unsupported panel format: {path}")
-    return validate_panel(df) if validate else df
+    # rows are numbered in the order of the files, so that the last of repeated keys is the one kept
+    return validate_panel(df.withColumn("_row", F.monotonically_increasing_id()), order="_row", require_rows=True) if validate else df
 
 
 def get_panel(spark: SparkSession, path: str | None = None, **synthetic) -> DataFrame:
@@ -44,7 +45,10 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def validate_panel(df: DataFrame, order: str | None = None, require_rows: bool = False) -> DataFrame:
-    """A clean panel: keys parsed, the last of repeated keys kept (by ``order``), prices made consistent.
+    """A clean panel: keys parsed, the last of repeated keys kept, prices made consistent.
+
+    Last by the column ``order``; without one, the row of the largest values, so the result is the
+    same for any order of rows.
 
     Rows without a key or a close go; a missing open is the last close; a missing or negative volume
     is zero or made positive; high and low enclose open and close.
@@ -56,7 +60,8 @@ def validate_panel(df: DataFrame, order: str | None = None, require_rows: bool =
         raise ValueError("panel is empty")
     number = {c: scrub(F.expr(f"try_cast(`{c}` as double)")) for c in FIELDS}
     at = F.col("datetime") if dict(df.dtypes)["datetime"] in ("timestamp", "date", "timestamp_ntz") else F.try_to_timestamp("datetime")
-    key = Window.partitionBy("datetime", "instrument").orderBy(F.col(order).desc_nulls_last() if order else F.lit(0))
+    last = [F.col(order).desc_nulls_last()] if order else [F.col(c).desc_nulls_last() for c in ("close", "volume", "open", "high", "low")]
+    key = Window.partitionBy("datetime", "instrument").orderBy(*last)
     clean = df.withColumns({"datetime": at.cast("timestamp"), "instrument": F.col("instrument").cast("string"), **number})
     clean = clean.where("datetime is not null and instrument is not null")
     clean = clean.withColumn("_n", F.row_number().over(key)).where("_n = 1 and close is not null")
