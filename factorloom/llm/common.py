@@ -60,11 +60,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With a known (or greatest) number of ``rows`` it becomes one file for each ``per_file`` of them.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(-(-max(rows, 1) // per_file))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_folder = path
     return out

@@ -66,14 +66,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Edges of a node to itself and repeated edges don't matter; no edges: no rows.
     """
-    e = materialise(_forest(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")), "edges")
+    e = materialise(_forest(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")), "edges", edges.count())
     before = None
     while True:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break
         before = now
-        old, e = e, materialise(_small_star(_large_star(e)), "edges")
+        old, e = e, materialise(_small_star(_large_star(e)), "edges", now[0])
         discard(old)
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
