@@ -157,10 +157,17 @@ _V = f"""v AS (SELECT *, {_RET} AS x, ln(1 + volume) AS lv FROM panel), wide AS
 FACTOR_SQL = panel_sql() + ", " + _V + ", factors AS (" + " UNION ALL ".join(f"SELECT '{a}' AS alpha_id, datetime, instrument, {a} AS value FROM wide" for a in ALPHAS) + ")"
 
 
+_kept: list = []
+
+
 def factors(spark: SparkSession, sf_dir: str):
-    """The weekly panel and its sample factors, both kept: the evaluation queries read them several times."""
+    """The weekly panel and its sample factors, both kept, as the evaluation queries read them several times; those of the call before are released."""
+    while _kept:
+        _kept.pop().unpersist()
     panel = sources.supplier_panel(spark, sf_dir).persist()
-    return panel, plans.run_factors(panel, [{"alpha_id": a, "dsl": t} for a, t in ALPHAS.items()], max_missing=1.0).values.persist()
+    values = plans.run_factors(panel, [{"alpha_id": a, "dsl": t} for a, t in ALPHAS.items()], max_missing=1.0).values.persist()
+    _kept.extend([panel, values])
+    return panel, values
 
 
 @query("factor_batch", f"WITH {FACTOR_SQL} SELECT alpha_id, datetime, instrument, {r('value')} AS value FROM factors")
