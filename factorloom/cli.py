@@ -130,7 +130,7 @@ def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
     config = artifacts.load_config(a["out"], a["names"][0]) if command == "replay" else a
-    print(evaluate(SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate(), config))
+    print(evaluate(SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.maxPlanStringLength", "1000000").getOrCreate(), config))
 
 
 if __name__ == "__main__":

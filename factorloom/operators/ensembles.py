@@ -35,7 +35,7 @@ def priced(blend: DataFrame, panel: DataFrame, table: DataFrame, cfg: pf.Backtes
     keys = ["split_id", "segment"]
     part = sel.in_segments(panel, table, segment)
     if cfg.turnover_cap:
-        return pf.sequential(blend, part, pf.with_config(cfg, rebalance_days=1, holding_days=1, target_vol=0.0, optimizer=None), keys, rates)
+        return pf.sequential(blend, part, pf.with_config(cfg, target_vol=0.0), keys, rates)
     return pf.daily_path(blend, part, cfg, keys, rates)
 
 
@@ -95,7 +95,7 @@ def allocated(factors: DataFrame, panel: DataFrame, paths: DataFrame, table: Dat
 
 
 def _signs(paths: DataFrame) -> DataFrame:
-    return paths.select("alpha_id", "split_id", "sign").distinct()
+    return sel.local(paths.select("alpha_id", "split_id", "sign").distinct())
 
 
 def regime_weights(splits: dict[int, dict[str, pd.DataFrame]], features: pd.DataFrame, dates: dict[int, list], fit: str = "train_valid", min_days: int = 30, mode: str = "vol", n_buckets: int = 3, smoothing: float = 0.0, **cfg) -> pd.DataFrame:

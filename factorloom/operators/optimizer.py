@@ -1,6 +1,6 @@
 """Optimized long/short weights of one cross-section: a quadratic program with a ridge fallback.
 
-Everything here is NumPy over the candidates of one date; ``portfolio.sequential`` calls it for each
+Everything here is NumPy over the candidates of one date; ``portfolio.stepwise`` calls it for each
 rebalance.  Arrays are aligned: scores, side (1 long, -1 short), the weights that are held or wanted
 before (``target``), exposures (names x exposures) and costs by name.
 """

@@ -1,7 +1,7 @@
 """Long/short portfolios: weights, schedules, costs, daily paths, re-pricing.
 
 Two engines share one contract.  The relational one (``backtest``) is windows and joins and serves
-every configuration without path dependence; ``sequential`` streams the dates of each key through a
+every configuration without path dependence; ``stepwise`` streams the dates of each key through a
 state machine where volatility targeting, a turnover cap or the optimizer makes a day depend on the
 days before it.  A panel may hold several parts (see ``risk.keys_of``), so all segments of a
 walk-forward are one plan.
@@ -194,7 +194,7 @@ def backtest(factors: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str
     exposure = exposures(panel, cfg.window, cfg.min_window_obs) if needs else None
     targets = target_weights(factors, panel, cfg, keys, hard_to_borrow, rates, exposure, sectors)
     if cfg.target_vol or cfg.turnover_cap or cfg.optimizer is not None:
-        return sequential(targets, panel, cfg, keys, rates, exposure)
+        return stepwise(targets, panel, cfg, keys, rates, exposure)
     return daily_path(held_weights(targets, panel, cfg, keys), panel, cfg, keys, rates, exposure, factors)
 
 
@@ -317,8 +317,13 @@ def costs_of(rows, cfg: Backtest) -> dict[str, np.ndarray]:
             "most_trade": np.clip(cfg.max_participation * adv / cfg.notional, 0.0, 1.0), "variance": rows["volatility"].to_numpy(float) ** 2 * YEAR}
 
 
-def sequential(targets: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, rates: DataFrame | None = None, exposure: DataFrame | None = None) -> DataFrame:
-    """Daily paths with volatility targeting, a turnover cap or the optimizer: one state machine per key.
+def sequential(held: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, rates: DataFrame | None = None, exposure: DataFrame | None = None) -> DataFrame:
+    """Daily paths of books that move towards given weights at each close, with volatility targeting and a turnover cap."""
+    return stepwise(held, panel, replace(cfg, rebalance_days=1, holding_days=1, optimizer=None), keys, rates, exposure)
+
+
+def stepwise(targets: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, rates: DataFrame | None = None, exposure: DataFrame | None = None) -> DataFrame:
+    """Daily paths from rebalance targets with volatility targeting, a turnover cap or the optimizer: one state machine per key.
 
     The dates of a key come in order, a batch at a time; what a task holds is one date's rows, the
     live sleeves and the net returns, for the names that the key has ever targeted.
@@ -331,7 +336,8 @@ def sequential(targets: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[s
     grid = densify(panel.join(targets.select("instrument").distinct(), "instrument", "left_semi")).select(*by, "datetime", "instrument")
     rows = grid.join(days, [*by, "datetime"]).join(known_returns(panel).withColumnRenamed("datetime", "next"), [*by, "next", "instrument"], "left")
     if exposure is not None:
-        rows = rows.join(exposure.select(*by, "datetime", "instrument", "adv", "volatility", *cfg.neutralize), [*by, "datetime", "instrument"], "left") if "volatility" not in cfg.neutralize else rows.join(exposure.select(*by, "datetime", "instrument", "adv", *cfg.neutralize), [*by, "datetime", "instrument"], "left")
+        columns = dict.fromkeys(["adv", "volatility", *cfg.neutralize])
+        rows = rows.join(exposure.select(*by, "datetime", "instrument", *columns), [*by, "datetime", "instrument"], "left")
         rows = rows.join(usual_volume(exposure), [*by, "datetime"], "left")
     if rates is not None:
         rows = rows.join(rates, ["datetime", "instrument"], "left").withColumn("bps", F.coalesce("borrow_bps", F.lit(cfg.borrow_bps))).drop("borrow_bps")
@@ -382,8 +388,7 @@ def reprice(weights: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str]
     back = calendar(panel).where("prev is not null").select(*by, "datetime", "prev")
     shifted = weights.join(back, [*by, "datetime"]).select(*keys, F.col("prev").alias("datetime"), "instrument", "weight")
     if cfg.turnover_cap:
-        # each date's weights are a sleeve for that date
-        return sequential(shifted, panel, replace(cfg, rebalance_days=1, holding_days=1, target_vol=0.0, optimizer=None), keys, rates)
+        return sequential(shifted, panel, replace(cfg, target_vol=0.0), keys, rates)
     return daily_path(shifted, panel, cfg, keys, rates)
 
 
@@ -436,4 +441,4 @@ def with_config(cfg: Backtest, **changes) -> Backtest:
     return replace(cfg, **changes)
 
 
-__all__ = ["Backtest", "Column", "Optimizer", "SCENARIOS", "SENSITIVITY", "ablation", "backtest", "break_even", "calendar", "cost_sensitivity", "costed", "daily_path", "held_weights", "portfolio_summary", "reprice", "sequential", "side_weights", "target_weights", "usual_volume", "with_config"]
+__all__ = ["Backtest", "Column", "Optimizer", "SCENARIOS", "SENSITIVITY", "ablation", "backtest", "break_even", "calendar", "cost_sensitivity", "costed", "daily_path", "held_weights", "portfolio_summary", "reprice", "sequential", "side_weights", "stepwise", "target_weights", "usual_volume", "with_config"]

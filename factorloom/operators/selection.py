@@ -70,7 +70,12 @@ WF_KEYS = ["alpha_id", "split_id", "segment", "sign"]
 def chosen_signs(paths: DataFrame) -> DataFrame:
     """(alpha_id, split_id, sign): of both signs' training paths that of the larger information ratio (ties: the factor as it is)."""
     ir = paths.where("segment = 'train'").groupBy("alpha_id", "split_id", "sign").agg(F.coalesce(div(F.avg("net_return"), F.stddev_samp("net_return")), F.lit(0.0)).alias("ir"))
-    return ir.groupBy("alpha_id", "split_id").agg(F.max_by("sign", F.struct("ir", "sign")).alias("sign"))
+    return local(ir.groupBy("alpha_id", "split_id").agg(F.max_by("sign", F.struct("ir", "sign")).alias("sign")))
+
+
+def local(small: DataFrame) -> DataFrame:
+    """A table of as many rows as there are alphas and splits, evaluated now: what is built on it does not repeat its plan."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)
 
 
 def walk_forward(factors: DataFrame, panel: DataFrame, cfg: pf.Backtest, wf: WalkForward, **market) -> DataFrame:

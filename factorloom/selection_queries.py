@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from .evaluation_queries import CAL, CFG, HELD, MIN_OBS, PATH, _daily, _labels, bucket_sql, mild, tidy
@@ -298,16 +299,19 @@ def optimized_weights(spark, sf_dir):
 
 @query("factor_risk_model")
 def factor_risk_model(spark, sf_dir):
-    """Covariance summary of the last dates: loadings are each name's beta and log ADV."""
+    """Covariance summary of the last dates: loadings are each name's beta and log ADV.  One cross-section is one group."""
     panel, _ = factors(spark, sf_dir)
     e = risk.exposures(panel, 8, 4)
     last = e.agg(F.max("datetime")).first()[0]
-    names = e.where(F.col("datetime") == last).select("instrument", "beta", "log_adv").orderBy("instrument").toPandas()
-    past = e.where(F.col("datetime") > F.lit(last) - F.expr("interval 400 days")).select("datetime", "instrument", "ret").toPandas()
-    wide = past.pivot(index="datetime", columns="instrument", values="ret").reindex(columns=names.instrument)
-    m = sel.factor_risk_model(np.clip(wide.to_numpy(float), -1, 1), names[["beta", "log_adv"]].to_numpy(float))
-    rows = [(n, float(v), float(s)) for n, v, s in zip(names.instrument, np.diag(m["covariance"]), m["specific"])]
-    return tidy(spark.createDataFrame(rows, "instrument string, variance double, specific double"))
+    past = e.where(F.col("datetime") > F.lit(last) - F.expr("interval 400 days")).select("datetime", "instrument", "ret", "beta", "log_adv", F.lit(0).alias("one"))
+
+    def run(rows):
+        names = rows[rows.datetime == rows.datetime.max()].sort_values("instrument")
+        wide = rows.pivot(index="datetime", columns="instrument", values="ret").reindex(columns=names.instrument)
+        m = sel.factor_risk_model(np.clip(wide.to_numpy(float), -1, 1), names[["beta", "log_adv"]].to_numpy(float))
+        return pd.DataFrame({"instrument": names.instrument.to_numpy(), "variance": np.diag(m["covariance"]), "specific": m["specific"]})
+
+    return tidy(past.groupBy("one").applyInPandas(run, "instrument string, variance double, specific double"))
 
 
 @query("oos_attribution", f"""{_BEST}, ea AS (SELECT alpha_id, split_id, count(*) AS n, {", ".join(f"avg({c}) AS {c}" for c in ("turnover", "linear_cost", "spread_cost", "impact_cost", "borrow_cost", "total_cost"))} FROM wk WHERE segment = 'test' GROUP BY 1, 2)

@@ -84,8 +84,10 @@ def test_values(gaps, text):
 def test_neutralize_is_orthogonal(panel, text):
     p = panel.withColumn("sector", panel.instrument.substr(5, 1))
     d = plans.eval_factor(p, text).join(panel, ["datetime", "instrument"]).toPandas().dropna()
-    each = d.groupby("datetime").apply(lambda g: abs((g.value * (g.volume - g.volume.mean())).sum()) / g.volume.std() + abs(g.value.sum()), include_groups=False)
-    assert len(each) and each.max() < (1e-4 if "group" not in text else 1e9) and d.groupby("datetime").value.sum().abs().max() < 1e-6
+    centre = d.groupby(["datetime", d.instrument.str[4:5]] if "group" in text else ["datetime"]).volume.transform("mean")
+    d["against"] = d.value * (d.volume - centre)
+    each = d.groupby("datetime").against.sum().abs() / d.groupby("datetime").volume.std()
+    assert len(each) and each.max() < 1e-4 and d.groupby("datetime").value.sum().abs().max() < 1e-6
 
 
 def test_run_factors(panel):
@@ -106,8 +108,6 @@ def test_buckets_match_qcut(spark):
             b, _ = ev.bucket(["datetime"], "value", q)
             got = df.withColumn("b", b).orderBy("value").toPandas()
             assert got.b.tolist() == pd.qcut(got.value.rank(method="first"), q, labels=False).tolist(), (n, q)
-        if n > 7:
-            break
 
 
 def test_validation(spark):
@@ -198,14 +198,18 @@ def test_regime_allocation(spark):
 def test_streaming(spark, panel, tmp_path):
     from factorloom.streaming import rolling_mean_stream
 
-    some = panel.where("instrument in ('S0000', 'S0001')").select("datetime", "instrument", "close")
-    for i in range(3):
-        some.where(f"dayofyear(datetime) % 3 = {i}").coalesce(1).limit(0).write.mode("append").parquet(f"{tmp_path}/in")
-    some.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(some.schema).parquet(f"{tmp_path}/in")
+    some = panel.where("instrument in ('S0000', 'S0001')").select("datetime", "instrument", "close").cache()
+    ends = some.selectExpr("percentile(unix_timestamp(datetime), array(0.34, 0.67)) as e").first().e
+    for i, part in enumerate((f"unix_timestamp(datetime) <= {ends[0]}", f"unix_timestamp(datetime) > {ends[0]} and unix_timestamp(datetime) <= {ends[1]}", f"unix_timestamp(datetime) > {ends[1]}")):
+        some.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for f in (tmp_path / "in").glob("*.parquet"):
+            if f.stat().st_mtime > 1e9:
+                os.utime(f, (i + 1, i + 1))
+    stream = spark.readStream.schema(some.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     q = rolling_mean_stream(stream, 3).writeStream.format("memory").queryName("means").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
     q.processAllAvailable()
     q.stop()
+    assert len([p for p in q.recentProgress if p["numInputRows"]]) == 3  # the state is carried over the batches
     got = values(spark.table("means"))
     np.testing.assert_allclose(got, values(plans.eval_factor(some, "ts_mean(close, 3)")).reindex(got.index), rtol=1e-9)
 
