@@ -347,15 +347,35 @@ END_TO_END = {
 
 
 def end_to_end_ablation(factors: DataFrame, panel: DataFrame, cfg: pf.Backtest, wf: WalkForward, **market) -> DataFrame:
-    """The out-of-sample summary under each cost scenario, with the whole walk-forward (signs, too) done again under it."""
-    out = None
+    """The out-of-sample summary under each cost scenario, with the choice of signs done again under it.
+
+    Where costs do not change the books, all scenarios are priced from one plan of both signs' paths;
+    else (volatility target, turnover cap, optimizer) the walk-forward is done again for each.
+    """
+    settings = {}
     for name, change in END_TO_END.items():
         own = dict(change)
         if cfg.optimizer is not None and name == "no_costs":
             own["optimizer"] = dataclasses.replace(cfg.optimizer, cost=0.0)
-        row = pf.portfolio_summary(out_of_sample(walk_forward(factors, panel, pf.with_config(cfg, **own), wf, **market))).withColumn("scenario", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+        settings[name] = pf.with_config(cfg, **own)
+    if cfg.target_vol or cfg.turnover_cap or cfg.optimizer is not None:
+        out = None
+        for name, own in settings.items():
+            row = local(pf.portfolio_summary(out_of_sample(walk_forward(factors, panel, own, wf, **market)))).withColumn("scenario", F.lit(name))
+            out = row if out is None else out.unionByName(row)
+        return out
+    table = segments(panel, wf)
+    signed = factors.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("value", F.col("value") * F.col("sign"))
+    paths = pf.backtest(in_segments(signed, table, "train", "test"), in_segments(panel, table, "train", "test"), cfg, WF_KEYS, check=False, **market)
+    rates = [F.struct(F.lit(n).alias("scenario"), *[F.lit(float(v)).alias(c) for c, v in (("_l", s.commission_bps + s.slippage_bps), ("_s", s.half_spread_bps), ("_i", s.impact_bps), ("_b", s.borrow_multiplier))]) for n, s in settings.items()]
+    units = {"linear_cost": F.col("turnover") * F.col("r._l") / 1e4, "spread_cost": F.col("traded") * F.col("r._s") / 1e4, "impact_cost": F.col("impact_unit") * F.col("r._i") / 1e4, "borrow_cost": F.col("borrow_unit") * F.col("r._b")}
+    each = paths.withColumn("r", F.explode(F.array(*rates))).withColumns(units).withColumn("total_cost", sum((F.col(c) for c in units), F.lit(0.0)))
+    each = each.withColumns({"net_return": F.col("gross_return") - F.col("total_cost"), "scenario": F.col("r.scenario")}).drop("r")
+    ir = each.where("segment = 'train'").groupBy("scenario", "alpha_id", "split_id", "sign").agg(F.coalesce(div(F.avg("net_return"), F.stddev_samp("net_return")), F.lit(0.0)).alias("ir"))
+    best = local(ir.groupBy("scenario", "alpha_id", "split_id").agg(F.max_by("sign", F.struct("ir", "sign")).alias("sign")))
+    tested = each.where("segment = 'test'").join(F.broadcast(best), ["scenario", "alpha_id", "split_id", "sign"], "left_semi")
+    first = Window.partitionBy("scenario", "alpha_id", "datetime").orderBy("split_id")
+    return pf.portfolio_summary(tested.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), ["scenario", "alpha_id"])
 
 
 # -- allocation --------------------------------------------------------------------------------------------

@@ -160,14 +160,18 @@ FACTOR_SQL = panel_sql() + ", " + _V + ", factors AS (" + " UNION ALL ".join(f"S
 _kept: list = []
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The table, kept until the next query asks for its factors."""
+    _kept.append(df.persist())
+    return df
+
+
 def factors(spark: SparkSession, sf_dir: str):
     """The weekly panel and its sample factors, both kept, as the evaluation queries read them several times; those of the call before are released."""
     while _kept:
         _kept.pop().unpersist()
-    panel = sources.supplier_panel(spark, sf_dir).persist()
-    values = plans.run_factors(panel, [{"alpha_id": a, "dsl": t} for a, t in ALPHAS.items()], max_missing=1.0).values.persist()
-    _kept.extend([panel, values])
-    return panel, values
+    panel = kept(sources.supplier_panel(spark, sf_dir))
+    return panel, kept(plans.run_factors(panel, [{"alpha_id": a, "dsl": t} for a, t in ALPHAS.items()], max_missing=1.0).values)
 
 
 @query("factor_batch", f"WITH {FACTOR_SQL} SELECT alpha_id, datetime, instrument, {r('value')} AS value FROM factors")

@@ -12,7 +12,7 @@ from .operators import ensembles as ens
 from .operators import portfolio as pf
 from .operators import presets, reporting, risk, tuning
 from .operators import selection as sel
-from .queries import FACTOR_SQL, factors, hard_to_borrow, query, r
+from .queries import FACTOR_SQL, factors, hard_to_borrow, kept, query, r
 
 DAY = f"WITH {FACTOR_SQL}, {PATH}"
 PAIRS = "pr AS (SELECT x.alpha_id AS a, y.alpha_id AS b, count(*) AS n, covar_pop(x.net_return, y.net_return) / nullif(stddev_pop(x.net_return) * stddev_pop(y.net_return), 0) AS corr FROM day x JOIN day y USING (datetime) GROUP BY 1, 2)"
@@ -213,7 +213,7 @@ def ensemble_equal(spark, sf_dir):
 def ensemble_allocated(spark, sf_dir):
     """Holdings blended with weights that each split's training and validation dates teach, tuned settings."""
     panel, values = factors(spark, sf_dir)
-    paths = sel.walk_forward(values, panel, WALKED, WF).persist()
+    paths = kept(sel.walk_forward(values, panel, WALKED, WF))
     out, _ = ens.allocated(values, panel, paths, sel.segments(panel, WF), WALKED, tune=True)
     return tidy(ens.out_of_sample(out).select("split_id", "datetime", "gross_return", "turnover", "net_return"))
 
@@ -222,7 +222,7 @@ def ensemble_allocated(spark, sf_dir):
 def ensemble_regime(spark, sf_dir):
     """Holdings blended by the regime of the date."""
     panel, values = factors(spark, sf_dir)
-    paths = sel.walk_forward(values, panel, WALKED, WF).persist()
+    paths = kept(sel.walk_forward(values, panel, WALKED, WF))
     out = ens.regime_blend(values, panel, paths, sel.segments(panel, WF), WALKED, window=8, n_buckets=2, smoothing=0.3)
     return tidy(ens.out_of_sample(out).select("split_id", "datetime", "gross_return", "turnover", "net_return"))
 
@@ -231,7 +231,7 @@ def ensemble_regime(spark, sf_dir):
 def ensemble_revalidated(spark, sf_dir):
     """The best regime settings by returns, judged again on holdings."""
     panel, values = factors(spark, sf_dir)
-    paths = sel.walk_forward(values, panel, WALKED, WF).persist()
+    paths = kept(sel.walk_forward(values, panel, WALKED, WF))
     features = {8: ens.market_frame(panel, 8)}
     tuned = tuning.tune_regimes(spark, tuning.split_returns(paths), features, tuning.regime_grid(window=(8,), n_buckets=(2, 3), smoothing=(0.0,)), turnover_cost_bps=5.0)
     rows = ens.revalidate(values, panel, paths, sel.segments(panel, WF), WALKED, tuned["results"], top=2)["results"]
@@ -248,7 +248,7 @@ def allocation_tuning(spark, sf_dir):
 @query("selection_tuning")
 def selection_tuning(spark, sf_dir):
     """The greedy choice tuned on the validation segments."""
-    valid = _walk(spark, sf_dir).where("segment = 'valid'").select("alpha_id", "datetime", "net_return")
+    valid = kept(_walk(spark, sf_dir).where("segment = 'valid'").select("alpha_id", "datetime", "net_return"))
     rows = sel.tune_selection(valid, pools=(2, 3), penalties=(0.0, 0.5), ks=(1, 2))["results"]
     return tidy(spark.createDataFrame([(x["pool"], float(x["penalty"]), x["k"], ",".join(x["alphas"]), float(x["valid_ir"])) for x in rows], "pool int, penalty double, k int, alphas string, valid_ir double"))
 
