@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, conversations, decontaminate, grammar, infill, language, media, quality, simhash, substring, suffixes, toxicity
+from . import bpe, conversations, decontaminate, grammar, infill, language, media, minhash, quality, simhash, substring, suffixes, toxicity
 from .common import read_table
 
 
@@ -52,6 +52,10 @@ def op10_language_id(spark, sf_dir):
     return language.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark, sf_dir):
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark, sf_dir):
     return conversations.damaged_and_repaired(read_table(spark, sf_dir, "conversations"))
 
@@ -60,5 +64,5 @@ def op13_fill_in_middle(spark, sf_dir):
     return infill.infill_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_simhash, op3_toxicity, op4_repeated_passages, op5_decontamination, op6_quality, op7_token_shards, op8_byte_bpe, op9_substring_dedup, op10_language_id, op12_conversation_repair, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_simhash, op3_toxicity, op4_repeated_passages, op5_decontamination, op6_quality, op7_token_shards, op8_byte_bpe, op9_substring_dedup, op10_language_id, op11_minhash, op12_conversation_repair, op13_fill_in_middle)}
 ORACLE_SQL: dict[str, str] = {"op13_fill_in_middle": infill.SQL}

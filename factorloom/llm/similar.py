@@ -50,16 +50,16 @@ PARTS, FILTER_BITS = 8, 24
 SIGNATURE = [f"s{i}" for i in range(PARTS)]
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of texts that lie end to end, in order for each text, and how many each has.
 
     Words are lower-cased (A-Z); a text of fewer words than a shingle has one of all its words.
     """
     w = Words(data, offsets, lower=True)
     n, n_rows, row = np.diff(w.first), len(offsets) - 1, w.rows()
-    g = gram_hashes(w.hash, SHINGLE)
-    inside = np.flatnonzero(row[: len(g)] == row[SHINGLE - 1 :]) if len(g) else np.zeros(0, np.int64)
-    short = np.flatnonzero((n > 0) & (n < SHINGLE))
+    g = gram_hashes(w.hash, words)
+    inside = np.flatnonzero(row[: len(g)] == row[words - 1 :]) if len(g) else np.zeros(0, np.int64)
+    short = np.flatnonzero((n > 0) & (n < words))
     values = np.concatenate([g[inside], span_hashes(w.hash, w.first[short], w.first[short + 1])])
     owner = np.concatenate([row[inside], short])
     order = np.lexsort((values, owner))
@@ -105,7 +105,7 @@ def described(docs: DataFrame) -> DataFrame:
     return arrow_map(_source(docs), run, "tkey long, node long, size int, " + ", ".join(f"{c} long" for c in SIGNATURE))
 
 
-def _buckets(values: np.ndarray) -> np.ndarray:
+def bucket_of(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
@@ -125,13 +125,13 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1)
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """How many hashes of sets fall into each bucket of the hash space: a table of fixed size, one packed row for each task, summed in two steps."""
+def sketch(docs: DataFrame, sets=None) -> np.ndarray:
+    """How many hashes of sets (of each distinct text of a task, or those that ``sets`` makes of the rows) fall into each bucket of the hash space: a table of fixed size, one packed row for each task, summed in two steps."""
 
     def run(batches):
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for _, values, _ in _new_texts(batches):
-            np.add.at(total, _buckets(values), 1)
+        for _, values, *_ in (sets or _new_texts)(batches):
+            np.add.at(total, bucket_of(values), 1)
         yield _packed(total, TaskContext.get().partitionId() % SUMS)
 
     def added(batches):
@@ -146,7 +146,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
         if part is not None:
             yield _packed(total, part)
 
-    parts = arrow_map(_source(docs), run, "part int, counts binary").repartition(SUMS, "part").sortWithinPartitions("part")
+    parts = arrow_map(docs if sets else _source(docs), run, "part int, counts binary").repartition(SUMS, "part").sortWithinPartitions("part")
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
     for row in arrow_map(parts, added, "part int, counts binary").toLocalIterator():
         out = _sum(out, _unpacked(bytes(row.counts)))
@@ -160,7 +160,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     def run(batches):
         for _, h, n in _new_texts(batches):
             row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, sent.value[_buckets(h)], row))
+            order = np.lexsort((h, sent.value[bucket_of(h)], row))
             place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             first = place < np.repeat(n + (-UP * n) // DOWN + 1, n)
             own = row[first]
@@ -190,7 +190,7 @@ def _maybe(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(differ * (DOWN + UP) <= (F.col("size_a") + F.col("size_b")) * (DOWN - UP)).select("a", "b")
 
 
-def _texts_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+def texts_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, text): of each node one text; other texts are left out before the join, but for chance."""
     wanted = materialise(rows.groupBy("node").agg(F.min("tkey").alias("tkey")).join(nodes, "node", "left_semi"), "wanted")
     at = F.shiftrightunsigned("tkey", 64 - FILTER_BITS)
@@ -217,7 +217,7 @@ def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     n = pairs.count()
     if not n:
         return pairs
-    texts = materialise(_texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), rows, docs), "texts", 2 * n, TEXTS)
+    texts = materialise(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), rows, docs), "texts", 2 * n, TEXTS)
     full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def sets(column):
