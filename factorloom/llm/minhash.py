@@ -14,8 +14,9 @@ ones.
 kept, and candidates of which more than ``MOST_APART`` differ are dropped: at 0.85 that loses one of
 1e10 (Chernoff).  All others are confirmed on their whole sets, made again from the texts.
 
-Under a key of more than ``BUCKET`` classes each is compared with one pivot, another one for each
-key, so that copies of a text hang together by many pivots.  Where a key's classes are not in one
+Under a key of more than ``BUCKET`` classes each is compared with one pivot only, the class that
+meets the most others under such keys: what the others are copies of, and the same one for most keys
+of a group of copies.  Where a key's classes are not in one
 component by then, all of them go to an exact join: of two similar sets, the first hashes in any
 common order (rare ones first) have one in common, and from the place of the first common hash on
 there must be enough left.  Pairs within one component are left out, as they change nothing.
@@ -222,13 +223,14 @@ def _prefix_pairs(texts: DataFrame) -> DataFrame:
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b) edges between the ``classes`` (node, tkey, size, marks, bands), enough that their components are those of all similar pairs."""
     banded = classes.select("node", F.explode("bands").alias("key"))
-    # the least node after flipping the key's bits: another member for each key
-    mixed = F.col("node").bitwiseXOR(F.col("key"))
-    buckets = materialise(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.min(mixed).alias("least")).where("n > 1"), "buckets")
-    members = materialise(banded.join(dealt_anew(buckets.where("n > 2"), "key").select("key", "n", F.col("least").bitwiseXOR(F.col("key")).alias("pivot")), "key"), "members")
+    buckets = materialise(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"), "buckets")
+    members = materialise(banded.join(dealt_anew(buckets.where("n > 2"), "key").select("key", "n"), "key"), "members")
     few, crowded = members.where(F.col("n") <= BUCKET).select("key", "node"), members.where(F.col("n") > BUCKET)
+    met = crowded.groupBy("node").agg(F.sum("n").alias("met"))
+    pivots = crowded.join(dealt_anew(met, "node"), "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("pivot"))
+    spokes = crowded.join(dealt_anew(pivots, "key"), "key").where("node <> pivot").select(*_pair("node", "pivot"))
     small = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionAll(small).unionAll(crowded.where("node <> pivot").select(*_pair("node", "pivot")))
+    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionAll(small).unionAll(spokes)
     found = _links_of(pairs.distinct(), classes, docs)
     roots = components(found).select("node", "root")
     labelled = crowded.select("key", "node").join(dealt_anew(roots, "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
