@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -51,22 +53,38 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-_made: list[str] = []
+#: Where scratch folders are made, if not in the shared folder itself.
+_within: ContextVar[str | None] = ContextVar("_within", default=None)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder URI below the shared folder."""
-    _made.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    """A new folder URI below the shared folder, or below that of the ``stage_folder`` around the call."""
+    return f"{_within.get() or shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+@contextmanager
+def stage_folder(spark: SparkSession, name: str):
+    """What the block writes to scratch folders lies in one folder of its own, which is deleted at the end, also after a failure.
+
+    The block must write what is to be kept to a folder that was made outside.  Other threads, and
+    tables made before or after, are not concerned.
+    """
+    folder = scratch(spark, name)
+    token = _within.set(folder)
+    try:
+        yield folder
+    finally:
+        _within.reset(token)
+        _delete(spark, folder)
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None, per_file: int = 200_000, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder (or ``path``) and read it back: cuts lineage, survives lost executors.
 
     With a known (or greatest) number of ``rows`` it becomes one file for each ``per_file`` of them.
     """
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = path or scratch(spark, name)
     (df if rows is None else df.coalesce(-(-max(rows, 1) // per_file))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_folder = path
@@ -82,19 +100,6 @@ def discard(*tables: DataFrame) -> None:
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    _made.remove(folder)
-
-
-def scratch_mark() -> int:
-    """How many folders have been made; see ``discard_since``."""
-    return len(_made)
-
-
-def discard_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
-    """Delete all folders made since ``mark`` but that of ``keep``, which no longer needs them."""
-    for folder in _made[mark:]:
-        if folder != keep.scratch_folder:
-            _delete(spark, folder)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers as P
@@ -171,10 +173,11 @@ def test_repeated_rows_cost_no_more_than_their_number(spark):
     docs = frame(spark, [(None, one)] * 300 + [(3, other)])
     texts = repeats.keyed(docs)
     assert repeats.repeated(texts, 35, substring.fm_groups, keep_first=False).count() == 2
-    made = len(common._made)
-    rows = substring.substring_dedup(docs).collect()
+    with common.stage_folder(spark, "own") as folder:
+        rows = substring.substring_dedup(docs).collect()
+        left = os.listdir(folder.removeprefix("file://"))
     assert collections.Counter(r.n_removed for r in rows) == {120: 300, 90: 1}
-    assert len(common._made) - made == 2  # the tables that the result is read from; the others are deleted
+    assert len(left) == 2  # the tables that the result is read from; the others are deleted
     kept = suffixes.repeated_passages(docs).collect()
     assert collections.Counter(r.n_removed for r in kept) == {0: 300, 90: 1}
 
@@ -293,8 +296,18 @@ def test_shared_folder(spark):
     df = common.materialise(spark.range(3), "t")
     assert df.count() == 3
     common.discard(df)
-    assert df.scratch_folder not in common._made
-    mark = common.scratch_mark()
-    a, b = common.materialise(spark.range(2), "a"), common.materialise(spark.range(2), "b")
-    common.discard_since(spark, mark, keep=b)
-    assert b.count() == 2 and a.scratch_folder not in common._made
+    exists = lambda t: os.path.exists(t.scratch_folder.removeprefix("file://"))
+    assert not exists(df)
+    before = common.materialise(spark.range(5), "before")
+    with common.stage_folder(spark, "stage") as folder:
+        a = common.materialise(spark.range(2), "a")
+        b = common.materialise(a, "b", path=common.shared_root(spark) + "/kept-by-the-test")
+        with ThreadPoolExecutor(1) as pool:  # another caller, at the same time
+            other = pool.submit(lambda: common.materialise(spark.range(4), "other")).result()
+        assert a.scratch_folder.startswith(folder) and not other.scratch_folder.startswith(folder)
+    assert not exists(a) and b.count() == 2 and other.count() == 4 and before.count() == 5
+    with pytest.raises(ZeroDivisionError), common.stage_folder(spark, "stage"):
+        a = common.materialise(spark.range(2), "a")
+        raise ZeroDivisionError
+    assert not exists(a) and common.materialise(spark.range(1), "after").scratch_folder.startswith(root)
+    common.discard(b)
