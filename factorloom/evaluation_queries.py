@@ -55,7 +55,7 @@ EVAL = f"""{BASE}, un AS (SELECT datetime, count(DISTINCT instrument) AS u FROM
 
 def _summary(x: str, keys: str = "alpha_id") -> str:
     return f"""SELECT {keys}, count({x}) AS n_obs, {r(f'avg({x})')} AS mean, {r(f'coalesce(stddev_samp({x}), 0)')} AS std, {r(f'coalesce(avg({x}) / nullif(stddev_samp({x}), 0), 0) * sqrt(count({x}))')} AS t_stat,
- {r(f'coalesce(avg({x}) / nullif(stddev_samp({x}), 0), 0) * sqrt(252)')} AS information_ratio, {r(f'pow(1 + avg({x}), 252) - 1', 3)} AS annualized_return, {r('min(drawdown)')} AS max_drawdown"""
+ {r(f'coalesce(avg({x}) / nullif(stddev_samp({x}), 0), 0) * sqrt(252)')} AS information_ratio, {r(signed_log_sql(f'(pow(1 + avg({x}), 252) - 1)'))} AS log_annualized_return, {r('min(drawdown)')} AS max_drawdown"""
 
 
 def _drawdown(x: str, source: str = "day", keys: str = "alpha_id") -> str:
@@ -63,17 +63,26 @@ def _drawdown(x: str, source: str = "day", keys: str = "alpha_id") -> str:
     return f"eq AS (SELECT *, product(1 + coalesce({x}, 0)) OVER {w} AS equity FROM {source}), dd AS (SELECT *, equity / nullif(max(equity) OVER {w}, 0) - 1 AS drawdown FROM eq)"
 
 
+def signed_log_sql(x: str) -> str:
+    """Large values on a scale on which rounding is relative."""
+    return f"sign({x}) * ln(1 + abs({x}))"
+
+
+def signed_log(x: str):
+    return F.signum(x) * F.log1p(F.abs(x))
+
+
 def _mild(x: str) -> str:
-    """The daily table with the series at a thousandth: unit prices jump, and compounding them overflows."""
-    return f"md AS (SELECT * REPLACE ({x} * 0.001 AS {x}) FROM day)"
+    """The factors' daily table with the series at a hundredth: unit prices jump by multiples from week to week, and compounding overflows."""
+    return f"md AS (SELECT * REPLACE ({x} * 0.01 AS {x}) FROM day)"
 
 
-def mild(df, x: str):
-    return df.withColumn(x, F.col(x) * 0.001)
+def _mild_evaluated(spark, sf_dir):
+    return _evaluated(spark, sf_dir).withColumn("ls_return", F.col("ls_return") * 0.01)
 
 
 def _tidy_summary(df):
-    return tidy(df.drop("annualized_return")).join(df.select(*[c for c in df.columns if c in ("alpha_id", "year", "label")], rounded(F.col("annualized_return"), 3).alias("annualized_return")), [c for c in df.columns if c in ("alpha_id", "year", "label")])
+    return tidy(df.withColumn("log_annualized_return", signed_log("annualized_return")).drop("annualized_return"))
 
 
 def _fwd(spark, sf_dir):
@@ -121,17 +130,17 @@ def factor_evaluation(spark, sf_dir):
 
 @query("evaluation_summary", f"{EVAL}, {_mild('ls_return')}, {_drawdown('ls_return', 'md')} {_summary('ls_return')} FROM dd GROUP BY alpha_id")
 def evaluation_summary(spark, sf_dir):
-    return _tidy_summary(ev.summarize(mild(_evaluated(spark, sf_dir), "ls_return"), ["alpha_id"], "ls_return"))
+    return _tidy_summary(ev.summarize(_mild_evaluated(spark, sf_dir), ["alpha_id"], "ls_return"))
 
 
 @query("yearly_breakdown", f"{EVAL}, {_mild('ls_return')}, yr AS (SELECT *, year(datetime) AS year FROM md), {_drawdown('ls_return', 'yr', 'alpha_id, year')} {_summary('ls_return', 'alpha_id, year')} FROM dd GROUP BY alpha_id, year")
 def yearly_breakdown(spark, sf_dir):
-    return _tidy_summary(ev.yearly(mild(_evaluated(spark, sf_dir), "ls_return"), ["alpha_id"], "ls_return"))
+    return _tidy_summary(ev.yearly(_mild_evaluated(spark, sf_dir), ["alpha_id"], "ls_return"))
 
 
-@query("drawdown_path", f"{EVAL}, {_mild('ls_return')}, {_drawdown('ls_return', 'md')} SELECT alpha_id, datetime, {r('equity')} AS equity, {r('drawdown')} AS drawdown FROM dd")
+@query("drawdown_path", f"{EVAL}, {_mild('ls_return')}, {_drawdown('ls_return', 'md')} SELECT alpha_id, datetime, {r(signed_log_sql('equity'))} AS log_equity, {r('drawdown')} AS drawdown FROM dd")
 def drawdown_path(spark, sf_dir):
-    return tidy(ev.drawdowns(mild(_evaluated(spark, sf_dir), "ls_return"), ["alpha_id"], "ls_return").select("alpha_id", "datetime", "equity", "drawdown"))
+    return tidy(ev.drawdowns(_mild_evaluated(spark, sf_dir), ["alpha_id"], "ls_return").select("alpha_id", "datetime", signed_log("equity").alias("log_equity"), "drawdown"))
 
 
 @query("factor_coverage", f"WITH {FACTOR_SQL}, d AS (SELECT alpha_id, datetime, count(value) AS n FROM factors GROUP BY 1, 2), u AS (SELECT alpha_id, count(DISTINCT instrument) AS m FROM factors GROUP BY 1) SELECT alpha_id, {r('avg(n / m::DOUBLE)')} AS coverage FROM d JOIN u USING (alpha_id) GROUP BY 1")
@@ -186,7 +195,7 @@ EXPO = f"""{GRID}, mk AS (SELECT *, coalesce(avg(ret) OVER (PARTITION BY datetim
  ex AS (SELECT datetime, instrument, ret, lag(v) OVER ({_T}) AS volatility, lag(a) OVER ({_T}) AS adv, lag(b) OVER ({_T}) AS beta FROM nw)"""
 
 
-@query("risk_exposures", f"WITH {panel_sql()}, {EXPO} SELECT datetime, instrument, {r('ret')} AS ret, {r('volatility')} AS volatility, {r('ln(1 + adv)')} AS log_adv, {r('adv', 2)} AS adv, {r('beta')} AS beta FROM ex")
+@query("risk_exposures", f"WITH {panel_sql()}, {EXPO} SELECT datetime, instrument, {r('ret')} AS ret, {r('volatility')} AS volatility, {r('ln(1 + adv)')} AS log_adv, {r('adv', 2)} AS adv, {r('beta')} AS beta FROM ex SEMI JOIN panel USING (datetime, instrument)")
 def risk_exposures(spark, sf_dir):
     e = risk.exposures(sources.supplier_panel(spark, sf_dir), W, M)
     return e.select("datetime", "instrument", *[rounded(F.col(c), 2 if c == "adv" else 6).alias(c) for c in ("ret", "volatility", "log_adv", "adv", "beta")])
@@ -236,7 +245,7 @@ def regime_buckets(spark, sf_dir):
 
 @query("regime_performance", f"{EVAL}, {_mild('ls_return')}, {LABELS}, jl AS (SELECT md.*, label FROM md JOIN lb USING (datetime) WHERE label IS NOT NULL), {_drawdown('ls_return', 'jl', 'alpha_id, label')} {_summary('ls_return', 'alpha_id, label')} FROM dd GROUP BY alpha_id, label")
 def regime_performance(spark, sf_dir):
-    return _tidy_summary(risk.regime_performance(mild(_evaluated(spark, sf_dir), "ls_return"), _labels(spark, sf_dir), ["alpha_id"], "ls_return"))
+    return _tidy_summary(risk.regime_performance(_mild_evaluated(spark, sf_dir), _labels(spark, sf_dir), ["alpha_id"], "ls_return"))
 
 
 @query("sector_dummies", f"WITH {SECTOR_SQL} SELECT instrument, " + ", ".join(f"(sector = '{s}')::INT::DOUBLE AS \"sector_{s}\"" for s in ("AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + " FROM sectors")
@@ -247,17 +256,19 @@ def sector_dummies(spark, sf_dir):
 
 # -- portfolios ---------------------------------------------------------------------------------
 
-CFG = pf.Backtest(min_obs=MIN_OBS, rebalance_days=4, holding_days=8, half_spread_bps=1.0, impact_bps=10.0, window=W, min_window_obs=M, every_date=False)
+CFG = pf.Backtest(min_obs=MIN_OBS, rebalance_days=4, holding_days=8, half_spread_bps=1.0, impact_bps=10.0, window=W, min_window_obs=M)
 CAL = "cal AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS i, lead(datetime) OVER (ORDER BY datetime) AS next FROM (SELECT DISTINCT datetime FROM panel))"
 TARGETS = f"""{CAL}, htb AS (SELECT s_suppkey::VARCHAR AS instrument FROM supplier WHERE s_acctbal < 0), rb AS (SELECT f.*, i FROM factors f JOIN cal USING (datetime) WHERE next IS NOT NULL AND i % 4 = 0 AND value IS NOT NULL),
  rn AS (SELECT *, row_number() OVER ({_G} ORDER BY value, instrument) AS rn, count(*) OVER ({_G}) AS n FROM rb), bb AS (SELECT *, {bucket_sql()} AS bucket FROM rn WHERE n >= {MIN_OBS}),
  sd AS (SELECT *, CASE WHEN bucket = 4 THEN 1 WHEN bucket = 0 AND instrument NOT IN (SELECT instrument FROM htb) THEN -1 ELSE 0 END AS side FROM bb), cn AS (SELECT *, count(*) FILTER (side = 1) OVER ({_G}) AS nl, count(*) FILTER (side = -1) OVER ({_G}) AS ns FROM sd),
  tg AS (SELECT alpha_id, datetime, i, instrument, CASE WHEN side = 1 THEN 0.5 / nl ELSE -0.5 / ns END AS weight FROM cn WHERE side <> 0 AND nl > 0 AND ns > 0)"""
 HELD = f"{TARGETS}, hw AS (SELECT t.alpha_id, c.i, c.datetime, c.next, t.instrument, sum(t.weight / 2) AS w FROM tg t JOIN cal c ON c.i >= t.i AND c.i < least(t.i + 8, (SELECT max(i) FROM cal)) GROUP BY 1, 2, 3, 4, 5 HAVING abs(sum(t.weight / 2)) > 1e-12)"
+ON_ALL_DATES = "dp AS (SELECT a.alpha_id, c.next AS datetime, " + ", ".join(f"coalesce(d.{c}, 0) AS {c}" for c in ("gross_return", "turnover", "traded", "impact_unit", "gross_short", "gross_long", "borrow_unit")) + " FROM (SELECT DISTINCT alpha_id FROM factors) a CROSS JOIN (SELECT next FROM cal WHERE next IS NOT NULL) c LEFT JOIN dq d ON d.alpha_id = a.alpha_id AND d.datetime = c.next)"
 PATH = f"""{HELD}, mvs AS (SELECT alpha_id, i, instrument, w, 0.0 AS b FROM hw UNION ALL SELECT alpha_id, i + 1, instrument, 0.0, w FROM hw), tr AS (SELECT alpha_id, i, instrument, sum(w) AS w, abs(sum(w) - sum(b)) AS d FROM mvs GROUP BY 1, 2, 3),
  {EXPO}, us AS (SELECT datetime, quantile_cont(adv, 0.5) AS mid FROM ex GROUP BY 1),
  tt AS (SELECT tr.*, c.next, coalesce(x.ret, 0) AS ret, d * pow(least(d * 1e6 / nullif(coalesce(e.adv, us.mid, 1), 0), 0.2), 0.5) AS unit FROM tr JOIN cal c USING (i) LEFT JOIN ex x ON x.datetime = c.next AND x.instrument = tr.instrument LEFT JOIN ex e ON e.datetime = c.datetime AND e.instrument = tr.instrument LEFT JOIN us ON us.datetime = c.datetime WHERE c.next IS NOT NULL),
- dp AS (SELECT alpha_id, next AS datetime, sum(w * ret) AS gross_return, sum(d) / 2 AS turnover, sum(d) AS traded, sum(unit) AS impact_unit, sum(greatest(-w, 0)) AS gross_short, sum(greatest(w, 0)) AS gross_long, sum(greatest(-w, 0) * 50) / 1e4 / 252 AS borrow_unit FROM tt GROUP BY 1, 2),
+ dq AS (SELECT alpha_id, next AS datetime, sum(w * ret) AS gross_return, sum(d) / 2 AS turnover, sum(d) AS traded, sum(unit) AS impact_unit, sum(greatest(-w, 0)) AS gross_short, sum(greatest(w, 0)) AS gross_long, sum(greatest(-w, 0) * 50) / 1e4 / 252 AS borrow_unit FROM tt GROUP BY 1, 2),
+ {ON_ALL_DATES},
  dc AS (SELECT *, turnover * 3 / 1e4 AS linear_cost, traded / 1e4 AS spread_cost, impact_unit * 10 / 1e4 AS impact_cost, borrow_unit AS borrow_cost FROM dp), day AS (SELECT *, linear_cost + spread_cost + impact_cost + borrow_cost AS total_cost, gross_return - (linear_cost + spread_cost + impact_cost + borrow_cost) AS net_return FROM dc)"""
 _PCOLS = ("gross_return", "turnover", "traded", "impact_unit", "gross_short", "gross_long", "borrow_unit", "linear_cost", "spread_cost", "impact_cost", "borrow_cost", "total_cost", "net_return")
 
@@ -284,9 +295,9 @@ def backtest_daily(spark, sf_dir):
     return tidy(_daily(spark, sf_dir))
 
 
-@query("backtest_summary", f"WITH {FACTOR_SQL}, {PATH}, {_mild('net_return')}, {_drawdown('net_return', 'md')} {_summary('net_return')}, {r('avg(turnover)')} AS turnover_mean, {r('avg(total_cost)')} AS total_cost_mean FROM dd GROUP BY alpha_id")
+@query("backtest_summary", f"WITH {FACTOR_SQL}, {PATH}, {_drawdown('net_return')} {_summary('net_return')}, {r('avg(turnover)')} AS turnover_mean, {r('avg(total_cost)')} AS total_cost_mean FROM dd GROUP BY alpha_id")
 def backtest_summary(spark, sf_dir):
-    s = pf.portfolio_summary(mild(_daily(spark, sf_dir), "net_return"))
+    s = pf.portfolio_summary(_daily(spark, sf_dir))
     return _tidy_summary(s.select("alpha_id", "n_obs", "mean", "std", "t_stat", "information_ratio", "annualized_return", "max_drawdown", "turnover_mean", "total_cost_mean"))
 
 
@@ -328,18 +339,13 @@ def reprice(spark, sf_dir):
     return tidy(pf.reprice(dated, panel, CFG).select("alpha_id", "datetime", "gross_return", "turnover"))
 
 
-def _every(columns, source="day") -> str:
-    """All dates of the calendar for each factor, those without a row as zeros."""
-    return "ev AS (SELECT a.alpha_id, c.next AS datetime, " + ", ".join(f"coalesce(d.{c}, 0) AS {c}" for c in columns) + f" FROM (SELECT DISTINCT alpha_id FROM factors) a CROSS JOIN (SELECT next FROM cal WHERE next IS NOT NULL) c LEFT JOIN {source} d ON d.alpha_id = a.alpha_id AND d.datetime = c.next)"
-
-
 _SHORT = PATH.replace("i % 4 = 0", "i % 10 = 0").replace("t.weight / 2", "t.weight").replace("t.i + 8", "t.i + 3")
 
 
-@query("backtest_short_hold", f"WITH {FACTOR_SQL}, {_SHORT}, {_every(_PCOLS)} SELECT alpha_id, datetime, " + ", ".join(f"{r(c)} AS {c}" for c in _PCOLS) + " FROM ev")
+@query("backtest_short_hold", f"WITH {FACTOR_SQL}, {_SHORT} SELECT alpha_id, datetime, " + ", ".join(f"{r(c)} AS {c}" for c in _PCOLS) + " FROM day")
 def backtest_short_hold(spark, sf_dir):
     """A holding period that ends before the next rebalance: the book is flat in between; every date has a row."""
-    return tidy(_daily(spark, sf_dir, pf.with_config(CFG, rebalance_days=10, holding_days=3, every_date=True)).select("alpha_id", "datetime", *_PCOLS))
+    return tidy(_daily(spark, sf_dir, pf.with_config(CFG, rebalance_days=10, holding_days=3)).select("alpha_id", "datetime", *_PCOLS))
 
 
 _PARTS = ("gross_return", "turnover", "traded", "impact_unit", "gross_short", "gross_long", "borrow_unit", "scale", "net_return")
@@ -367,7 +373,7 @@ def capped_sql(impact: float, target_vol: float, cap: float) -> str:
  ) SELECT alpha_id, datetime, {", ".join(f"{r(c)} AS {c}" for c in _PARTS)} FROM st WHERE i >= 0"""
 
 
-@query("backtest_sequential", capped_sql(0.0, 0.1, 0.2) + " AND (turnover > 0 OR gross_short > 0 OR gross_long > 0)")
+@query("backtest_sequential", capped_sql(0.0, 0.1, 0.2))
 def backtest_sequential(spark, sf_dir):
     """Volatility target and turnover cap."""
     return tidy(_daily(spark, sf_dir, pf.with_config(CFG, impact_bps=0.0, target_vol=0.1, turnover_cap=0.2)).select("alpha_id", "datetime", *_PARTS))
@@ -376,14 +382,14 @@ def backtest_sequential(spark, sf_dir):
 @query("backtest_capped", capped_sql(10.0, 0.1, 0.1))
 def backtest_capped(spark, sf_dir):
     """The same with impact costs and a row for every date."""
-    return tidy(_daily(spark, sf_dir, pf.with_config(CFG, target_vol=0.1, turnover_cap=0.1, every_date=True)).select("alpha_id", "datetime", *_PARTS))
+    return tidy(_daily(spark, sf_dir, pf.with_config(CFG, target_vol=0.1, turnover_cap=0.1)).select("alpha_id", "datetime", *_PARTS))
 
 
 @query("backtest_optimized")
 def backtest_optimized(spark, sf_dir):
     """The ridge optimizer with beta control, a pull to the held book and a variance penalty, date by date."""
     opt = pf.Optimizer(backend="ridge", turnover=0.5, exposure=1.0, risk=0.1)
-    return tidy(_daily(spark, sf_dir, pf.with_config(CFG, optimizer=opt, neutralize=("beta",), max_weight=0.2, every_date=True)).select("alpha_id", "datetime", *_PARTS))
+    return tidy(_daily(spark, sf_dir, pf.with_config(CFG, optimizer=opt, neutralize=("beta",), max_weight=0.2)).select("alpha_id", "datetime", *_PARTS))
 
 
 _FILTERED = TARGETS.replace("rb AS (SELECT f.*, i FROM factors f JOIN cal USING (datetime)", "rb AS (SELECT f.*, i FROM factors f JOIN cal USING (datetime) JOIN ex USING (datetime, instrument)").replace("AND value IS NOT NULL)", "AND value IS NOT NULL AND adv >= 30000)").replace("instrument NOT IN (SELECT instrument FROM htb)", "coalesce((SELECT any_value(borrow_bps) FROM rates q WHERE q.datetime = bb.datetime AND q.instrument = bb.instrument), 50) <= 150")

@@ -170,29 +170,62 @@ def trade_limits(w: np.ndarray, side: np.ndarray, target: np.ndarray, opt: Optim
     return w, meta | {"turnover_to_target": float(np.abs(w - target).sum() / 2), "gross_long": float(w[w > 0].sum()), "gross_short": float(-w[w < 0].sum())}
 
 
-def solve_qp(p: np.ndarray, q: np.ndarray, a: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int = 4000, tol: float = 1e-7) -> np.ndarray | None:
-    """The x of least x'Px / 2 + q'x with low <= Ax <= high, by operator splitting; None if it does not converge."""
+#: How far a solution may be from a limit.
+VIOLATION = 1e-9
+
+
+def _excess(a: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> float:
+    """The largest distance of Ax from its limits."""
+    ax = a @ x
+    return float(max(np.max(low - ax, initial=0.0), np.max(ax - high, initial=0.0)))
+
+
+def _polished(p: np.ndarray, q: np.ndarray, a: np.ndarray, low: np.ndarray, high: np.ndarray, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least value with the limits that bind at (z, y) as equations."""
+    at_low, at_high = z - low < -y, high - z < y
+    some = at_low | at_high
+    b = np.where(at_low, low, high)[some]
+    active, m = a[some], int(some.sum())
+    system = np.block([[p, active.T], [active, np.zeros((m, m))]])
+    return np.linalg.lstsq(system, np.concatenate([-q, b]), rcond=1e-12)[0][: len(q)]
+
+
+def solve_qp(p: np.ndarray, q: np.ndarray, a: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int = 8000, tol: float = 1e-7) -> tuple[np.ndarray | None, float]:
+    """The x of least x'Px / 2 + q'x with low <= Ax <= high, and its largest distance from the limits.
+
+    Operator splitting finds which limits bind; the equations of these then give the point itself.
+    Only a point that keeps all limits to ``VIOLATION``, and that is no worse than the iterate, is a
+    solution; without one x is None, and the distance that of the last point.
+    """
     n, sigma = len(q), 1e-6
-    equal = low == high
-    rho = np.where(equal, 100.0, 0.1)
-    x, z, y = np.zeros(n), np.zeros(len(low)), np.zeros(len(low))
-    for restart in range(4):
+    value = lambda v: float(v @ p @ v / 2 + q @ v)
+    rho = np.where(low == high, 100.0, 0.1)
+    x, z, y, excess = np.zeros(n), np.zeros(len(low)), np.zeros(len(low)), np.inf
+    for _ in range(16):
         inverse = np.linalg.inv(p + sigma * np.eye(n) + a.T @ (rho[:, None] * a))
-        for _ in range(steps // 4):
+        for _ in range(steps // 16):
             x = inverse @ (sigma * x - q + a.T @ (rho * z - y))
             ax = a @ x
             z = np.clip(ax + y / rho, low, high)
             y = y + rho * (ax - z)
-            primal = np.abs(ax - z).max()
-            if primal < tol and np.abs(p @ x + q + a.T @ y).max() < tol * 10:
-                return x
-        dual = np.abs(p @ x + q + a.T @ y).max()
+            primal, dual = np.abs(ax - z).max(), np.abs(p @ x + q + a.T @ y).max()
+            if primal < tol and dual < tol * 10:
+                break
+        excess = _excess(a, x, low, high)
+        if primal < 1e-3 and dual < 1e-2:
+            exact = _polished(p, q, a, low, high, z, y)
+            if _excess(a, exact, low, high) <= VIOLATION and value(exact) <= value(x) + 1e-4 * (1 + abs(value(x))):
+                return exact, _excess(a, exact, low, high)
+            if primal < tol and dual < tol * 10:
+                if excess <= VIOLATION:
+                    return x, excess
+                tol /= 10
         rho = rho * min(max((primal / max(dual, 1e-12)) ** 0.5, 0.1), 10.0)
-    return x if primal < 1e-4 else None
+    return None, excess
 
 
-def quadratic(scores: np.ndarray, side: np.ndarray, target: np.ndarray, x: np.ndarray, opt: Optimizer, most: float, costs: dict, model: dict | None = None) -> np.ndarray | None:
-    """The constrained problem over weights and the absolute trades: sums of sides, cap, trade bounds, turnover and neutrality hold."""
+def quadratic(scores: np.ndarray, side: np.ndarray, target: np.ndarray, x: np.ndarray, opt: Optimizer, most: float, costs: dict, model: dict | None = None) -> tuple[np.ndarray | None, float]:
+    """The constrained problem over weights and the absolute trades: sums of sides, cap, trade bounds, turnover and neutrality hold; and the distance from them."""
     n, lists = len(scores), []
     z = standardized(x) if x.size else np.zeros((n, 0))
     quad = np.eye(n) * 2 * max(opt.l2, 1e-8)
@@ -226,8 +259,8 @@ def quadratic(scores: np.ndarray, side: np.ndarray, target: np.ndarray, x: np.nd
     if opt.neutral and not opt.slack and z.size:
         need(z.T, 0 * z.T, np.zeros(z.shape[1]), np.zeros(z.shape[1]))
     a, low, high = (np.concatenate(c).astype(float) for c in zip(*lists))
-    got = solve_qp(p, q, a, low, high)
-    return None if got is None else _sides(got[:n], side)
+    got, excess = solve_qp(p, q, a, low, high)
+    return None if got is None else _sides(got[:n], side), excess
 
 
 def constraint_summary(w: np.ndarray, target: np.ndarray, x: np.ndarray, opt: Optimizer, most: float = 0.0, most_trade: np.ndarray | None = None) -> dict:
@@ -267,8 +300,8 @@ def optimize(scores: np.ndarray, side: np.ndarray, target: np.ndarray, x: np.nda
         if not check["passed"]:
             meta["fallback"] = "qp_precheck_failed:" + ",".join(check["reasons"][:2])
         else:
-            w = quadratic(scores, side, target, x, opt, most, costs, model)
-            meta |= {"backend_used": "qp"} if w is not None else {"fallback": "qp_failed"}
+            w, meta["qp_violation"] = quadratic(scores, side, target, x, opt, most, costs, model)
+            meta |= {"backend_used": "qp"} if w is not None else {"fallback": "qp_failed:unconverged"}
     if w is None:
         adjusted = cost_aware(np.nan_to_num(scores), side, opt.cost, costs)
         w = ridge(adjusted, side, target, x, opt, most, costs.get("variance"), model)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import div
 from .evaluation import YEAR, bucket
 from .optimizer import Optimizer, optimize
-from .risk import clip_weights, densify, exposures, keys_of, known_returns, neutralize, rescale_legs, residual_weights, sector_dummies
+from .risk import clip_weights, exposures, keys_of, known_returns, neutralize, rescale_legs, residual_weights, sector_dummies, usual_volume, volume_steps
 
 
 @dataclass(frozen=True)
@@ -71,8 +71,8 @@ def calendar(panel: DataFrame) -> DataFrame:
     return panel.select(*by, "datetime").distinct().select(*by, "datetime", (F.row_number().over(w) - 1).alias("i"), F.lead("datetime").over(w).alias("next"), F.lag("datetime").over(w).alias("prev"))
 
 
-def side_weights(rows: DataFrame, cfg: Backtest, keys: list[str]) -> DataFrame:
-    """Half the capital on each side, equally over its names, of each date's values; both sides or none.
+def side_weights(rows: DataFrame, cfg: Backtest, keys: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """Half the capital on each side, equally over its names, of each date's values; both sides or none.  ``also``: columns to keep.
 
     ``rows`` has (value, shortable).  By quantiles the shortable names of the bottom bucket are sold;
     by number of names the candidates are the shortable names, of which there must be enough.
@@ -92,17 +92,18 @@ def side_weights(rows: DataFrame, cfg: Backtest, keys: list[str]) -> DataFrame:
     placed = placed.withColumn("side", F.when(long, 1).when(short, -1).otherwise(0))
     n_long, n_short = F.sum(F.when(F.col("side") == 1, 1)).over(by), F.sum(F.when(F.col("side") == -1, 1)).over(by)
     placed = placed.withColumns({"_l": n_long, "_n": n_short}).where("side <> 0 and _l > 0 and _n > 0")
-    return placed.select(*keys, "datetime", "instrument", F.when(F.col("side") == 1, 0.5 / F.col("_l")).otherwise(-0.5 / F.col("_n")).alias("weight"))
+    return placed.select(*keys, "datetime", "instrument", F.when(F.col("side") == 1, 0.5 / F.col("_l")).otherwise(-0.5 / F.col("_n")).alias("weight"), *also)
 
 
-def target_weights(factors: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, hard_to_borrow: DataFrame | None = None, rates: DataFrame | None = None, exposure: DataFrame | None = None, sectors: DataFrame | None = None) -> DataFrame:
+def target_weights(factors: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, hard_to_borrow: DataFrame | None = None, rates: DataFrame | None = None, sectors: DataFrame | None = None) -> DataFrame:
     """Weights decided on each rebalance date, after filters, neutralization (on sectors, too, if given), scaling and the weight cap."""
     by = keys_of(panel)
     days = calendar(panel)
     rows = factors.join(days.where(F.col("next").isNotNull() & (F.col("i") % cfg.rebalance_days == 0)).select(*by, "datetime"), [*by, "datetime"]).withColumn("shortable", F.lit(True))
-    exposure = exposure if exposure is not None or not (cfg.min_adv or cfg.neutralize) else exposures(panel, cfg.window, cfg.min_window_obs)
+    if cfg.min_adv or (cfg.neutralize and cfg.optimizer is None):
+        rows = exposures(panel, cfg.window, cfg.min_window_obs, rows)
     if cfg.min_adv:
-        rows = rows.join(exposure.where(F.col("adv") >= cfg.min_adv).select(*by, "datetime", "instrument"), [*by, "datetime", "instrument"], "left_semi")
+        rows = rows.where(F.col("adv") >= cfg.min_adv)
     if hard_to_borrow is not None:
         rows = rows.join(hard_to_borrow.withColumn("_h", F.lit(True)), "instrument", "left").withColumn("shortable", F.col("_h").isNull()).drop("_h")
     if cfg.max_borrow_bps:
@@ -110,16 +111,17 @@ def target_weights(factors: DataFrame, panel: DataFrame, cfg: Backtest, keys: li
             rows = rows.join(rates, ["datetime", "instrument"], "left")
         bps = F.coalesce("borrow_bps", F.lit(cfg.borrow_bps)) if rates is not None else F.lit(cfg.borrow_bps)
         rows = rows.withColumn("shortable", F.col("shortable") & (bps <= cfg.max_borrow_bps)).drop("borrow_bps")
-    w = side_weights(rows, cfg, keys)
     if cfg.optimizer is not None:
-        return w.join(factors.select(*keys, "datetime", "instrument", "value"), [*keys, "datetime", "instrument"])
+        return side_weights(rows, cfg, keys, ("value",))
+    w = side_weights(rows, cfg, keys, cfg.neutralize)
     columns = list(cfg.neutralize)
     if sectors is not None:
         dummies, names = sector_dummies(panel.select("instrument").distinct(), sectors)
-        exposure = dummies if exposure is None or not columns else exposure.join(dummies, "instrument", "left")
+        w = w.join(dummies, "instrument", "left")
         columns += names
     if columns:
-        w = rescale_legs(neutralize(w, exposure, columns, keys), keys)
+        w = rescale_legs(neutralize(w, None, columns, keys), keys)
+    w = w.select(*keys, "datetime", "instrument", "weight")
     return clip_weights(w, cfg.max_weight) if cfg.max_weight else w
 
 
@@ -138,7 +140,7 @@ def held_weights(targets: DataFrame, panel: DataFrame, cfg: Backtest, keys: list
     return out.join(days.select(*by, "datetime", "i"), [*by, "i"]).select(*keys, "datetime", "instrument", "weight").where(F.abs("weight") > 1e-12)
 
 
-def daily_path(weights: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, rates: DataFrame | None = None, exposure: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
+def daily_path(weights: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, rates: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
     """Per date of the return: gross and net return, turnover, and each cost.
 
     Weights of a close earn the return to the next date; trades are the change since the close before.
@@ -146,15 +148,17 @@ def daily_path(weights: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[s
     """
     by = keys_of(panel)
     days = calendar(panel)
-    moves = weights.join(days, [*by, "datetime"]).select(*keys, "i", "instrument", F.col("weight").alias("w"), F.lit(0.0).alias("b"))
-    leave = moves.select(*keys, (F.col("i") + 1).alias("i"), "instrument", F.lit(0.0).alias("w"), F.col("w").alias("b"))
-    trades = moves.unionByName(leave).groupBy(*keys, "i", "instrument").agg(F.sum("w").alias("w"), F.sum("b").alias("b")).withColumn("d", F.abs(F.col("w") - F.col("b")))
+    # a weight is one of its own close and the one before for the next close
+    zero = F.lit(0.0)
+    closes = F.array(F.struct("i", F.col("weight").alias("w"), zero.alias("b")), F.struct((F.col("i") + 1).alias("i"), zero.alias("w"), F.col("weight").alias("b")))
+    moves = weights.join(days, [*by, "datetime"]).select(*keys, "instrument", F.inline(closes))
+    trades = moves.groupBy(*keys, "i", "instrument").agg(F.sum("w").alias("w"), F.sum("b").alias("b")).withColumn("d", F.abs(F.col("w") - F.col("b")))
     trades = trades.join(days.where("next is not null"), [*by, "i"])
     r = known_returns(panel).withColumnRenamed("datetime", "next")
     t = trades.join(r, [*by, "next", "instrument"], "left")
     if cfg.impact_bps:
-        exposure = exposure if exposure is not None else exposures(panel, cfg.window, cfg.min_window_obs)
-        t = t.join(exposure.select(*by, "datetime", "instrument", "adv"), [*by, "datetime", "instrument"], "left").join(usual_volume(exposure), [*by, "datetime"], "left")
+        window = (cfg.window, cfg.min_window_obs)
+        t = exposures(panel, *window, t).join(usual_volume(panel, *window), [*by, "datetime"], "left")
         part = F.least(div(F.col("d") * cfg.notional, F.coalesce("adv", "mid", F.lit(1.0))), F.lit(cfg.max_participation))
         t = t.withColumn("unit", F.col("d") * F.pow(F.coalesce(part, F.lit(cfg.max_participation)), cfg.impact_exponent))
     else:
@@ -173,11 +177,6 @@ def daily_path(weights: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[s
     return costed(day.withColumnRenamed("next", "datetime"), cfg)
 
 
-def usual_volume(exposure: DataFrame) -> DataFrame:
-    """(datetime, mid): the median traded value of each date, which stands in for a missing one."""
-    return exposure.groupBy(*keys_of(exposure), "datetime").agg(F.percentile("adv", F.lit(0.5)).alias("mid"))
-
-
 def costed(day: DataFrame, cfg: Backtest) -> DataFrame:
     """Costs and net return of a daily path from its units."""
     linear = F.col("turnover") * (cfg.commission_bps + cfg.slippage_bps) / 1e4
@@ -190,12 +189,10 @@ def backtest(factors: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str
     """The daily path of each key's factor.  ``check``: refuse panels of less than three dates (a job of its own)."""
     if check and panel.select("datetime").distinct().limit(3).count() < 3:
         raise ValueError("a backtest needs three dates")
-    needs = cfg.min_adv or cfg.neutralize or cfg.impact_bps or cfg.optimizer is not None
-    exposure = exposures(panel, cfg.window, cfg.min_window_obs) if needs else None
-    targets = target_weights(factors, panel, cfg, keys, hard_to_borrow, rates, exposure, sectors)
+    targets = target_weights(factors, panel, cfg, keys, hard_to_borrow, rates, sectors)
     if cfg.target_vol or cfg.turnover_cap or cfg.optimizer is not None:
-        return stepwise(targets, panel, cfg, keys, rates, exposure)
-    return daily_path(held_weights(targets, panel, cfg, keys), panel, cfg, keys, rates, exposure, factors)
+        return stepwise(targets, panel, cfg, keys, rates)
+    return daily_path(held_weights(targets, panel, cfg, keys), panel, cfg, keys, rates, factors)
 
 
 def _groups(batches, names: list[str]):
@@ -225,10 +222,13 @@ class _Book:
         self.cfg, self.names = cfg, {}
         self.sleeves: list[tuple[int, np.ndarray, np.ndarray]] = []
         self.held, self.net = np.zeros(0), []
+        #: the names' mean traded values as of the date
+        self.paid = np.zeros(0)
 
     def places(self, names) -> np.ndarray:
         at = np.array([self.names.setdefault(n, len(self.names)) for n in names], np.int64)
         if len(self.names) > len(self.held):
+            self.paid = np.concatenate([self.paid, np.full(len(self.names) - len(self.held), np.nan)])
             self.held = np.concatenate([self.held, np.zeros(len(self.names) - len(self.held))])
         return at
 
@@ -263,8 +263,10 @@ class _Book:
         return w
 
     def day(self, i: int, rows) -> tuple:
-        """One date: expiry, new sleeve, leverage, turnover cap, costs; the row of the daily path."""
+        """One date: expiry, new sleeve, leverage, turnover cap, costs; the row of the daily path.  The row without a name is the date's own."""
         cfg = self.cfg
+        own = rows["instrument"].isna().to_numpy()
+        mid, rows = float(rows["mid"][own].iloc[0]), rows[~own]
         self.sleeves = [s for s in self.sleeves if s[0] > i]
         scale, at = self.scale(), self.places(rows["instrument"])
         new = rows["weight"].notna().to_numpy()
@@ -279,14 +281,15 @@ class _Book:
             delta *= cfg.turnover_cap / turnover
             turnover = cfg.turnover_cap
         self.held = self.held + delta
-        ret, adv, bps = np.zeros(len(self.held)), np.full(len(self.held), np.nan), np.full(len(self.held), cfg.borrow_bps)
-        ret[at] = rows["ret"].fillna(0.0)
-        bps[at] = rows["bps"]
+        ret, bps = np.zeros(len(self.held)), np.full(len(self.held), float(cfg.borrow_bps))
+        ret[at] = rows["ret"].astype(float).fillna(0.0)
+        rate = rows["bps"].astype(float).to_numpy()
+        bps[at[~np.isnan(rate)]] = rate[~np.isnan(rate)]
         unit = 0.0
         if cfg.impact_bps:
-            adv[at] = rows["adv"]
-            mid = rows["mid"].iloc[0]
-            adv = np.where(np.isnan(adv), 1.0 if np.isnan(mid) else mid, adv)
+            step = rows["step"].notna().to_numpy()
+            self.paid[at[step]] = rows["paid"].astype(float).to_numpy()[step]
+            adv = np.where(np.isnan(self.paid), 1.0 if np.isnan(mid) else mid, self.paid)
             with np.errstate(divide="ignore", invalid="ignore"):
                 part = np.abs(delta) * cfg.notional / adv
             part = np.where(np.isnan(part), cfg.max_participation, np.minimum(part, cfg.max_participation))
@@ -310,40 +313,55 @@ def legs(w: np.ndarray, long: float, short: float, scale_up: bool) -> np.ndarray
 
 def costs_of(rows, cfg: Backtest) -> dict[str, np.ndarray]:
     """What the optimizer knows of each name's costs: of a unit of trade, of a unit of short over the holding period, the most it may trade, variance."""
-    adv = rows["adv"].where(rows["adv"] > 0).to_numpy(float)
+    adv = rows["adv"].astype(float)
+    adv = adv.where(adv > 0).to_numpy()
     adv = np.where(np.isnan(adv), np.nanmedian(adv) if np.isfinite(adv).any() else 1.0, adv)
     n = len(rows)
-    return {"trade": np.full(n, (cfg.commission_bps + cfg.slippage_bps) / 2e4 + cfg.half_spread_bps / 1e4), "borrow": rows["bps"].to_numpy(float) / 1e4 / YEAR * cfg.borrow_multiplier * cfg.holding_days,
+    return {"trade": np.full(n, (cfg.commission_bps + cfg.slippage_bps) / 2e4 + cfg.half_spread_bps / 1e4), "borrow": rows["bps"].astype(float).fillna(cfg.borrow_bps).to_numpy() / 1e4 / YEAR * cfg.borrow_multiplier * cfg.holding_days,
             "most_trade": np.clip(cfg.max_participation * adv / cfg.notional, 0.0, 1.0), "variance": rows["volatility"].to_numpy(float) ** 2 * YEAR}
 
 
-def sequential(held: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, rates: DataFrame | None = None, exposure: DataFrame | None = None) -> DataFrame:
+def sequential(held: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, rates: DataFrame | None = None) -> DataFrame:
     """Daily paths of books that move towards given weights at each close, with volatility targeting and a turnover cap."""
-    return stepwise(held, panel, replace(cfg, rebalance_days=1, holding_days=1, optimizer=None), keys, rates, exposure)
+    return stepwise(held, panel, replace(cfg, rebalance_days=1, holding_days=1, optimizer=None), keys, rates)
 
 
-def stepwise(targets: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, rates: DataFrame | None = None, exposure: DataFrame | None = None) -> DataFrame:
+def stepwise(targets: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str] = KEYS, rates: DataFrame | None = None) -> DataFrame:
     """Daily paths from rebalance targets with volatility targeting, a turnover cap or the optimizer: one state machine per key.
 
     The dates of a key come in order, a batch at a time; what a task holds is one date's rows, the
-    live sleeves and the net returns, for the names that the key has ever targeted.
+    live sleeves and the net returns, for the names that the key has ever targeted.  A date has a row
+    of its own and those of names with something new: a target, a return, a borrow rate, another
+    mean traded value.
     """
     by = keys_of(panel)
-    if exposure is None and (cfg.impact_bps or cfg.optimizer is not None):
-        exposure = exposures(panel, cfg.window, cfg.min_window_obs)
-    some = targets.select(*keys, "instrument").distinct()
+    window = (cfg.window, cfg.min_window_obs)
     days = calendar(panel).where("next is not null").select(*by, "datetime", "i", "next")
-    grid = densify(panel.join(targets.select("instrument").distinct(), "instrument", "left_semi")).select(*by, "datetime", "instrument")
-    rows = grid.join(days, [*by, "datetime"]).join(known_returns(panel).withColumnRenamed("datetime", "next"), [*by, "next", "instrument"], "left")
-    if exposure is not None:
-        columns = dict.fromkeys(["adv", "volatility", *cfg.neutralize])
-        rows = rows.join(exposure.select(*by, "datetime", "instrument", *columns), [*by, "datetime", "instrument"], "left")
-        rows = rows.join(usual_volume(exposure), [*by, "datetime"], "left")
-    if rates is not None:
-        rows = rows.join(rates, ["datetime", "instrument"], "left").withColumn("bps", F.coalesce("borrow_bps", F.lit(cfg.borrow_bps))).drop("borrow_bps")
+    ticks = targets.select(*keys).distinct()
+    ticks = ticks.join(days, by) if by else ticks.crossJoin(days)
+    some = targets.select(*keys, "instrument").distinct()
+    of_names = lambda news: news.join(days, [*by, "datetime"]).join(some, [*by, "instrument"])
+    returned = known_returns(panel).withColumnRenamed("datetime", "next").join(days, [*by, "next"]).join(some, [*by, "instrument"]).select(*keys, "i", "instrument", "ret")
+    aims = targets.join(days, [*by, "datetime"])
+    if cfg.optimizer is not None:
+        aims = exposures(panel, *window, aims).select(*aims.columns, *dict.fromkeys(["adv", "volatility", *cfg.neutralize]))
+    aims = aims.drop("datetime", "next")
+    news = [aims, returned]
+    if cfg.impact_bps:
+        news.append(of_names(volume_steps(panel, *window)).select(*keys, "i", "instrument", F.lit(True).alias("step"), F.col("adv").alias("paid")))
+        ticks = ticks.join(usual_volume(panel, *window), [*by, "datetime"], "left")
     else:
-        rows = rows.withColumn("bps", F.lit(float(cfg.borrow_bps)))
-    rows = rows.join(some, [*by, "instrument"]).join(targets, [*keys, "datetime", "instrument"], "left").drop("datetime")
+        ticks = ticks.withColumn("mid", F.lit(None).cast("double"))
+    if rates is not None:
+        news.append(of_names(rates).select(*keys, "i", "instrument", F.col("borrow_bps").cast("double").alias("bps")))
+    rows = ticks.select(*keys, "i", "next", "mid", F.lit(None).cast("string").alias("instrument"))
+    for x in news:
+        rows = rows.unionByName(x, allowMissingColumns=True)
+    for c, t in (("ret", "double"), ("step", "boolean"), ("paid", "double"), ("bps", "double"), ("adv", "double")):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(t))
+    rest = [c for c in rows.columns if c not in (*keys, "i", "instrument")]
+    rows = rows.groupBy(*keys, "i", "instrument").agg(*[F.max(c).alias(c) for c in rest])
     fields = ["gross_return", "turnover", "traded", "impact_unit", "gross_short", "gross_long", "borrow_unit", "scale"]
     schema = targets.select(*keys).schema.add("datetime", "timestamp")
     for c in fields:
@@ -358,7 +376,7 @@ def stepwise(targets: DataFrame, panel: DataFrame, cfg: Backtest, keys: list[str
                 before, book = key, _Book(cfg)
             got = book.day(int(day["i"].iloc[0]), day)
             if cfg.every_date or got[1] or got[4] or got[5]:
-                out.append((*key, table["next"][0].as_py(), *got))
+                out.append((*key, table["next"][0].as_py(), *got))  # the date's own row comes first
             if len(out) >= 4096:
                 yield _rows(out, schema)
                 out = []
@@ -441,4 +459,4 @@ def with_config(cfg: Backtest, **changes) -> Backtest:
     return replace(cfg, **changes)
 
 
-__all__ = ["Backtest", "Column", "Optimizer", "SCENARIOS", "SENSITIVITY", "ablation", "backtest", "break_even", "calendar", "cost_sensitivity", "costed", "daily_path", "held_weights", "portfolio_summary", "reprice", "sequential", "side_weights", "stepwise", "target_weights", "usual_volume", "with_config"]
+__all__ = ["Backtest", "Column", "Optimizer", "SCENARIOS", "SENSITIVITY", "ablation", "backtest", "break_even", "calendar", "cost_sensitivity", "costed", "daily_path", "held_weights", "portfolio_summary", "reprice", "sequential", "side_weights", "stepwise", "target_weights", "with_config"]

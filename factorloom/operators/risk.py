@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import div, scrub
+from ..functions import div, linear, scrub
 from .evaluation import YEAR, summarize
 
+#: Share of the market's mean square up to which its variance counts as none (rounding of the running sums).
+NO_SPREAD = 1e-10
+
+
 def _in_time(by=()):
     return Window.partitionBy(*by, "instrument").orderBy("datetime")
 
@@ -17,70 +21,142 @@ def keys_of(panel: DataFrame) -> list[str]:
     return [c for c in ("split_id", "segment") if c in panel.columns]
 
 
-def densify(panel: DataFrame) -> DataFrame:
-    """All dates by all instruments of the panel, missing rows as NULLs: row steps become calendar steps.
-
-    Each row is repeated up to the instrument's next one (the first also back to the first date), so
-    there is no join of dates and instruments; the list of dates is one short row for each part.
-    """
-    by = keys_of(panel)
-    days = panel.select(*by, "datetime").distinct()
-    place = days.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("datetime")))
-    whole = days.groupBy(*by).agg(F.sort_array(F.collect_list("datetime")).alias("_days"))
-    w = Window.partitionBy(*by, "instrument").orderBy("_i")
-    rows = panel.join(place, [*by, "datetime"]).withColumns({"_from": F.when(F.lag("_i").over(w).isNull(), 1).otherwise(F.col("_i")), "_to": F.lead("_i").over(w) - 1})
-    rows = rows.join(F.broadcast(whole), by) if by else rows.crossJoin(F.broadcast(whole))
-    grid = rows.withColumn("_j", F.explode(F.sequence("_from", F.coalesce("_to", F.size("_days")))))
-    own = F.col("_j") == F.col("_i")
-    return grid.select(*by, F.element_at("_days", F.col("_j")).alias("datetime"), "instrument", *[F.when(own, F.col(c)).alias(c) for c in panel.columns if c not in (*by, "datetime", "instrument")])
-
-
-def returns(grid: DataFrame) -> DataFrame:
-    """The dense grid with ``ret``: close over the last known close, minus one."""
-    by = keys_of(grid)
-    known = F.last("close", ignorenulls=True).over(_in_time(by).rowsBetween(Window.unboundedPreceding, 0))
-    filled = grid.withColumn("_c", known)
-    return filled.withColumn("ret", scrub(div(F.col("_c"), F.lag("_c").over(_in_time(by))) - 1)).drop("_c")
-
-
 def known_returns(panel: DataFrame) -> DataFrame:
     """(datetime, instrument, ret) of the rows with a close, over the instrument's last one: on all other dates the return is zero."""
     by = keys_of(panel)
     return panel.where("close is not null").select(*by, "datetime", "instrument", scrub(div(F.col("close"), F.lag("close").over(_in_time(by))) - 1).alias("ret"))
 
 
-def _rolling(window: int, min_obs: int, by=()):
+def _with_returns(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with ``ret`` where a close is known, and whether it and the one before are prices that later returns can be taken from."""
+    last = F.last("close", ignorenulls=True).over(_in_time(by).rowsBetween(Window.unboundedPreceding, -1))
+    known = F.col("close").isNotNull()
+    rows = rows.withColumn("_before", last)
+    return rows.withColumns({"ret": F.when(known, scrub(div(F.col("close"), F.col("_before")) - 1)), "live": known & (F.col("close") != 0), "was_live": F.coalesce(known & (F.col("_before") != 0), F.lit(False))}).drop("_before")
+
+
+def _calendar_of(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each date: its number i, the market's return, and of all names with a return their number n, spread and mean of squares.
+
+    A name without a row has a return of zero as long as its last close is a price: such names are
+    counted by what is live after a date less what has a row on the next, not made as rows.
+    """
+    known = F.col("close").isNotNull()
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    day = rows.groupBy(*by, "datetime").agg(F.sum("ret").alias("total"), F.count("ret").alias("own"), F.var_pop("ret").alias("var"), one(known & F.col("live")).alias("live"), one(known & F.col("was_live")).alias("was_live"))
+    w = Window.partitionBy(*by).orderBy("datetime")  # one row per date
+    ever = w.rowsBetween(Window.unboundedPreceding, 0)
+    still = F.coalesce(F.sum("live").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("was_live").over(ever)
+    day = day.withColumns({"i": F.row_number().over(w) - 1, "n": F.col("own") + still})
+    mean = div(F.col("total"), F.col("own"))
+    m2 = F.coalesce(F.col("var") * F.col("own") + div(mean * mean * F.col("own") * (F.col("n") - F.col("own")), F.col("n")), F.lit(0.0))
+    return day.select(*by, "datetime", "i", F.coalesce(div(F.col("total"), F.col("n")), F.lit(0.0)).alias("mkt"), F.when(F.col("n") > 1, F.sqrt(m2 / (F.col("n") - 1))).alias("disp"))
+
+
+def exposures(panel: DataFrame, window: int = 20, min_obs: int = 10, at: DataFrame | None = None) -> DataFrame:
+    """(datetime, instrument, ret, volatility, log_adv, adv, beta), each but the return known at the close of the date before, of the panel's rows.
+
+    With ``at``, a table of dates and instruments: its rows with their own columns, without a return.
+
+    Windows are of ``window`` dates of the panel, whether the name has rows on them or not: a window
+    is a range over the dates' numbers.  A gap between two rows is a run of zero returns; what it
+    adds is its length and the difference of running sums of the market's return and its square, cut
+    where the window starts.  No row is made for a missing date.  ``at`` may hold dates of the panel
+    on which a name has no row, and a name and date more than once.
+    """
     if min_obs > window:
         raise ValueError("min_obs must not exceed the window")
-    return _in_time(by).rowsBetween(-(window - 1), 0)
+    by = keys_of(panel)
+    own = panel.select(*by, "datetime", "instrument", "close", (F.col("close") * F.col("volume")).alias("money"))
+    days = _calendar_of(_with_returns(own, by), by)
+    rows = own
+    if at is not None:
+        # the asked rows take their other columns along
+        asked = at.select(*by, "datetime", "instrument", F.struct(*at.columns).alias("_at"))
+        rows = own.unionByName(asked, allowMissingColumns=True)
+    rows = _with_returns(rows, by)
+    w = Window.partitionBy(*by).orderBy("datetime")  # one row per date
+    ever = w.rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumns({"sum0": F.col("i").cast("double") + 1, "sum1": F.sum("mkt").over(ever), "sum2": F.sum(F.col("mkt") * F.col("mkt")).over(ever)})
+    # sums to the date before the row's, and to the date before the window
+    sums = range(3)
+    days = days.withColumns({**{f"to{k}": F.coalesce(F.lag(f"sum{k}").over(w), F.lit(0.0)) for k in sums}, **{f"from{k}": F.coalesce(F.lag(f"sum{k}", window + 1).over(w), F.lit(0.0)) for k in sums}})
+    # the calendar has a few numbers for each date of each part
+    rows = rows.join(F.broadcast(days.drop("disp")), [*by, "datetime"])
+    time = Window.partitionBy(*by, "instrument").orderBy("i")
+    known = F.col("close").isNotNull()
+    place = F.struct("i", F.col("live").cast("double").alias("live"), *[f"sum{k}" for k in sums])
+    rows = rows.withColumn("q", F.last(F.when(known, place), ignorenulls=True).over(time.rangeBetween(Window.unboundedPreceding, -1)))
+    here = F.when(F.col("ret").isNotNull(), 1.0).otherwise(0.0)
+    gap = F.col("was_live").cast("double")
+    square = [F.lit(1.0), F.col("mkt"), F.col("mkt") * F.col("mkt")]
+    # what a row and the gap before it add to the number of returns, to the market's sum and to its squares
+    rows = rows.withColumns({f"add{k}": F.when(known, here * square[k] + F.coalesce(gap * (F.col(f"to{k}") - F.col(f"q.sum{k}")), F.lit(0.0))) for k in sums})
+    frame = time.rangeBetween(-window, -1)
+    first = F.first(F.when(known, F.struct(gap.alias("gap"), *[F.col(f"q.sum{k}").alias(f"sum{k}") for k in sums])), ignorenulls=True).over(frame)
+    rows = rows.withColumns({"f": first, **{f"w{k}": F.coalesce(F.sum(f"add{k}").over(frame), F.lit(0.0)) for k in sums}, "n": F.count("ret").over(frame), "mean": F.avg("ret").over(frame), "var": F.var_pop("ret").over(frame), "cross": F.sum(F.col("ret") * F.col("mkt")).over(frame), "paid": F.when(F.count("money").over(frame) >= min_obs, F.avg("money").over(frame))})
+    held = F.col("q.i") >= F.col("i") - window
+
+    def total(k):
+        head = F.coalesce(F.col("f.gap") * (F.col(f"from{k}") - F.col(f"f.sum{k}")), F.lit(0.0))
+        tail = F.coalesce(F.col("q.live") * (F.col(f"to{k}") - F.when(held, F.col(f"q.sum{k}")).otherwise(F.col(f"from{k}"))), F.lit(0.0))
+        return F.col(f"w{k}") - head + tail
+
+    rows = rows.withColumns({"all": total(0), "m": div(total(1), total(0)), "mm": div(total(2), total(0)), "x": F.coalesce(div(F.col("n") * F.col("mean"), total(0)), F.lit(0.0)), "xm": F.coalesce(div(F.col("cross"), total(0)), F.lit(0.0))})
+    n, mean = F.col("n"), F.coalesce("mean", F.lit(0.0))
+    m2 = F.coalesce(F.col("var") * n, F.lit(0.0)) + div(mean * mean * n * (F.col("all") - n), F.col("all"))
+    enough = F.col("all") >= min_obs
+    ret = F.coalesce("ret", F.when(~known & (F.col("q.live") > 0), 0.0))
+    volatility = F.when(enough & (F.col("all") > 1), F.sqrt(m2 / (F.col("all") - 1)))
+    spread = F.col("mm") - F.col("m") * F.col("m")
+    beta = F.when(enough & (spread > NO_SPREAD * F.col("mm")), div(F.col("xm") - F.col("x") * F.col("m"), spread))
+    made = [volatility.alias("volatility"), F.log1p("paid").alias("log_adv"), F.col("paid").alias("adv"), beta.alias("beta")]
+    if at is None:
+        return rows.select(*by, "datetime", "instrument", ret.alias("ret"), *made)
+    return rows.where("_at is not null").select("_at.*", *made)
+
+
+def volume_steps(panel: DataFrame, window: int = 20, min_obs: int = 10) -> DataFrame:
+    """(datetime, instrument, adv) on the dates on which a name's mean traded value may change: after one of its rows, and when that leaves the window."""
+    by = keys_of(panel)
+    days = panel.select(*by, "datetime").distinct()
+    w = Window.partitionBy(*by).orderBy("datetime")  # one row per date
+    days = days.select(*by, "datetime", F.array_compact(F.array(F.lead("datetime").over(w), F.lead("datetime", window + 1).over(w))).alias("changes"))
+    paid = panel.where("close is not null and volume is not null").join(F.broadcast(days), [*by, "datetime"])
+    return exposures(panel, window, min_obs, paid.select(*by, "instrument", F.explode("changes").alias("datetime")).distinct()).select(*by, "datetime", "instrument", "adv")
 
 
-def exposures(panel: DataFrame, window: int = 20, min_obs: int = 10) -> DataFrame:
-    """(datetime, instrument, ret, volatility, log_adv, adv, beta), each known at the close of the date before."""
+def usual_volume(panel: DataFrame, window: int = 20, min_obs: int = 10) -> DataFrame:
+    """(datetime, mid): the median of the names' mean traded values of each date, which stands in for a missing one."""
     by = keys_of(panel)
-    frame = _rolling(window, min_obs, by)
-    r = returns(densify(panel))
-    r = r.withColumn("mkt", F.coalesce(F.avg("ret").over(Window.partitionBy(*by, "datetime")), F.lit(0.0)))
-    money = F.col("close") * F.col("volume")
-    enough = lambda c: F.count(c).over(frame) >= min_obs
-    pair = F.col("ret").isNotNull()
-    m, x = F.when(pair, F.col("mkt")), F.col("ret")
-    mean = lambda c: F.avg(c).over(frame)
-    beta = div(mean(x * m) - mean(x) * mean(m), mean(m * m) - mean(m) * mean(m))
-    now = r.withColumns({"_v": F.when(enough(x), F.stddev_samp(x).over(frame)), "_a": F.when(enough(money), mean(money)), "_b": F.when(enough(x), beta)})
-    lag = lambda c: F.lag(c).over(_in_time(by))
-    return now.select(*by, "datetime", "instrument", "ret", lag("_v").alias("volatility"), F.log1p(lag("_a")).alias("log_adv"), lag("_a").alias("adv"), lag("_b").alias("beta"))
+    days = panel.select(*by, "datetime").distinct()
+    days = days.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("datetime")))
+    whole = days.groupBy(*by).agg(F.sort_array(F.collect_list("datetime")).alias("days"))
+    steps = volume_steps(panel, window, min_obs).join(F.broadcast(days), [*by, "datetime"])
+    steps = steps.withColumn("until", F.lead("i").over(Window.partitionBy(*by, "instrument").orderBy("i"))).where("adv is not null")
+    steps = steps.join(F.broadcast(whole), by) if by else steps.crossJoin(F.broadcast(whole))
+    # a value counts on each date on which it stands
+    each = steps.select(*by, "adv", F.explode(F.slice("days", F.col("i"), F.coalesce("until", F.size("days") + 1) - F.col("i"))).alias("datetime"))
+    return each.groupBy(*by, "datetime").agg(F.percentile("adv", F.lit(0.5)).alias("mid"))
 
 
 def market_features(panel: DataFrame, window: int = 20) -> DataFrame:
-    """Per date: market return, and lagged by one date its volatility and trend, the cross-sectional dispersion and liquidity."""
-    r = returns(densify(panel)).withColumn("money", F.col("close") * F.col("volume"))
-    r = r.withColumn("adv", F.when(F.count("money").over(_rolling(window, window)) >= window, F.avg("money").over(_rolling(window, window))))
-    day = r.groupBy("datetime").agg(F.coalesce(F.avg("ret"), F.lit(0.0)).alias("mkt_ret"), F.stddev_samp("ret").alias("disp"), F.avg("adv").alias("adv"))
+    """Per date: market return, and lagged by one date its volatility and trend, the cross-sectional dispersion and liquidity.
+
+    Liquidity is the mean over names with a traded value on each date of the window, so only a
+    name's own rows matter: their first date must be the window's.
+    """
+    rows = _with_returns(panel.select("datetime", "instrument", "close", (F.col("close") * F.col("volume")).alias("money")), [])
+    frame = _in_time().rowsBetween(-(window - 1), 0)
+    rows = rows.withColumns({"since": F.when(F.count("money").over(frame) == window, F.first("datetime").over(frame)), "paid": F.avg("money").over(frame)})
+    days = _calendar_of(rows, [])
     w = Window.orderBy("datetime")  # one row per date
+    days = days.withColumn("since", F.lag("datetime", window - 1).over(w) if window > 1 else F.col("datetime"))
+    paid = rows.where("since is not null").groupBy("datetime", "since").agg(F.avg("paid").alias("adv"))
+    day = days.join(paid, ["datetime", "since"], "left")
     frame = w.rowsBetween(-(window - 1), 0)
     full = lambda c, x: F.when(F.count(c).over(frame) == window, x.over(frame))
-    f = day.select("datetime", "mkt_ret", full("mkt_ret", F.stddev_samp("mkt_ret")).alias("v"), full("mkt_ret", F.avg("mkt_ret")).alias("t"), full("disp", F.avg("disp")).alias("d"), F.log1p("adv").alias("l"))
+    f = day.select("datetime", F.col("mkt").alias("mkt_ret"), full("mkt", F.stddev_samp("mkt")).alias("v"), full("mkt", F.avg("mkt")).alias("t"), full("disp", F.avg("disp")).alias("d"), F.log1p("adv").alias("l"))
     return f.select("datetime", "mkt_ret", *[F.lag(a).over(w).alias(b) for a, b in (("v", "mkt_vol"), ("t", "mkt_trend"), ("d", "xs_disp"), ("l", "mkt_liq"))])
 
 
@@ -144,21 +220,25 @@ def residual_weights(w, x, ridge: float = 1e-8):
     return w - a @ np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ w)
 
 
-def neutralize(weights: DataFrame, exposure: DataFrame, columns: list[str], keys: list[str], ridge: float = 1e-8) -> DataFrame:
+def neutralize(weights: DataFrame, exposure: DataFrame | None, columns: list[str], keys: list[str], ridge: float = 1e-8) -> DataFrame:
     """Residuals of each date's weights on the exposures and a constant; too few names: unchanged.
 
-    A missing exposure is the date's median.  One date's names are one group.
+    Without a table of exposures they are columns of the weights.
+    A missing exposure is the date's median (zero where no name has one).
     """
-    by = [k for k in keys if k in exposure.columns]
-    on = [*by, *(["datetime"] if "datetime" in exposure.columns else []), "instrument"]
-    joined = weights.join(exposure.select(*on, *columns), on, "left")
-    schema = weights.select(*keys, "datetime", "instrument", "weight").schema
-
-    def run(rows):
-        rows["weight"] = residual_weights(rows["weight"].to_numpy(float), rows[columns].to_numpy(float), ridge)
-        return rows[[f.name for f in schema.fields]]
-
-    return joined.groupBy(*keys, "datetime").applyInPandas(run, schema)
+    names = [f"_x{i}" for i in range(len(columns))]
+    joined = weights
+    if exposure is not None:
+        on = [c for c in (*keys, "datetime", "instrument") if c in exposure.columns]
+        joined = weights.join(exposure.select(*on, *columns), on, "left")
+    joined = joined.withColumns({x: scrub(F.col(c).cast("double")) for c, x in zip(columns, names)})
+    group = [*keys, "datetime"]
+    date = Window.partitionBy(*group)
+    filled = joined.withColumns({x: F.coalesce(x, F.percentile(x, F.lit(0.5)).over(date), F.lit(0.0)) for x in names})
+    xs = [F.lit(1.0), *map(F.col, names)]
+    fitted = linear.coefficients(filled, xs, F.col("weight"), date, lambda a, b: F.sum(a * b), ridge, 1e-13)
+    n, fit = F.count("*").over(date), sum((F.col("_coef")[j] * x for j, x in enumerate(xs)), F.lit(0.0))
+    return fitted.select(*group, "instrument", (F.col("weight") - F.when((n >= 3) & (n > len(xs)), fit).otherwise(0.0)).alias("weight"))
 
 
 def sector_dummies(instruments: DataFrame, sectors: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -184,4 +264,4 @@ def clip_weights(weights: DataFrame, most: float, drop_below: float = 1e-12) ->
     return weights.withColumn("weight", w).where(F.abs("weight") > drop_below)
 
 
-__all__ = ["YEAR", "clip_weights", "densify", "edges", "exposures", "keys_of", "known_returns", "market_features", "neutralize", "place", "regime_buckets", "regime_labels", "regime_performance", "regime_stats", "rescale_legs", "residual_weights", "returns", "sector_dummies"]
+__all__ = ["YEAR", "clip_weights", "edges", "exposures", "keys_of", "known_returns", "market_features", "neutralize", "place", "regime_buckets", "regime_labels", "regime_performance", "regime_stats", "rescale_legs", "residual_weights", "sector_dummies", "usual_volume", "volume_steps"]

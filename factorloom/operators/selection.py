@@ -13,10 +13,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
-from ..functions import correlation, div
+from ..functions import div, scrub
 from . import portfolio as pf
 from .evaluation import YEAR, summarize
 from .optimizer import Optimizer, factor_risk_model, feasible, optimize, ridge_weights
@@ -111,12 +113,81 @@ def stability(paths: DataFrame) -> DataFrame:
 # -- selection --------------------------------------------------------------------------------------
 
 
+#: Alphas of a block of ``return_correlations``.
+BLOCK = 64
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _tile_sums(batches):
+    """Of rows (p, q, left, right), arrays of (place, value) of two blocks on one date: the sums over the dates of each pair of places, tile by tile."""
+
+    def table(arrays) -> np.ndarray:
+        """Dates x places, NaN where an alpha has no value."""
+        out, flat = np.full((len(arrays), BLOCK), np.nan), arrays.flatten()
+        row = np.repeat(np.arange(len(arrays)), pc.list_value_length(arrays).to_numpy(zero_copy_only=False))
+        out[row, flat.field("place").to_numpy()] = flat.field("x").to_numpy(zero_copy_only=False)
+        return out
+
+    def packed(tile, sums) -> pa.RecordBatch:
+        i, j = np.nonzero(sums[0])
+        same = tile[0] == tile[1]
+        keep = (i <= j) if same else np.ones(len(i), bool)  # the upper half
+        i, j = i[keep], j[keep]
+        columns = [pa.array(tile[0] * BLOCK + i, pa.int64()), pa.array(tile[1] * BLOCK + j, pa.int64()), *[pa.array(m[i, j]) for m in sums]]
+        return pa.RecordBatch.from_arrays(columns, ["i", "j", *_SUMS])
+
+    now, sums = None, None
+    for batch in batches:
+        p, q = batch["p"].to_numpy(), batch["q"].to_numpy()
+        cuts = [0, *(np.flatnonzero((p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1).tolist(), len(p)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi == lo:
+                continue
+            tile = (int(p[lo]), int(q[lo]))
+            if tile != now:
+                if now is not None:
+                    yield packed(now, sums)
+                now, sums = tile, np.zeros((6, BLOCK, BLOCK))
+            x, y = table(batch["left"].slice(lo, hi - lo)), table(batch["right"].slice(lo, hi - lo))
+            mx, my = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+            x, y = np.nan_to_num(x), np.nan_to_num(y)
+            sums += np.stack([mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y])
+    if now is not None:
+        yield packed(now, sums)
+
+
 def return_correlations(daily: DataFrame, x: str = "net_return", min_periods: int = 20) -> DataFrame:
-    """(a, b, corr, n) of all pairs of alphas over their common dates."""
-    left = daily.select("datetime", F.col("alpha_id").alias("a"), F.col(x).alias("x"))
-    right = daily.select("datetime", F.col("alpha_id").alias("b"), F.col(x).alias("y"))
-    out = left.join(right, "datetime").groupBy("a", "b").agg(F.count("*").alias("n"), correlation(F.col("x"), F.col("y")).alias("corr"))
-    return out.withColumn("corr", F.when(F.col("n") >= min_periods, F.col("corr")))
+    """(a, b, corr, n) of all pairs of alphas over their common dates.
+
+    A tiled product: alphas are numbered and cut into blocks of ``BLOCK``, a date has one row for each
+    pair of blocks of the upper half (two arrays), and a tile's task adds up products of matrices; a
+    year's tiles are apart from another's.  Values are taken less their alpha's mean first.  Numbers
+    of alphas come to the driver (a name and a mean each), dates and values don't.  Dates of an alpha
+    should be distinct.  ``daily`` is read twice: keep it if it is a plan of its own.
+    """
+    spark = daily.sparkSession
+    known = daily.select("datetime", "alpha_id", scrub(F.col(x).cast("double")).alias("x"))
+    names = [(r.alpha_id, k, r.mean) for k, r in enumerate(known.groupBy("alpha_id").agg(F.avg("x").alias("mean")).orderBy("alpha_id").collect())]
+    numbered = spark.createDataFrame(names, known.select("alpha_id").schema.add("k", IntegerType()).add("mean", DoubleType()))
+    values = known.where("x is not null").join(F.broadcast(numbered), "alpha_id")
+    entry = F.struct((F.col("k") % BLOCK).alias("place"), (F.col("x") - F.col("mean")).alias("x"))
+    blocks = values.groupBy("datetime", F.floor(F.col("k") / BLOCK).cast("int").alias("block")).agg(F.collect_list(entry).alias("v"))
+    dates = blocks.groupBy("datetime").agg(F.collect_list(F.struct("block", "v")).alias("all"))
+    one = dates.select("datetime", "all", F.explode("all").alias("l")).select("datetime", "l", F.explode("all").alias("r")).where("l.block <= r.block")
+    tiles = one.select(F.col("l.block").alias("p"), F.col("r.block").alias("q"), F.year("datetime").alias("year"), F.col("l.v").alias("left"), F.col("r.v").alias("right"))
+    sums = tiles.repartition("p", "q", "year").sortWithinPartitions("p", "q", "year").drop("year").mapInArrow(_tile_sums, "i long, j long, " + ", ".join(f"{c} double" for c in _SUMS))
+    total = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    n = F.col("n")
+    var = lambda s, ss: F.greatest(F.col(ss) - F.col(s) * F.col(s) / n, F.lit(0.0))
+    spread = F.sqrt(var("sx", "sxx") * var("sy", "syy"))
+    # rounding of sums leaves a constant series a spread of about 1e-16 of its squares
+    flat = (var("sx", "sxx") <= 1e-14 * F.col("sxx")) | (var("sy", "syy") <= 1e-14 * F.col("syy"))
+    corr = F.when((n >= min_periods) & ~flat, div(F.col("sxy") - F.col("sx") * F.col("sy") / n, spread))
+    # pairs with a common date have a row, in both directions
+    names_of = lambda c, i: numbered.select(F.col("k").cast("long").alias(i), F.col("alpha_id").alias(c))
+    half = total.select("i", "j", F.col("n").cast("long").alias("n"), corr.alias("corr")).join(F.broadcast(names_of("a", "i")), "i").join(F.broadcast(names_of("b", "j")), "j")
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return half.select(F.explode(both).alias("p"), "corr", "n").select("p.a", "p.b", "n", "corr")
 
 
 def correlation_summary(pairs: DataFrame) -> DataFrame:

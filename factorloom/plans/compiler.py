@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .. import functions as fn
+from ..functions import linear
+from . import scans
 from .language import FUNCTIONS, FactorError, parse
 
 def _rows_in_time():
@@ -155,69 +154,62 @@ def _in_time(name: str, x: Column, y: Column | None, k: int) -> Column:
         return fn.div(x - mean, F.stddev_pop(x).over(frame))
     if name == "rel_volume":
         return x / (F.abs(mean) + EPS)
-    values = F.collect_list(x).over(frame)
-    if name == "ts_rank":
-        less, equal = F.size(F.filter(values, lambda v: v < x)), F.size(F.filter(values, lambda v: v == x))
-        return F.when(full, (less + (equal + 1) / 2) / k)
-    if name in ("ts_argmax", "ts_argmin"):
-        extreme = (F.max if name == "ts_argmax" else F.min)(x).over(frame)
-        return F.when(full, (F.array_position(values, extreme) - 1).cast("double"))
-    weighted = F.zip_with(values, F.sequence(F.lit(1), F.lit(k)), lambda v, w: v * w)
-    return F.when(full, F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v) / (k * (k + 1) / 2))
-
-
-def _recursive(df: DataFrame, nodes: list[tuple], plan: _Plan) -> DataFrame:
-    """Exponentially weighted means and deviations: one pass over each instrument's rows."""
-    inputs = {n: f"_x{i}" for i, n in enumerate(nodes)}
-    df = df.withColumns({c: plan.number(n[2]) for n, c in inputs.items()})
-    kept = [f for f in df.schema.fields if f.name not in inputs.values()]
-    schema = StructType([*kept, *(StructField(plan.names[n], DoubleType()) for n in nodes)])
-    todo = [(inputs[n], plan.names[n], n[1], int(n[3][1])) for n in nodes]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("datetime")
-        for source, out, name, span in todo:
-            e = rows[source].ewm(span=span, adjust=False)
-            rows[out] = e.mean() if name == "ewm_mean" else e.std(bias=True)
-        return rows[[f.name for f in schema.fields]].replace({np.nan: None})
-
-    return df.groupBy("instrument").applyInPandas(run, schema)
+    return scans.lagged(name, x, k)
+
+
+def _inputs(df: DataFrame, nodes: list[tuple], plan: _Plan, work) -> DataFrame:
+    """``work`` on the table with a column for each distinct input of the nodes; the columns go again."""
+    names: dict[tuple, str] = {}
+    for n in nodes:
+        names.setdefault(n[2], f"_x{len(names)}")
+    out = work(df.withColumns({c: plan.number(x).cast("double") for x, c in names.items()}), [(names[n[2]], plan.names[n], n[1], int(n[3][1])) for n in nodes])
+    return out.drop(*names.values())
+
+
+def _decays(df: DataFrame, todo: list[tuple]) -> DataFrame:
+    return scans.decays(df.withColumns({x: fn.scrub(F.col(x)) for x, *_ in todo}), [(x, o, k) for x, o, _, k in todo])
 
 
 def _regressions(df: DataFrame, nodes: list[tuple], plan: _Plan) -> DataFrame:
-    """Residuals on two or more controls: least squares per date (of demeaned groups, for the group form)."""
-    columns, todo = {}, []
+    """Residuals on two or more controls and a constant, for each date (and group).
+
+    Rows with a missing term take no part; with no more rows than terms there is no residual.
+    """
+    kept = df.columns
     for i, n in enumerate(nodes):
         grouped = n[1] == "cs_neutralize_group"
         terms = [n[2], *n[4:]] if grouped else [n[2], *n[3:]]
         names = [f"_r{i}_{j}" for j in range(len(terms))]
-        columns |= {c: plan.number(t) for c, t in zip(names, terms)}
+        columns = {c: fn.scrub(plan.number(t).cast("double")) for c, t in zip(names, terms)}
+        by = ["datetime"]
         if grouped:
             columns[f"_r{i}_g"] = F.coalesce(plan.column(n[3]).cast("string"), F.lit("UNKNOWN"))
-        todo.append((names, f"_r{i}_g" if grouped else None, plan.names[n]))
-    df = df.withColumns(columns)
-    kept = [f for f in df.schema.fields if f.name not in columns]
-    schema = StructType([*kept, *(StructField(plan.names[n], DoubleType()) for n in nodes)])
-
-    def residual(m: np.ndarray, demean: bool) -> np.ndarray:
-        out = np.full(len(m), np.nan)
-        ok = np.isfinite(m).all(axis=1)
-        if ok.sum() > m.shape[1]:
-            y, x = m[ok, 0], m[ok, 1:]
-            x = x - x.mean(axis=0) if demean else np.column_stack([np.ones(len(x)), x])
-            y = y - y.mean() if demean else y
-            out[ok] = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-        return out
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        for names, group, out in todo:
-            m = rows[names].to_numpy(float)
-            rows[out] = np.nan
-            for _, at in rows.groupby(group).indices.items() if group else [(None, np.arange(len(rows)))]:
-                rows.iloc[at, rows.columns.get_loc(out)] = residual(m[at], bool(group))
-        return rows[[f.name for f in schema.fields]].replace({np.nan: None})
-
-    return df.groupBy("datetime").applyInPandas(run, schema)
+            by.append(f"_r{i}_g")
+        df = df.withColumns(columns)
+        y, *xs = [F.col(c) for c in names]
+        whole = F.lit(True)
+        for c in (y, *xs):
+            whole = whole & c.isNotNull()
+        # rows that lack a term take no part: none of their terms does
+        own, over = [F.when(whole, c) for c in (y, *xs)], Window.partitionBy(*by)
+        df = linear.coefficients(df, own[1:], own[0], over, F.covar_pop)
+        fit = sum((F.col("_coef")[j] * (x - F.avg(x).over(over)) for j, x in enumerate(own[1:])), F.avg(own[0]).over(over))
+        kept = [*kept, plan.names[n]]
+        df = df.withColumn(plan.names[n], F.when(F.count(own[0]).over(over) > len(terms), own[0] - fit)).select(*kept)
+    return df
+
+
+#: Functions with forms for large windows, by ``scans``.
+_SCANNED = ("ts_rank", "ts_argmax", "ts_argmin", "ts_decay_linear")
+
+
+def _scan_of(node: tuple):
+    """What adds a node's column, if it is not a window expression."""
+    if _kind(node) == "rec":
+        return scans.exponential
+    if node[1] in _SCANNED and node[3][1] > scans.SMALL:
+        return _decays if node[1] == "ts_decay_linear" else scans.sliding
+    return None
 
 
 def compile_factors(panel: DataFrame, factors: dict[str, str], extras: tuple[str, ...] = ()) -> DataFrame:
@@ -229,16 +221,16 @@ def compile_factors(panel: DataFrame, factors: dict[str, str], extras: tuple[str
     for level in range(1, top + 1):
         own = [n for n in plan.names if plan.levels[n] == level]
         several = [n for n in own if n[1] in ("cs_neutralize", "cs_neutralize_group") and len(n) > (5 if n[1].endswith("group") else 4)]
-        recursive = [n for n in own if _kind(n) == "rec"]
+        scanned = {n: scan for n in own if (scan := _scan_of(n))}
         for kind in ("ts", "cs"):
-            some = [n for n in own if _kind(n) == kind and n not in several]
+            some = [n for n in own if _kind(n) == kind and n not in several and n not in scanned]
             if some:
                 hidden = {n: plan.names.pop(n) for n in some}
                 made = {hidden[n]: plan.window(n) for n in some}
                 plan.names |= hidden
                 df = df.withColumns(made)
-        if recursive:
-            df = _recursive(df, recursive, plan)
+        for scan in dict.fromkeys(scanned.values()):
+            df = _inputs(df, [n for n in scanned if scanned[n] is scan], plan, scan)
         if several:
             df = _regressions(df, several, plan)
     return df.select("datetime", "instrument", *(fn.scrub(plan.number(n)).alias(name) for name, n in nodes.items()))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from .evaluation_queries import CAL, CFG, HELD, MIN_OBS, PATH, _daily, _labels, bucket_sql, mild, tidy
+from .evaluation_queries import CAL, CFG, HELD, MIN_OBS, PATH, _daily, _labels, bucket_sql, tidy
 from .functions import rounded
 from .operators import ensembles as ens
 from .operators import portfolio as pf
@@ -18,18 +18,16 @@ DAY = f"WITH {FACTOR_SQL}, {PATH}"
 PAIRS = "pr AS (SELECT x.alpha_id AS a, y.alpha_id AS b, count(*) AS n, covar_pop(x.net_return, y.net_return) / nullif(stddev_pop(x.net_return) * stddev_pop(y.net_return), 0) AS corr FROM day x JOIN day y USING (datetime) GROUP BY 1, 2)"
 WF = sel.WalkForward(train=120, valid=40, test=40, step=80)
 FAST = pf.with_config(CFG, impact_bps=0.0)
-#: Walk-forward paths have a row for every date.
-WALKED = pf.with_config(FAST, every_date=True)
 
 
 @query("return_correlations", f"{DAY}, {PAIRS} SELECT a, b, n, {r('corr')} AS corr FROM pr")
 def return_correlations(spark, sf_dir):
-    return tidy(sel.return_correlations(_daily(spark, sf_dir)))
+    return tidy(sel.return_correlations(kept(_daily(spark, sf_dir))))
 
 
 @query("correlation_summary", f"{DAY}, {PAIRS} SELECT {r('avg(abs(corr)) FILTER (a <> b)')} AS avg_abs_corr, {r('max(abs(corr)) FILTER (a <> b)')} AS max_abs_corr FROM pr")
 def correlation_summary(spark, sf_dir):
-    return tidy(sel.correlation_summary(sel.return_correlations(_daily(spark, sf_dir))))
+    return tidy(sel.correlation_summary(sel.return_correlations(kept(_daily(spark, sf_dir)))))
 
 
 @query("equal_weight_ensemble", f"{DAY} SELECT datetime, {r('avg(net_return)')} AS net_return, count(*) AS n_alphas FROM day GROUP BY 1")
@@ -40,7 +38,7 @@ def equal_weight_ensemble(spark, sf_dir):
 @query("quality_gates", f"""{DAY}, m AS (SELECT alpha_id, avg(turnover) AS turnover_mean, coalesce(avg(net_return) / nullif(stddev_samp(net_return), 0), 0) * sqrt(252) AS ir FROM day GROUP BY 1)
  SELECT alpha_id, (turnover_mean <= 0.2 AND ir >= 0) AS passed, concat_ws('; ', CASE WHEN ir < 0 THEN 'information_ratio < 0' END, CASE WHEN turnover_mean > 0.2 THEN 'turnover_mean > 0.2' END) AS reasons FROM m""")
 def quality_gates(spark, sf_dir):
-    gated = sel.quality_gates(pf.portfolio_summary(mild(_daily(spark, sf_dir), "net_return")), least={"information_ratio": 0.0}, most={"turnover_mean": 0.2})
+    gated = sel.quality_gates(pf.portfolio_summary(_daily(spark, sf_dir)), least={"information_ratio": 0.0}, most={"turnover_mean": 0.2})
     return gated.select("alpha_id", "passed", F.concat_ws("; ", "reasons").alias("reasons"))
 
 
@@ -56,7 +54,7 @@ _SCORED = "sc AS (SELECT alpha_id, coalesce(avg(net_return) / nullif(stddev_samp
 @query("greedy_selection", f"""{DAY}, {PAIRS}, {_SCORED}, c2 AS (SELECT sc.alpha_id FROM sc JOIN pr ON pr.a = sc.alpha_id AND pr.b = (SELECT alpha_id FROM c1) WHERE sc.alpha_id <> (SELECT alpha_id FROM c1) ORDER BY s - 0.5 * abs(corr) DESC, s DESC, sc.alpha_id LIMIT 1)
  SELECT 0::INT AS place, alpha_id FROM c1 UNION ALL SELECT 1::INT, alpha_id FROM c2""")
 def greedy_selection(spark, sf_dir):
-    names = sel.select_diverse(mild(_daily(spark, sf_dir), "net_return"), 2)
+    names = sel.select_diverse(_daily(spark, sf_dir), 2)
     return spark.createDataFrame(list(enumerate(names)), "place int, alpha_id string")
 
 
@@ -142,7 +140,7 @@ _BEST = f"{WALK}, bs AS {best_sql()}, wk AS (SELECT w.* FROM wday w JOIN bs USIN
 
 def _walk(spark, sf_dir):
     panel, values = factors(spark, sf_dir)
-    return sel.walk_forward(values, panel, WALKED, WF)
+    return sel.walk_forward(values, panel, FAST, WF)
 
 
 @query("walk_forward_oos", f"{_BEST} SELECT alpha_id, split_id::BIGINT AS split_id, sign::BIGINT AS sign, datetime, {r('gross_return')} AS gross_return, {r('net_return')} AS net_return FROM wk WHERE segment = 'test'")
@@ -164,7 +162,7 @@ _SWEPT = f"""WITH {FACTOR_SQL}, {CAL}, gr AS ({_SCHEDULE}), rt AS (SELECT dateti
  rn AS (SELECT config_id, config, hold, ceil(hold / reb) AS sl, f.*, i, row_number() OVER (PARTITION BY config_id, alpha_id, datetime ORDER BY value, instrument) AS rn, count(*) OVER (PARTITION BY config_id, alpha_id, datetime) AS n FROM factors f JOIN cal USING (datetime) JOIN gr ON i % reb = 0 WHERE next IS NOT NULL AND value IS NOT NULL),
  bb AS (SELECT *, {bucket_sql()} AS bucket FROM rn WHERE n >= {MIN_OBS}), cn AS (SELECT *, count(*) FILTER (bucket = 4) OVER (PARTITION BY config_id, alpha_id, datetime) AS nl, count(*) FILTER (bucket = 0) OVER (PARTITION BY config_id, alpha_id, datetime) AS ns FROM bb),
  hw AS (SELECT t.config_id, t.config, t.alpha_id, c.i, t.instrument, sum(CASE WHEN bucket = 4 THEN 0.5 / nl ELSE -0.5 / ns END / sl) AS w FROM cn t JOIN cal c ON c.i >= t.i AND c.i < least(t.i + hold, (SELECT max(i) FROM cal)) WHERE bucket IN (0, 4) AND nl > 0 AND ns > 0 GROUP BY 1, 2, 3, 4, 5 HAVING abs(sum(CASE WHEN bucket = 4 THEN 0.5 / nl ELSE -0.5 / ns END / sl)) > 1e-12),
- {path_sql('s', 'hw', 'cal', 'rt', ['config_id', 'config', 'alpha_id'], [])}"""
+ {path_sql('s', 'hw', 'cal', 'rt', ['config_id', 'config', 'alpha_id'], [], '(SELECT DISTINCT config_id, config, alpha_id FROM hw)')}"""
 
 
 @query("schedule_sweep", f"{_SWEPT} SELECT config_id, config, alpha_id, {r('avg(turnover)')} AS turnover_mean FROM sday GROUP BY 1, 2, 3")
@@ -192,7 +190,7 @@ _SCENARIO = "UNION ALL".join(f" SELECT '{n}' AS scenario, {a} AS fl, {b} AS fs,
 def end_to_end_ablation(spark, sf_dir):
     """The walk-forward done again under each cost scenario, signs included."""
     panel, values = factors(spark, sf_dir)
-    rows = sel.end_to_end_ablation(values, panel, WALKED, WF)
+    rows = sel.end_to_end_ablation(values, panel, FAST, WF)
     return rows.select("scenario", "alpha_id", rounded(F.col("mean"), 8).alias("net_mean"), rounded(F.col("turnover_mean")).alias("turnover_mean"))
 
 
@@ -204,8 +202,8 @@ _EQUAL = f"""{_BEST}, eh AS (SELECT split_id, segment, i, instrument, sum(w) / 3
 def ensemble_equal(spark, sf_dir):
     """The equally weighted holdings of all alphas, out of sample."""
     panel, values = factors(spark, sf_dir)
-    paths = sel.walk_forward(values, panel, WALKED, WF)
-    out = ens.equal(values, panel, sel.chosen_signs(paths), sel.segments(panel, WF), WALKED)
+    paths = sel.walk_forward(values, panel, FAST, WF)
+    out = ens.equal(values, panel, sel.chosen_signs(paths), sel.segments(panel, WF), FAST)
     return tidy(ens.out_of_sample(out).select("split_id", "datetime", "gross_return", "turnover", "net_return"))
 
 
@@ -213,8 +211,8 @@ def ensemble_equal(spark, sf_dir):
 def ensemble_allocated(spark, sf_dir):
     """Holdings blended with weights that each split's training and validation dates teach, tuned settings."""
     panel, values = factors(spark, sf_dir)
-    paths = kept(sel.walk_forward(values, panel, WALKED, WF))
-    out, _ = ens.allocated(values, panel, paths, sel.segments(panel, WF), WALKED, tune=True)
+    paths = kept(sel.walk_forward(values, panel, FAST, WF))
+    out, _ = ens.allocated(values, panel, paths, sel.segments(panel, WF), FAST, tune=True)
     return tidy(ens.out_of_sample(out).select("split_id", "datetime", "gross_return", "turnover", "net_return"))
 
 
@@ -222,8 +220,8 @@ def ensemble_allocated(spark, sf_dir):
 def ensemble_regime(spark, sf_dir):
     """Holdings blended by the regime of the date."""
     panel, values = factors(spark, sf_dir)
-    paths = kept(sel.walk_forward(values, panel, WALKED, WF))
-    out = ens.regime_blend(values, panel, paths, sel.segments(panel, WF), WALKED, window=8, n_buckets=2, smoothing=0.3)
+    paths = kept(sel.walk_forward(values, panel, FAST, WF))
+    out = ens.regime_blend(values, panel, paths, sel.segments(panel, WF), FAST, window=8, n_buckets=2, smoothing=0.3)
     return tidy(ens.out_of_sample(out).select("split_id", "datetime", "gross_return", "turnover", "net_return"))
 
 
@@ -231,17 +229,17 @@ def ensemble_regime(spark, sf_dir):
 def ensemble_revalidated(spark, sf_dir):
     """The best regime settings by returns, judged again on holdings."""
     panel, values = factors(spark, sf_dir)
-    paths = kept(sel.walk_forward(values, panel, WALKED, WF))
+    paths = kept(sel.walk_forward(values, panel, FAST, WF))
     features = {8: ens.market_frame(panel, 8)}
     tuned = tuning.tune_regimes(spark, tuning.split_returns(paths), features, tuning.regime_grid(window=(8,), n_buckets=(2, 3), smoothing=(0.0,)), turnover_cost_bps=5.0)
-    rows = ens.revalidate(values, panel, paths, sel.segments(panel, WF), WALKED, tuned["results"], top=2)["results"]
+    rows = ens.revalidate(values, panel, paths, sel.segments(panel, WF), FAST, tuned["results"], top=2)["results"]
     return tidy(spark.createDataFrame([(x["mode"], x["n_buckets"], float(x["objective"]), float(x["holdings_objective"]), x["is_feasible"]) for x in rows], "mode string, n_buckets int, objective double, holdings_objective double, is_feasible boolean"))
 
 
 @query("allocation_tuning")
 def allocation_tuning(spark, sf_dir):
     panel, values = factors(spark, sf_dir)
-    rows = tuning.tune_allocation(spark, tuning.split_returns(sel.walk_forward(values, panel, WALKED, WF)))["results"]
+    rows = tuning.tune_allocation(spark, tuning.split_returns(sel.walk_forward(values, panel, FAST, WF)))["results"]
     return tidy(spark.createDataFrame([(float(x["penalty"]), float(x["cap"]), float(x["turnover"]), float(x["valid_metric"]), x["n_splits_used"], float(x["allocation_turnover_mean"])) for x in rows], "penalty double, cap double, turnover double, valid_metric double, n_splits_used int, allocation_turnover_mean double"))
 
 
@@ -255,24 +253,24 @@ def selection_tuning(spark, sf_dir):
 
 @query("allocation")
 def allocation(spark, sf_dir):
-    return tidy(sel.allocate(mild(_daily(spark, sf_dir), "net_return"), cap=0.6))
+    return tidy(sel.allocate(_daily(spark, sf_dir), cap=0.6))
 
 
 @query("regime_allocation")
 def regime_allocation(spark, sf_dir):
-    return tidy(sel.allocate(mild(_daily(spark, sf_dir), "net_return"), _labels(spark, sf_dir), cap=0.6))
+    return tidy(sel.allocate(_daily(spark, sf_dir), _labels(spark, sf_dir), cap=0.6))
 
 
 @query("daily_allocation")
 def daily_allocation(spark, sf_dir):
     labels = _labels(spark, sf_dir)
-    return tidy(sel.daily_allocation(sel.allocate(mild(_daily(spark, sf_dir), "net_return"), labels), labels, 0.5))
+    return tidy(sel.daily_allocation(sel.allocate(_daily(spark, sf_dir), labels), labels, 0.5))
 
 
 @query("regime_tuning")
 def regime_tuning(spark, sf_dir):
     panel, values = factors(spark, sf_dir)
-    splits = tuning.split_returns(sel.walk_forward(values, panel, WALKED, WF))
+    splits = tuning.split_returns(sel.walk_forward(values, panel, FAST, WF))
     out = tuning.tune_regimes(spark, splits, {8: ens.market_frame(panel, 8)}, tuning.regime_grid(window=(8,), n_buckets=(2, 3), smoothing=(0.0, 0.5)), turnover_cost_bps=5.0, method="knee")
     rows = [(x["config_id"], x["mode"], x["n_buckets"], float(x["smoothing"]), float(x["objective"]), float(x["alpha_weight_turnover_mean"]), float(x["regime_switch_rate_mean"]), x["is_pareto"]) for x in out["results"]]
     return tidy(spark.createDataFrame(rows, "config_id int, mode string, n_buckets int, smoothing double, objective double, alpha_weight_turnover_mean double, regime_switch_rate_mean double, is_pareto boolean"))
@@ -308,6 +306,7 @@ def factor_risk_model(spark, sf_dir):
     def run(rows):
         names = rows[rows.datetime == rows.datetime.max()].sort_values("instrument")
         wide = rows.pivot(index="datetime", columns="instrument", values="ret").reindex(columns=names.instrument)
+        wide = wide.fillna(0.0).where(wide.ffill().notna())
         m = sel.factor_risk_model(np.clip(wide.to_numpy(float), -1, 1), names[["beta", "log_adv"]].to_numpy(float))
         return pd.DataFrame({"instrument": names.instrument.to_numpy(), "variance": np.diag(m["covariance"]), "specific": m["specific"]})
 
@@ -321,7 +320,7 @@ def oos_attribution(spark, sf_dir):
 
 
 @query("holdings_against_average", f"""WITH {FACTOR_SQL}, {HELD}, rt AS (SELECT datetime, instrument, close / lag(close) OVER (PARTITION BY instrument ORDER BY datetime) - 1 AS ret FROM panel), eh AS (SELECT i, instrument, sum(w) / 3 AS w FROM hw GROUP BY 1, 2), ew AS (SELECT 'ensemble' AS alpha_id, * FROM eh WHERE w <> 0),
- {path_sql('a', 'hw', 'cal', 'rt', ['alpha_id'], [])}, {path_sql('e', 'ew', 'cal', 'rt', ['alpha_id'], [])}, av AS (SELECT datetime, avg(total_cost) AS c, avg(net_return) AS n FROM aday GROUP BY 1)
+ {path_sql('a', 'hw', 'cal', 'rt', ['alpha_id'], [], '(SELECT DISTINCT alpha_id FROM hw)')}, {path_sql('e', 'ew', 'cal', 'rt', ['alpha_id'], [], '(SELECT DISTINCT alpha_id FROM ew)')}, av AS (SELECT datetime, avg(total_cost) AS c, avg(net_return) AS n FROM aday GROUP BY 1)
  SELECT count(*) AS n_obs, {r('avg(c - total_cost) * 1e4')} AS cost_saving_bps, {r('avg(net_return - n) * 1e4')} AS net_delta_bps FROM eday JOIN av USING (datetime)""")
 def holdings_against_average(spark, sf_dir):
     """The holdings ensemble, priced again, against the average of the alphas."""
