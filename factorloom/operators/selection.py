@@ -80,18 +80,43 @@ def local(small: DataFrame) -> DataFrame:
     return small.sparkSession.createDataFrame(small.collect(), small.schema)
 
 
+def signs_at(path: DataFrame, table: DataFrame) -> DataFrame:
+    """``chosen_signs`` of training segments that start together, from the one path that they are the beginnings of.
+
+    The path's running mean and deviation are mergeable sums over dates; a segment's are those of its
+    last date, which a short table of ends picks.
+    """
+    w = Window.partitionBy("alpha_id", "sign").orderBy("datetime")
+    ever = w.rowsBetween(Window.unboundedPreceding, 0)
+    ir = F.coalesce(div(F.avg("net_return").over(ever), F.stddev_samp("net_return").over(ever)), F.lit(0.0))
+    running = path.select("alpha_id", "sign", ir.alias("ir"), F.col("datetime").alias("since"), F.lead("datetime").over(w).alias("until"))
+    ends = table.where("segment = 'train'").select("split_id", "end")
+    at = running.join(F.broadcast(ends), (F.col("since") <= F.col("end")) & (F.col("until").isNull() | (F.col("until") > F.col("end"))))
+    return local(at.groupBy("alpha_id", "split_id").agg(F.max_by("sign", F.struct("ir", "sign")).alias("sign")))
+
+
 def walk_forward(factors: DataFrame, panel: DataFrame, cfg: pf.Backtest, wf: WalkForward, **market) -> DataFrame:
     """Daily paths of all splits: (alpha_id, split_id, segment, sign, ...).
 
     Every segment starts anew (its exposures know nothing before it).  Both signs are traded on the
-    training segment; the better one goes on to validation and test.  Segments are keys of the panel
-    and of the paths: all training segments are one plan, all others a second one.  ``market``:
-    sectors, rates and names that can't be borrowed, as for a backtest.
+    training segment; the better one goes on to validation and test.  A day of a path depends only on
+    the days before it, so expanding training segments are beginnings of the longest one: that is
+    the only one to be traded, and the panel is read once for all of them.  Segments are keys of the
+    panel and of the paths: all validation and test segments are one plan, as are all training
+    segments that don't start together.  ``market``: sectors, rates and names that can't be borrowed,
+    as for a backtest.
     """
     table = segments(panel, wf)
     signed = factors.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("value", F.col("value") * F.col("sign"))
-    train = pf.backtest(in_segments(signed, table, "train"), in_segments(panel, table, "train"), cfg, WF_KEYS, check=False, **market)
-    best = chosen_signs(train)
+    traded = table.where("segment = 'train'")
+    if wf.expanding:
+        traded = traded.orderBy(F.col("end").desc()).limit(1)
+    train = pf.backtest(in_segments(signed, traded), in_segments(panel, traded), cfg, WF_KEYS, check=False, **market)
+    if wf.expanding:
+        path = train.drop("split_id", "segment")
+        best, train = signs_at(path, table), in_segments(path, table, "train")
+    else:
+        best = chosen_signs(train)
     later = in_segments(signed, table, "valid", "test").join(best, ["alpha_id", "split_id", "sign"], "left_semi")
     rest = pf.backtest(later, in_segments(panel, table, "valid", "test"), cfg, WF_KEYS, check=False, **market)
     return train.join(best, ["alpha_id", "split_id", "sign"], "left_semi").unionByName(rest)

@@ -77,7 +77,7 @@ def test_quadratic_programs_of_all_kinds_keep_their_limits():
         solved += 1
         worst = [abs(w[side > 0].sum() - 0.5), abs(w[side < 0].sum() + 0.5), np.nanmax(np.abs(w - target) - costs["most_trade"])]
         worst += [np.abs(w).max() - most] * (most > 0) + [np.abs(w - target).sum() / 2 - o.turnover_cap] * (o.turnover_cap > 0)
-        worst += [np.abs(opt.standardized(x).T @ w).max()] * bool(o.neutral and x.size)
+        worst += [np.abs(opt.standardized(x).T @ w).max(initial=0.0)] * bool(o.neutral)
         assert max(worst) <= 1e-8 and meta["qp_violation"] <= 1e-9 and (w * side >= -1e-12).all()
     assert solved >= 30
 
@@ -199,6 +199,21 @@ WF = sel.WalkForward(40, 12, 12, 12)
 CFG = pf.Backtest(min_obs=4, rebalance_days=3, holding_days=3)
 
 
+def test_expanding_training_is_read_off_one_path(market):
+    """Paths and signs of all training segments, traded one by one, are those that the longest one gives; splits add no rows of the panel."""
+    panel, values = market
+    table = sel.segments(panel, WF)
+    got = sel.walk_forward(values, panel, CFG, WF).where("segment = 'train'").toPandas()
+    signed = values.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("value", F.col("value") * F.col("sign"))
+    each = pf.backtest(sel.in_segments(signed, table, "train"), sel.in_segments(panel, table, "train"), CFG, sel.WF_KEYS).persist()
+    best = sel.chosen_signs(each)
+    want = each.join(best, ["alpha_id", "split_id", "sign"]).toPandas()
+    assert got.split_id.nunique() > 1
+    order = ["alpha_id", "split_id", "datetime"]
+    a, b = (x.sort_values(order).reset_index(drop=True)[[*order, "sign", "net_return", "turnover", "gross_return"]] for x in (got, want))
+    pd.testing.assert_frame_equal(a, b, atol=1e-12, check_dtype=False)
+
+
 @pytest.fixture(scope="module")
 def walked(market):
     panel, values = market
