@@ -143,12 +143,12 @@ BLOCK = 64
 _SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
-def _tile_sums(batches):
+def _tile_sums(batches, size: int):
     """Of rows (p, q, left, right), arrays of (place, value) of two blocks on one date: the sums over the dates of each pair of places, tile by tile."""
 
     def table(arrays) -> np.ndarray:
         """Dates x places, NaN where an alpha has no value."""
-        out, flat = np.full((len(arrays), BLOCK), np.nan), arrays.flatten()
+        out, flat = np.full((len(arrays), size), np.nan), arrays.flatten()
         row = np.repeat(np.arange(len(arrays)), pc.list_value_length(arrays).to_numpy(zero_copy_only=False))
         out[row, flat.field("place").to_numpy()] = flat.field("x").to_numpy(zero_copy_only=False)
         return out
@@ -158,7 +158,7 @@ def _tile_sums(batches):
         same = tile[0] == tile[1]
         keep = (i <= j) if same else np.ones(len(i), bool)  # the upper half
         i, j = i[keep], j[keep]
-        columns = [pa.array(tile[0] * BLOCK + i, pa.int64()), pa.array(tile[1] * BLOCK + j, pa.int64()), *[pa.array(m[i, j]) for m in sums]]
+        columns = [pa.array(tile[0] * size + i, pa.int64()), pa.array(tile[1] * size + j, pa.int64()), *[pa.array(m[i, j]) for m in sums]]
         return pa.RecordBatch.from_arrays(columns, ["i", "j", *_SUMS])
 
     now, sums = None, None
@@ -172,7 +172,7 @@ def _tile_sums(batches):
             if tile != now:
                 if now is not None:
                     yield packed(now, sums)
-                now, sums = tile, np.zeros((6, BLOCK, BLOCK))
+                now, sums = tile, np.zeros((6, size, size))
             x, y = table(batch["left"].slice(lo, hi - lo)), table(batch["right"].slice(lo, hi - lo))
             mx, my = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
             x, y = np.nan_to_num(x), np.nan_to_num(y)
@@ -190,17 +190,17 @@ def return_correlations(daily: DataFrame, x: str = "net_return", min_periods: in
     of alphas come to the driver (a name and a mean each), dates and values don't.  Dates of an alpha
     should be distinct.  ``daily`` is read twice: keep it if it is a plan of its own.
     """
-    spark = daily.sparkSession
+    spark, size = daily.sparkSession, BLOCK
     known = daily.select("datetime", "alpha_id", scrub(F.col(x).cast("double")).alias("x"))
     names = [(r.alpha_id, k, r.mean) for k, r in enumerate(known.groupBy("alpha_id").agg(F.avg("x").alias("mean")).orderBy("alpha_id").collect())]
     numbered = spark.createDataFrame(names, known.select("alpha_id").schema.add("k", IntegerType()).add("mean", DoubleType()))
     values = known.where("x is not null").join(F.broadcast(numbered), "alpha_id")
-    entry = F.struct((F.col("k") % BLOCK).alias("place"), (F.col("x") - F.col("mean")).alias("x"))
-    blocks = values.groupBy("datetime", F.floor(F.col("k") / BLOCK).cast("int").alias("block")).agg(F.collect_list(entry).alias("v"))
+    entry = F.struct((F.col("k") % size).alias("place"), (F.col("x") - F.col("mean")).alias("x"))
+    blocks = values.groupBy("datetime", F.floor(F.col("k") / size).cast("int").alias("block")).agg(F.collect_list(entry).alias("v"))
     dates = blocks.groupBy("datetime").agg(F.collect_list(F.struct("block", "v")).alias("all"))
     one = dates.select("datetime", "all", F.explode("all").alias("l")).select("datetime", "l", F.explode("all").alias("r")).where("l.block <= r.block")
     tiles = one.select(F.col("l.block").alias("p"), F.col("r.block").alias("q"), F.year("datetime").alias("year"), F.col("l.v").alias("left"), F.col("r.v").alias("right"))
-    sums = tiles.repartition("p", "q", "year").sortWithinPartitions("p", "q", "year").drop("year").mapInArrow(_tile_sums, "i long, j long, " + ", ".join(f"{c} double" for c in _SUMS))
+    sums = tiles.repartition("p", "q", "year").sortWithinPartitions("p", "q", "year").drop("year").mapInArrow(lambda batches: _tile_sums(batches, size), "i long, j long, " + ", ".join(f"{c} double" for c in _SUMS))
     total = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
     n = F.col("n")
     var = lambda s, ss: F.greatest(F.col(ss) - F.col(s) * F.col(s) / n, F.lit(0.0))
@@ -315,54 +315,104 @@ def constrain(rows: DataFrame, most: dict[str, float] | None = None, least: dict
     return rows.withColumn("violation", sum(terms, F.lit(0.0))).withColumn("feasible", F.col("violation") <= 0)
 
 
-def _staircase(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of points, those with a larger y than all of a larger x, by descending x (of equal x the largest y)."""
-    order = np.lexsort((-y, -x))
-    x, y = x[order], y[order]
-    best = np.maximum.accumulate(y)
-    first = np.concatenate([[True], y[1:] > best[:-1]]) if len(y) else np.zeros(0, bool)
-    return x[first], y[first]
+#: Buckets of the first of two objectives; most cells of a grid over three and more.
+BUCKETS, CELLS = 256, 1024
 
 
-def _on_front(scored: DataFrame, eps: float) -> Column:
-    """Whether no row dominates on ``_o0`` and ``_o1``: tasks' staircases are merged, each row is searched in the whole one."""
+def _borders(rows: DataFrame, c: str, n: int, apart: float) -> list[float]:
+    """Up to n - 1 borders between about equal parts of a column, further apart than ``apart``."""
+    out: list[float] = []
+    for q in sorted(rows.approxQuantile(c, [k / n for k in range(1, n)], 0.25 / n)) if n > 1 else []:
+        if not out or q - out[-1] > apart:
+            out.append(q)
+    return out
+
 
-    def run(batches):
-        x = y = np.zeros(0)
-        for batch in batches:
-            x, y = _staircase(np.concatenate([x, batch["_o0"].to_numpy()]), np.concatenate([y, batch["_o1"].to_numpy()]))
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["_o0", "_o1"])
+def _part(x: Column, borders: list[float]) -> Column:
+    """How many borders are not above x."""
+    return F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= x)) if borders else F.lit(0)
 
-    rows = scored.select(F.col("_o0").cast("double"), F.col("_o1").cast("double")).mapInArrow(run, "_o0 double, _o1 double").toArrow()
-    x, y = _staircase(rows["_o0"].to_numpy(), rows["_o1"].to_numpy())
-    sent = scored.sparkSession.sparkContext.broadcast((-x, np.concatenate([[-np.inf], y])))
 
-    @F.pandas_udf("boolean")
-    def front(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, most = sent.value  # -x ascends; most[i]: the largest second objective among the i largest first ones
-        a, b = a.to_numpy(float), b.to_numpy(float)
-        above = most[np.searchsorted(x, -(a + eps), "left")]
-        level = most[np.searchsorted(x, -(a - eps), "right")]
-        return pd.Series(~((above >= b - eps) | (level > b + eps)))
+def _dominated_of_two(scored: DataFrame, eps: float) -> DataFrame:
+    """``scored`` with ``_d``: whether a row has one above it on ``_o0`` and ``_o1``.
 
-    return front(F.col("_o0").cast("double"), F.col("_o1").cast("double"))
+    Rows above on the first objective count by their largest second one: of the same bucket by a
+    running maximum, of higher buckets by one number each.  Rows within eps of a border are in both
+    buckets.  Only borders and numbers of buckets come to the driver.
+    """
+    best = scored.groupBy("_o0").agg(F.max("_o1").alias("m"))
+    borders = _borders(best, "_o0", BUCKETS, 4 * eps)
+    bounds = F.array(F.lit(float("-inf")), *map(F.lit, borders), F.lit(float("inf")))
+    placed = best.withColumn("b", _part(F.col("_o0"), borders))
+    low, high = F.element_at(bounds, F.col("b") + 1), F.element_at(bounds, F.col("b") + 2)
+    tops = {r.b: (r.top, r.far) for r in placed.groupBy("b").agg(F.max("m").alias("top"), F.max(F.when(F.col("_o0") > low + eps, F.col("m"))).alias("far")).collect()}
+    above, most = [], None
+    for b in range(len(borders), -1, -1):
+        # higher buckets whole, but for the rows of the next one that are within eps of the border
+        next_far = tops.get(b + 1, (None, None))[1]
+        above.append(max((x for x in (most, next_far) if x is not None), default=None))
+        most = max((x for x in (most, tops.get(b + 1, (None, None))[0]) if x is not None), default=None)
+    own = F.array(F.struct("b", F.lit(True).alias("own")))
+    copies = F.concat(own, F.when(F.col("_o0") + eps >= high, F.array(F.struct((F.col("b") + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array().cast("array<struct<b:int,own:boolean>>")), F.when(F.col("_o0") - eps <= low, F.array(F.struct((F.col("b") - 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array().cast("array<struct<b:int,own:boolean>>")))
+    spread = placed.select("_o0", "m", F.inline(copies)).withColumn("x", -F.col("_o0"))
+    over = "max(m) OVER (PARTITION BY b ORDER BY x {} BETWEEN UNBOUNDED PRECEDING AND {})"
+    least, rounded_off = f"{eps * (1 + 1e-9)!r}D", F.col("x") - eps == F.col("x")  # eps may be less than a value's last digit
+    beyond = F.when(rounded_off, F.expr(over.format("ROWS", "1 PRECEDING"))).otherwise(F.expr(over.format("RANGE", f"{least} PRECEDING")))
+    ran = spread.withColumns({"beyond": beyond, "upto": F.expr(over.format("RANGE", f"{eps!r}D FOLLOWING"))}).where("own")
+    higher = F.element_at(F.array(*[F.lit(x).cast("double") for x in above[::-1]]), F.col("b") + 1)
+    known = ran.select("_o0", F.greatest("beyond", higher).alias("_beyond"), F.greatest("upto", higher).alias("_upto"))
+    d = F.coalesce(F.col("_beyond") >= F.col("_o1") - eps, F.lit(False)) | (F.col("_upto") > F.col("_o1") + eps)
+    return scored.join(known, "_o0").withColumn("_d", d).drop("_beyond", "_upto")
+
+
+def _dominated_in_grid(scored: DataFrame, n: int, eps: float) -> DataFrame:
+    """``scored`` with ``_d``, for three and more objectives, by a grid of at most ``CELLS`` cells between quantiles.
+
+    A cell with another one above it in all objectives (by two borders in one of them, so by more than
+    eps) has no row on the front, and is not needed to keep others off it.  Rows of the cells left
+    meet those of cells that are not below theirs: rows are joined by cell, and only counts of cells
+    come to the driver.  Equal rows count once.
+    """
+    names = [f"_o{i}" for i in range(n)]
+    once = scored.select(*names).distinct()
+    g = max(int(CELLS ** (1 / n) + 1e-9), 2)
+    borders = [_borders(once, c, g, 4 * eps) for c in names]
+    cell = lambda shift: F.array(*[_part(F.col(c) - shift, b) for c, b in zip(names, borders)])
+    # a row is judged from eps below its place, and judges from its own
+    placed = once.withColumns({"_low": cell(eps), "_cell": cell(0.0)})
+    full = np.array([r["_cell"] for r in placed.select("_cell").distinct().collect()]).reshape(-1, n)
+    judged = np.array([r["_low"] for r in placed.select("_low").distinct().collect()]).reshape(-1, n)
+    beaten = lambda c: ((full >= c + 1).all(axis=1) & (full >= c + 2).any(axis=1)).any() if len(full) else False
+    judged = [c for c in judged if not beaten(c)]
+    rulers = [c for c in full if not beaten(c)]
+    meets = [(c.tolist(), [a.tolist() for a in judged if (c >= a).all()]) for c in rulers]
+    spark = scored.sparkSession
+    open_cells = spark.createDataFrame([(c.tolist(),) for c in judged], "_low array<int>")
+    ruled = spark.createDataFrame(meets, "_cell array<int>, _lows array<array<int>>")
+    candidates = placed.join(F.broadcast(open_cells), "_low").select(*names, "_low")
+    rivals = placed.join(F.broadcast(ruled), "_cell").select(*[F.col(c).alias(f"{c}_b") for c in names], F.explode("_lows").alias("_low_b"))
+    no_worse, better = F.lit(True), F.lit(False)
+    for c in names:
+        no_worse = no_worse & (F.col(f"{c}_b") >= F.col(c) - eps)
+        better = better | (F.col(f"{c}_b") > F.col(c) + eps)
+    front = candidates.join(rivals, (F.col("_low") == F.col("_low_b")) & no_worse & better, "left_anti").select(*names, F.lit(False).alias("_d"))
+    return scored.join(front, names, "left").withColumn("_d", F.coalesce("_d", F.lit(True)))
 
 
 def pareto(rows: DataFrame, maximize: list[str], minimize: list[str], key: str = "config_id", eps: float = 1e-12) -> DataFrame:
-    """``is_pareto``: no other row is as good on all objectives and better on one.  Two objectives take a sort; more, pairs of
-    rows (for grids of configurations)."""
+    """``is_pareto``: no other row is as good on all objectives and better on one (by more than ``eps``); ``pareto_rank`` 1 or 2.
+
+    Rows without all objectives go.  Two objectives take running maxima, more a grid.
+    """
     objectives = [*[F.col(c) for c in maximize], *[-F.col(c) for c in minimize]]
-    scored = rows.withColumns({f"_o{i}": o for i, o in enumerate(objectives)}).dropna(subset=[f"_o{i}" for i in range(len(objectives))])
-    if len(objectives) == 2:
-        return scored.withColumn("is_pareto", _on_front(scored, eps)).drop("_o0", "_o1").withColumn("pareto_rank", F.when(F.col("is_pareto"), 1).otherwise(2))
-    a, b = scored.alias("a"), scored.alias("b")
-    no_worse, better = F.lit(True), F.lit(False)
-    for i in range(len(objectives)):
-        no_worse = no_worse & (F.col(f"b._o{i}") >= F.col(f"a._o{i}") - eps)
-        better = better | (F.col(f"b._o{i}") > F.col(f"a._o{i}") + eps)
-    front = a.join(b, no_worse & better, "left_anti").select(key)
+    if not objectives:
+        raise ValueError("no objectives")
+    if len(objectives) == 1:
+        objectives.append(F.lit(0.0))
     hidden = [f"_o{i}" for i in range(len(objectives))]
-    return scored.drop(*hidden).join(front.withColumn("is_pareto", F.lit(True)), key, "left").withColumn("is_pareto", F.coalesce("is_pareto", F.lit(False))).withColumn("pareto_rank", F.when(F.col("is_pareto"), 1).otherwise(2))
+    scored = rows.withColumns({c: scrub(o.cast("double")) + 0.0 for c, o in zip(hidden, objectives)}).dropna(subset=hidden)
+    marked = _dominated_of_two(scored, eps) if len(hidden) == 2 else _dominated_in_grid(scored, len(hidden), eps)
+    return marked.withColumn("is_pareto", ~F.col("_d")).drop("_d", *hidden).withColumn("pareto_rank", F.when(F.col("is_pareto"), 1).otherwise(2))
 
 
 def goodness(rows: DataFrame, metrics: dict[str, str], larger: dict[str, bool] | None = None) -> DataFrame:

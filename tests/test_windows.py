@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factorloom import plans
 from factorloom.operators import portfolio as pf
 from factorloom.operators import risk
+from factorloom.operators import selection as sel
 from factorloom.plans import scans
 
 START = datetime(2020, 1, 1)
@@ -198,3 +199,46 @@ def test_weight_neutralization_against_a_plain_one(spark):
     for k, g in joined.toPandas().groupby(["alpha_id", "datetime"]):
         want = pd.Series(risk.residual_weights(g.weight.to_numpy(float), g[columns].to_numpy(float)), index=g.instrument).sort_index()
         np.testing.assert_allclose(got.loc[k].weight, want, atol=1e-8)
+
+
+@pytest.mark.parametrize("n,shape,eps", [(1, "free", 1e-12), (2, "free", 1e-12), (2, "front", 1e-12), (2, "ties", 0.6), (2, "large", 1e-12), (3, "large", 1e-12), (3, "free", 1e-12), (3, "front", 1e-12), (3, "ties", 0.6), (4, "ties", 1e-12)])
+def test_pareto_fronts_against_all_pairs(spark, n, shape, eps):
+    """Fronts of one to four objectives, with ties, missing values, tolerances, and tables all of whose rows are on the front."""
+    rng = np.random.default_rng(n)
+    m = rng.normal(size=(1500, n)) if shape in ("free", "large") else rng.integers(0, 7, (1500, n)).astype(float)
+    if shape == "large":
+        m = np.round(m * 1e5, 2)  # eps is less than the last digit
+    if shape == "front":
+        m = rng.dirichlet(np.ones(n), 1500)  # the sum is the same, so none is above another
+    names = [f"v{i}" for i in range(n)]
+    rows = [(k, *map(float, r)) for k, r in enumerate(m)] + [(9_000, *[None] * n), (9_001, float("nan"), *[1.0] * (n - 1))]
+    df = spark.createDataFrame(rows, "config_id long, " + ", ".join(f"{c} double" for c in names))
+    got = {r.config_id: r.is_pareto for r in sel.pareto(df.repartition(5), names[:1], names[1:], eps=eps).collect()}
+    up = m * np.array([1.0] + [-1.0] * (n - 1))
+    want = {k: not ((up >= r - eps).all(axis=1) & (up > r + eps).any(axis=1)).any() for k, r in enumerate(up)}
+    assert got == want
+
+
+def test_pareto_plans_have_no_nested_loops(spark):
+    df = spark.range(2000).select(F.col("id").alias("config_id"), F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("c"))
+    for xs in (["a"], ["a", "c"]):
+        plan = sel.pareto(df, xs, ["b"])._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_correlations_of_more_alphas_than_a_block(spark, monkeypatch):
+    """Blocks smaller than the number of alphas, missing dates, a constant series and too few common dates."""
+    monkeypatch.setattr(sel, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    days = [START + timedelta(days=20 * i) for i in range(60)]
+    wide = pd.DataFrame(rng.normal(size=(60, 11)) * 0.01 + 3.0, index=days, columns=[f"a{i:02d}" for i in range(11)])
+    wide = wide.where(rng.random(wide.shape) < 0.8)
+    wide["a03"], wide["a07"] = 2.5, wide["a06"].where(np.arange(60) < 10)
+    rows = [(c, d.to_pydatetime(), None if np.isnan(v) else float(v)) for c in wide for d, v in wide[c].items()]
+    got = sel.return_correlations(spark.createDataFrame(rows, "alpha_id string, datetime timestamp, net_return double"), min_periods=12).collect()
+    counts = wide.notna().astype(int).T @ wide.notna().astype(int)
+    assert {(r.a, r.b): r.n for r in got} == {(a, b): counts.loc[a, b] for a in wide for b in wide if counts.loc[a, b]}
+    want = wide.corr(min_periods=12)
+    for r in got:
+        w = want.loc[r.a, r.b]
+        assert (r["corr"] is None) == bool(np.isnan(w) or "a03" in (r.a, r.b)) and (r["corr"] is None or abs(r["corr"] - w) < 1e-9), (r, w)
