@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from .evaluation_queries import CAL, CFG, HELD, MIN_OBS, PATH, _daily, _labels, bucket_sql, tidy
 from .functions import rounded
 from .operators import ensembles as ens
 from .operators import portfolio as pf
-from .operators import presets, reporting, risk, tuning
+from .operators import factor_model, presets, reporting, risk, tuning
 from .operators import selection as sel
 from .queries import FACTOR_SQL, factors, hard_to_borrow, kept, query, r
 
@@ -297,20 +295,15 @@ def optimized_weights(spark, sf_dir):
 
 @query("factor_risk_model")
 def factor_risk_model(spark, sf_dir):
-    """Covariance summary of the last dates: loadings are each name's beta and log ADV.  One cross-section is one group."""
+    """Variances of the names of the last date: loadings are each name's beta and log ADV, returns those of the last 400 days."""
     panel, _ = factors(spark, sf_dir)
-    e = risk.exposures(panel, 8, 4)
-    last = e.agg(F.max("datetime")).first()[0]
-    past = e.where(F.col("datetime") > F.lit(last) - F.expr("interval 400 days")).select("datetime", "instrument", "ret", "beta", "log_adv", F.lit(0).alias("one"))
-
-    def run(rows):
-        names = rows[rows.datetime == rows.datetime.max()].sort_values("instrument")
-        wide = rows.pivot(index="datetime", columns="instrument", values="ret").reindex(columns=names.instrument)
-        wide = wide.fillna(0.0).where(wide.ffill().notna())
-        m = sel.factor_risk_model(np.clip(wide.to_numpy(float), -1, 1), names[["beta", "log_adv"]].to_numpy(float))
-        return pd.DataFrame({"instrument": names.instrument.to_numpy(), "variance": np.diag(m["covariance"]), "specific": m["specific"]})
-
-    return tidy(past.groupBy("one").applyInPandas(run, "instrument string, variance double, specific double"))
+    e = kept(risk.exposures(panel, 8, 4))
+    last = e.agg(F.max("datetime").alias("last"))
+    recent = e.crossJoin(F.broadcast(last)).where(F.col("datetime") > F.col("last") - F.expr("interval 400 days"))
+    loadings = recent.where(F.col("datetime") == F.col("last")).select("instrument", "beta", "log_adv")
+    returns = recent.select("datetime", "instrument", F.least(F.greatest("ret", F.lit(-1.0)), F.lit(1.0)).alias("ret"))
+    model = factor_model.factor_risk_model(returns, loadings, ["beta", "log_adv"])
+    return tidy(model.names.select("instrument", "variance", "specific"))
 
 
 @query("oos_attribution", f"""{_BEST}, ea AS (SELECT alpha_id, split_id, count(*) AS n, {", ".join(f"avg({c}) AS {c}" for c in ("turnover", "linear_cost", "spread_cost", "impact_cost", "borrow_cost", "total_cost"))} FROM wk WHERE segment = 'test' GROUP BY 1, 2)

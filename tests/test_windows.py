@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom import plans
+from factorloom.operators import factor_model, optimizer
 from factorloom.operators import portfolio as pf
 from factorloom.operators import risk
 from factorloom.operators import selection as sel
@@ -242,3 +243,28 @@ def test_correlations_of_more_alphas_than_a_block(spark, monkeypatch):
     for r in got:
         w = want.loc[r.a, r.b]
         assert (r["corr"] is None) == bool(np.isnan(w) or "a03" in (r.a, r.b)) and (r["corr"] is None or abs(r["corr"] - w) < 1e-9), (r, w)
+
+
+@pytest.mark.parametrize("change", [{}, {"method": "oas"}, {"estimator": "ewm", "halflife": 10.0, "clip_sigma": 1.5}, {"specific_clip": 0.0, "specific_shrink": 0.0, "shrink": 0.0}])
+def test_factor_risk_model_against_matrices(spark, change):
+    """Names with gaps, missing loadings, names without returns and returns of names without loadings."""
+    rng = np.random.default_rng(8)
+    days = [START + timedelta(days=i) for i in range(70)]
+    names = [f"n{i:02d}" for i in range(25)]
+    x = np.where(rng.random((25, 2)) < 0.1, np.nan, rng.normal(size=(25, 2)))
+    x = np.column_stack([x, np.ones(25)])
+    r = np.where(rng.random((70, 25)) < 0.4, np.nan, 0.01 * rng.normal(size=(70, 25)) + 0.01 * rng.normal(size=(70, 1)) * np.nan_to_num(x[:, 0]))
+    r[:, 3] = np.nan
+    rows = [(d, n, float(r[i, j])) for i, d in enumerate(days) for j, n in enumerate(names) if not np.isnan(r[i, j])] + [(days[0], "other", 0.5), (days[40], "other", None)]
+    rows += [(d, "other", 0.1) for d in days if not any(q[0] == d for q in rows)]
+    returns = spark.createDataFrame(rows, "datetime timestamp, instrument string, ret double")
+    loadings = spark.createDataFrame([(n, *(None if np.isnan(v) else float(v) for v in row)) for n, row in zip(names, x)], "instrument string, a double, b double, c double")
+    got = factor_model.factor_risk_model(returns, loadings, ["a", "b", "c"], **change)
+    want = optimizer.factor_risk_model(r, x, **change)
+    table = got.names.toPandas().set_index("instrument").loc[names]
+    np.testing.assert_allclose(got.factor_cov, want["factor_cov"], rtol=1e-7, atol=1e-12)
+    np.testing.assert_allclose(table.specific, want["specific"], rtol=1e-8)
+    np.testing.assert_allclose(table.variance, np.diag(want["covariance"]), rtol=1e-7)
+    np.testing.assert_allclose(table[["a", "b", "c"]], want["loadings"], atol=1e-12)
+    assert abs(got.shrinkage - want["shrinkage"]) < 1e-9 and abs(got.n_eff - want["n_eff"]) < 1e-9
+    assert factor_model.factor_risk_model(returns, loadings.limit(3), ["a"]) is None and factor_model.factor_risk_model(returns.limit(0), loadings, ["a"]) is None
