@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
-import os
 import re
+import time
+import uuid
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def stable_json(value) -> str:
@@ -23,65 +25,129 @@ def run_id(config: dict, thread: str = "main", now: datetime | None = None) -> s
     return f"{now:%Y%m%dT%H%M%SZ}_{thread}_{hashlib.sha256(stable_json(config).encode()).hexdigest()[:10]}"
 
 
-def _write(path: str, text: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+class Store:
+    """Files below a folder of any file system that Spark knows; a path without a scheme is one of the default file system.
+
+    A file appears under its name only when it is whole.
+    """
+
+    def __init__(self, root: str):
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        self.root, self._jvm = root.rstrip("/"), spark.sparkContext._jvm
+        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def write(self, name: str, data: str | bytes) -> None:
+        folder, _, last = name.rpartition("/")
+        half = f"{folder}/.{last}.{uuid.uuid4().hex}".lstrip("/")
+        out = self._fs.create(self._path(half), True)
+        out.write(data if isinstance(data, bytes) else data.encode())
+        out.close()
+        self._fs.delete(self._path(name), False)
+        self.rename(half, name)
+
+    def rename(self, name: str, other: str) -> None:
+        if not self._fs.rename(self._path(name), self._path(other)):
+            raise OSError(f"cannot rename {self.root}/{name} to {other}")
+
+    def read(self, name: str) -> str | None:
+        path = self._path(name)
+        if not self._fs.exists(path):
+            return None
+        stream = self._fs.open(path)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(name))
+
+    def make(self, name: str) -> None:
+        self._fs.mkdirs(self._path(name))
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
+
+#: Folders of entries, one file for each run, so that runs can be added side by side; and of unfinished runs.
+INDEX, REGISTRY, PENDING = "_index", "_factor_registry", "_pending"
 
 
 def save_run(root: str, config: dict, tables: dict[str, DataFrame], result: dict | None = None, daily: DataFrame | None = None, factors: dict[str, str] | None = None, thread: str = "main", selected: list[dict] | None = None, reports: dict[str, dict] | None = None) -> str:
-    """Writes a run's folder and appends it to the index; returns the folder.
+    """Writes a run's folder and adds it to the index; returns the folder.
 
-    Small tables become CSV files by way of the driver, so they must be summaries (metrics, sweeps,
-    correlations, curves); the daily paths are written by Spark, a folder for each alpha.
-    ``selected``: the chosen alphas; ``reports``: of each name a report, whose rows (``results``)
-    become a CSV file of their own, with the Pareto rows once more beside it.
+    A run is written aside; its folder is renamed when it is whole, and only then it is indexed.  A
+    run that fails leaves neither.  Small tables become CSV files by way of the driver, so they must
+    be summaries (metrics, sweeps, correlations, curves); the daily paths are written by Spark, a
+    folder for each alpha.  ``selected``: the chosen alphas; ``reports``: of each name a report, whose
+    rows (``results``) become a CSV file of their own, with the Pareto rows once more beside it.
     """
-    name = run_id(config, thread)
-    folder = os.path.join(root, name)
-    os.makedirs(folder, exist_ok=True)
-    _write(f"{folder}/config.json", stable_json(config))
-    _write(f"{folder}/result.json", stable_json(result or {}))
+    store, name = Store(root), run_id(config, thread)
+    if store.exists(name):
+        name += "-" + uuid.uuid4().hex[:6]
+    folder = f"{PENDING}/{name}"
+    store.make(folder)
+    try:
+        _write_run(store, folder, name, config, tables, result, daily, selected, reports)
+        store.rename(folder, name)
+    except BaseException:
+        store.delete(folder)
+        raise
+    entry = f"{time.time_ns():020d}-{name}"
+    if factors:
+        lines = [stable_json({"run_id": name, "alpha_id": alpha, "dsl": text, "dsl_hash": hashlib.sha256(text.encode()).hexdigest()}) for alpha, text in factors.items()]
+        store.write(f"{REGISTRY}/{entry}.jsonl", "\n".join(lines) + "\n")
+    store.write(f"{INDEX}/{entry}.jsonl", stable_json({"run_id": name, "thread": thread, "tables": sorted(tables)}) + "\n")
+    store.write("LATEST", name)
+    return f"{store.root}/{name}"
+
+
+def _write_run(store: Store, folder: str, name: str, config: dict, tables: dict[str, DataFrame], result: dict | None, daily: DataFrame | None, selected: list[dict] | None, reports: dict[str, dict] | None) -> None:
+    store.write(f"{folder}/config.json", stable_json(config))
+    store.write(f"{folder}/result.json", stable_json(result or {}))
     parts = [f"# Run {name}", ""]
     for key, df in tables.items():
         frame = df.toPandas()
-        frame.to_csv(f"{folder}/{key}.csv", index=False)
+        store.write(f"{folder}/{key}.csv", frame.to_csv(index=False))
         parts += [f"## {key}", "", f"{len(frame)} rows", "", "```", frame.head(10).to_string(index=False), "```", ""]
     if selected is not None:
-        _write(f"{folder}/sota_alphas.json", json.dumps(selected, indent=1, default=str))
+        store.write(f"{folder}/sota_alphas.json", json.dumps(selected, indent=1, default=str))
     for key, report in (reports or {}).items():
-        _write(f"{folder}/{key}.json", json.dumps(report, indent=1, default=str))
+        store.write(f"{folder}/{key}.json", json.dumps(report, indent=1, default=str))
         rows = [r for r in report.get("results", []) if isinstance(r, dict)]
         for name_, some in ((key, rows), (f"{key}_pareto", [r for r in rows if r.get("is_pareto")])):
             if some:
-                pd.DataFrame(some).to_csv(f"{folder}/{name_}.csv", index=False)
-        if any("is_pareto" in r for r in rows):
-            _plot(f"{folder}/{key}_pareto.png", rows)
+                store.write(f"{folder}/{name_}.csv", pd.DataFrame(some).to_csv(index=False))
+        picture = _plot(rows) if any("is_pareto" in r for r in rows) else None
+        if picture:
+            store.write(f"{folder}/{key}_pareto.png", picture)
     if daily is not None:
-        daily.write.mode("overwrite").partitionBy("alpha_id").csv(f"{folder}/daily", header=True)
-    _write(f"{folder}/SUMMARY.md", "\n".join(parts))
-    with open(os.path.join(root, "_index.jsonl"), "a", encoding="utf-8") as f:
-        f.write(stable_json({"run_id": name, "thread": thread, "tables": sorted(tables)}) + "\n")
-    with open(os.path.join(root, "factor_registry.jsonl"), "a", encoding="utf-8") as f:
-        for alpha, text in (factors or {}).items():
-            f.write(stable_json({"run_id": name, "alpha_id": alpha, "dsl": text, "dsl_hash": hashlib.sha256(text.encode()).hexdigest()}) + "\n")
-    _write(os.path.join(root, "LATEST"), name)
-    return folder
-
-
-def _plot(path: str, rows: list[dict], x: str = "alpha_weight_turnover_mean", y: str = "objective") -> bool:
+        daily.write.mode("overwrite").partitionBy("alpha_id").csv(f"{store.root}/{folder}/daily", header=True)
+    store.write(f"{folder}/SUMMARY.md", "\n".join(parts))
+
+
+def _plot(rows: list[dict], x: str = "alpha_weight_turnover_mean", y: str = "objective") -> bytes | None:
     """The rows with the front marked, as a picture, where a plotting library is installed."""
     try:
         from matplotlib.figure import Figure
     except ImportError:
-        return False
+        return None
     axes = (figure := Figure()).add_subplot()
     for front in (False, True):
         some = [r for r in rows if bool(r.get("is_pareto")) == front and x in r and y in r]
         axes.scatter([r[x] for r in some], [r[y] for r in some], label="front" if front else "others")
     axes.set(xlabel=x, ylabel=y)
     axes.legend()
-    figure.savefig(path)
-    return True
+    out = io.BytesIO()
+    figure.savefig(out, format="png")
+    return out.getvalue()
 
 
 def metrics_table(summary: DataFrame, evaluation: DataFrame | None = None, stability: DataFrame | None = None, gates: DataFrame | None = None) -> DataFrame:
@@ -98,26 +164,37 @@ def metrics_table(summary: DataFrame, evaluation: DataFrame | None = None, stabi
     return out.orderBy(F.col("information_ratio").desc_nulls_last(), "alpha_id")
 
 
-def read_lines(path: str) -> list[dict]:
+def _lines(text: str) -> list[dict]:
     """JSON lines; lines that don't parse are left out."""
     out = []
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            for line in f:
-                try:
-                    out.append(json.loads(line))
-                except ValueError:
-                    continue
+    for line in text.splitlines():
+        try:
+            out.append(json.loads(line))
+        except ValueError:
+            continue
     return out
 
 
+def _entries(root: str, folder: str) -> list[dict]:
+    store = Store(root)
+    return [x for name in store.names(folder) if not name.startswith(".") for x in _lines(store.read(f"{folder}/{name}") or "")]
+
+
 def list_runs(root: str) -> list[dict]:
-    return read_lines(os.path.join(root, "_index.jsonl"))
+    """The runs of the index, in the order in which they ended."""
+    return _entries(root, INDEX)
+
+
+def list_factors(root: str) -> list[dict]:
+    """The registered factors of all runs."""
+    return _entries(root, REGISTRY)
 
 
 def load_config(root: str, name: str) -> dict:
-    with open(os.path.join(root, name, "config.json"), encoding="utf-8") as f:
-        return json.load(f)
+    text = Store(root).read(f"{name}/config.json")
+    if text is None:
+        raise FileNotFoundError(f"{root}/{name}/config.json")
+    return json.loads(text)
 
 
 def compare_runs(root: str, a: str, b: str) -> dict:
@@ -128,10 +205,10 @@ def compare_runs(root: str, a: str, b: str) -> dict:
 
 def compare_metrics(root: str, a: str, b: str, columns: tuple[str, ...] = ("information_ratio", "annualized_return", "max_drawdown", "turnover_mean")) -> pd.DataFrame:
     """Of each alpha of either run the metrics in a and b and their difference."""
-    tables = []
+    tables, store = [], Store(root)
     for name in (a, b):
-        path = os.path.join(root, name, "alpha_metrics.csv")
-        table = pd.read_csv(path) if os.path.exists(path) else pd.DataFrame({"alpha_id": []})
+        text = store.read(f"{name}/alpha_metrics.csv")
+        table = pd.DataFrame({"alpha_id": []}) if text is None else pd.read_csv(io.StringIO(text))
         tables.append(table[[c for c in ("alpha_id", *columns) if c in table]])
     both = tables[0].merge(tables[1], on="alpha_id", how="outer", suffixes=("_a", "_b"))
     for c in columns:

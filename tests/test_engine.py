@@ -2,13 +2,14 @@
 
 import math
 import os
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from factorloom import plans, registry, sources
+from factorloom import artifacts, plans, registry, sources
 from factorloom.artifacts import compare_runs, list_runs, save_run
 from factorloom.operators import evaluation as ev
 from factorloom.operators import portfolio as pf
@@ -222,6 +223,27 @@ def test_artifacts(spark, tmp_path):
     assert {"config.json", "result.json", "alpha_metrics.csv", "SUMMARY.md"} <= set(os.listdir(tmp_path / a))
 
 
+def test_runs_in_a_store_that_only_spark_reaches(spark, tmp_path):
+    """Another file system: runs at the same time are all indexed, one that fails leaves nothing, a run of the same name gets another."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./runs", f"file://{tmp_path}")
+    root = "viewfs://store/runs/of-a-team"
+    table = spark.createDataFrame([("a", 1.0), ("b", None)], "alpha_id string, information_ratio double")
+    with ThreadPoolExecutor(4) as pool:
+        folders = list(pool.map(lambda i: save_run(root, {"x": i}, {"alpha_metrics": table}, factors={f"f{i}": "close"}, daily=table.fillna(0.0) if i == 0 else None), range(4)))
+    done = [f.rsplit("/", 1)[1] for f in folders]
+    assert {r["run_id"] for r in list_runs(root)} == set(done) and {r["alpha_id"] for r in artifacts.list_factors(root)} == {f"f{i}" for i in range(4)}
+    assert artifacts.Store(root).read("LATEST") in done and compare_runs(root, done[0], done[3]) == {"x": (0, 3)}
+    assert spark.read.csv(f"{folders[0]}/daily", header=True).count() == 2
+    assert artifacts.compare_metrics(root, *done[:2]).information_ratio_delta.tolist()[0] == 0
+    broken = table.withColumn("y", F.raise_error(F.lit("no")))
+    with pytest.raises(Exception, match="no"):
+        save_run(root, {"x": 9}, {"alpha_metrics": table, "broken": broken})
+    assert len(list_runs(root)) == 4 and artifacts.Store(root).names("_pending") == []
+    assert sorted(n for n in artifacts.Store(root).names("") if not n.startswith(".")) == sorted([*done, "LATEST", "_factor_registry", "_index", "_pending"])
+    with pytest.raises(FileNotFoundError):
+        artifacts.load_config(root, "none")
+
+
 def frame(df):
     df = df[sorted(df.columns)].copy()
     for c in df:
