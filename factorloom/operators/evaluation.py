@@ -123,19 +123,23 @@ def yearly(daily: DataFrame, keys: list[str], x: str) -> DataFrame:
 def decay(factors: DataFrame, panel: DataFrame, horizons: tuple[int, ...] = (1, 2, 3, 5, 10), keys: tuple[str, ...] = ("alpha_id",), n_quantiles: int = 5, min_obs: int = 20) -> DataFrame:
     """Per horizon: mean IC and rank IC with t statistics, mean spread and its information ratio.
 
-    All horizons go through one plan: they are a key of the forward returns.
+    All horizons go through one plan, in which a date's rows are joined and ranked once: they are a
+    key of the forward returns.
     """
     w = Window.partitionBy("instrument").orderBy("datetime")
     leads = F.array(*[F.struct(F.lit(h).alias("horizon"), scrub(div(F.lead("close", h).over(w), F.col("close")) - 1).alias("fwd")) for h in horizons])
     fwd = panel.select("datetime", "instrument", leads.alias("p")).select("datetime", "instrument", F.explode("p").alias("p")).select("datetime", "instrument", "p.horizon", "p.fwd")
     by = (*keys, "horizon")
-    ic = daily_ic(factors, fwd, by, min_obs)
-    spread = quantile_spread(buckets(factors, fwd, by, n_quantiles, min_obs), by, n_quantiles)
+    group = [*by, "datetime"]
+    place, n = bucket(group, "value", n_quantiles)
+    ranked = joined(factors, fwd).withColumns({"_rv": average_rank(F.col("value"), group), "_rf": average_rank(F.col("fwd"), group), "_b": place, "_n": n})
+    top, low = (F.avg(F.when(F.col("_b") == k, F.col("fwd"))) for k in (n_quantiles - 1, 0))
+    day = ranked.groupBy(*group).agg(F.count("*").alias("n_obs"), correlation(F.col("value"), F.col("fwd")).alias("ic"), correlation(F.col("_rv"), F.col("_rf")).alias("rank_ic"), F.when(F.first("_n") >= n_quantiles, top - low).alias("spread")).where(F.col("n_obs") >= min_obs)
     m = lambda c: F.avg(c)
     t = lambda c: ratio(F.avg(c), F.stddev_samp(c), F.sqrt(F.count(c)))
-    a = ic.groupBy(*by).agg(F.count("*").alias("n_dates"), m("ic").alias("ic_mean"), t("ic").alias("ic_t"), m("rank_ic").alias("rank_ic_mean"), t("rank_ic").alias("rank_ic_t"))
-    b = spread.groupBy(*by).agg(m("spread").alias("spread_mean"), (ratio(F.avg("spread"), F.stddev_samp("spread")) * F.sqrt(F.lit(float(YEAR)) / F.first("horizon"))).alias("spread_ir"))
-    return a.join(b, list(by), "left")
+    spread_ir = ratio(F.avg("spread"), F.stddev_samp("spread")) * F.sqrt(F.lit(float(YEAR)) / F.first("horizon"))
+    parts = [F.count("*").alias("n_dates"), m("ic").alias("ic_mean"), t("ic").alias("ic_t"), m("rank_ic").alias("rank_ic_mean"), t("rank_ic").alias("rank_ic_t"), m("spread").alias("spread_mean")]
+    return day.groupBy(*by).agg(*parts, F.when(F.max("n_obs") >= n_quantiles, spread_ir).alias("spread_ir"))
 
 
 def best_horizon(table: DataFrame, keys: tuple[str, ...] = ("alpha_id",)) -> DataFrame:
