@@ -268,3 +268,39 @@ def test_factor_risk_model_against_matrices(spark, change):
     np.testing.assert_allclose(table[["a", "b", "c"]], want["loadings"], atol=1e-12)
     assert abs(got.shrinkage - want["shrinkage"]) < 1e-9 and abs(got.n_eff - want["n_eff"]) < 1e-9
     assert factor_model.factor_risk_model(returns, loadings.limit(3), ["a"]) is None and factor_model.factor_risk_model(returns.limit(0), loadings, ["a"]) is None
+
+
+def _deals(df) -> int:
+    """How often the plan deals rows out; of a table whose plan has not run yet."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_evaluation_ranks_once_and_its_summary_reads_it_once(spark):
+    import datetime as dt
+
+    from factorloom.operators import evaluation as ev
+
+    day = lambda i: dt.datetime(2020, 1, 1) + dt.timedelta(i)
+    rows = [(day(i), f"n{k}", float(10 + (i * 7 + k * 5) % 13), float((i * 3 + k * 11) % 17)) for i in range(12) for k in range(14) if (i * 5 + k) % 6]
+    panel = spark.createDataFrame([(d, n, c) for d, n, c, _ in rows], "datetime timestamp, instrument string, close double")
+    values = spark.createDataFrame([("a", d, n, v) for d, n, _, v in rows], "alpha_id string, datetime timestamp, instrument string, value double")
+    whole = ev.evaluate(values, panel, min_obs=3, cost_bps=10)
+    fwd = ev.forward_returns(panel)
+    placed = ev.buckets(values, fwd, min_obs=3)
+    got = {r.datetime: r for r in whole.collect()}
+    legs, want, before = {}, {}, None
+    for r in placed.collect():
+        legs.setdefault(r.datetime, {}).setdefault(r.bucket, set()).add(r.instrument)
+    for d in sorted(legs):
+        want[d] = 0.0 if before is None else sum(1 - len(legs[before][b] & legs[d].get(b, set())) / len(legs[before][b]) for b in (0, 4) if b in legs[before]) / sum(b in legs[before] for b in (0, 4))
+        before = d
+    assert {d: pytest.approx(t) for d, t in want.items()} == {d: r.turnover for d, r in got.items() if r.turnover is not None}
+    assert {r.datetime: pytest.approx(r.turnover) for r in ev.membership_turnover(placed).collect()} == want
+    for r in ev.daily_ic(values, fwd, min_obs=3).collect():
+        assert (got[r.datetime].n_obs, got[r.datetime].ic, got[r.datetime].rank_ic) == (r.n_obs, pytest.approx(r.ic), pytest.approx(r.rank_ic))
+    for r in ev.quantile_spread(placed).collect():
+        assert got[r.datetime].spread == pytest.approx(r.spread)
+    # the summary adds at most one deal of the daily rows, it doesn't evaluate them again
+    anew = lambda: ev.evaluate(values, panel, min_obs=3, cost_bps=10)
+    assert _deals(ev.summarize(anew(), ["alpha_id"], "ls_return")) <= _deals(anew()) + 1
