@@ -304,3 +304,11 @@ def test_evaluation_ranks_once_and_its_summary_reads_it_once(spark):
     # the summary adds at most one deal of the daily rows, it doesn't evaluate them again
     anew = lambda: ev.evaluate(values, panel, min_obs=3, cost_bps=10)
     assert _deals(ev.summarize(anew(), ["alpha_id"], "ls_return")) <= _deals(anew()) + 1
+
+
+def test_summaries_of_paths_read_them_once(spark):
+    rows = [("a", datetime(2020, 1, 1 + i), 0.1 * i, 0.01 * i - 0.02, *[0.001] * 5) for i in range(9)]
+    columns = ["alpha_id", "datetime", "turnover", "net_return", "linear_cost", "spread_cost", "impact_cost", "borrow_cost", "total_cost"]
+    daily = lambda: spark.createDataFrame(rows, columns).groupBy("alpha_id", "datetime").agg(*[F.sum(c).alias(c) for c in columns[2:]])
+    assert _deals(pf.portfolio_summary(daily())) <= _deals(daily()) + 1
+    assert pf.portfolio_summary(daily()).first().turnover_mean == pytest.approx(0.4)
