@@ -312,3 +312,10 @@ def test_summaries_of_paths_read_them_once(spark):
     daily = lambda: spark.createDataFrame(rows, columns).groupBy("alpha_id", "datetime").agg(*[F.sum(c).alias(c) for c in columns[2:]])
     assert _deals(pf.portfolio_summary(daily())) <= _deals(daily()) + 1
     assert pf.portfolio_summary(daily()).first().turnover_mean == pytest.approx(0.4)
+
+
+def test_risk_exposures_have_each_name_on_each_date(spark):
+    from factorloom import registry
+
+    got = registry.QUERIES["risk_exposures"](spark, "/root/testdata/sf0.001").select("datetime", "instrument")
+    assert got.count() == got.distinct().count() == got.select("datetime").distinct().count() * got.select("instrument").distinct().count()
