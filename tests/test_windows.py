@@ -319,3 +319,25 @@ def test_risk_exposures_have_each_name_on_each_date(spark):
 
     got = registry.QUERIES["risk_exposures"](spark, "/root/testdata/sf0.001").select("datetime", "instrument")
     assert got.count() == got.distinct().count() == got.select("datetime").distinct().count() * got.select("instrument").distinct().count()
+
+
+def test_factors_that_carry_forward_returns_are_dealt_once_and_not_joined(spark):
+    from factorloom import queries
+    from factorloom.operators import evaluation as ev
+
+    rows = [(START + timedelta(i), f"n{k}", float(10 + (i * 7 + k * 5) % 13), 5.0) for i in range(12) for k in range(14) if (i * 5 + k) % 6]
+    panel = spark.createDataFrame(rows, "datetime timestamp, instrument string, close double, volume double")
+    alphas = [{"alpha_id": "r", "dsl": "returns(close, 1)"}, {"alpha_id": "c", "dsl": "-close"}]
+    carried = plans.run_factors(ev.with_forward_returns(panel), alphas, max_missing=1.0, also=("fwd",), deal="datetime").values
+    apart = plans.run_factors(panel, alphas, max_missing=1.0).values
+    days = lambda values: {(r.alpha_id, r.datetime): tuple(r)[2:] for r in ev.evaluate(values, panel, min_obs=3, cost_bps=10).collect()}
+    got, want = days(carried), days(apart)
+    assert got.keys() == want.keys() and len(got) > 15
+    for k, row in want.items():
+        assert got[k] == pytest.approx(row)
+    plan = ev.buckets(carried, min_obs=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning(datetime") == 1
+    # what the queries keep is the columns that are read, not the factors made of them
+    values = queries.evaluated_factors(spark, "/root/testdata/sf0.001")[1]
+    assert values.columns == ["alpha_id", "datetime", "instrument", "value", "fwd"]
+    assert [len(x.columns) for x in queries._kept] == [4]
