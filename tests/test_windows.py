@@ -341,3 +341,21 @@ def test_factors_that_carry_forward_returns_are_dealt_once_and_not_joined(spark)
     values = queries.evaluated_factors(spark, "/root/testdata/sf0.001")[1]
     assert values.columns == ["alpha_id", "datetime", "instrument", "value", "fwd"]
     assert [len(x.columns) for x in queries._kept] == [4]
+
+
+def test_allocation_reads_the_items_once(spark, monkeypatch):
+    from factorloom import registry, sources
+
+    calls, whole = [], sources.supplier_panel
+    monkeypatch.setattr(sources, "supplier_panel", lambda *a: calls.append(a) or whole(*a))
+    got = registry.QUERIES["daily_allocation"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and got.columns == ["datetime", "alpha_id", "weight"]
+
+
+def test_walk_forward_keeps_the_training_path(spark):
+    rows = [(START + timedelta(i), f"n{k}", float(10 + (i * 7 + k * 5) % 13), 5.0) for i in range(24) for k in range(10)]
+    panel = spark.createDataFrame(rows, "datetime timestamp, instrument string, close double, volume double")
+    values = plans.run_factors(panel, [{"alpha_id": "c", "dsl": "-close"}], max_missing=1.0).values
+    paths = sel.walk_forward(values, panel, pf.Backtest(min_obs=3, rebalance_days=2, holding_days=2), sel.WalkForward(train=8, valid=4, test=4, step=4))
+    plan = paths.where("segment = 'train'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in plan  # the signs were chosen from it, nothing is traded again
