@@ -359,3 +359,27 @@ def test_walk_forward_keeps_the_training_path(spark):
     paths = sel.walk_forward(values, panel, pf.Backtest(min_obs=3, rebalance_days=2, holding_days=2), sel.WalkForward(train=8, valid=4, test=4, step=4))
     plan = paths.where("segment = 'train'")._jdf.queryExecution().optimizedPlan().toString()
     assert "InMemoryRelation" in plan  # the signs were chosen from it, nothing is traded again
+
+
+def test_events_of_a_date_are_packed_and_put_together():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"k": ["a", "b", "a", "a", "a"], "i": [1, 1, 1, 0, 1], "instrument": ["x", "x", "x", "", ""], "ret": [0.5, 0.25, None, None, None], "paid": [None, None, 7.0, None, None], "own": [None, None, None, 1.0, 1.0]})
+    rows = rows.set_column(rows.schema.get_field_index("paid"), "paid", rows["paid"].cast(pa.float64()))
+    got = {}
+    for part in (rows.slice(0, 2), rows.slice(2)):  # as two tasks have them
+        for r in pa.Table.from_batches(pf._pack([part], ["k", "i"], ["ret", "paid", "own"])).to_pylist():
+            got.setdefault((r["k"], r["i"]), []).append(r["data"])
+    assert sorted(got) == [("a", 0), ("a", 1), ("b", 1)]
+    day = pf._unpack(got["a", 1], ["ret", "paid", "own"])
+    assert day["instrument"].isna().tolist() == [True, False] and day["ret"].iloc[1] == 0.5 and day["paid"].iloc[1] == 7.0
+
+
+def test_stepwise_deals_its_events_once(spark):
+    rows = [(START + timedelta(i), f"n{k}", float(10 + (i * 7 + k * 5) % 13), 5.0) for i in range(12) for k in range(10)]
+    panel = spark.createDataFrame(rows, "datetime timestamp, instrument string, close double, volume double")
+    values = plans.run_factors(panel, [{"alpha_id": "c", "dsl": "-close"}], max_missing=1.0).values
+    path = pf.backtest(values, panel, pf.Backtest(min_obs=3, rebalance_days=2, holding_days=2, turnover_cap=0.1), check=False)
+    plan = path._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(alpha_id" in plan and ", i#" not in "".join(x for x in plan.splitlines() if "hashpartitioning(alpha_id" in x)
+    assert path.count() == 11
