@@ -48,10 +48,13 @@ def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
 
 def fingerprints_of(hashes: list[list[int]]) -> np.ndarray:
     """For each list of hashes, the bits that are set in over half of them (no hashes: zero)."""
-    sizes = np.array([len(h) for h in hashes])
-    flat = np.array([x for h in hashes for x in h], np.uint64)
-    counts = np.zeros((len(hashes), 64), np.int64)
-    owner = np.repeat(np.arange(len(hashes)), sizes)
+    return majorities(np.array([x for h in hashes for x in h], np.uint64), np.array([len(h) for h in hashes]))
+
+
+def majorities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same for hashes that lie end to end, ``sizes`` of them for each fingerprint."""
+    counts = np.zeros((len(sizes), 64), np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     for lo in range(0, len(flat), BLOCK):
         part, own = flat[lo : lo + BLOCK], owner[lo : lo + BLOCK]
         bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -82,15 +85,15 @@ def _segment(x, i: int, bits: int = BITS):
 KEYS = [(i, j) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS)]
 
 
-def _within_budgets(x):
-    """Whether, for some first segment, each chain's differences stay within the proportional budget."""
-    d = [F.bit_count(_segment(x, i)) for i in range(SEGMENTS)]
+def _within_budgets(x, d: list | None = None, distance: int = DISTANCE):
+    """Whether, for some first segment, each chain's differences ``d`` stay within the proportional budget."""
+    d = d or [F.bit_count(_segment(x, i)) for i in range(SEGMENTS)]
     found = F.lit(False)
-    for i in range(SEGMENTS):
+    for i in range(len(d)):
         total, ok = F.lit(0), F.lit(True)
-        for n in range(1, SEGMENTS + 1):
-            total = total + d[(i + n - 1) % SEGMENTS]
-            ok = ok & (total <= DISTANCE * n // SEGMENTS)
+        for n in range(1, len(d) + 1):
+            total = total + d[(i + n - 1) % len(d)]
+            ok = ok & (total <= distance * n // len(d))
         found = found | ok
     return found
 
@@ -125,6 +128,30 @@ def links(fps: DataFrame) -> DataFrame:
     return found
 
 
+def near(fps: DataFrame, distance: int, bucket: int = BUCKET) -> DataFrame:
+    """(a, b) pairs of the distinct fingerprints ``fp`` of ``fps`` that differ in at most ``distance`` bits (1 at least).
+
+    The ring has two segments more than bits may differ, so that here, too, two are equal.  Keys are not
+    refined: under one of more than ``bucket`` fingerprints each is compared with the least of them only.
+    """
+    ends = [64 * i // (distance + 2) for i in range(distance + 3)]
+    cut = lambda x, i: F.shiftrightunsigned(x, ends[i]).bitwiseAND((1 << ends[i + 1] - ends[i]) - 1)
+    ring = range(distance + 2)
+    keys = [F.lit(n << 48).bitwiseOR(F.shiftleft(cut(F.col("fp"), i), 24)).bitwiseOR(cut(F.col("fp"), j)) for n, (i, j) in enumerate((i, j) for i in ring for j in ring if i < j)]
+    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    buckets = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1"), "buckets")
+    members = materialise(keyed.join(dealt_anew(buckets.where("n > 2"), "key").select("key", "n", "low"), "key"), "members")
+    few = members.where(F.col("n") <= bucket)
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    close = (F.bit_count(x) <= distance) & _within_budgets(x, [F.bit_count(cut(x, i)) for i in ring], distance)
+    pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").where(close).select("a", "b")
+    for some in (buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")), members.where(F.col("n") > F.greatest(F.lit(bucket), F.lit(2))).where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))):
+        pairs = pairs.unionAll(some.where(close))
+    found = materialise(pairs.distinct(), "near")
+    discard(buckets, members)
+    return found
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): the smallest id that is reachable over links, for each row.
 

@@ -1,6 +1,11 @@
-"""Near duplicates by the Jaccard similarity of word shingles, found by prefix filtering.
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash with pigeonring filtering, exact checks, and prefix filtering for the rest.
 
-A text is the set of the 64-bit hashes of its five-word shingles.  All hashes are put into one order,
+A text is the set of the 64-bit hashes of its five-word shingles.  Sets whose SimHash fingerprints
+differ in at most ``DISTANCE`` bits are found by the pigeonring index and compared exactly.  At a
+similarity of 0.8 fingerprints differ in about ten of their 64 bits, and some in eighteen, so these
+are a part of all links.
+
+Sets that fingerprints leave apart are joined by prefix filtering.  All hashes are put into one order,
 rare ones first (by a sketch of their counts, then by value).  Of two sets of similarity 0.8 at least,
 the first n - ceil(0.8 n) + 1 hashes of each have one in common, whatever the order is; so texts that
 share such a key are compared exactly, and no pair is lost.  The order only keeps common lines out
@@ -13,13 +18,12 @@ Signatures differ in at most as many bits as the sets do in hashes, which drops
 before any text is moved; here, too, no pair is lost.  Sets are never stored: they are made again
 from the texts where they are needed.
 
-SimHash fingerprints can't stand in for this: at a similarity of 0.8 two of 64 bits differ in about
-ten places.  Rows are known by their id and their text; a task handles each text once, however many
-copies of it the task has.
+Rows are known by their id and their text; a task handles each text once, however many copies of it
+the task has.
 
-Under a key of more than ``BUCKET`` sets, each is first compared with ``PIVOTS`` of them.  Only
+Under a prefix key of more than ``BUCKET`` sets, each is first compared with ``PIVOTS`` of them.  Only
 where a key's sets are not all linked by then, those of different components are paired too: pairs
-within one component cannot change the result.
+within one component, of fingerprints' links to begin with, cannot change the result.
 """
 
 from __future__ import annotations
@@ -35,12 +39,14 @@ from pyspark.sql import functions as F
 
 from .common import Words, arrow_map, chunks, dealt_anew, discard, gram_hashes, materialise, span_hashes, text_bytes
 from .graph import components
-from .simhash import rows_of
+from .simhash import majorities, near, rows_of
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
 UP, DOWN = 4, 5
 BUCKET, PIVOTS = 4, 2
+#: The most bits in which fingerprints of candidates differ.
+DISTANCE = 4
 #: Buckets of the sketch (as bits), and the partial sums of the tasks' sketches.
 SKETCH_BITS, SUMS = 22, 16
 #: Texts of a file, and pairs that a task compares.
@@ -93,16 +99,16 @@ def _source(docs: DataFrame, *also: str) -> DataFrame:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(tkey, node, size, s0, s1, ...) of each text, once for each task that has it."""
+    """(tkey, node, size, fp, s0, s1, ...) of each text, once for each task that has it; fp is the set's SimHash fingerprint."""
 
     def run(batches):
         for tkey, values, size in _new_texts(batches):
             at = np.repeat(np.arange(len(size)), size) * 64 * PARTS + (values % np.uint64(64 * PARTS)).astype(np.int64)
             odd = np.bincount(at, minlength=len(size) * 64 * PARTS) & 1
             sig = np.packbits(odd.astype(bool)).view(np.int64).reshape(-1, PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(tkey), pa.array(nodes_of(values, size)), pa.array(size.astype(np.int32)), *[pa.array(x) for x in sig.T.copy()]], ["tkey", "node", "size", *SIGNATURE])
+            yield pa.RecordBatch.from_arrays([pa.array(tkey), pa.array(nodes_of(values, size)), pa.array(size.astype(np.int32)), pa.array(majorities(values, size).view(np.int64)), *[pa.array(x) for x in sig.T.copy()]], ["tkey", "node", "size", "fp", *SIGNATURE])
 
-    return arrow_map(_source(docs), run, "tkey long, node long, size int, " + ", ".join(f"{c} long" for c in SIGNATURE))
+    return arrow_map(_source(docs), run, "tkey long, node long, size int, fp long, " + ", ".join(f"{c} long" for c in SIGNATURE))
 
 
 def bucket_of(values: np.ndarray) -> np.ndarray:
@@ -182,12 +188,12 @@ def _pairs(x: DataFrame, y: DataFrame, *also: str) -> DataFrame:
 
 
 def _maybe(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) but for those whose signatures differ in more bits than the sets may in hashes."""
-    sigs = rows.select("node", "size", *SIGNATURE).dropDuplicates(["node"])
-    side = lambda c: sigs.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("size", *SIGNATURE)])
+    """The pairs (a, b) of different roots but for those whose signatures differ in more bits than the sets may in hashes."""
+    sigs = rows.select("node", "size", "root", *SIGNATURE).dropDuplicates(["node"])
+    side = lambda c: sigs.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("size", "root", *SIGNATURE)])
     differ = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in SIGNATURE), F.lit(0))
     # similarity UP / DOWN: of both sizes' sum, (DOWN - UP) / (DOWN + UP) may differ
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(differ * (DOWN + UP) <= (F.col("size_a") + F.col("size_b")) * (DOWN - UP)).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where("root_a <> root_b").where(differ * (DOWN + UP) <= (F.col("size_a") + F.col("size_b")) * (DOWN - UP)).select("a", "b")
 
 
 def texts_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -212,7 +218,7 @@ def texts_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose sets' similarity is large enough."""
+    """The pairs whose sets' similarity is large enough; ``rows`` have a ``root``, and pairs of one root are left out."""
     pairs = materialise(_maybe(pairs, rows), "candidates")
     n = pairs.count()
     if not n:
@@ -239,8 +245,20 @@ def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
+def fingerprint_links(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) edges between similar sets by their fingerprints: one set of each fingerprint stands for it, and the others are compared with that one."""
+    sets = rows.select("fp", "node").distinct()
+    ones = sets.groupBy("fp").agg(F.min("node").alias("one"))
+    side = lambda c: ones.select(F.col("fp").alias(c), F.col("one").alias(f"one_{c}"))
+    apart = near(ones.select("fp"), DISTANCE).join(side("a"), "a").join(side("b"), "b").select(F.least("one_a", "one_b").alias("a"), F.greatest("one_a", "one_b").alias("b"))
+    alike = sets.join(dealt_anew(ones, "fp"), "fp").where("node <> one").select(F.col("one").alias("a"), F.col("node").alias("b"))
+    return similar(apart.unionAll(alike), rows.withColumn("root", F.col("node")), docs)
+
+
 def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b) edges between the sets, enough that their components are those of all similar pairs."""
+    close = fingerprint_links(rows, docs)
+    rows = materialise(rows.join(dealt_anew(components(close), "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     w = Window.partitionBy("key")
     # dealt by key at once, so that neither copies of a set nor the windows deal the rows again
     once = prefixes(docs, sketch(docs)).repartition("key").dropDuplicates(["key", "node"])
@@ -249,7 +267,7 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     keyed = fitting.withColumns({"n": F.count("*").over(w), "place": F.row_number().over(w.orderBy((F.col("room") / F.col("size")).desc(), "node"))})
     shared = materialise(keyed.where("n > 1").drop("least"), "keys")
     few, crowded = shared.where(F.col("n") <= BUCKET), shared.where(F.col("n") > BUCKET)
-    found = similar(_pairs(few, few).unionAll(_pairs(crowded.where(F.col("place") <= PIVOTS), crowded)).distinct(), rows, docs)
+    found = close.unionAll(similar(_pairs(few, few).unionAll(_pairs(crowded.where(F.col("place") <= PIVOTS), crowded)).distinct(), rows, docs))
     roots = components(found).select("node", "root")
     labelled = crowded.join(dealt_anew(roots, "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")

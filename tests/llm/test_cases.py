@@ -159,6 +159,69 @@ def test_hub_of_a_near_duplicate_key(spark):
     assert [r.doc_id for r in out] == [60]
 
 
+@pytest.mark.parametrize("distance", [1, 2, 4, 7])
+def test_near_fingerprints(spark, distance):
+    """All pairs within the distance; under crowded keys some of them, and none that is farther apart."""
+    rng = random.Random(distance)
+    fps = {-1, 0, -(1 << 63)}
+    for _ in range(12):
+        f = rng.getrandbits(64)
+        for _ in range(20):
+            for bit in rng.sample(range(64), rng.randint(0, distance + 1)):
+                f ^= 1 << bit
+            fps.add((f ^ (1 << 63)) - (1 << 63))
+    want = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= distance}
+    table = frame(spark, [(f,) for f in fps], "fp long")
+    assert collections.Counter(tuple(r) for r in simhash.near(table, distance, 1000).collect()) == collections.Counter(want)
+    some = {tuple(r) for r in simhash.near(table, distance, 1).collect()}
+    assert some and some <= want
+
+
+def test_near_duplicates_are_linked_by_fingerprints(spark, monkeypatch):
+    """The pipeline's stage has its links within the fingerprints' distance from SimHash, the others from the prefixes."""
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    texts = ["", "one two"]
+    for k in range(10):
+        w = [f"w{rng.randrange(4000)}" for _ in range(300)]
+        for _ in range(5):
+            texts.append(" ".join(w))
+            w = list(w)
+            w[rng.randrange(300)] = f"n{k}x{len(texts)}"
+    docs = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    data, offsets = common.text_bytes(pa.array(texts))
+    values, size = similar.shingle_sets(data, offsets)
+    sets = np.split(values, np.cumsum(size)[:-1])
+    fps = simhash.fingerprints_of([s.tolist() for s in sets]).tolist()
+    node = similar.nodes_of(values, size).tolist()
+    ones = {f: min(n for n, g in zip(node, fps) if g == f) for f in fps}
+    like, near = set(), set()
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            common_part = len(np.intersect1d(sets[i], sets[j]))
+            if node[i] < node[j] and 5 * common_part >= 4 * len(np.union1d(sets[i], sets[j])):
+                like.add((node[i], node[j]))
+                # one set of each fingerprint is compared with those of other fingerprints
+                if ones[fps[i]] == node[i] and (fps[i] == fps[j] or ones[fps[j]] == node[j]) and (fps[i] ^ fps[j]).bit_count() <= similar.DISTANCE:
+                    near.add((node[i], node[j]))
+    assert 20 < len(near) < len(like)
+    rows = common.materialise(similar.described(docs), "described")
+    assert {tuple(r) for r in similar.fingerprint_links(rows, docs).collect()} == near
+
+    def first_ones(pairs):
+        parent = {n: n for n in node}
+        for a, b in list(pairs) * len(node):
+            parent[a] = parent[b] = min(parent[a], parent[b])
+        return sorted({p: i for i, p in reversed(list(enumerate(parent[n] for n in node)))}.values())
+
+    stage = lambda: sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert stage() == first_ones(like)
+    prefixes = similar.prefixes
+    monkeypatch.setattr(similar, "prefixes", lambda *args: prefixes(*args).where("false"))
+    assert stage() == first_ones(near)
+
+
 @pytest.mark.parametrize("ids", [(1, 2), (None, None), (5, 5)])
 def test_shared_passage_stays_once(spark, ids):
     """Texts without an id, or of one id, that share a passage at the same place: one of them keeps it."""
