@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -28,10 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, gathered, text_bytes
+from .common import arrow_map, chunks, gathered, give_back, kept_by_worker, text_bytes
 
 #: Pieces in a worker's memo, and bytes of texts that are cut at once.
 MEMO_PIECES, CUT_BYTES = 600_000, 6 << 20
+#: Bytes of texts that are encoded, decoded and digested at once.
+DIGEST_BYTES = 2 << 20
 #: White space as the pattern's \s has it (Unicode White_Space).
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Fixed value: the pattern whose matches ``piece_starts`` knows.
@@ -295,7 +296,7 @@ class RankBPE(PieceCoder):
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker(maxsize=2)
 def rank_bpe(path: str, pattern: str) -> RankBPE:
     return RankBPE(path, pattern)
 
@@ -306,7 +307,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
 
     def run(batches):
         bpe = rank_bpe(vocabulary, pattern)
-        for batch in gathered(batches, "text", CUT_BYTES):
+        for batch in gathered(batches, "text", DIGEST_BYTES):
             ids, offsets = bpe.encode_column(batch["text"])
             arr = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], arr], ["doc_id", "ids"])
@@ -331,9 +332,10 @@ def token_digest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     def run(batches):
         bpe = rank_bpe(vocabulary, pattern)
-        for batch in gathered(batches, "text", CUT_BYTES):
+        for batch in gathered(batches, "text", DIGEST_BYTES):
             ids, ends = bpe.encode_column(batch["text"])
             decimals, decoded = (digests(tokens.take(pa.array(ids)), ends, cut) for tokens, cut in ((bpe.token_decimals, 1), (bpe.token_bytes, 0)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(ends)), decimals, decoded], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            give_back()
 
     return arrow_map(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Words, arrow_map, chunks, gathered, scratch, text_bytes
+from .common import Words, arrow_map, chunks, gathered, kept_by_worker, scratch, text_bytes
 from .fmindex import FMIndex
 from .toxicity import OUTSIDE
 
@@ -60,7 +59,7 @@ class Block:
         self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker(maxsize=2)
 def _block(path: str) -> Block:
     fs, name = pyarrow.fs.FileSystem.from_uri(path)
     with fs.open_input_file(name) as f:

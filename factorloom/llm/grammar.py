@@ -20,7 +20,6 @@ import os
 import struct
 import uuid
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import ASCII_WHITE, CUT_BYTES, PieceCoder, wide_white
-from .common import arrow_map, gathered, materialise, scratch, text_bytes
+from .common import arrow_map, gathered, kept_by_worker, materialise, scratch, text_bytes
 
 SHARD_TOKENS = 2_000_000
 #: Nonterminals that one round may add (the most frequent pairs first; the others wait for the next round).
@@ -251,7 +250,7 @@ class LibraryBPE(PieceCoder):
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-@lru_cache(maxsize=1)
+@kept_by_worker(maxsize=1)
 def library_bpe(path: str) -> LibraryBPE:
     return LibraryBPE(path)
 

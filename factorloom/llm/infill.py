@@ -12,7 +12,7 @@ cuts come from a digest of the document's id, so each run of the job gives the s
 
 from __future__ import annotations
 
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_of
+from .common import arrow_map, kept_by_worker, text_of
 
 PREFIX, SUFFIX, MIDDLE = SENTINELS = ("<P>", "<S>", "<M>")
 SPACES = " \t\n\x0b\x0c\r"
@@ -29,7 +29,7 @@ RATE, SUFFIX_FIRST = 90, 20
 UNITS = ("codepoint", "run")
 
 
-@lru_cache(maxsize=1)
+@kept_by_worker(maxsize=1)
 def _automaton():
     """The sentinels by their number, white space as -1."""
     found = ahocorasick.Automaton()

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from factorloom.llm import bpe, decontaminate, grammar, language, media, quality, repeats, simhash, similar, substring, suffixes, toxicity
+from factorloom.llm import bpe, common, decontaminate, grammar, language, media, quality, repeats, simhash, similar, substring, suffixes, toxicity
 from factorloom.llm.fmindex import FMIndex, suffix_array
 
 SPACES = rb"[^\x20\x09-\x0D]+"
@@ -297,6 +297,42 @@ def test_bpe(docs, rows, empty):
     assert bpe.encode_documents(docs, path, P.PATTERN).selectExpr("sum(size(ids))").first()[0] == sum(k[1] * v for k, v in want.items())
 
 
+class Worker:
+    """Stands for a DataFrame whose tasks all run here, as in one worker."""
+
+    def __init__(self, *batches):
+        self.batches, self.sparkSession, self.conf = batches, self, {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter(self.batches)))
+
+
+def test_worker_keeps_one_operators_things(monkeypatch):
+    path, kept, freed = P.path("byte_bpe_multi_50k.tiktoken"), bpe.rank_bpe.cache_info, []
+    batch = pa.RecordBatch.from_pydict({"text": ["some text"]})
+    monkeypatch.setattr(common, "give_back", lambda: freed.append(1), raising=False)
+
+    def encode(batches):
+        for b in batches:
+            bpe.rank_bpe(path, P.PATTERN).encode_column(b["text"])
+            yield b
+
+    def other(batches):
+        yield from batches
+
+    encode.__module__, other.__module__ = bpe.__name__, similar.__name__
+    for run, has in ((encode, 1), (encode, 1), (other, 0), (encode, 1)):
+        assert common.arrow_map(Worker(batch, batch), run, "text string") == [batch, batch]
+        assert kept().currsize == has
+    assert len(freed) == 4  # once a task
+    # of the same module's tasks nothing is made anew
+    common.arrow_map(Worker(batch), other, "text string")
+    common.arrow_map(Worker(batch), encode, "text string")
+    before = kept().misses
+    common.arrow_map(Worker(batch), encode, "text string")
+    assert kept().misses == before
+
+
 def test_token_shards(docs, rows, empty):
     from tokenizers import Tokenizer
 
