@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Words, arrow_map, chunks, gram_hashes, mix, text_bytes
+from .common import Words, arrow_map, chunks, give_back, gram_hashes, mix, text_bytes
 from .linear import FTRL, SPACE_BITS, Scorer, sampled
 
 #: For each statistic: (below: votes low, from: votes high, to: votes high, above: votes low).
@@ -238,4 +238,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     prefix = "_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix += "_"
-    return score(docs, train(docs), prefix).where(f"`{prefix}kept`").select(docs.columns)
+    model = train(docs)
+    give_back()  # the sample and the coordinates are freed by now
+    return score(docs, model, prefix).where(f"`{prefix}kept`").select(docs.columns)

@@ -333,6 +333,13 @@ def test_worker_keeps_one_operators_things(monkeypatch):
     assert kept().misses == before
 
 
+def test_driver_gives_back(spark, monkeypatch):
+    freed = []
+    monkeypatch.setattr(common, "give_back", lambda: freed.append(1), raising=False)
+    common.discard(common.materialise(spark.range(3), "some"))
+    assert freed
+
+
 def test_token_shards(docs, rows, empty):
     from tokenizers import Tokenizer
 
