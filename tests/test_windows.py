@@ -383,3 +383,11 @@ def test_stepwise_deals_its_events_once(spark):
     plan = path._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(alpha_id" in plan and ", i#" not in "".join(x for x in plan.splitlines() if "hashpartitioning(alpha_id" in x)
     assert path.count() == 11
+
+
+def test_each_cost_of_the_end_to_end_ablation_has_an_effect(spark):
+    from factorloom import registry
+
+    got = registry.QUERIES["end_to_end_ablation"](spark, "/root/testdata/sf0.001").toPandas()
+    net = got.pivot(index="alpha_id", columns="scenario", values="net_mean")[["no_costs", "linear_only", "linear_spread", "linear_spread_impact", "full"]]
+    assert len(net) == 3 and (net.diff(axis=1).iloc[:, 1:] < 0).all(axis=None)  # each one adds a cost, impact too
